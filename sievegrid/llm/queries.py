@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, rans
+from ..session import table as _table
+from . import html_text, packing, quality, rans, repetition, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -15,14 +17,28 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keep_ids=False)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    voter = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    return quality.score(docs, voter).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fields(warc.read(*warc.write(_table(spark, sf_dir, "pages"))))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.rules(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, freq = rans.write_archive(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return rans.read_archive(archive, freq, keep_ids=False)
@@ -30,6 +46,10 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op5_html_extraction": op5_html_extraction,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_warc": op8_warc,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_binary": op10_token_binary,
 }
 ORACLES: dict[str, str] = {}
