@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table as _table
-from . import html_text, packing, quality, rans, repetition, substrings, warc
+from . import html_text, jaccard, packing, quality, rans, repetition, substrings, warc
 
 
 def _tokenizer(name: str) -> str:
@@ -17,6 +17,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keep_ids=False)
 
@@ -50,6 +54,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_packing": op3_packing,
     "op5_html_extraction": op5_html_extraction,
     "op6_substring_dedup": op6_substring_dedup,
