@@ -1,15 +1,66 @@
-"""Stages of the training-data pipeline."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
+again as the next one's docs.  All but the last return the columns of ``documents``; every
+stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievegrid.llm import decontaminate, jaccard, line_templates, packing, quality, store
+from sievegrid.session import table
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = table(spark, sf_dir, "labels")
+    voter = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    return quality.keep_good(docs, voter)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of recurring templates; ``n_chars`` follows the text."""
+    return line_templates.drop_recurring(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of near duplicates."""
+    found = jaccard.near_duplicates(docs)
+    # kept as a table, so that its size decides between a broadcast and a shuffle
+    gone = store.keep(found.where("component_id != doc_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, with their token ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # no SQL for a classifier or a tokenizer; tests hold the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store.keep(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

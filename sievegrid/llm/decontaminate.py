@@ -147,17 +147,22 @@ def _machine(items: tuple[tuple[int, str], ...], percent: int):
     return matcher(list(items), percent)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, distance, start, end): each item's best passage in each document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _tables(benchmark: DataFrame, block_chars: int, item_col: str, item_text_col: str) -> Iterator:
+    """Broadcasts of the items, each of at most a block."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.char_length("text") + 16)).first()[0] or 0
     blocks = 1 if size <= block_chars else -(-2 * size // block_chars)
-    out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        table = spark.sparkContext.broadcast(tuple(sorted((r[0], r[1]) for r in part.collect())))  # at most a block
+        yield spark.sparkContext.broadcast(tuple(sorted((r[0], r[1]) for r in part.collect())))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, distance, start, end): each item's best passage in each document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for table in _tables(benchmark, block_chars, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             machine = _machine(table.value, percent)
@@ -174,7 +179,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a passage of the benchmark."""
-    hit = matches(docs, benchmark, percent, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("sg_hit")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("sg_hit")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that hold a passage of the benchmark; no shuffle."""
+    at = docs.columns.index(text_col)
+    for table in _tables(benchmark, block_chars, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            machine = _machine(table.value, percent)
+            for batch in batches:
+                yield batch.filter(pa.array([not (x.is_valid and search(machine, x.as_py())) for x in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

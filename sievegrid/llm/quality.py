@@ -31,6 +31,7 @@ DIMENSIONS = 4096
 LATENT = 48
 NEIGHBOURS = 15
 MAX_LABELLED = 2000
+THRESHOLD = 0.5
 _BLOCK_ROWS = 512
 
 _FOLD = np.arange(256, dtype=np.uint64)
@@ -124,23 +125,40 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound: i
     return Voter(x, np.array([r[1] for r in rows], np.int64))
 
 
-def score(docs: DataFrame, voter: Voter, keep_text: bool = False, dim: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scores(voter: Voter, column: pa.Array, dim: int) -> np.ndarray:
+    data, offsets = K.text_bytes(column)
+    out = np.zeros(len(column))
+    for low, high in K.doc_blocks(offsets, 1 << 21):
+        for a in range(low, high, _BLOCK_ROWS):
+            b = min(high, a + _BLOCK_ROWS)
+            off = offsets[a : b + 1]
+            out[a:b] = voter.score(features(data[off[0] : off[-1]], off - off[0], dim))
+    return np.clip(out, 0, 1)
+
+
+def score(docs: DataFrame, voter: Voter, dim: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted) for every document."""
     model = docs.sparkSession.sparkContext.broadcast(voter)  # bounded by the sample's bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.text_bytes(batch.column(1))
-            for low, high in K.doc_blocks(offsets, 1 << 21):
-                for a in range(low, high, _BLOCK_ROWS):
-                    b = min(high, a + _BLOCK_ROWS)
-                    off = offsets[a : b + 1]
-                    s = np.clip(model.value.score(features(data[off[0] : off[-1]], off - off[0], dim)), 0, 1).astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            s = _scores(model.value, batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, voter: Voter, dim: int = DIMENSIONS, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that the classifier rejects; no shuffle."""
+    model, at = docs.sparkSession.sparkContext.broadcast(voter), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(model.value, batch.column(at), dim) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: F.Column, third: int = 1) -> F.Column:
     """Rows whose crc32 of the id as text leaves ``third`` modulo 3; never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == third, F.lit(False))
