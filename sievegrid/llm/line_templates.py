@@ -87,11 +87,11 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **rules)
     # one flag string a document: a mark at each dropped place
-    spots = gone.groupBy("id", "th").agg(F.array_sort(F.collect_list("at")).alias("sg_spots"))
+    spots = gone.groupBy(F.col("id").alias("sg_gone_id"), F.col("th").alias("sg_gone_th")).agg(F.array_sort(F.collect_list("at")).alias("sg_spots"))
     columns = [docs[c] for c in docs.columns]
     text = F.col(text_col).cast("string")
     keyed = docs.select(*columns, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("sg_id"), F.xxhash64(text).alias("sg_th"))
-    joined = keyed.join(spots, (F.col("sg_id") == F.col("id")) & (F.col("sg_th") == F.col("th")), "left")
+    joined = keyed.join(spots, (F.col("sg_id") == F.col("sg_gone_id")) & (F.col("sg_th") == F.col("sg_gone_th")), "left")
     lines = F.split(text, "\n")
     # gaps between dropped lines are copied as slices: work grows with the lines, not with their square
     edges = F.transform(F.concat(F.col("sg_spots"), F.array(F.size(lines))), lambda x, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get("sg_spots", i - 1) + 1).alias("a"), x.alias("b")))
