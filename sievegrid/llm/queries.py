@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table as _table
 from . import decontaminate, html_text, jaccard, line_templates, packing, quality, rans, repetition, substrings, warc
+from .oracles import ORACLES
 
 
 def _tokenizer(name: str) -> str:
@@ -54,7 +55,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.rules(_table(spark, sf_dir, "documents"))
+    return repetition.rules(_table(spark, sf_dir, "documents")).drop("covered_words", "longest_repeat")
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_archive(archive, freq, keep_ids=False)
 
 
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -74,4 +76,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_binary": op10_token_binary,
 }
-ORACLES: dict[str, str] = {}
