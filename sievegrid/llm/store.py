@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where the session names none (tests)."""
     root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sievegrid-")
-        spark.conf.set(_CONF, root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="sievegrid-")
+            atexit.register(shutil.rmtree, _own[app].removeprefix("file://"), True)
+        root = _own[app]
     return root.rstrip("/")
 
 
@@ -31,11 +37,3 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a table that ``keep`` wrote and that nothing reads any more."""
-    jvm = spark._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
