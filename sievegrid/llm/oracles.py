@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import repetition
+from . import line_templates, repetition
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,6 +16,24 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id"""
 
+_MASKED = "CASE WHEN regexp_matches({0}, '[0-9]') THEN '<*>' ELSE {0} END"
+_LEAST = line_templates.MIN_TEXTS
+OP4 = f"""
+WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT *, ls[i] AS line, coalesce(ls[i - 1], '<none>') AS before, coalesce(ls[i + 1], '<none>') AS after FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM a)),
+w AS (SELECT doc_id, text, i, before, after, list_transform({_WORDS.format("line")}, lambda x: {_MASKED.format("x")}) AS ws FROM l),
+f AS (SELECT *, len(ws) || ' ' || array_to_string(ws[1:{line_templates.DEPTH}], ' ') AS leaf FROM w WHERE len(ws) > 0),
+n AS (SELECT * FROM f WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING count(*) >= {_LEAST})),
+t AS (SELECT doc_id, text, i, before, after, leaf, p, ws[p] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM n)),
+c AS (SELECT leaf, p, word, true AS fixed FROM t GROUP BY leaf, p, word HAVING count(*) >= {_LEAST}),
+m AS (SELECT doc_id, text, i, before, after, leaf, string_agg(CASE WHEN fixed THEN word ELSE '<*>' END, ' ' ORDER BY p) AS template, count(*) FILTER (WHERE fixed AND word <> '<*>') AS known, count(*) AS size
+  FROM t LEFT JOIN c USING (leaf, p, word) GROUP BY doc_id, text, i, before, after, leaf),
+k AS (SELECT * FROM m WHERE known >= {line_templates.MIN_CONSTANT}::DOUBLE * size),
+r AS (SELECT leaf, template FROM k GROUP BY leaf, template HAVING count(DISTINCT text) >= {_LEAST} AND greatest(count(DISTINCT before), count(DISTINCT after)) >= {line_templates.MIN_SPREAD} * count(DISTINCT text)),
+g AS (SELECT doc_id, list(i) AS spots FROM k JOIN r USING (leaf, template) GROUP BY doc_id)
+SELECT a.doc_id, CASE WHEN spots IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(spots, i)), lambda i: ls[i]), chr(10)) END AS text,
+  coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(spots), 0)::BIGINT AS n_dropped FROM a LEFT JOIN g USING (doc_id)"""
+
 OP6 = f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
@@ -47,4 +65,4 @@ b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * covered <= {repetition.MAX_COVERED_PERCENT} * n_words AND NOT too_long AS kept FROM v"""
 
-ORACLES = {"op1_ngram_jaccard": OP1, "op6_substring_dedup": OP6, "op8_warc": OP8, "op9_quality_rules": OP9}
+ORACLES = {"op1_ngram_jaccard": OP1, "op4_line_dedup": OP4, "op6_substring_dedup": OP6, "op8_warc": OP8, "op9_quality_rules": OP9}
