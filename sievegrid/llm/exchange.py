@@ -12,13 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernel as K
 
 SCHEMA = "kind int, bucket int, keys binary, docs binary"
 _NAMES = ["kind", "bucket", "keys", "docs"]
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 1
+ENTRY, FOUND = 0, 1
+HELD = 1 << 22
 
 
 def partitions(spark: SparkSession) -> int:
@@ -47,10 +50,17 @@ def pack(kind: int, by: np.ndarray, keys: np.ndarray, docs: np.ndarray, buckets:
     return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The entries of one bucket after another; rows come sorted by bucket."""
+def by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The entries of one bucket after another; rows come sorted by kind and bucket.
+
+    Rows of kind ``FOUND`` go to ``passed`` instead, if it is given.
+    """
     at, keys, docs = None, [], []
     for batch in batches:
+        if passed is not None:
+            found = pc.equal(batch.column(0), FOUND)
+            passed.append(batch.filter(found))
+            batch = batch.filter(pc.invert(found))
         for bucket, k, d in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             if bucket != at and keys:
                 yield np.concatenate(keys), np.concatenate(docs)
@@ -75,13 +85,9 @@ def sorted_groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, docs, np.append(starts, len(keys))
 
 
-def received(df: DataFrame, kind: int) -> DataFrame:
-    """Rows of one kind, dealt by bucket and sorted by it."""
-    n = partitions(df.sparkSession)
-    return df.where(df.kind == kind).repartition(n, "bucket").sortWithinPartitions("bucket")
-
-
-ENTRY, FOUND = 0, 1
+def received(df: DataFrame) -> DataFrame:
+    """Rows dealt by bucket, sorted by kind and bucket."""
+    return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("kind", "bucket")
 
 
 def find_shared(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], later_only: bool) -> DataFrame:
@@ -117,19 +123,32 @@ def find_shared(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tu
                     yield pack(FOUND, docs[found].view(np.uint64), keys[found], docs[found], buckets)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, docs in by_bucket(batches):
+        passed: list[pa.RecordBatch] = []
+        held, n = [], 0
+        for keys, docs in by_bucket(batches, passed):
             keys, docs, starts = sorted_groups(keys, docs)
             found = settle(keys, docs, starts)
-            if found.any():
-                yield pack(FOUND, docs[found].view(np.uint64), keys[found], docs[found], buckets)
+            held.append((keys[found], docs[found]))
+            n += len(held[-1][0])
+            yield from passed
+            passed.clear()
+            if n >= HELD:  # few large rows, not one for each pair of buckets
+                yield from resend(held)
+                held, n = [], 0
+        yield from resend(held)
+        yield from passed
+
+    def resend(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(keys):
+                yield pack(FOUND, docs.view(np.uint64), keys, docs, buckets)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, docs in by_bucket(batches):
             docs, keys, starts = sorted_groups(docs, keys)
             yield pa.RecordBatch.from_arrays([pa.array(docs[starts[:-1]]), K.split_binary(keys, starts)], names=["doc_id", "keys"])
 
-    from . import store
-
-    sent = store.keep(rows.mapInArrow(send, SCHEMA), "entries", "lz4")
-    found = received(sent, ENTRY).mapInArrow(compare, SCHEMA)
-    return received(sent.where("kind = 1").unionByName(found), FOUND).mapInArrow(gather, "doc_id long, keys binary")
+    # what the tasks found themselves takes the first exchange along, so nothing is computed twice
+    found = received(rows.mapInArrow(send, SCHEMA)).mapInArrow(compare, SCHEMA)
+    return received(found).mapInArrow(gather, "doc_id long, keys binary")

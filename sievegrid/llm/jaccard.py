@@ -173,7 +173,7 @@ def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), K.binaries(lists)], names=["region", "docs"])
 
     sent = docs.where("doc_id is not null").mapInArrow(send, exchange.SCHEMA)
-    return exchange.received(sent, exchange.ENTRY).mapInArrow(meet, "region long, docs binary").groupBy("region").agg(F.any_value("docs").alias("docs"))
+    return exchange.received(sent).mapInArrow(meet, "region long, docs binary").groupBy("region").agg(F.any_value("docs").alias("docs"))
 
 
 def _members(regions: DataFrame) -> DataFrame:
