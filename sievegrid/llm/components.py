@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import exchange, store
 
 
 def _sum(links: DataFrame) -> tuple:
@@ -20,16 +20,15 @@ def _sum(links: DataFrame) -> tuple:
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One half round: every node's chosen neighbours move to its least neighbour."""
-    both = links if not large else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    side = links.select(F.col("b").alias("a"), F.col("a").alias("v")) if large else links.select("a", F.col("b").alias("v"))
-    moved = side.join(least, "a").select(F.col("v").alias("x"), "m")
-    if not large:
-        moved = moved.unionByName(least.select(F.col("a").alias("x"), "m"))
-    else:
-        # a node's own link to its least neighbour stays
-        moved = moved.unionByName(least.select(F.col("a").alias("x"), "m"))
-    return moved.where("x != m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
+    both = links.select("a", F.col("b").alias("v"))
+    if large:
+        both = both.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("v")))
+    both = both.repartition(exchange.partitions(links.sparkSession), "a")  # serves the minimum and the join
+    least = both.groupBy("a").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "a"))
+    side = both.where("v > a") if large else both
+    # a node's own link to its least neighbour stays
+    moved = side.join(least, "a").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
+    return moved.where("x != m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,8 +36,8 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = store.keep(links, "links")
     state = _sum(links)
-    while True:
-        links = store.keep(_star(_star(links, large=True), large=False), "links")
+    while state[0]:
+        links = store.keep(_star(_star(links, large=True), large=False).distinct(), "links")
         now = _sum(links)
         if now == state:
             break

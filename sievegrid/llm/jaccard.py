@@ -13,12 +13,13 @@ pivot: sizes of linked sets differ by a factor of at most 0.8.)
 
 Recursion.  In each region one document is the pivot.  Those within r of it are linked to
 it, and so are all in one component at once.  Regions whose members are all in one component
-are finished.  In the others the next level takes eight times as many pivots; a pivot meets
+are finished.  In the others the next level takes ``GROWTH`` times as many pivots; a pivot meets
 only members of other components, in the window |d(x, p) - d(y, p)| <= r of the region's
 first pivot and of fitting size.  Levels go on until every member was a pivot or shares a
 component, so the join is exact and never lists the pairs within a group of copies.
 
-Distances come from whole shingle sets (64-bit hashes of the shingles).  Equal sets are
+Before sets are compared, profiles are: the counts of a set's shingles in 256 parts of the
+hash range, a projection under which no distance grows.  Distances come from whole shingle sets (64-bit hashes of the shingles).  Equal sets are
 linked by digest before that.  The order "rarest first" uses counts of all documents'
 shingles in a table of 2**20 slots, a fixed size at any input.
 
@@ -46,6 +47,7 @@ PERCENT = 80
 SLOT_BITS = 20
 _SLICES = 64
 GROWTH = 8
+PROFILE = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +61,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple
     if len(short):  # the whole sequence as one; its length keeps it apart from longer ones
         whole = np.array([K.grams(h[rows[r] : rows[r + 1]], int(size[r]))[0] for r in short.tolist()], np.uint64) ^ K.mix(size[short].astype(np.uint64))
         keys, row = np.concatenate([keys, whole]), np.concatenate([row, short])
-    order = np.lexsort((keys, row))
-    keys, row = keys[order], row[order]
+        order = np.argsort(row, kind="stable")
+        keys, row = keys[order], row[order]
+    bounds = np.searchsorted(row, np.arange(len(offsets)))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        keys[a:b].sort()
     if len(keys):
         new = np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))
-        keys, row = keys[new], row[new]
-    return keys, np.searchsorted(row, np.arange(len(offsets)))
+        keys, bounds = keys[new], np.append(0, np.cumsum(new))[bounds]
+    return keys, bounds
 
 
 def _digests(keys: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -79,10 +84,18 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield low, high, *shingle_sets(data[off[0] : off[-1]], off - off[0])
 
 
+def _profiles(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each row's shingles counted by ``PROFILE`` parts of the hash range, 255 and more as 255."""
+    part = (keys & K.U64(PROFILE - 1)).astype(np.int64)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    counts = np.bincount(row * PROFILE + part, minlength=(len(bounds) - 1) * PROFILE)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
 def _survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest) for each row; and each task's shingle counts in slices."""
+    """(doc_id, n, digest, profile) for each row; and each task's shingle counts in slices."""
     slots, width = 1 << SLOT_BITS, (1 << SLOT_BITS) // _SLICES
-    names = ["doc_id", "n", "digest", "slice", "counts"]
+    names = ["doc_id", "n", "digest", "profile", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(slots, np.uint32)
@@ -90,11 +103,11 @@ def _survey(docs: DataFrame) -> DataFrame:
             for low, high, keys, bounds in _blocks(batch):
                 seen += np.bincount((keys >> K.U64(64 - SLOT_BITS)).astype(np.int64), minlength=slots).astype(np.uint32)
                 m = high - low
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, m), pa.array(np.diff(bounds)), pa.array(_digests(keys, bounds), pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, m), pa.array(np.diff(bounds)), pa.array(_digests(keys, bounds), pa.binary()), K.split_binary(_profiles(keys, bounds), np.arange(m + 1) * PROFILE), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.array(np.arange(_SLICES, dtype=np.int32)), K.split_binary(seen, np.arange(_SLICES + 1) * width)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(np.arange(_SLICES, dtype=np.int32)), K.split_binary(seen, np.arange(_SLICES + 1) * width)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, profile binary, slice int, counts binary")
 
 
 def _slot_counts(survey: DataFrame) -> np.ndarray:
@@ -112,7 +125,8 @@ def _slot_counts(survey: DataFrame) -> np.ndarray:
     out = np.zeros(_SLICES * width, np.int64)
     for r in rows.collect():  # 64 rows of 128 KB, whatever the input
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+    # an eighth of a doubling a level: fine enough to tell rare from frequent
+    return np.floor(8 * np.log2(out + 1.0)).clip(0, 255).astype(np.uint8)
 
 
 def _overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -127,35 +141,36 @@ def _priority(docs: np.ndarray) -> np.ndarray:
 def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """(region, docs binary): the distinct member lists of at least two, in order of priority."""
     buckets = exchange.partitions(docs.sparkSession) * exchange.BUCKETS_A_PARTITION
-    table = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MB at any input
+    table = docs.sparkSession.sparkContext.broadcast(counts)  # 1 MB at any input
+
+    def rarest(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of each row's first shingles in the order "rarest first", and their number."""
+        level = table.value[(keys >> K.U64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
+        rank = (level << K.U64(56)) | (keys >> K.U64(8))
+        size = np.diff(bounds)
+        take = np.where(size > 0, size - _overlap(size, percent) + 1, 0)
+        places = [a + np.argpartition(rank[a : a + n], p - 1)[:p] for a, n, p in zip(bounds[:-1].tolist(), size.tolist(), take.tolist(), strict=True) if n]
+        return np.concatenate([*places, np.zeros(0, np.int64)]), take
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, all_keys, owners, met = batch.column(0).to_numpy(), [], [], {}
+            ids, found, met, names = batch.column(0).to_numpy(), [], {}, []
             for low, high, keys, bounds in _blocks(batch):
                 # equal sets within the batch: the least id stands for all
-                for r, digest in zip(range(low, high), _digests(keys, bounds), strict=True):
-                    met[digest] = min(met.get(digest, ids[r]), ids[r])
-                size = np.diff(bounds)
-                row = np.repeat(np.arange(high - low), size)
-                order = np.lexsort((keys, table.value[(keys >> K.U64(64 - SLOT_BITS)).astype(np.int64)], row))
-                place = np.arange(len(keys)) - bounds[:-1][row]
-                near = place < (size - _overlap(size, percent) + 1)[row]
-                all_keys.append(keys[order][near])
-                owners.append(np.stack([row[near] + low, ids[row[near] + low]]))
-            if not all_keys:
-                continue
-            keys, owner = np.concatenate(all_keys), np.concatenate(owners, axis=1)
+                digests = _digests(keys, bounds)
+                names += digests
+                for i, digest in zip(ids[low:high].tolist(), digests, strict=True):
+                    met[digest] = min(met.get(digest, i), i)
+                places, take = rarest(keys, bounds)
+                found.append((keys[places], np.repeat(np.arange(low, high), take)))
             stands = np.zeros(len(ids), bool)
-            at = 0
-            for low, high, k, bounds in _blocks(batch):
-                for r, digest in zip(range(low, high), _digests(k, bounds), strict=True):
-                    if met.get(digest) == ids[r]:
-                        stands[r] = True
-                        met[digest] = None
-            keep = stands[owner[0]]
+            for r, (i, digest) in enumerate(zip(ids.tolist(), names, strict=True)):
+                if met[digest] == i:
+                    stands[r], met[digest] = True, None
+            keys, row = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keep = stands[row]
             if keep.any():
-                yield exchange.pack(exchange.ENTRY, keys[keep], keys[keep], owner[1][keep], buckets)
+                yield exchange.pack(exchange.ENTRY, keys[keep], keys[keep], ids[row[keep]], buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, docs in exchange.by_bucket(batches):
@@ -166,11 +181,11 @@ def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 continue
             sign = np.add.reduceat(_priority(docs), starts[:-1])[many] ^ K.mix(size[many].astype(np.uint64))
             sign, first = np.unique(sign, return_index=True)
-            lists = []
-            for g in many[first].tolist():
-                x = docs[starts[g] : starts[g + 1]]
-                lists.append(x[np.argsort(_priority(x))])
-            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), K.binaries(lists)], names=["region", "docs"])
+            chosen = many[first]
+            group = np.repeat(np.arange(len(chosen)), size[chosen])
+            member = docs[np.repeat(starts[:-1][chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(len(group))]
+            member = member[np.lexsort((_priority(member), group))]
+            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), K.split_binary(member, np.append(0, np.cumsum(size[chosen])))], names=["region", "docs"])
 
     sent = docs.where("doc_id is not null").mapInArrow(send, exchange.SCHEMA)
     return exchange.received(sent).mapInArrow(meet, "region long, docs binary").groupBy("region").agg(F.any_value("docs").alias("docs"))
@@ -181,13 +196,35 @@ def _members(regions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for region, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(raw.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), region)), pa.array(x), pa.array(np.arange(len(x))), pa.array(np.full(len(x), x[0]))], names=["region", "doc_id", "place", "first"])
+            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            size = np.array([len(x) for x in lists], np.int64)
+            first = np.array([x[0] for x in lists], np.int64)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(lists)), pa.array(place), pa.array(np.repeat(first, size))], names=["region", "doc_id", "place", "first"])
 
     return regions.mapInArrow(run, "region long, doc_id long, place long, first long")
 
 
+def _near_by_profile(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their profiles leave possible.
+
+    Counts of parts are a projection: the sum of the smaller counts bounds the intersection,
+    so the distance between profiles never exceeds that between sets.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE) for i in (2, 3))
+            both, n = np.minimum(x, y), batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            most = both.sum(1, dtype=np.int64)
+            possible = (100 * most >= percent * (n - most)) | (both == 255).any(1)
+            yield batch.select([0, 1]).filter(pa.array(possible))
+
+    x = profiles.select(F.col("doc_id").alias("a"), F.col("profile").alias("x"), F.col("n").alias("n_x"))
+    y = profiles.select(F.col("doc_id").alias("b"), F.col("profile").alias("y"), F.col("n").alias("n_y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long")
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, d, linked) of each pair (a, b), from whole sets; ``b`` is the pivot."""
 
@@ -219,66 +256,61 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(doc_id, component) of all nodes after more links between documents."""
-    left = links.join(nodes.withColumnRenamed("doc_id", "a"), "a").select("b", F.col("component").alias("x"))
-    both = left.join(nodes.withColumnRenamed("doc_id", "b"), "b").select(F.col("x").alias("a"), F.col("component").alias("b"))
+    """``nodes`` (doc_id, n, component) after more links between documents."""
+    left = links.join(nodes.select(F.col("doc_id").alias("a"), F.col("component").alias("x")), "a").select("b", "x")
+    both = left.join(nodes.select(F.col("doc_id").alias("b"), F.col("component").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     moved = components.components(both).withColumnRenamed("component", "moved")
-    return nodes.join(moved, F.col("component") == F.col("node"), "left").select("doc_id", F.coalesce("moved", "component").alias("component"))
+    return nodes.join(moved, F.col("component") == F.col("node"), "left").select("doc_id", "n", F.coalesce("moved", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for every row of ``docs``."""
+    parts = exchange.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = store.keep(_survey(rows), "survey")
     facts = survey.where("slice is null").select("doc_id", "n", "digest")
-    counts = _slot_counts(survey)
+    known = facts.where("n > 0 and doc_id is not null")
     # equal sets: one link from each to the least of them
-    least = facts.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b < m")
-    copies = facts.where("n > 0 and doc_id is not null").join(least, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b")
-    regions = store.keep(_regions(rows, counts, percent), "regions", "none")
-    members = _members(regions)
-    sizes = facts.where("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
-    start = members.select("doc_id").distinct()
-    nodes = store.keep(_merge_copies(start, copies), "nodes")
-    low, high, tested, links = 0, 1, None, copies
+    least = known.groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b < m")
+    copies = store.keep(known.join(least, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b"), "copies")
+    # where the comparison starts: equal sets are in one component already
+    stars = copies.groupBy("a").agg(F.min("b").alias("component"))
+    members = store.keep(_members(_regions(rows, _slot_counts(survey), percent)), "members")
+    profiles = survey.where("n > 0 and doc_id is not null").select("doc_id", "n", "profile").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    profiles = store.keep(profiles.dropDuplicates(["doc_id"]), "profiles", "none")
+    nodes = profiles.select("doc_id", "n").join(stars.withColumnRenamed("a", "doc_id"), "doc_id", "left")
+    nodes = store.keep(nodes.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "nodes")
+    low, high, tested = 0, 1, None
     while True:
-        named = members.join(nodes.join(sizes, "doc_id"), "doc_id")
-        # regions with members of one component only are finished
-        open_ = named.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("e"), F.count("*").alias("size")).where((F.col("c") != F.col("e")) & (F.col("size") > low)).select("region")
-        live = store.keep(named.join(open_, "region", "left_semi"), "live")
-        if live.isEmpty():
-            break
-        x = live.where(F.col("place") > low)
-        p = live.where((F.col("place") >= low) & (F.col("place") < high)).select("region", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "place", "component", "n")))
-        if tested is not None:
-            # the window of the region's first pivot
-            far = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), "d")
-            x = x.join(far, ["doc_id", "first"], "left")
-            p = p.join(live.select("region", F.col("doc_id").alias("p_doc_id"), "first").join(far.withColumnRenamed("doc_id", "p_doc_id"), ["p_doc_id", "first"], "left").select("region", "p_doc_id", F.col("d").alias("p_d")), ["region", "p_doc_id"])
-            window = F.coalesce(F.abs(F.col("d") - F.col("p_d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        # regions with members of one component only are finished, and those with all pairs done
+        named = members.join(nodes, "doc_id").repartition(parts, "region")
+        sums = named.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("e"), F.count("*").alias("size"))
+        live = named.join(sums.where((F.col("c") != F.col("e")) & (F.col("size") > low + 1)).select("region"), "region", "left_semi")
+        # distances to the region's first pivot, where they are known
+        if tested is None:
+            live = live.withColumn("d", F.lit(None).cast("double"))
         else:
-            window = F.lit(True)
+            live = live.join(tested.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), "d"), ["doc_id", "first"], "left")
+        members = store.keep(live.select("region", "doc_id", "place", "first", "n", "component", "d"), "live")
+        if members.isEmpty():
+            break
+        dealt = members.repartition(parts, "region")
+        x = dealt.where(F.col("place") > low)
+        p = dealt.where((F.col("place") >= low) & (F.col("place") < high)).select("region", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "place", "component", "n", "d")))
+        window = F.coalesce(F.abs(F.col("d") - F.col("p_d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
         fits = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.col("place") > F.col("p_place")) & (F.col("component") != F.col("p_component"))
-        # the least and the greatest of a pair never change places, so no pair comes twice
+        # places follow one priority in all regions, so a pair never comes the other way round
         pairs = x.join(p, "region").where(fits & window).select(F.col("doc_id").alias("a"), F.col("p_doc_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = store.keep(_verify(rows, store.keep(pairs, "pairs"), percent), "tested")
-        tested = found if tested is None else tested.unionByName(found)
-        more = found.where("linked").select("a", "b")
-        nodes = store.keep(_merge(nodes, more), "nodes")
+        pairs = store.keep(_near_by_profile(pairs, profiles, percent), "pairs")
+        if not pairs.isEmpty():
+            found = store.keep(_verify(rows, pairs, percent), "tested")
+            tested = found if tested is None else tested.unionByName(found)
+            nodes = store.keep(_merge(nodes, found.where("linked").select("a", "b")), "nodes")
+        members = members.select("region", "doc_id", "place", "first")
         low, high = high, high * GROWTH
-    labels = _final(nodes, copies)
-    return facts.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _merge_copies(start: DataFrame, copies: DataFrame) -> DataFrame:
-    """Every region member's component by equal sets alone: stars around the least id."""
-    star = components.components(copies).withColumnRenamed("node", "doc_id")
-    return start.join(star, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-
-
-def _final(nodes: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, component) over members and their copies; the least id names a component."""
+    # the least id names a component: copies hang on their least one, that on its component
     links = nodes.where("doc_id != component").select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(copies)
-    return components.components(links).withColumnRenamed("node", "doc_id")
+    labels = components.components(links).withColumnRenamed("node", "doc_id")
+    return facts.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
