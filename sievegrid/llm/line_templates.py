@@ -88,6 +88,8 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **rules)
     # one flag string a document: a mark at each dropped place
     spots = gone.groupBy(F.col("id").alias("sg_gone_id"), F.col("th").alias("sg_gone_th")).agg(F.array_sort(F.collect_list("at")).alias("sg_spots"))
+    # the spots grow with the documents, so both sides shuffle, whatever the size of a sample
+    spots = spots.hint("merge")
     columns = [docs[c] for c in docs.columns]
     text = F.col(text_col).cast("string")
     keyed = docs.select(*columns, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("sg_id"), F.xxhash64(text).alias("sg_th"))
