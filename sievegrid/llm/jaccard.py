@@ -21,7 +21,7 @@ component, so the join is exact and never lists the pairs within a group of copi
 Before sets are compared, profiles are: the counts of a set's shingles in 256 parts of the
 hash range, a projection under which no distance grows.  Distances come from whole shingle sets (64-bit hashes of the shingles).  Equal sets are
 linked by digest before that.  The order "rarest first" uses counts of all documents'
-shingles in a table of 2**20 slots, a fixed size at any input.
+shingles in a table of 2**24 slots, a fixed size at any input.
 
 Null and empty texts have no shingles and are linked with nothing; fewer than n words make
 one shingle of all.  Rows with a null id keep a null component and link with nothing; rows
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, exchange, store
@@ -44,7 +44,7 @@ from . import kernel as K
 
 WORDS = 5
 PERCENT = 80
-SLOT_BITS = 20
+SLOT_BITS = 24
 _SLICES = 64
 GROWTH = 8
 PROFILE = 256
@@ -101,32 +101,36 @@ def _survey(docs: DataFrame) -> DataFrame:
         seen = np.zeros(slots, np.uint32)
         for batch in batches:
             for low, high, keys, bounds in _blocks(batch):
-                seen += np.bincount((keys >> K.U64(64 - SLOT_BITS)).astype(np.int64), minlength=slots).astype(np.uint32)
+                np.add.at(seen, (keys >> K.U64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
                 m = high - low
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, m), pa.array(np.diff(bounds)), pa.array(_digests(keys, bounds), pa.binary()), K.split_binary(_profiles(keys, bounds), np.arange(m + 1) * PROFILE), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if seen.any():
+            seen = np.minimum(seen, 255).astype(np.uint8)  # a byte a slot and task; the tasks' sums go on
             yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(np.arange(_SLICES, dtype=np.int32)), K.split_binary(seen, np.arange(_SLICES + 1) * width)], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, profile binary, slice int, counts binary")
 
 
-def _slot_counts(survey: DataFrame) -> np.ndarray:
+def _levels(survey: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each slot are, in eighths of a doubling."""
     width = (1 << SLOT_BITS) // _SLICES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[i] = total.get(i, 0) + np.frombuffer(raw.as_buffer(), np.uint32).astype(np.int64)
+                if i not in total:
+                    total[i] = np.zeros(width, np.int64)
+                total[i] += np.frombuffer(raw.as_buffer(), np.uint8)
         for i, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["slice", "counts"])
+            level = np.floor(8 * np.log2(x + 1.0)).clip(0, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
-    rows = survey.where("slice is not null").select("slice", "counts").repartition(exchange.partitions(survey.sparkSession), "slice").mapInArrow(add, "slice int, counts binary")
-    out = np.zeros(_SLICES * width, np.int64)
-    for r in rows.collect():  # 64 rows of 128 KB, whatever the input
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
-    # an eighth of a doubling a level: fine enough to tell rare from frequent
-    return np.floor(8 * np.log2(out + 1.0)).clip(0, 255).astype(np.uint8)
+    rows = survey.where("slice is not null").select("slice", "counts").repartition(exchange.partitions(survey.sparkSession), "slice").mapInArrow(add, "slice int, levels binary")
+    out = np.zeros(_SLICES * width, np.uint8)
+    for r in rows.collect():  # 16 MB, whatever the input
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
+    return out
 
 
 def _overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -138,10 +142,10 @@ def _priority(docs: np.ndarray) -> np.ndarray:
     return K.mix(docs.astype(np.uint64) + K.U64(0x51ED270B))
 
 
-def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """(region, docs binary): the distinct member lists of at least two, in order of priority."""
+def _regions(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+    """(region, docs binary): the distinct member lists of at least two."""
     buckets = exchange.partitions(docs.sparkSession) * exchange.BUCKETS_A_PARTITION
-    table = docs.sparkSession.sparkContext.broadcast(counts)  # 1 MB at any input
+    table = docs.sparkSession.sparkContext.broadcast(levels)  # 16 MB at any input
 
     def rarest(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of each row's first shingles in the order "rarest first", and their number."""
@@ -184,7 +188,6 @@ def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             chosen = many[first]
             group = np.repeat(np.arange(len(chosen)), size[chosen])
             member = docs[np.repeat(starts[:-1][chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(len(group))]
-            member = member[np.lexsort((_priority(member), group))]
             yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), K.split_binary(member, np.append(0, np.cumsum(size[chosen])))], names=["region", "docs"])
 
     sent = docs.where("doc_id is not null").mapInArrow(send, exchange.SCHEMA)
@@ -192,21 +195,27 @@ def _regions(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 
 def _members(regions: DataFrame) -> DataFrame:
-    """(region, doc_id, place, first): one row a member; ``first`` is the region's first pivot."""
+    """(region, doc_id, place, first): one row a member; ``first`` is the region's first pivot.
+
+    Members of most regions come first: a text whose copies differ in a few words each has
+    no rare shingles of its own, and all its copies are nearer to it than to each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
             size = np.array([len(x) for x in lists], np.int64)
-            first = np.array([x[0] for x in lists], np.int64)
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(lists)), pa.array(place), pa.array(np.repeat(first, size))], names=["region", "doc_id", "place", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(lists))], names=["region", "doc_id"])
 
-    return regions.mapInArrow(run, "region long, doc_id long, place long, first long")
+    rows = store.keep(regions.mapInArrow(run, "region long, doc_id long"), "members")
+    shared = rows.groupBy("doc_id").agg(F.count("*").alias("shared"))
+    order = Window.partitionBy("region").orderBy(F.desc("shared"), F.xxhash64("doc_id"), "doc_id")
+    placed = rows.join(shared, "doc_id").withColumns({"place": F.row_number().over(order) - 1, "first": F.first("doc_id").over(order)})
+    return placed.select("region", "doc_id", "place", "first")
 
 
 def _near_by_profile(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their profiles leave possible.
+    """(a, b, low, possible): a lower bound of each pair's distance, and whether it allows a link.
 
     Counts of parts are a projection: the sum of the smaller counts bounds the intersection,
     so the distance between profiles never exceeds that between sets.
@@ -218,11 +227,12 @@ def _near_by_profile(pairs: DataFrame, profiles: DataFrame, percent: int) -> Dat
             both, n = np.minimum(x, y), batch.column(4).to_numpy() + batch.column(5).to_numpy()
             most = both.sum(1, dtype=np.int64)
             possible = (100 * most >= percent * (n - most)) | (both == 255).any(1)
-            yield batch.select([0, 1]).filter(pa.array(possible))
+            low = np.where((both == 255).any(1), 0.0, 1 - most / np.maximum(n - most, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(possible)], names=["a", "b", "low", "possible"])
 
     x = profiles.select(F.col("doc_id").alias("a"), F.col("profile").alias("x"), F.col("n").alias("n_x"))
     y = profiles.select(F.col("doc_id").alias("b"), F.col("profile").alias("y"), F.col("n").alias("n_y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long, low double, possible boolean")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -275,38 +285,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     copies = store.keep(known.join(least, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b"), "copies")
     # where the comparison starts: equal sets are in one component already
     stars = copies.groupBy("a").agg(F.min("b").alias("component"))
-    members = store.keep(_members(_regions(rows, _slot_counts(survey), percent)), "members")
+    members = store.keep(_members(_regions(rows, _levels(survey), percent)), "placed")
     profiles = survey.where("n > 0 and doc_id is not null").select("doc_id", "n", "profile").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
     profiles = store.keep(profiles.dropDuplicates(["doc_id"]), "profiles", "none")
     nodes = profiles.select("doc_id", "n").join(stars.withColumnRenamed("a", "doc_id"), "doc_id", "left")
     nodes = store.keep(nodes.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "nodes")
     low, high, tested = 0, 1, None
+    apart = 1 - percent / 100 + 1e-9
     while True:
         # regions with members of one component only are finished, and those with all pairs done
         named = members.join(nodes, "doc_id").repartition(parts, "region")
         sums = named.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("e"), F.count("*").alias("size"))
         live = named.join(sums.where((F.col("c") != F.col("e")) & (F.col("size") > low + 1)).select("region"), "region", "left_semi")
-        # distances to the region's first pivot, where they are known
+        # bounds of the distance to the region's first pivot, where they are known
         if tested is None:
-            live = live.withColumn("d", F.lit(None).cast("double"))
+            live = live.withColumns({"near": F.lit(0.0), "far": F.lit(1.0)})
         else:
-            live = live.join(tested.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), "d"), ["doc_id", "first"], "left")
-        members = store.keep(live.select("region", "doc_id", "place", "first", "n", "component", "d"), "live")
+            bounds = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), "near", "far")
+            known_d = live.join(bounds, ["doc_id", "first"], "left")
+            live = known_d.withColumns({"near": F.coalesce("near", F.lit(0.0)), "far": F.when(F.col("doc_id") == F.col("first"), 0.0).otherwise(F.coalesce("far", F.lit(1.0)))})
+        members = store.keep(live.select("region", "doc_id", "place", "first", "n", "component", "near", "far"), "live")
         if members.isEmpty():
             break
         dealt = members.repartition(parts, "region")
         x = dealt.where(F.col("place") > low)
-        p = dealt.where((F.col("place") >= low) & (F.col("place") < high)).select("region", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "place", "component", "n", "d")))
-        window = F.coalesce(F.abs(F.col("d") - F.col("p_d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+        p = dealt.where((F.col("place") >= low) & (F.col("place") < high)).select("region", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "place", "component", "n", "near", "far")))
+        window = (F.col("near") - F.col("p_far") <= apart) & (F.col("p_near") - F.col("far") <= apart)
         fits = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.col("place") > F.col("p_place")) & (F.col("component") != F.col("p_component"))
-        # places follow one priority in all regions, so a pair never comes the other way round
+        # places follow one order in all regions, so a pair never comes the other way round
         pairs = x.join(p, "region").where(fits & window).select(F.col("doc_id").alias("a"), F.col("p_doc_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store.keep(_near_by_profile(pairs, profiles, percent), "pairs")
         if not pairs.isEmpty():
-            found = store.keep(_verify(rows, pairs, percent), "tested")
-            tested = found if tested is None else tested.unionByName(found)
+            found = store.keep(_verify(rows, pairs.where("possible").select("a", "b"), percent), "tested")
+            far_off = pairs.where("not possible").select("a", "b", F.col("low").alias("near"), F.lit(1.0).alias("far"))
+            both = found.select("a", "b", F.col("d").alias("near"), F.col("d").alias("far")).unionByName(far_off)
+            tested = both if tested is None else tested.unionByName(both)
             nodes = store.keep(_merge(nodes, found.where("linked").select("a", "b")), "nodes")
         members = members.select("region", "doc_id", "place", "first")
         low, high = high, high * GROWTH
