@@ -25,7 +25,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; ``n_chars`` follows the text."""
-    return line_templates.drop_recurring(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return line_templates.drop_recurring(docs, find=line_templates.boilerplate_lines).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,13 @@ texts.  Thus license lines, notices and other boilerplate go, while the lines of
 and its many copies, which always stand between the same neighbours, stay for the
 operators that handle copies.
 
+``boilerplate_lines``, the pipeline's rule, has no SQL to match and asks for no neighbours: a
+template recurs if at least ``min_groups`` groups of near copies hold it.  A text counts as a
+group of its own unless lines that recur make up more than half of its words; such texts are
+near copies of others and count once for all that share one of their ``KIN`` rarest lines.
+Thus a large group of copies neither saves a notice nor makes one, and the lines in the midst
+of a notice are judged as its edges are.
+
 All lines of recurring templates are dropped; the others stay in order.  Null texts stay
 null, empty texts and lines without words are never dropped; null ids are allowed; rows that
 repeat both id and text count once and are all cleaned alike; empty tables give empty
@@ -19,6 +26,8 @@ results; texts of any length are whole; other columns pass through untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +37,8 @@ DEPTH = 3
 MIN_TEXTS = 20
 MIN_CONSTANT = 0.7
 MIN_SPREAD = 0.5
+MIN_GROUPS = 20
+KIN = 4
 _GAP = r"[\x20\x09-\x0D]+"
 _FIELD = "<*>"
 
@@ -39,9 +50,9 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, th, at, line) of every line of every distinct (id, text)."""
+    """(id, th, ls, total): the lines and the number of words of every (id, text)."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    return rows.select("id", F.xxhash64("t").alias("th"), F.split("t", "\n").alias("ls"))
+    return rows.select("id", F.xxhash64("t").alias("th"), F.split("t", "\n").alias("ls"), F.size(F.filter(F.split("t", _GAP), lambda w: w != "")).alias("total"))
 
 
 def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_constant: float = MIN_CONSTANT, min_spread: float = MIN_SPREAD, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,6 +84,37 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_constant: f
     return templates.join(store.keep(recurring.select(*key), "recurring"), key, "left_semi").select("id", "th", "at")
 
 
+def boilerplate_lines(docs: DataFrame, min_groups: int = MIN_GROUPS, min_constant: float = MIN_CONSTANT, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, at): the lines to drop, as ``recurring_lines``, by groups of near copies."""
+    arrays = _lines(docs, text_col, id_col)
+    leaves = arrays.select("th", F.explode(F.array_distinct(F.transform("ls", lambda x: _leaf(x, depth)))).alias("leaf")).where("leaf is not null")
+    leaves = store.keep(leaves.groupBy("leaf").agg(F.countDistinct("th").alias("leaf_texts")).where(F.col("leaf_texts") >= min_groups), "leaves")
+    lines = arrays.select("id", "th", "total", F.posexplode("ls").alias("at", "line")).withColumn("leaf", _leaf(F.col("line"), depth))
+    near = store.keep(lines.join(leaves, "leaf").dropDuplicates(["id", "th", "at"]), "leaf-lines")
+    words = near.select("id", "th", "at", "leaf", "total", F.posexplode(_words(F.col("line"))).alias("place", "word"))
+    constant = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n")).where(F.col("n") >= min_groups).select("leaf", "place", "word", F.lit(1).alias("fixed"))
+    marked = words.join(store.keep(constant, "constants"), ["leaf", "place", "word"], "left")
+    part = F.xxhash64("place", F.when(F.col("fixed").isNotNull(), F.col("word")).otherwise(F.lit(_FIELD)))
+    known = F.coalesce("fixed", F.lit(0)) * (F.col("word") != _FIELD).cast("int")
+    templates = marked.groupBy("id", "th", "at", "leaf", "total").agg(
+        F.sum(part.cast("decimal(38,0)")).alias("t1"), F.bit_xor(F.xxhash64(part)).alias("t2"), F.sum(known).alias("fixed"), F.count("*").cast("int").alias("n")
+    )
+    templates = store.keep(templates.where(F.col("fixed") >= min_constant * F.col("n")).drop("fixed"), "templates")
+    key = ["leaf", "t1", "t2"]
+    # copies of a text end here: from now on a text is its hash
+    held = store.keep(templates.groupBy("th", "at", *key).agg(F.first("total").alias("total"), F.first("n").alias("n")), "held")
+    common = store.keep(held.groupBy(*key).agg(F.countDistinct("th").alias("texts")).where(F.col("texts") >= min_groups), "common")
+    held = store.keep(held.join(common, key), "held-common")
+    # texts that are mostly such lines are copies: only the first holder of all its rarest lines counts
+    kin = held.groupBy("th").agg(F.max("total").alias("total"), F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set(F.struct("texts", *key))), 1, KIN).alias("kin"))
+    copies = store.keep(kin.where("2 * n > total").select("th", "kin"), "copies")
+    firsts = copies.select("th", F.size("kin").alias("n"), F.explode("kin").alias("k")).groupBy("k").agg(F.min(F.struct("th", "n")).alias("x")).select("x.*")
+    firsts = firsts.groupBy("th", "n").count().where("count = n")
+    others = store.keep(copies.join(firsts, "th", "left_anti").select("th"), "others")
+    recurring = held.join(others, "th", "left_anti").groupBy(*key).agg(F.countDistinct("th").alias("groups")).where(F.col("groups") >= min_groups)
+    return templates.join(store.keep(recurring.select(*key), "recurring"), key, "left_semi").select("id", "th", "at")
+
+
 def _leaf(line: Column, depth: int) -> Column:
     """The leaf that a line reaches, null without words."""
     words = F.filter(F.split(line, _GAP), lambda w: w != "")
@@ -80,12 +122,12 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.when(line.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(F.size(words), first))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None, **rules) -> DataFrame:
-    """``docs`` with recurring lines dropped from the text.
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None, find: Callable[..., DataFrame] = recurring_lines, **rules) -> DataFrame:
+    """``docs`` with recurring lines dropped from the text, those that ``find`` gives.
 
     ``counts`` names two more columns: lines before, and lines dropped.
     """
-    gone = recurring_lines(docs, id_col=id_col, text_col=text_col, **rules)
+    gone = find(docs, id_col=id_col, text_col=text_col, **rules)
     # one flag string a document: a mark at each dropped place
     spots = gone.groupBy(F.col("id").alias("sg_gone_id"), F.col("th").alias("sg_gone_th")).agg(F.array_sort(F.collect_list("at")).alias("sg_spots"))
     # the spots grow with the documents, so both sides shuffle, whatever the size of a sample

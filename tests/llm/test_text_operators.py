@@ -141,6 +141,31 @@ def test_line_templates(spark):
     assert line_templates.drop_recurring(empty(spark)).collect() == []
 
 
+def dropped(spark, docs, **rules):
+    """The lines that the pipeline's rule drops of each document."""
+    got = line_templates.drop_recurring(frame(spark, docs), find=line_templates.boilerplate_lines, **rules)
+    kept = {r["doc_id"]: r["text"].split("\n") for r in got.collect()}
+    return {i: [x for x in t.split("\n") if x not in kept[i]] for i, t in docs}
+
+
+def prose(*at):
+    """A line of its own for each place."""
+    return " ".join(hashlib.md5(f"{at} {i}".encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(6))
+
+
+def test_boilerplate_beside_copies_and_in_blocks(spark):
+    notice = ["This is the first line of a notice", "and this is its second line here", "which its third line brings to an end"]
+    head = ["A header that all of them share", "with one more line below it here"]
+    docs = [(i, "\n".join([*head, *(prose(i, k) for k in range(8)), *notice])) for i in range(30)]
+    # one document's many edited copies, which hold the notice too
+    for i in range(300):
+        body = [prose("copied", k) for k in range(10)]
+        body[i % 10] = prose("edit", i)
+        docs.append((1000 + i, "\n".join(body + notice)))
+    got = dropped(spark, docs, min_groups=10)
+    assert all(got[i] == (head + notice if i < 1000 else notice) for i in got)
+
+
 def test_decontamination(spark, docs):
     item = "The quick brown fox jumps over the lazy dog while seven wizards count their silver coins"
     edited = item.replace("quick", "quack").replace("seven", "sevn").upper()
