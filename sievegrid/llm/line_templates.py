@@ -15,6 +15,9 @@ operators that handle copies.
 template recurs if at least ``min_groups`` groups of near copies hold it.  A text counts as a
 group of its own unless lines that recur make up more than half of its words; such texts are
 near copies of others and count once for all that share one of their ``KIN`` rarest lines.
+Words are counted by distinct texts, so exact copies don't count; and besides its own
+template a line has that of its leaf's majority, whose constants are the words that more than
+half of the leaf's texts have: a field stays a field however often its common values come.
 Thus a large group of copies neither saves a notice nor makes one, and the lines in the midst
 of a notice are judged as its edges are.
 
@@ -91,28 +94,42 @@ def boilerplate_lines(docs: DataFrame, min_groups: int = MIN_GROUPS, min_constan
     leaves = store.keep(leaves.groupBy("leaf").agg(F.countDistinct("th").alias("leaf_texts")).where(F.col("leaf_texts") >= min_groups), "leaves")
     lines = arrays.select("id", "th", "total", F.posexplode("ls").alias("at", "line")).withColumn("leaf", _leaf(F.col("line"), depth))
     near = store.keep(lines.join(leaves, "leaf").dropDuplicates(["id", "th", "at"]), "leaf-lines")
-    words = near.select("id", "th", "at", "leaf", "total", F.posexplode(_words(F.col("line"))).alias("place", "word"))
-    constant = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n")).where(F.col("n") >= min_groups).select("leaf", "place", "word", F.lit(1).alias("fixed"))
-    marked = words.join(store.keep(constant, "constants"), ["leaf", "place", "word"], "left")
-    part = F.xxhash64("place", F.when(F.col("fixed").isNotNull(), F.col("word")).otherwise(F.lit(_FIELD)))
-    known = F.coalesce("fixed", F.lit(0)) * (F.col("word") != _FIELD).cast("int")
+    # a place's words by distinct texts: each text once, with its distinct lines; by hash, as distinct structs cost a square
+    spot = lambda leaf, place, word: F.xxhash64(leaf, place, word)
+    once = near.groupBy("th").agg(F.collect_set(F.struct("leaf", "line")).alias("xs"))
+    spots = F.array_distinct(F.flatten(F.transform("xs", lambda x: F.transform(_words(x["line"]), lambda w, i: spot(x["leaf"], i, w)))))
+    constant = once.select(F.explode(spots).alias("spot")).groupBy("spot").agg(F.count("*").alias("spot_texts")).where(2 * F.col("spot_texts") > min_groups)
+    words = near.select("id", "th", "at", "leaf", "leaf_texts", "total", F.posexplode(_words(F.col("line"))).alias("place", "word"))
+    marked = words.withColumn("spot", spot(F.col("leaf"), F.col("place"), F.col("word"))).join(store.keep(constant, "constants"), "spot", "left")
+    marked = marked.withColumn("fixed", (F.col("spot_texts") >= min_groups).cast("int")).withColumn("most", (2 * F.col("spot_texts") > F.col("leaf_texts")).cast("int"))
+    part = F.xxhash64("place", F.when(F.col("fixed") == 1, F.col("word")).otherwise(F.lit(_FIELD)))
+    plain = (F.col("word") != _FIELD).cast("int")
     templates = marked.groupBy("id", "th", "at", "leaf", "total").agg(
-        F.sum(part.cast("decimal(38,0)")).alias("t1"), F.bit_xor(F.xxhash64(part)).alias("t2"), F.sum(known).alias("fixed"), F.count("*").cast("int").alias("n")
+        F.sum(part.cast("decimal(38,0)")).alias("t1"),
+        F.bit_xor(F.xxhash64(part)).alias("t2"),
+        F.sum(F.coalesce("fixed", F.lit(0)) * plain).alias("fixed"),
+        F.sum(F.coalesce("most", F.lit(0)) * plain).alias("most"),
+        F.count("*").cast("int").alias("n"),
     )
-    templates = store.keep(templates.where(F.col("fixed") >= min_constant * F.col("n")).drop("fixed"), "templates")
+    # a line has its own template, and that of its leaf's majority if it agrees with it
+    own = F.when(F.col("fixed") >= min_constant * F.col("n"), F.struct("t1", "t2"))
+    shared = F.when(F.col("most") >= min_constant * F.col("n"), F.struct(F.lit(0).cast(templates.schema["t1"].dataType).alias("t1"), F.lit(0).cast("long").alias("t2")))
+    templates = templates.select("id", "th", "at", "leaf", "total", "n", F.explode(F.array_compact(F.array(own, shared))).alias("t"))
+    templates = store.keep(templates.select("id", "th", "at", "leaf", "total", "n", "t.*"), "templates")
     key = ["leaf", "t1", "t2"]
     # copies of a text end here: from now on a text is its hash
     held = store.keep(templates.groupBy("th", "at", *key).agg(F.first("total").alias("total"), F.first("n").alias("n")), "held")
     common = store.keep(held.groupBy(*key).agg(F.countDistinct("th").alias("texts")).where(F.col("texts") >= min_groups), "common")
     held = store.keep(held.join(common, key), "held-common")
     # texts that are mostly such lines are copies: only the first holder of all its rarest lines counts
-    kin = held.groupBy("th").agg(F.max("total").alias("total"), F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set(F.struct("texts", *key))), 1, KIN).alias("kin"))
+    spots = held.groupBy("th", "at").agg(F.max("total").alias("total"), F.max("n").alias("n"), F.min(F.struct("texts", *key)).alias("k"))
+    kin = spots.groupBy("th").agg(F.max("total").alias("total"), F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set("k")), 1, KIN).alias("kin"))
     copies = store.keep(kin.where("2 * n > total").select("th", "kin"), "copies")
     firsts = copies.select("th", F.size("kin").alias("n"), F.explode("kin").alias("k")).groupBy("k").agg(F.min(F.struct("th", "n")).alias("x")).select("x.*")
     firsts = firsts.groupBy("th", "n").count().where("count = n")
     others = store.keep(copies.join(firsts, "th", "left_anti").select("th"), "others")
     recurring = held.join(others, "th", "left_anti").groupBy(*key).agg(F.countDistinct("th").alias("groups")).where(F.col("groups") >= min_groups)
-    return templates.join(store.keep(recurring.select(*key), "recurring"), key, "left_semi").select("id", "th", "at")
+    return templates.join(store.keep(recurring.select(*key), "recurring"), key, "left_semi").select("id", "th", "at").distinct()
 
 
 def _leaf(line: Column, depth: int) -> Column:

@@ -166,6 +166,15 @@ def test_boilerplate_beside_copies_and_in_blocks(spark):
     assert all(got[i] == (head + notice if i < 1000 else notice) for i in got)
 
 
+def test_fields_at_every_size(spark):
+    first, last = ["Ada", "Bea", "Cid", "Dov", "Eli"], ["Fox", "Gray", "Hill", "Ives", "Jay", "Kerr", "Lane"]
+    line = lambda i: f"This article was first published by {first[i % 5]} {last[i % 7]}"
+    for size in (40, 150):  # each first name in 8 or 30 texts, each pair in 2 or 5
+        docs = [(i, f"{prose(i, 1)}\n{line(i)}\n{prose(i, 2)}") for i in range(size)]
+        got = dropped(spark, docs + [(1000 + i, docs[3][1]) for i in range(25)], min_groups=20)
+        assert all(got[i] == [line(3 if i >= 1000 else i)] for i in got)
+
+
 def test_decontamination(spark, docs):
     item = "The quick brown fox jumps over the lazy dog while seven wizards count their silver coins"
     edited = item.replace("quick", "quack").replace("seven", "sevn").upper()
