@@ -40,7 +40,7 @@ DEPTH = 3
 MIN_TEXTS = 20
 MIN_CONSTANT = 0.7
 MIN_SPREAD = 0.5
-MIN_GROUPS = 20
+MIN_GROUPS = 3
 KIN = 4
 _GAP = r"[\x20\x09-\x0D]+"
 _FIELD = "<*>"

@@ -175,6 +175,14 @@ def test_fields_at_every_size(spark):
         assert all(got[i] == [line(3 if i >= 1000 else i)] for i in got)
 
 
+def test_licence_lines_of_a_small_table(spark):
+    marks = ("Apache License", "MIT License", "GNU General", "All rights reserved", "CC BY-NC")
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = lambda docs: Counter(m for r in docs.collect() for m in marks if m in (r["text"] or ""))
+    assert set(held(rows)) == set(marks)
+    assert not held(line_templates.drop_recurring(rows, find=line_templates.boilerplate_lines))
+
+
 def test_decontamination(spark, docs):
     item = "The quick brown fox jumps over the lazy dog while seven wizards count their silver coins"
     edited = item.replace("quick", "quack").replace("seven", "sevn").upper()
