@@ -3,7 +3,8 @@
 Byte-pair merges never cross the boundaries that a tokenizer's own pattern sets, so a text
 can be cut at those boundaries that bytes alone prove, and pieces met before need no second
 encoding.  Ids equal those of one call over the whole text; rows where bytes alone can't
-prove the boundaries (Unicode white space) take that one call.
+prove the boundaries (Unicode white space) or that hold an added token's string take that
+one call.
 """
 
 from __future__ import annotations
@@ -43,20 +44,25 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker, so that its pieces outlive a task."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=True)
     return _encoders[path]
 
 
 class Encoder:
-    """``encode(data, offsets)`` gives the ids of every row and the row bounds among them."""
+    """``encode(data, offsets)`` gives the ids of every row and the row bounds among them.
 
-    def __init__(self, path: str):
+    With ``added``, strings of added tokens become those tokens, as in a plain call of the
+    library; without, they are ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not added
+        self.added = [x["content"].encode() for x in spec["added_tokens"]] if added else []
         self.keeps_space = spec["normalizer"] is None  # byte-level with spaces, else lower case without
         spec |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
         self.merges = Tokenizer.from_str(json.dumps(spec))
@@ -178,11 +184,21 @@ class Encoder:
         odd |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
         return np.unique(np.searchsorted(offsets, at[odd], "right") - 1)
 
+    def _added_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows with the string of an added token."""
+        buffer, at = data.tobytes(), []
+        for token in self.added:
+            i = buffer.find(token)
+            while i >= 0:
+                at.append(i)
+                i = buffer.find(token, i + 1)
+        return np.unique(np.searchsorted(offsets, np.array(at, np.int64), "right") - 1)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(rows + 1, np.int64)
-        raw, odd = data, self._odd_rows(data, offsets)
+        raw, odd = data, np.union1d(self._odd_rows(data, offsets), self._added_rows(data, offsets))
         if not self.keeps_space:
             data = K.LOWER[data]
         starts, ends = self._pieces(data, offsets)

@@ -248,6 +248,17 @@ def test_ids_equal_the_library(path, docs):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == want.tolist(), rows[i]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_equal_a_plain_call(spark, path):
+    from tokenizers import Tokenizer
+
+    texts = ["one two", "one <|endoftext|> two", "<|endoftext|>", "", "a<|startoftext|>b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> X", "ends in <|endof", "text|> begins", "É\u00a0<|endoftext|>"]
+    want = {i: [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    rows = tokens.token_rows(frame(spark, list(enumerate(texts))).coalesce(1), path).collect()
+    size = len(rows[0]["ids"]) // rows[0]["n_tokens"]
+    assert {r["doc_id"]: np.frombuffer(r["ids"], f"<u{size}").tolist() for r in rows} == want
+
+
 def test_packing(spark, docs, df):
     pieces = packing.pack(df, WORDS, window=256)
     got = sorted(pieces.collect(), key=lambda r: (r["sequence_id"], r["offset"]))
