@@ -36,3 +36,21 @@ def rows(frame):
 def test_equals_sql(spark, duck, name):
     got = rows(registry.queries()[name](spark, SF).toPandas())
     assert got == rows(duck.sql(registry.oracles()[name]).df())
+
+
+def test_all_events_reach_the_ordered_sink(spark, monkeypatch):
+    from sievegrid.plans import queries
+
+    real, seen = queries.streams.ordered_sink, []
+
+    def noting(write, *order):
+        def noted(batch, i):
+            seen.append([r["event_id"] for r in batch.collect()])
+            write(batch, i)
+
+        return real(noted, *order)
+
+    monkeypatch.setattr(queries.streams, "ordered_sink", noting)
+    registry.queries()["q42_stream_ordered"](spark, SF).collect()
+    events = [r["event_id"] for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    assert all(ids == sorted(ids) for ids in seen) and sorted(x for ids in seen for x in ids) == sorted(events)
