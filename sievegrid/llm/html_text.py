@@ -41,6 +41,7 @@ _HINTS = re.compile(
     r"share|sharing|social|related|recommend\w*|teasers?|widget\w*|pagination|pager|search|skip-?link|toolbar|disclaimer|copyright|paywall)(?:$|[\s_-])"
 )
 _DIGITS = re.compile(r"\d+")
+ARTICLE_BLOCK = 80  # characters from which a block outside a container is text of the article
 
 
 class _Node:
@@ -202,15 +203,31 @@ def _within(node: _Node, path: str) -> bool:
     return False
 
 
+def _articles(found: list[tuple[_Node, str]], path: str) -> int:
+    """How many article blocks lie under ``path``."""
+    return sum(len(x) >= ARTICLE_BLOCK and node.good > 0 and _within(node, path) for node, x in found)
+
+
+def _whole(found: list[tuple[_Node, str]], node: _Node) -> _Node:
+    """The least element around ``node`` that holds all article blocks; an article or main element is whole."""
+    if node.tag not in ("article", "main"):
+        for holder, text in found:
+            while len(text) >= ARTICLE_BLOCK and holder.good > 0 and not _within(holder, node.path):
+                node = node.parent
+    return node
+
+
 def main_text(page: str, path: str | None) -> str:
-    """The text under ``path``, or under the page's own best container where ``path`` has too little."""
+    """The text under ``path``, or under the page's own container where ``path`` has too little or is a part of it."""
     found = blocks(page)
     own = best_container(found)
     if own is None:
         return "\n\n".join(x for _, x in found)
+    own = _whole(found, own)
     if path != own.path:
         held = sum(len(x) for node, x in found if path and _within(node, path))
-        if not path or 2 * held < own.good:
+        part = path and (not own.path or path.startswith(own.path + ">")) and _articles(found, path) < _articles(found, own.path)
+        if not path or part or 2 * held < own.good:
             path = own.path
     return "\n\n".join(x for node, x in found if _within(node, path))
 

@@ -37,6 +37,17 @@ def test_main_text(html, text):
     assert html_text.main_text(html or "", None) == text
 
 
+def test_article_beside_the_hosts_path():
+    half = lambda name: f"<p>{name} {'has words of the article in it. ' * 8}</p>"
+    split = f"<body><div class='wrap'><div class='post'>{half('First')}</div><div class='more'>{half('Second')}</div></div><div class='box'><p>tail</p></div></body>"
+    for path in ("body>div.wrap>div.post", None):
+        got = html_text.main_text(split, path)
+        assert "First" in got and "Second" in got and "tail" not in got
+    # three quarters in one element: the rest is not lost either
+    most = f"<body><div class='wrap'><div class='post'>{half('First') * 3}</div><div class='more'>{half('Second')}</div></div></body>"
+    assert all("Second" in html_text.main_text(most, p) for p in ("body>div.wrap>div.post", None))
+
+
 def test_host_votes(spark):
     body = "<div class='c{n}'><p>" + "words in the body of it. " * 12 + "</p></div>"
     rows = [(i, f"http://a.example/{i}", "<body>" + body.format(n=i) + "<div class='box'><p>tail</p></div></body>") for i in range(6)]
