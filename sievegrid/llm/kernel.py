@@ -1,13 +1,14 @@
 """Vectorised words and hashes over the byte buffers of Arrow string columns.
 
 A word is ``[^\\x20\\x09-\\x0D]+``.  Everything works on UTF-8 bytes: the separators are
-ASCII, so no character is ever cut.  Word hashes are polynomials over random byte values,
-modulo 2**64, finished by an avalanche step; equal words have equal hashes in every
-process, because all constants derive from one fixed seed.
+ASCII, so no character is ever cut.  Hashes of 64 bits are chains of avalanche steps over
+whole machine words and the same in every process; callers for whom a chance collision would
+change a result compare more (see ``grams``, which gives independent keys by ``seed``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +21,10 @@ SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_SEED = np.random.Generator(np.random.PCG64(20240817))
-_VALUE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 _GRAM = 0xD6E8FEB86659FD93
-BLOCK = 1 << 17
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 512
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,32 +57,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(BLOCK + 4096, 1 << int(n).bit_length())
-    if size not in _tables:
-        _tables.clear()
-        up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INVERSE, U64)
-        up[0] = down[0] = 1
-        _tables[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _tables[size]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one little-endian number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash for each span ``data[start:end]``; spans ascend and don't overlap."""
-    out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-        part = data[base : ends[to - 1]]
-        up, down = _powers(len(part) + 1)
-        total = np.empty(len(part) + 1, U64)
-        total[0] = 0
-        np.cumsum(_VALUE[part] * up[: len(part)], out=total[1:])
-        a, b = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (total[b] - total[a]) * down[a]
-        at = to
-    return mix(out)
+    """A hash for each span ``data[start:end]``, seeded with its length.
+
+    Eight bytes a step, each step a one-to-one avalanche of the state, so spans of one length
+    that differ in one step can't meet again but by chance; spans over ``LONG`` bytes take
+    BLAKE2b, as a chain of so many steps would be slow for a few of them.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(_GRAM) + U64(_BASE))
+    words, todo, at = eights(data), np.flatnonzero(size <= LONG), 0
+    while len(todo):
+        left = size[todo] - at
+        chunk = words[starts[todo] + at] & _LOW_BYTES[np.minimum(left, 8)]
+        state = out[todo] ^ chunk
+        state *= U64(_BASE)
+        out[todo] = mix(state)
+        at += 8
+        todo = todo[left > 8]
+    raw = None
+    for i in np.flatnonzero(size > LONG).tolist():
+        raw = memoryview(np.ascontiguousarray(data)) if raw is None else raw
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,11 +113,12 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hash_spans(data, starts, ends), starts, ends, rows
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
+def grams(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """A hash for each run of ``n`` neighbours; runs may cross rows, ``inside`` tells which don't."""
     m = max(0, len(words) - n + 1)
-    out = np.zeros(m, U64)
+    out = np.full(m, n + (seed << 32), U64)
     for k in range(n):
+        out ^= out >> U64(29)
         out *= U64(_GRAM)
         out += words[k : k + m]
     return mix(out)
@@ -138,5 +141,7 @@ def binaries(arrays: list[np.ndarray]) -> pa.Array:
 def split_binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary column whose row i holds the bytes of ``flat[bounds[i]:bounds[i + 1]]``."""
     flat = np.ascontiguousarray(flat)
-    off = (np.asarray(bounds, np.int64) * flat.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(flat)])
+    off = np.asarray(bounds, np.int64) * flat.dtype.itemsize
+    if len(off) and off[-1] >= 1 << 31:
+        raise OverflowError(f"{off[-1]} bytes in one Arrow column; binary columns hold 2 GB")
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(flat)])

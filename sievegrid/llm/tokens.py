@@ -27,6 +27,7 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _APOSTROPHE = 39
 _SLOTS = 1 << 22
+_LONG_BYTES = 1 << 24
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
 
@@ -71,27 +72,32 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.entry = np.zeros(_SLOTS, K.U64), np.zeros(_SLOTS, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.held = 0
+        self.first, self.second, self.size = (np.zeros(_SLOTS, t) for t in ("<u8", "<u8", np.uint8))
+        self.entry = np.zeros(_SLOTS, np.int32)
         self.at, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool, self.n, self.used = np.zeros(1 << 18, self.dtype), 0, 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, -1 if there is none."""
+    def _same(self, slot: np.ndarray, piece: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        return (self.size[slot] == piece[2]) & (self.first[slot] == piece[0]) & (self.second[slot] == piece[1])
+
+    def _find(self, h: np.ndarray, pieces: tuple[np.ndarray, ...]) -> np.ndarray:
+        """The entry of each piece, -1 if there is none; ``h`` says where to look, the bytes decide."""
         slot = (h >> K.U64(42)).astype(np.int64)
-        key = self.keys[slot]
-        out = np.where(key == h, self.entry[slot], -1)
-        left = np.flatnonzero((key != h) & (key != 0))
+        same = self._same(slot, pieces)
+        out = np.where(same, self.entry[slot], -1)
+        left = np.flatnonzero(~same & (self.size[slot] != 0))
         while len(left):
             slot[left] = (slot[left] + 1) & (_SLOTS - 1)
-            key = self.keys[slot[left]]
-            hit = key == h[left]
+            hit = self._same(slot[left], tuple(x[left] for x in pieces))
             out[left[hit]] = self.entry[slot[left[hit]]]
-            left = left[~hit & (key != 0)]
+            left = left[~hit & (self.size[slot[left]] != 0)]
         return out
 
-    def _add(self, h: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
-        """Distinct new hashes, their ids and how many each has."""
-        n, m = self.n, len(h)
+    def _store(self, flat: np.ndarray, count: np.ndarray) -> int:
+        """Keep the ids of new pieces; returns the first one's entry."""
+        n, m = self.n, len(count)
         while n + m > len(self.at):
             self.at, self.count = np.concatenate([self.at, self.at]), np.concatenate([self.count, self.count])
         while self.used + len(flat) > len(self.pool):
@@ -99,16 +105,61 @@ class Encoder:
         self.pool[self.used : self.used + len(flat)] = flat
         self.at[n : n + m], self.count[n : n + m] = self.used + np.cumsum(count) - count, count
         self.used, self.n = self.used + len(flat), n + m
-        slot, left = (h >> K.U64(42)).astype(np.int64), np.arange(m)
+        return n
+
+    def _enter(self, h: np.ndarray, pieces: tuple[np.ndarray, ...], entries: np.ndarray) -> None:
+        """Distinct new short pieces go to the table."""
+        slot, left = (h >> K.U64(42)).astype(np.int64), np.arange(len(h))
         while len(left):
-            free = self.keys[slot[left]] == 0
-            take = left[free]
+            take = left[self.size[slot[left]] == 0]
             _, first = np.unique(slot[take], return_index=True)
             take = take[first]
-            self.keys[slot[take]], self.entry[slot[take]] = h[take], n + take
-            left = left[self.keys[slot[left]] != h[left]]
+            at = slot[take]
+            self.first[at], self.second[at], self.size[at], self.entry[at] = pieces[0][take], pieces[1][take], pieces[2][take], entries[take]
+            placed = np.zeros(len(h), bool)
+            placed[take] = True
+            left = left[~placed[left]]
             slot[left] = (slot[left] + 1) & (_SLOTS - 1)
 
+    def _entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of every piece; new ones are encoded and kept.
+
+        Pieces of up to 16 bytes are compared as two numbers and a size, longer ones as bytes.
+        """
+        size = ends - starts
+        short, out = np.flatnonzero(size <= 16), np.full(len(size), -1, np.int32)
+        words = K.eights(data)
+        a = words[starts[short]] & K._LOW_BYTES[np.minimum(size[short], 8)]
+        b = np.where(size[short] > 8, words[np.minimum(starts[short] + 8, len(data))], K.U64(0)) & K._LOW_BYTES[np.clip(size[short] - 8, 0, 8)]
+        pieces = a, b, size[short].astype(np.uint8)
+        h = K.mix(a * K.U64(K._BASE) ^ K.mix(b + pieces[2]))
+        out[short] = self._find(h, pieces)
+        buffer = data.tobytes() if len(short) < len(size) or (out[short] < 0).any() else b""
+        rest: dict[bytes, int] = {}
+        far = [(i, buffer[starts[i] : ends[i]]) for i in np.flatnonzero(size > 16).tolist()]
+        for _, x in far:
+            if x not in self.long and x not in rest:
+                rest[x] = len(rest)
+        miss = np.flatnonzero(out[short] < 0)
+        if len(miss) or rest:
+            order = miss[np.lexsort([x[miss] for x in pieces])]
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in pieces])
+            new = order[new]
+            if self.n and (self.n + len(new) + len(rest) > _SLOTS * 6 // 10 or self.held + sum(map(len, rest)) > _LONG_BYTES):
+                self._clear()
+                return self._entries(data, starts, ends)
+            at = short[new]
+            texts = [buffer[i:j].decode() for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)] + [x.decode() for x in rest]
+            base = self._store(*self._encode_pieces(texts))
+            self._enter(h[new], tuple(x[new] for x in pieces), base + np.arange(len(new), dtype=np.int32))
+            self.long |= {x: base + len(new) + i for x, i in rest.items()}
+            self.held += sum(map(len, rest))
+            out[short[miss]] = self._find(h[miss], tuple(x[miss] for x in pieces))
+        for i, x in far:
+            out[i] = self.long[x]
+        return out
+
     def _plain(self, piece: str) -> bool:
         """Letters only or punctuation only, perhaps after one space: one piece of the tokenizer's own."""
         body = piece[1:] if len(piece) > 1 and piece[0] == " " else piece
@@ -205,23 +256,14 @@ class Encoder:
         if len(odd):
             skip = np.isin(np.searchsorted(offsets, starts, "right") - 1, odd)
             starts, ends = starts[~skip], ends[~skip]
-        h = K.hash_spans(data, starts, ends)
-        h |= K.U64(1)
-        entry = self._find(h)
-        if len(miss := np.flatnonzero(entry < 0)):
-            new, first = np.unique(h[miss], return_index=True)
-            if self.n + len(new) > _SLOTS * 6 // 10:
-                self._clear()
-                miss = np.arange(len(h))
-                new, first = np.unique(h, return_index=True)
-            at = miss[first]
-            buffer, a, b = data.tobytes(), starts[at], ends[at]
-            pieces = [buffer[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            self._add(new, *self._encode_pieces(pieces))
-            entry[miss] = self._find(h[miss])
-        count, at = self.count[entry].astype(np.int64), self.at[entry]
-        before = np.concatenate([[0], np.cumsum(count)])
-        ids = self.pool[np.repeat(at - before[:-1], count) + np.arange(before[-1])]
+        flat, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for k in range(0, len(starts), _SLOTS // 4):  # never more new pieces than the table holds
+            entry = self._entries(data, starts[k : k + _SLOTS // 4], ends[k : k + _SLOTS // 4])
+            count, at = self.count[entry].astype(np.int64), self.at[entry]
+            before = np.cumsum(count) - count
+            flat.append(self.pool[np.repeat(at - before, count) + np.arange(int(count.sum()))])
+            counts.append(count)
+        ids, before = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         bounds = before[np.searchsorted(starts, offsets)]
         if len(odd):
             buffer = raw.tobytes()

@@ -39,12 +39,35 @@ def test_words_and_hashes():
 
 
 def test_long_words_cross_hash_blocks():
-    word = "x" * (kernel.BLOCK * 2 + 5)
+    word = "x" * (kernel.LONG * 600 + 5)
     data, offsets = kernel.text_bytes(pa.array([f"{word} y {word}"]))
     h, *_ = kernel.hash_words(data, offsets)
     assert h[0] == h[2] != h[1]
 
 
+def complements(n):
+    """A Thue-Morse word and its complement: they meet under every polynomial hash modulo 2**64."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 2048])
+def test_no_structured_collisions(spark, n):
+    a, b = complements(n)
+    data, offsets = kernel.text_bytes(pa.array([a, b, a]))
+    h, *_ = kernel.hash_words(data, offsets)
+    assert h[0] == h[2] != h[1]
+    encoder = tokens.Encoder(BYTES)
+    ids, bounds = encoder.encode(data, offsets)
+    for i, x in enumerate(library_ids(BYTES, [(0, a), (1, b), (2, a)])):
+        assert [*ids[bounds[i] : bounds[i + 1]].tolist(), 2] == x.tolist()
+    rest = " ".join(f"w{i}" for i in range(12))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame(spark, [(1, f"{a} w0 w1 w2 w3"), (2, f"{b} w0 w1 w2 w3")])).collect()}
+    assert got == {1: 1, 2: 2}
+    assert {r["n_removed"] for r in substrings.remove_repeats(frame(spark, [(1, f"{a} {rest}"), (2, f"{b} {rest}")])).collect()} == {0}
+    assert {r["n_dup_lines"] for r in repetition.rules(frame(spark, [(1, f"{a}\n{b}")])).collect()} == {0}
+
+
 def shingles(text):
     w = (text or "").encode().translate(LOW).split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
