@@ -3,7 +3,8 @@
 Links stay in DataFrames; each round is written to the shared folder.  ``a`` > ``b`` in every
 stored link.  The large star sends a node's larger neighbours to its least one, the small
 star its smaller ones; both keep the components, and the rounds grow with the logarithm of
-the longest path.
+the longest path.  A hub's links are combined before the minimum shuffles, and the join's
+skewed side can be split.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange, store
+from . import store
 
 
 def _sum(links: DataFrame) -> tuple:
@@ -23,7 +24,6 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.select("a", F.col("b").alias("v"))
     if large:
         both = both.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("v")))
-    both = both.repartition(exchange.partitions(links.sparkSession), "a")  # serves the minimum and the join
     least = both.groupBy("a").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "a"))
     side = both.where("v > a") if large else both
     # a node's own link to its least neighbour stays

@@ -1,9 +1,9 @@
-"""Packed exchange of (64-bit key, document id) entries.
+"""Packed exchange of entries that are keyed by 64-bit hashes.
 
 Entries travel as binary arrays, one row for each task, batch and bucket of keys, which costs
-a fraction of a row for each entry.  Every map task first combines its own entries, so a key
-that a third of all documents hold sends one entry a task.  Receivers take one bucket at a
-time.
+a fraction of a row for each entry.  A bucket's entries are together in one task at the
+receiving end, one bucket at a time; ``BUCKETS_A_PARTITION`` keeps a bucket a small part of
+what a task reads.
 """
 
 from __future__ import annotations
@@ -17,138 +17,86 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import kernel as K
 
-SCHEMA = "kind int, bucket int, keys binary, docs binary"
-_NAMES = ["kind", "bucket", "keys", "docs"]
-BUCKETS_A_PARTITION = 1
+BUCKETS_A_PARTITION = 4
 ENTRY, FOUND = 0, 1
-HELD = 1 << 22
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _small(docs: np.ndarray) -> np.ndarray:
-    """Ids in four bytes where they fit, behind a marker; half the bytes to shuffle."""
-    if len(docs) and 0 <= docs.min() and docs.max() < 1 << 32:
-        return docs.astype("<u4")
-    return docs.astype("<i8")
+def buckets(spark: SparkSession) -> int:
+    return partitions(spark) * BUCKETS_A_PARTITION
 
 
-def _ids(raw: memoryview, entries: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if len(raw) == 4 * entries else "<i8").astype(np.int64)
+def schema(columns: int) -> str:
+    return "kind int, bucket int, n int, " + ", ".join(f"c{i} binary" for i in range(columns))
 
 
-def pack(kind: int, by: np.ndarray, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of ``SCHEMA`` with the entries of each bucket of ``by`` (keys or ids, as unsigned)."""
-    bucket = ((K.mix(by.copy()) >> K.U64(33)) % K.U64(buckets)).astype(np.int64)
+def narrow(ids: np.ndarray) -> np.ndarray:
+    """Ids in four bytes where they fit."""
+    if len(ids) and 0 <= ids.min() and ids.max() < 1 << 32:
+        return ids.astype("<u4")
+    return ids.astype("<i8")
+
+
+def pack(by: np.ndarray, columns: list[np.ndarray], n_buckets: int, kind: int = ENTRY, width: int = 0) -> pa.RecordBatch:
+    """A row for each bucket of ``by`` (unsigned keys) with its entries of every column.
+
+    ``width`` columns in all, those that aren't given are null.
+    """
+    bucket = ((K.mix(by.copy()) >> K.U64(33)) % K.U64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    some, first = np.unique(bucket, return_index=True)
+    some, first = np.unique(bucket[order], return_index=True)
     bounds = np.append(first, len(bucket))
-    columns = [pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), K.split_binary(keys[order], bounds), K.split_binary(_small(docs[order]), bounds)]
-    return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+    arrays = [pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array(np.diff(bounds).astype(np.int32))]
+    arrays += [K.split_binary(c[order], bounds) for c in columns]
+    arrays += [pa.nulls(len(some), pa.binary())] * (width - len(columns))
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "bucket", "n", *(f"c{i}" for i in range(len(arrays) - 3))])
+
+
+def parsed(raw: pa.Buffer, n: int, kind: str) -> np.ndarray:
+    if kind == "id":
+        return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<i8").astype(np.int64)
+    return np.frombuffer(raw, kind).reshape((n, -1) if len(raw) > n * np.dtype(kind).itemsize else n)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The entries of one bucket after another; rows come sorted by kind and bucket.
+def by_bucket(batches: Iterator[pa.RecordBatch], kinds: list[str], passed: list[pa.RecordBatch] | None = None) -> Iterator[list[np.ndarray]]:
+    """The entries of one bucket after another; ``kinds`` names each column's numbers.
 
     Rows of kind ``FOUND`` go to ``passed`` instead, if it is given.
     """
-    at, keys, docs = None, [], []
+    at, held = None, []
     for batch in batches:
         if passed is not None:
             found = pc.equal(batch.column(0), FOUND)
             passed.append(batch.filter(found))
             batch = batch.filter(pc.invert(found))
-        for bucket, k, d in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if bucket != at and keys:
-                yield np.concatenate(keys), np.concatenate(docs)
-                keys, docs = [], []
+        for i, (bucket, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if bucket != at and held:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
             at = bucket
-            keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-            docs.append(_ids(d.as_buffer(), len(keys[-1])))
-    if keys:
-        yield np.concatenate(keys), np.concatenate(docs)
-
-
-def sorted_groups(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct entries ordered by key and id, and where each key's begin (one more at the end)."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    if len(keys):
-        new = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))
-        keys, docs = keys[new], docs[new]
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    else:
-        starts = np.zeros(0, np.int64)
-    return keys, docs, np.append(starts, len(keys))
+            # a copy, so that an entry doesn't keep its whole batch
+            held.append([parsed(batch.column(3 + c)[i].as_buffer(), n, kind).copy() for c, kind in enumerate(kinds)])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def received(df: DataFrame) -> DataFrame:
-    """Rows dealt by bucket, sorted by kind and bucket."""
+    """Rows dealt by bucket and sorted by kind and bucket."""
     return df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("kind", "bucket")
 
 
-def find_shared(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], later_only: bool) -> DataFrame:
-    """For every document the keys that other documents hold too: (doc_id, keys binary).
+def passing(rows: DataFrame, kinds: list[str], width: int, settle: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What ``settle`` makes of each bucket's entries, and the rows found before, which came along."""
 
-    ``keys_of`` yields (keys, ids) of a batch.  With ``later_only`` only keys that a document
-    with a smaller id holds.  Documents without such keys have no row.
-    """
-    buckets = partitions(rows.sparkSession) * BUCKETS_A_PARTITION
-
-    def settle(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Which entries are found already among these."""
-        size = np.diff(starts)
-        found = np.repeat(size > 1, size)
-        if later_only:
-            found[starts[:-1]] = False
-        return found
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, docs in keys_of(batch):
-                keys, docs, starts = sorted_groups(keys, docs)
-                if not len(keys):
-                    continue
-                found = settle(keys, docs, starts)
-                first = starts[:-1]
-                yield pack(ENTRY, keys[first], keys[first], docs[first], buckets)
-                if not later_only:  # another batch must learn that this key is shared here
-                    second = first[np.diff(starts) > 1] + 1
-                    if len(second):
-                        yield pack(ENTRY, keys[second], keys[second], docs[second], buckets)
-                if found.any():
-                    yield pack(FOUND, docs[found].view(np.uint64), keys[found], docs[found], buckets)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[pa.RecordBatch] = []
-        held, n = [], 0
-        for keys, docs in by_bucket(batches, passed):
-            keys, docs, starts = sorted_groups(keys, docs)
-            found = settle(keys, docs, starts)
-            held.append((keys[found], docs[found]))
-            n += len(held[-1][0])
+        for columns in by_bucket(batches, kinds, passed):
+            yield from settle(columns)
             yield from passed
             passed.clear()
-            if n >= HELD:  # few large rows, not one for each pair of buckets
-                yield from resend(held)
-                held, n = [], 0
-        yield from resend(held)
         yield from passed
 
-    def resend(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if held:
-            keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(keys):
-                yield pack(FOUND, docs.view(np.uint64), keys, docs, buckets)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, docs in by_bucket(batches):
-            docs, keys, starts = sorted_groups(docs, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(docs[starts[:-1]]), K.split_binary(keys, starts)], names=["doc_id", "keys"])
-
-    # what the tasks found themselves takes the first exchange along, so nothing is computed twice
-    found = received(rows.mapInArrow(send, SCHEMA)).mapInArrow(compare, SCHEMA)
-    return received(found).mapInArrow(gather, "doc_id long, keys binary")
+    return received(rows).mapInArrow(run, schema(width))

@@ -1,32 +1,33 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-Distance is d = 1 - J; documents link where d <= r (r = 0.2).  d is a metric, so for any
-pivot p a linked pair has |d(x, p) - d(y, p)| <= r.
-
-Regions.  Unrelated texts share no shingle and so lie at distance 1 from every document;
-pivots that are documents cannot tell them apart.  The first level's pivots are therefore
-single shingles, rarest first: the sets that hold a shingle form its region, a document's
-home is the region of its rarest shingle, and its boundary window is every region in which a
-set within r of it can be at home, by size alone the first n - ceil(0.8 n) + 1 shingles in
-that order.  Two linked sets then meet in at least one region.  (The empty set is one more
-pivot: sizes of linked sets differ by a factor of at most 0.8.)
-
-Recursion.  In each region one document is the pivot.  Those within r of it are linked to
-it, and so are all in one component at once.  Regions whose members are all in one component
-are finished.  In the others the next level takes ``GROWTH`` times as many pivots; a pivot meets
-only members of other components, in the window |d(x, p) - d(y, p)| <= r of the region's
-first pivot and of fitting size.  Levels go on until every member was a pivot or shares a
-component, so the join is exact and never lists the pairs within a group of copies.
-
-Before sets are compared, profiles are: the counts of a set's shingles in 256 parts of the
-hash range, a projection under which no distance grows.  Distances come from whole shingle sets (64-bit hashes of the shingles).  Equal sets are
-linked by digest before that.  The order "rarest first" uses counts of all documents'
-shingles in a table of 2**24 slots, a fixed size at any input.
+Distance is d = 1 - J; documents link where d <= r (r = 0.2).  d is a metric.
+
+Pivots.  Unrelated texts lie at distance 1 from each other, so pivots drawn at random would
+leave every document in everybody's window.  Instead documents choose pivots among those they
+can be near to: of all documents that hold a shingle among their first n - ceil(0.8 n) + 1 in
+the order "rarest first", the most central one (with the fewest shingles of its own) is the
+pivot that the others have in common.  Two linked sets share such a shingle, so they have a
+pivot in common, and a document's pivots are few: its region and those it borders on.
+
+Regions.  Every pivot is a Voronoi region with the documents that chose it.  Inside, members'
+exact distances to pivots decide: those within r of a pivot are in its component at once;
+others get pivots of their own, homes with the nearest one, and triangle-inequality windows
+that replicate boundary documents, and these regions join recursively (``regions``).  Pairs
+within a component are never listed, and no cap is set.
+
+Large regions.  A region of more than ``CHUNK`` sets is dealt out in chunks that all know the
+pivot.  Each chunk is resolved by itself; documents still apart from the pivot are then a
+query set that meets the other chunks in blocks.
+
+Equal sets are one set for the join, found by digest.  "Rarest first" uses counts of all
+documents' shingles in a table of 2**24 slots, a fixed size at any input; each task sends an
+unbiased sample of its counts (a slot counted c times goes with probability c / 8, as 8, or
+as c from 8 on).  The order decides the work only; any order gives the same links.
 
 Null and empty texts have no shingles and are linked with nothing; fewer than n words make
 one shingle of all.  Rows with a null id keep a null component and link with nothing; rows
-that share an id are one document for the links.  Empty tables give empty results; texts of
-any length are whole; other columns are never read.
+that share an id are one document, linked by any of their texts.  Empty tables give empty
+results; texts of any length are whole; other columns are never read.
 """
 
 from __future__ import annotations
@@ -36,18 +37,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components, exchange, store
 from . import kernel as K
+from .regions import Region
 
 WORDS = 5
 PERCENT = 80
 SLOT_BITS = 24
+CHUNK = 2048
+CHUNK_BYTES = 1 << 24
+BROADCAST_IDS = 1 << 20
 _SLICES = 64
-GROWTH = 8
-PROFILE = 256
+_SAMPLE = 8
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,31 +88,35 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield low, high, *shingle_sets(data[off[0] : off[-1]], off - off[0])
 
 
-def _profiles(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each row's shingles counted by ``PROFILE`` parts of the hash range, 255 and more as 255."""
-    part = (keys & K.U64(PROFILE - 1)).astype(np.int64)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    counts = np.bincount(row * PROFILE + part, minlength=(len(bounds) - 1) * PROFILE)
-    return np.minimum(counts, 255).astype(np.uint8)
+def _sampled(counts: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and counts to send: small counts as ``_SAMPLE`` with a probability that keeps the mean."""
+    slots = np.flatnonzero(counts)
+    c = counts[slots]
+    draw = K.mix(slots.astype(np.uint64) + (K.U64(part + 1) << K.U64(32))) % K.U64(_SAMPLE)
+    sent = (c >= _SAMPLE) | (draw < c)
+    return slots[sent].astype("<u4"), np.clip(c[sent], _SAMPLE, 65535).astype("<u2")
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, profile) for each row; and each task's shingle counts in slices."""
-    slots, width = 1 << SLOT_BITS, (1 << SLOT_BITS) // _SLICES
-    names = ["doc_id", "n", "digest", "profile", "slice", "counts"]
+    """(doc_id, n, digest) for each row; and each task's sampled shingle counts in slices."""
+    names = ["doc_id", "n", "digest", "slice", "slots", "counts"]
+    shift = SLOT_BITS - (_SLICES - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(slots, np.uint32)
+        from pyspark import TaskContext
+
+        seen = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             for low, high, keys, bounds in _blocks(batch):
                 np.add.at(seen, (keys >> K.U64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
                 m = high - low
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, m), pa.array(np.diff(bounds)), pa.array(_digests(keys, bounds), pa.binary()), K.split_binary(_profiles(keys, bounds), np.arange(m + 1) * PROFILE), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        if seen.any():
-            seen = np.minimum(seen, 255).astype(np.uint8)  # a byte a slot and task; the tasks' sums go on
-            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(np.arange(_SLICES, dtype=np.int32)), K.split_binary(seen, np.arange(_SLICES + 1) * width)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, m), pa.array(np.diff(bounds)), pa.array(_digests(keys, bounds), pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
+        slots, counts = _sampled(seen, TaskContext.get().partitionId())
+        if len(slots):
+            bounds = np.searchsorted(slots, np.arange(_SLICES + 1, dtype=np.int64) << shift)
+            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.array(np.arange(_SLICES, dtype=np.int32)), K.split_binary(slots, bounds), K.split_binary(counts, bounds)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, profile binary, slice int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, slice int, slots binary, counts binary")
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -118,15 +126,15 @@ def _levels(survey: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, slots, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 if i not in total:
                     total[i] = np.zeros(width, np.int64)
-                total[i] += np.frombuffer(raw.as_buffer(), np.uint8)
+                total[i][np.frombuffer(slots.as_buffer(), "<u4").astype(np.int64) - i * width] += np.frombuffer(counts.as_buffer(), "<u2")
         for i, x in total.items():
             level = np.floor(8 * np.log2(x + 1.0)).clip(0, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
-    rows = survey.where("slice is not null").select("slice", "counts").repartition(exchange.partitions(survey.sparkSession), "slice").mapInArrow(add, "slice int, levels binary")
+    rows = survey.where("slice is not null").select("slice", "slots", "counts").repartition(exchange.partitions(survey.sparkSession), "slice").mapInArrow(add, "slice int, levels binary")
     out = np.zeros(_SLICES * width, np.uint8)
     for r in rows.collect():  # 16 MB, whatever the input
         out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
@@ -138,23 +146,20 @@ def _overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
-def _priority(docs: np.ndarray) -> np.ndarray:
-    return K.mix(docs.astype(np.uint64) + K.U64(0x51ED270B))
-
-
-def _regions(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """(region, docs binary): the distinct member lists of at least two."""
-    buckets = exchange.partitions(docs.sparkSession) * exchange.BUCKETS_A_PARTITION
+def chosen_pivots(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, pivot): each document with the pivots it shares a rare shingle with."""
+    n_buckets = exchange.buckets(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(levels)  # 16 MB at any input
 
-    def rarest(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of each row's first shingles in the order "rarest first", and their number."""
-        level = table.value[(keys >> K.U64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
-        rank = (level << K.U64(56)) | (keys >> K.U64(8))
+    def rarest(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of each row's first shingles in the order "rarest first", their number, and the share of frequent ones."""
+        level = table.value[(keys >> K.U64(64 - SLOT_BITS)).astype(np.int64)]
         size = np.diff(bounds)
         take = np.where(size > 0, size - _overlap(size, percent) + 1, 0)
-        places = [a + np.argpartition(rank[a : a + n], p - 1)[:p] for a, n, p in zip(bounds[:-1].tolist(), size.tolist(), take.tolist(), strict=True) if n]
-        return np.concatenate([*places, np.zeros(0, np.int64)]), take
+        # keys ascend within a row, so a stable sort by level settles all ties by key
+        places = [a + np.argsort(level[a : a + n], kind="stable")[:p] for a, n, p in zip(bounds[:-1].tolist(), size.tolist(), take.tolist(), strict=True) if n]
+        own = np.bincount(np.repeat(np.arange(len(size)), size), level == 0, len(size))
+        return np.concatenate([*places, np.zeros(0, np.int64)]), take, (65535 * own / np.maximum(size, 1)).astype("<u2")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,167 +170,134 @@ def _regions(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
                 names += digests
                 for i, digest in zip(ids[low:high].tolist(), digests, strict=True):
                     met[digest] = min(met.get(digest, i), i)
-                places, take = rarest(keys, bounds)
-                found.append((keys[places], np.repeat(np.arange(low, high), take)))
+                places, take, own = rarest(keys, bounds)
+                found.append((keys[places], np.repeat(np.arange(low, high), take), np.repeat(own, take)))
             stands = np.zeros(len(ids), bool)
             for r, (i, digest) in enumerate(zip(ids.tolist(), names, strict=True)):
                 if met[digest] == i:
                     stands[r], met[digest] = True, None
-            keys, row = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keys, row, own = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u2"))
             keep = stands[row]
             if keep.any():
-                yield exchange.pack(exchange.ENTRY, keys[keep], keys[keep], ids[row[keep]], buckets)
+                yield exchange.pack(keys[keep], [keys[keep], exchange.narrow(ids[row[keep]]), own[keep]], n_buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, docs in exchange.by_bucket(batches):
-            keys, docs, starts = exchange.sorted_groups(keys, docs)
-            size = np.diff(starts)
-            many = np.flatnonzero(size > 1)
-            if not len(many):
-                continue
-            sign = np.add.reduceat(_priority(docs), starts[:-1])[many] ^ K.mix(size[many].astype(np.uint64))
-            sign, first = np.unique(sign, return_index=True)
-            chosen = many[first]
-            group = np.repeat(np.arange(len(chosen)), size[chosen])
-            member = docs[np.repeat(starts[:-1][chosen] - (np.cumsum(size[chosen]) - size[chosen]), size[chosen]) + np.arange(len(group))]
-            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), K.split_binary(member, np.append(0, np.cumsum(size[chosen])))], names=["region", "docs"])
-
-    sent = docs.where("doc_id is not null").mapInArrow(send, exchange.SCHEMA)
-    return exchange.received(sent).mapInArrow(meet, "region long, docs binary").groupBy("region").agg(F.any_value("docs").alias("docs"))
-
-
-def _members(regions: DataFrame) -> DataFrame:
-    """(region, doc_id, place, first): one row a member; ``first`` is the region's first pivot.
-
-    Members of most regions come first: a text whose copies differ in a few words each has
-    no rare shingles of its own, and all its copies are nearer to it than to each other.
-    """
+        for keys, docs, own in exchange.by_bucket(batches, ["<u8", "id", "<u2"]):
+            order = np.lexsort((docs, K.mix(docs.astype(np.uint64)), own, keys))
+            keys, docs = keys[order], docs[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            pivot = np.repeat(docs[starts], np.diff(np.append(starts, len(keys))))
+            pairs = np.stack([docs, pivot], 1)[docs != pivot]
+            if len(pairs):
+                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+                pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_id", "pivot"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            size = np.array([len(x) for x in lists], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate(lists))], names=["region", "doc_id"])
+    sent = docs.where("doc_id is not null").mapInArrow(send, exchange.schema(3))
+    return exchange.received(sent).mapInArrow(meet, "doc_id long, pivot long").distinct()
 
-    rows = store.keep(regions.mapInArrow(run, "region long, doc_id long"), "members")
-    shared = rows.groupBy("doc_id").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("region").orderBy(F.desc("shared"), F.xxhash64("doc_id"), "doc_id")
-    placed = rows.join(shared, "doc_id").withColumns({"place": F.row_number().over(order) - 1, "first": F.first("doc_id").over(order)})
-    return placed.select("region", "doc_id", "place", "first")
 
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, s): the shingle sets of the documents that ``ids`` names."""
 
-def _near_by_profile(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """(a, b, low, possible): a lower bound of each pair's distance, and whether it allows a link.
-
-    Counts of parts are a projection: the sum of the smaller counts bounds the intersection,
-    so the distance between profiles never exceeds that between sets.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE) for i in (2, 3))
-            both, n = np.minimum(x, y), batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            most = both.sum(1, dtype=np.int64)
-            possible = (100 * most >= percent * (n - most)) | (both == 255).any(1)
-            low = np.where((both == 255).any(1), 0.0, 1 - most / np.maximum(n - most, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array(possible)], names=["a", "b", "low", "possible"])
+            for low, high, keys, bounds in _blocks(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), K.split_binary(keys, bounds)], names=["doc_id", "s"])
 
-    x = profiles.select(F.col("doc_id").alias("a"), F.col("profile").alias("x"), F.col("n").alias("n_x"))
-    y = profiles.select(F.col("doc_id").alias("b"), F.col("profile").alias("y"), F.col("n").alias("n_y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(run, "a long, b long, low double, possible boolean")
+    few = ids.count() <= BROADCAST_IDS  # eight bytes each: a bound of 8 MB; beyond it both sides shuffle
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").where(F.octet_length("s") > 0)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, d, linked) of each pair (a, b), from whole sets; ``b`` is the pivot."""
+def _joined(units: DataFrame, percent: int) -> DataFrame:
+    """(a, b, region): links within each unit, and with a null ``b`` the documents apart from the pivot.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, keys, bounds in _blocks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), K.split_binary(keys, bounds)], names=["doc_id", "s"])
+    ``units`` has (region, unit, doc_id, s, role): the pivot has role 0, members 1, and if there are
+    queries (2) only they are compared, with the members.
+    """
+    schema, names = "a long, b long, region long", ["a", "b", "region"]
+
+    def one(region: int, ids: np.ndarray, role: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        # equal rows (a repeated document) are one
+        work = Region(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), ids, percent)
+        rows, queries = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
+        if len(queries):
+            work.against(queries, rows)
+            apart = []
+        else:
+            first = int(np.argmin(role))
+            work.resolve(rows, first)
+            root = work.links.roots(np.arange(len(ids)))
+            apart = np.unique(ids[root != root[first]]).tolist()
+        a, b = ([int(ids[r[k]]) for r in work.links.found] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a + apart, pa.int64()), pa.array(b + [None] * len(apart), pa.int64()), pa.array([region] * (len(a) + len(apart)), pa.int64())], names=names)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
-            d, linked, last, y = [], [], None, None
-            for b, s, t in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                x = np.frombuffer(s.as_buffer(), np.uint64)
-                if b != last:
-                    y, last = np.frombuffer(t.as_buffer(), np.uint64), b
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                union = len(x) + len(y) - common
-                d.append(1 - common / union)
-                linked.append(100 * common >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", "d", "linked"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").dropDuplicates(["doc_id"])
-    needed = store.keep(needed, "sets", "none")
-    x, y = needed.select(F.col("doc_id").alias("a"), "s"), needed.select(F.col("doc_id").alias("b"), F.col("s").alias("t"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "s", "t").mapInArrow(compare, "a long, b long, d double, linked boolean")
-
-
-def _merge(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` (doc_id, n, component) after more links between documents."""
-    left = links.join(nodes.select(F.col("doc_id").alias("a"), F.col("component").alias("x")), "a").select("b", "x")
-    both = left.join(nodes.select(F.col("doc_id").alias("b"), F.col("component").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    moved = components.components(both).withColumnRenamed("component", "moved")
-    return nodes.join(moved, F.col("component") == F.col("node"), "left").select("doc_id", "n", F.coalesce("moved", "component").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for region, unit, doc, role, s in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if (region, unit) != at and held:
+                    yield one(at[0], np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held])
+                    held = []
+                at = region, unit
+                # a copy, so that a row doesn't keep its whole batch
+                held.append((doc, role, np.frombuffer(s.as_buffer(), np.uint64).copy()))
+        if held:
+            yield one(at[0], np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held])
+
+    parts = exchange.partitions(units.sparkSession)
+    return units.select("region", "unit", "doc_id", "role", "s").repartition(parts, "region", "unit").sortWithinPartitions("region", "unit", "role", "doc_id").mapInArrow(run, schema)
+
+
+def _links(docs: DataFrame, pivots: DataFrame, facts: DataFrame, percent: int, chunk: int, chunk_bytes: int) -> DataFrame:
+    """(a, b) links that make up the components of all documents with pivots."""
+    members = store.keep(pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot").distinct()), "members")
+    ids = members.select("doc_id").distinct()
+    sets = _sets_of(docs, ids)
+    sizes = facts.groupBy("doc_id").agg(F.max("n").alias("n"))
+    totals = members.join(sizes, "doc_id").groupBy("pivot").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("m") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
+    large = store.keep(totals.select("pivot", chunks.alias("k")).where("k > 1"), "large-regions")
+    dealt = members.join(large, "pivot", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    # the pivot goes to every chunk of its region
+    units = dealt.select(F.col("pivot").alias("region"), "doc_id", (F.col("doc_id") != F.col("pivot")).cast("int").alias("role"), F.explode(F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(own)).alias("unit"))
+    first = store.keep(_joined(units.join(sets, "doc_id"), percent), "links")
+    found = first.where("b is not null").select("a", "b")
+    if large.isEmpty():
+        return found
+    # documents apart from the pivot of a large region meet the region's other chunks, in blocks
+    apart = first.where("b is null").select("region", F.col("a").alias("doc_id")).distinct().join(large.withColumnRenamed("pivot", "region"), "region")
+    blocks = store.keep(apart.groupBy("region", "k").agg(F.ceil(F.count("*") / chunk).cast("int").alias("q")), "blocks")
+    unit = lambda c, q: (c * F.col("q") + q).cast("int")
+    asked = apart.join(blocks, ["region", "k"]).select("region", "doc_id", F.lit(2).alias("role"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda c: c != F.pmod(F.xxhash64("doc_id"), F.col("k"))), lambda c: unit(c, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("q"))))).alias("unit"))
+    there = members.select(F.col("pivot").alias("region"), "doc_id").where("doc_id != region").join(blocks, "region")
+    there = there.select("region", "doc_id", F.lit(1).alias("role"), F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda q: unit(F.pmod(F.xxhash64("doc_id"), F.col("k")), q))).alias("unit"))
+    second = _joined(asked.unionByName(there).join(sets, "doc_id"), percent)
+    return found.unionByName(second.where("b is not null").select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for every row of ``docs``."""
-    parts = exchange.partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = store.keep(_survey(rows), "survey")
     facts = survey.where("slice is null").select("doc_id", "n", "digest")
     known = facts.where("n > 0 and doc_id is not null")
-    # equal sets: one link from each to the least of them
-    least = known.groupBy("digest").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("m")).where("b < m")
-    copies = store.keep(known.join(least, "digest").where("doc_id != b").select(F.col("doc_id").alias("a"), "b"), "copies")
-    # where the comparison starts: equal sets are in one component already
-    stars = copies.groupBy("a").agg(F.min("b").alias("component"))
-    members = store.keep(_members(_regions(rows, _levels(survey), percent)), "placed")
-    profiles = survey.where("n > 0 and doc_id is not null").select("doc_id", "n", "profile").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    profiles = store.keep(profiles.dropDuplicates(["doc_id"]), "profiles", "none")
-    nodes = profiles.select("doc_id", "n").join(stars.withColumnRenamed("a", "doc_id"), "doc_id", "left")
-    nodes = store.keep(nodes.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "nodes")
-    low, high, tested = 0, 1, None
-    apart = 1 - percent / 100 + 1e-9
-    while True:
-        # regions with members of one component only are finished, and those with all pairs done
-        named = members.join(nodes, "doc_id").repartition(parts, "region")
-        sums = named.groupBy("region").agg(F.min("component").alias("c"), F.max("component").alias("e"), F.count("*").alias("size"))
-        live = named.join(sums.where((F.col("c") != F.col("e")) & (F.col("size") > low + 1)).select("region"), "region", "left_semi")
-        # bounds of the distance to the region's first pivot, where they are known
-        if tested is None:
-            live = live.withColumns({"near": F.lit(0.0), "far": F.lit(1.0)})
-        else:
-            bounds = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("first"), "near", "far")
-            known_d = live.join(bounds, ["doc_id", "first"], "left")
-            live = known_d.withColumns({"near": F.coalesce("near", F.lit(0.0)), "far": F.when(F.col("doc_id") == F.col("first"), 0.0).otherwise(F.coalesce("far", F.lit(1.0)))})
-        members = store.keep(live.select("region", "doc_id", "place", "first", "n", "component", "near", "far"), "live")
-        if members.isEmpty():
-            break
-        dealt = members.repartition(parts, "region")
-        x = dealt.where(F.col("place") > low)
-        p = dealt.where((F.col("place") >= low) & (F.col("place") < high)).select("region", *(F.col(c).alias(f"p_{c}") for c in ("doc_id", "place", "component", "n", "near", "far")))
-        window = (F.col("near") - F.col("p_far") <= apart) & (F.col("p_near") - F.col("far") <= apart)
-        fits = (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")) & (F.col("place") > F.col("p_place")) & (F.col("component") != F.col("p_component"))
-        # places follow one order in all regions, so a pair never comes the other way round
-        pairs = x.join(p, "region").where(fits & window).select(F.col("doc_id").alias("a"), F.col("p_doc_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store.keep(_near_by_profile(pairs, profiles, percent), "pairs")
-        if not pairs.isEmpty():
-            found = store.keep(_verify(rows, pairs.where("possible").select("a", "b"), percent), "tested")
-            far_off = pairs.where("not possible").select("a", "b", F.col("low").alias("near"), F.lit(1.0).alias("far"))
-            both = found.select("a", "b", F.col("d").alias("near"), F.col("d").alias("far")).unionByName(far_off)
-            tested = both if tested is None else tested.unionByName(both)
-            nodes = store.keep(_merge(nodes, found.where("linked").select("a", "b")), "nodes")
-        members = members.select("region", "doc_id", "place", "first")
-        low, high = high, high * GROWTH
-    # the least id names a component: copies hang on their least one, that on its component
-    links = nodes.where("doc_id != component").select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(copies)
-    labels = components.components(links).withColumnRenamed("node", "doc_id")
-    return facts.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # of equal sets the one with the least id stands for all
+    least = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    named = known.join(least, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    # a row a document: its representative, and the further ones of an id with several texts
+    reps = store.keep(named.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.array_sort(F.collect_set("rep")).alias("all")).where("rep != doc_id or size(all) > 1"), "representatives")
+    chosen = chosen_pivots(rows, _levels(survey), percent)
+    stands = lambda c: reps.select(F.col("doc_id").alias(c), F.col("all").alias(f"{c}_all"))
+    moved = chosen.join(stands("doc_id"), "doc_id", "left").join(stands("pivot"), "pivot", "left")
+    moved = moved.select(F.explode(F.coalesce("doc_id_all", F.array("doc_id"))).alias("doc_id"), F.coalesce("pivot_all", F.array("pivot")).alias("p")).select("doc_id", F.explode("p").alias("pivot"))
+    pivots = store.keep(moved.where("doc_id != pivot").distinct(), "pivots")
+    links = _links(rows, pivots, known, percent, chunk, chunk_bytes)
+    same = reps.where("size(all) > 1").select(F.explode("all").alias("a"), F.col("rep").alias("b")).where("a != b")
+    labels = store.keep(components.components(links.unionByName(same)), "labels")
+    # copies hang on their representative, that on its component
+    copies = reps.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    copied = reps.select(F.col("doc_id").alias("node"))
+    named = labels.join(copied, "node", "left_anti").select(F.col("node").alias("doc_id"), "component").unionByName(copies)
+    return facts.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

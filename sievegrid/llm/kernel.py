@@ -141,7 +141,7 @@ def binaries(arrays: list[np.ndarray]) -> pa.Array:
 def split_binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary column whose row i holds the bytes of ``flat[bounds[i]:bounds[i + 1]]``."""
     flat = np.ascontiguousarray(flat)
-    off = np.asarray(bounds, np.int64) * flat.dtype.itemsize
+    off = np.asarray(bounds, np.int64) * (flat.dtype.itemsize * (flat.shape[1] if flat.ndim > 1 else 1))
     if len(off) and off[-1] >= 1 << 31:
         raise OverflowError(f"{off[-1]} bytes in one Arrow column; binary columns hold 2 GB")
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(flat)])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import components, decontaminate, jaccard, kernel, line_templates, packing, quality, rans, repetition, substrings, tokens
+from sievegrid.llm import components, decontaminate, jaccard, kernel, line_templates, packing, quality, rans, regions, repetition, substrings, tokens
 
 from .fixtures import LOW, corpus, empty, frame, words
 
@@ -116,33 +116,114 @@ def test_jaccard_levels_without_a_common_pivot(spark):
     assert got == brute_components(docs)
 
 
+def random_cluster(r, n, members, edits):
+    base = [f"b{i}" for i in range(n)]
+    out = []
+    for _ in range(members):
+        w = list(base)
+        for _ in range(r.randrange(edits)):
+            w[r.randrange(n)] = f"e{r.randrange(60)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_region_recursion():
+    """Pivots, windows and blocks find the components of all pairs, in regions of any spread."""
+    r = np.random.default_rng(5)
+    for edits in (3, 9, 20):
+        for leaf in (4, 64):
+            sets = [np.unique(np.concatenate([np.setdiff1d(np.arange(100), r.integers(0, 100, r.integers(edits))), 100 + r.integers(0, 400, r.integers(edits))])).astype(np.uint64) for _ in range(150)]
+            ids = np.arange(150)
+            ids[7] = 3  # one document, two texts
+            old, regions.LEAF = regions.LEAF, leaf
+            try:
+                work = regions.Region(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), ids, 80)
+                work.resolve(np.arange(150), 0)
+            finally:
+                regions.LEAF = old
+            parent = {i: i for i in range(150)} | {7: 3}
+            for a in range(150):
+                for b in range(a):
+                    common = len(np.intersect1d(sets[a], sets[b]))
+                    if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                        x, y = find(parent, a), find(parent, b)
+                        parent[max(x, y)] = min(x, y)
+            root = work.links.roots(np.arange(150))
+            want = [find(parent, i) for i in range(150)]
+            assert len(set(zip(root.tolist(), want))) == len(set(root.tolist())) == len(set(want))
+
+
+def test_large_regions_in_chunks(spark):
+    """Regions dealt out in chunks, of few rows or of few bytes, lose no link."""
+    import random
+
+    r = random.Random(9)
+    docs = list(enumerate(random_cluster(r, 60, 90, 3) + random_cluster(r, 60, 60, 7)))
+    want = brute_components(docs)
+    assert 1 < len(set(want.values())) < 150
+    for limits in ({"chunk": 20}, {"chunk_bytes": 9000}):
+        got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(frame(spark, docs), **limits).collect()}
+        assert got == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {0: 0} | {100: 90, 95: 90, 90: 90} or got == {i: 0 for i in range(1, 41)} | {100: 90, 95: 90}
 
 
-def test_substrings(spark, docs, df):
+def repeated_words(docs, length=13):
+    """For each (id, text), which of its words lie in a window that a smaller id holds too."""
     first = {}
     for i, t in docs:
         w = words(t)
         if i is not None:
-            for k in range(len(w) - 12):
-                first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), i), i)
+            for k in range(len(w) - length + 1):
+                first[tuple(w[k : k + length])] = min(first.get(tuple(w[k : k + length]), i), i)
+
+    def gone(i, t):
+        w, out = words(t), set()
+        for k in range(len(w) - length + 1):
+            if i is not None and first[tuple(w[k : k + length])] < i:
+                out |= set(range(k, k + length))
+        return w, out
+
+    return gone
+
+
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_substrings(spark, docs, df, hot):
+    """Also with every frequent anchor lengthened, and for an id that has two texts."""
+    gone, base = repeated_words(docs), docs
+    if hot == 2:
+        base = docs + [(0, docs[3][1]), (1000, "a text of its own " * 9)]
+        df, gone = frame(spark, base).repartition(5), repeated_words(base)
 
     def removed(i, t):
-        w, gone = words(t), set()
-        for k in range(len(w) - 12):
-            if i is not None and first[tuple(w[k : k + 13])] < i:
-                gone |= set(range(k, k + 13))
-        return len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()
-
-    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(df).collect())
-    assert got == Counter((i, *removed(i, t)) for i, t in docs)
+        w, out = gone(i, t)
+        return len(w), len(out), b" ".join(x for k, x in enumerate(w) if k not in out).decode()
+
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.remove_repeats(df, hot=hot).collect())
+    assert got == Counter((i, *removed(i, t)) for i, t in base)
     assert sum(r[2] > 0 for r in got) > 10
     assert substrings.remove_repeats(empty(spark)).collect() == []
 
 
+def test_repeats_are_maximal(spark, docs, df):
+    """The runs of words, none of which could start earlier or end later."""
+    gone, want = repeated_words(docs), Counter()
+    for i, t in docs:
+        w, out = gone(i, t)
+        for k in sorted(out):
+            if k - 1 not in out:
+                end = k
+                while end in out:
+                    end += 1
+                want[(i, k, end - k)] += 1
+    got = Counter(tuple(r) for r in substrings.repeats(df).collect())
+    assert got == want and max(n for _, _, n in got) > 13
+
+
 def test_line_templates(spark):
     own = lambda i: " ".join(f"{x}{chr(97 + i % 26)}{chr(97 + i // 26)}" for x in ("q", "w", "e", "r"))
     docs = [(i, f"opening {own(i)}\nLicensed by Firm{'ABC'[i % 3]} under the terms of version {i}\nbody {own(i + 40)}") for i in range(30)]
