@@ -42,6 +42,7 @@ MIN_CONSTANT = 0.7
 MIN_SPREAD = 0.5
 MIN_GROUPS = 3
 KIN = 4
+BROADCAST_KEYS = 1 << 20  # rows of three numbers at most: 24 MB
 _GAP = r"[\x20\x09-\x0D]+"
 _FIELD = "<*>"
 
@@ -53,9 +54,30 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, th, ls, total): the lines and the number of words of every (id, text)."""
+    """(id, th, ls, total): the lines and the number of words of every (id, text), each pair once."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    return rows.select("id", F.xxhash64("t").alias("th"), F.split("t", "\n").alias("ls"), F.size(F.filter(F.split("t", _GAP), lambda w: w != "")).alias("total"))
+    lines = rows.select("id", F.xxhash64("t").alias("th"), F.split("t", "\n").alias("ls"), F.size(F.filter(F.split("t", _GAP), lambda w: w != "")).alias("total"))
+    # only rows that repeat both are shuffled to be told apart
+    again = store.keep(lines.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select("id", "th"), "repeated-rows")
+    if again.isEmpty():
+        return lines
+    return lines.join(again, ["id", "th"], "left_anti").unionByName(lines.join(again, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]))
+
+
+def _with(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join with a stored table of keys, broadcast if it has few rows."""
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, on, how)
+
+
+def _spot(leaf: Column, place: Column, word: Column) -> Column:
+    return F.xxhash64(leaf, place, word)
+
+
+def _key(token: Column, place: Column) -> list[Column]:
+    """Two sums over a line's tokens that name its template, the same in any order."""
+    part = F.xxhash64(place, token)
+    return [F.bit_xor(part).alias("t1"), F.bit_xor(F.xxhash64(part, F.lit(1))).alias("t2")]
 
 
 def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_constant: float = MIN_CONSTANT, min_spread: float = MIN_SPREAD, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,27 +86,28 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, min_constant: f
     # narrow first: leaves by hash, and the hashes of the neighbours
     leaf = F.transform("ls", lambda x: _leaf(x, depth))
     leaves = arrays.select(F.explode(leaf).alias("leaf")).where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts)
-    # kept as a table, so that its size decides between a broadcast and a shuffle
     leaves = store.keep(leaves.select("leaf"), "leaves")
     around = F.transform("ls", lambda x, i: F.struct(i.alias("at"), x.alias("line"), F.xxhash64(F.get("ls", i - 1)).alias("before"), F.xxhash64(F.get("ls", i + 1)).alias("after")))
     lines = arrays.select("id", "th", F.explode(around).alias("x")).select("id", "th", "x.*").withColumn("leaf", _leaf(F.col("line"), depth))
-    near = store.keep(lines.join(leaves, "leaf", "left_semi").dropDuplicates(["id", "th", "at"]), "leaf-lines")
-    words = near.select("id", "th", "at", "leaf", "before", "after", F.posexplode(_words(F.col("line"))).alias("place", "word"))
+    near = store.keep(_with(lines, leaves, ["leaf"], "left_semi"), "leaf-lines")
+    words = near.select("id", "th", "at", "leaf", "before", "after", F.posexplode(_words(F.col("line"))).alias("place", "word")).withColumn("spot", _spot(F.col("leaf"), F.col("place"), F.col("word")))
     # frequent words of a place are constant
-    constant = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("leaf", "place", "word", F.lit(1).alias("fixed"))
-    marked = words.join(store.keep(constant, "constants"), ["leaf", "place", "word"], "left")
-    part = F.xxhash64("place", F.when(F.col("fixed").isNotNull(), F.col("word")).otherwise(F.lit(_FIELD)))
+    constant = store.keep(words.groupBy("spot").agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select("spot", F.lit(1).alias("fixed")), "constants")
+    # a line's words stay together where the constants are broadcast, so they are one row before they shuffle
+    marked = _with(words, constant, ["spot"], "left")
     known = F.coalesce("fixed", F.lit(0)) * (F.col("word") != _FIELD).cast("int")
-    # a sum of hashes is the same in any order; two of them make a long key
-    templates = marked.groupBy("id", "th", "at", "leaf", "before", "after").agg(
-        F.sum(part.cast("decimal(38,0)")).alias("t1"), F.bit_xor(F.xxhash64(part)).alias("t2"), F.sum(known).alias("fixed"), F.count("*").alias("n")
-    )
+    token = F.when(F.col("fixed").isNotNull(), F.col("word")).otherwise(F.lit(_FIELD))
+    templates = marked.groupBy("id", "th", "at", "leaf", "before", "after").agg(*_key(token, F.col("place")), F.sum(known).cast("int").alias("fixed"), F.count("*").cast("int").alias("n"))
     templates = store.keep(templates.where(F.col("fixed") >= min_constant * F.col("n")).drop("fixed", "n"), "templates")
+    store.drop(near, constant)
     key = ["leaf", "t1", "t2"]
-    texts = F.countDistinct("th")
-    recurring = templates.groupBy(*key).agg(texts.alias("texts"), F.countDistinct("before").alias("b"), F.countDistinct("after").alias("a"))
-    recurring = recurring.where((F.col("texts") >= min_texts) & (F.greatest("a", "b") >= min_spread * F.col("texts")))
-    return templates.join(store.keep(recurring.select(*key), "recurring"), key, "left_semi").select("id", "th", "at")
+    # few templates have as many lines as it takes texts; only theirs are told apart
+    often = store.keep(templates.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= min_texts).select(*key), "frequent")
+    held = _with(templates, often, key, "left_semi")
+    distinct = lambda c, name: held.select(*key, c).distinct().groupBy(*key).agg(F.count(c).alias(name))
+    recurring = distinct("th", "texts").where(F.col("texts") >= min_texts).join(distinct("before", "b"), key).join(distinct("after", "a"), key)
+    recurring = store.keep(recurring.where(F.greatest("a", "b") >= min_spread * F.col("texts")).select(*key), "recurring")
+    return _with(templates, recurring, key, "left_semi").select("id", "th", "at")
 
 
 def boilerplate_lines(docs: DataFrame, min_groups: int = MIN_GROUPS, min_constant: float = MIN_CONSTANT, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,34 +116,34 @@ def boilerplate_lines(docs: DataFrame, min_groups: int = MIN_GROUPS, min_constan
     leaves = arrays.select("th", F.explode(F.array_distinct(F.transform("ls", lambda x: _leaf(x, depth)))).alias("leaf")).where("leaf is not null")
     leaves = store.keep(leaves.groupBy("leaf").agg(F.countDistinct("th").alias("leaf_texts")).where(F.col("leaf_texts") >= min_groups), "leaves")
     lines = arrays.select("id", "th", "total", F.posexplode("ls").alias("at", "line")).withColumn("leaf", _leaf(F.col("line"), depth))
-    near = store.keep(lines.join(leaves, "leaf").dropDuplicates(["id", "th", "at"]), "leaf-lines")
-    # a place's words by distinct texts: each text once, with its distinct lines; by hash, as distinct structs cost a square
-    spot = lambda leaf, place, word: F.xxhash64(leaf, place, word)
-    once = near.groupBy("th").agg(F.collect_set(F.struct("leaf", "line")).alias("xs"))
-    spots = F.array_distinct(F.flatten(F.transform("xs", lambda x: F.transform(_words(x["line"]), lambda w, i: spot(x["leaf"], i, w)))))
-    constant = once.select(F.explode(spots).alias("spot")).groupBy("spot").agg(F.count("*").alias("spot_texts")).where(2 * F.col("spot_texts") > min_groups)
-    words = near.select("id", "th", "at", "leaf", "leaf_texts", "total", F.posexplode(_words(F.col("line"))).alias("place", "word"))
-    marked = words.withColumn("spot", spot(F.col("leaf"), F.col("place"), F.col("word"))).join(store.keep(constant, "constants"), "spot", "left")
+    near = store.keep(_with(lines, leaves, ["leaf"], "inner"), "leaf-lines")
+    words = near.select("id", "th", "at", "leaf", "leaf_texts", "total", F.posexplode(_words(F.col("line"))).alias("place", "word")).withColumn("spot", _spot(F.col("leaf"), F.col("place"), F.col("word")))
+    # a place's words by distinct texts: each text once, however many copies and lines have it
+    constant = words.select("th", "spot").distinct().groupBy("spot").agg(F.count("*").alias("spot_texts")).where(2 * F.col("spot_texts") > min_groups)
+    constant = store.keep(constant, "constants")
+    marked = _with(words, constant, ["spot"], "left")
     marked = marked.withColumn("fixed", (F.col("spot_texts") >= min_groups).cast("int")).withColumn("most", (2 * F.col("spot_texts") > F.col("leaf_texts")).cast("int"))
-    part = F.xxhash64("place", F.when(F.col("fixed") == 1, F.col("word")).otherwise(F.lit(_FIELD)))
+    token = F.when(F.col("fixed") == 1, F.col("word")).otherwise(F.lit(_FIELD))
     plain = (F.col("word") != _FIELD).cast("int")
     templates = marked.groupBy("id", "th", "at", "leaf", "total").agg(
-        F.sum(part.cast("decimal(38,0)")).alias("t1"),
-        F.bit_xor(F.xxhash64(part)).alias("t2"),
-        F.sum(F.coalesce("fixed", F.lit(0)) * plain).alias("fixed"),
-        F.sum(F.coalesce("most", F.lit(0)) * plain).alias("most"),
+        *_key(token, F.col("place")),
+        F.sum(F.coalesce("fixed", F.lit(0)) * plain).cast("int").alias("fixed"),
+        F.sum(F.coalesce("most", F.lit(0)) * plain).cast("int").alias("most"),
         F.count("*").cast("int").alias("n"),
     )
     # a line has its own template, and that of its leaf's majority if it agrees with it
     own = F.when(F.col("fixed") >= min_constant * F.col("n"), F.struct("t1", "t2"))
-    shared = F.when(F.col("most") >= min_constant * F.col("n"), F.struct(F.lit(0).cast(templates.schema["t1"].dataType).alias("t1"), F.lit(0).cast("long").alias("t2")))
+    shared = F.when(F.col("most") >= min_constant * F.col("n"), F.struct(F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2")))
     templates = templates.select("id", "th", "at", "leaf", "total", "n", F.explode(F.array_compact(F.array(own, shared))).alias("t"))
     templates = store.keep(templates.select("id", "th", "at", "leaf", "total", "n", "t.*"), "templates")
+    store.drop(near, constant)
     key = ["leaf", "t1", "t2"]
+    # few templates have as many lines as it takes texts; only theirs go on
+    often = store.keep(templates.groupBy(*key).agg(F.count("*").alias("lines")).where(F.col("lines") >= min_groups).select(*key), "frequent")
     # copies of a text end here: from now on a text is its hash
-    held = store.keep(templates.groupBy("th", "at", *key).agg(F.first("total").alias("total"), F.first("n").alias("n")), "held")
-    common = store.keep(held.groupBy(*key).agg(F.countDistinct("th").alias("texts")).where(F.col("texts") >= min_groups), "common")
-    held = store.keep(held.join(common, key), "held-common")
+    held = store.keep(_with(templates, often, key, "left_semi").groupBy("th", "at", *key).agg(F.first("total").alias("total"), F.first("n").alias("n")), "held")
+    common = store.keep(held.select("th", *key).distinct().groupBy(*key).agg(F.count("*").alias("texts")).where(F.col("texts") >= min_groups), "common")
+    held = store.keep(_with(held, common, key, "inner"), "held-common")
     # texts that are mostly such lines are copies: only the first holder of all its rarest lines counts
     spots = held.groupBy("th", "at").agg(F.max("total").alias("total"), F.max("n").alias("n"), F.min(F.struct("texts", *key)).alias("k"))
     kin = spots.groupBy("th").agg(F.max("total").alias("total"), F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_set("k")), 1, KIN).alias("kin"))
@@ -128,8 +151,10 @@ def boilerplate_lines(docs: DataFrame, min_groups: int = MIN_GROUPS, min_constan
     firsts = copies.select("th", F.size("kin").alias("n"), F.explode("kin").alias("k")).groupBy("k").agg(F.min(F.struct("th", "n")).alias("x")).select("x.*")
     firsts = firsts.groupBy("th", "n").count().where("count = n")
     others = store.keep(copies.join(firsts, "th", "left_anti").select("th"), "others")
-    recurring = held.join(others, "th", "left_anti").groupBy(*key).agg(F.countDistinct("th").alias("groups")).where(F.col("groups") >= min_groups)
-    return templates.join(store.keep(recurring.select(*key), "recurring"), key, "left_semi").select("id", "th", "at").distinct()
+    recurring = held.join(others, "th", "left_anti").select("th", *key).distinct().groupBy(*key).agg(F.count("*").alias("groups")).where(F.col("groups") >= min_groups)
+    recurring = store.keep(recurring.select(*key), "recurring")
+    store.drop(held, copies, others)
+    return _with(templates, recurring, key, "left_semi").select("id", "th", "at").distinct()
 
 
 def _leaf(line: Column, depth: int) -> Column:

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none (tests)."""
+    """The cluster's shared folder; one of our own only in local mode, where all is one machine."""
     root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {_CONF} to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="sievegrid-")
@@ -36,4 +43,41 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    for made in _open:
+        made.append(path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``keep`` wrote; only once all that is made of them has been written too."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            _remove(df.sparkSession, path)
+
+
+class Scratch:
+    """The tables that a step of a job leaves behind, removed when the next step begins.
+
+    For steps that each read only what the one before has written in full.
+    """
+
+    def __init__(self) -> None:
+        self.left: list[str] = []
+
+    @contextlib.contextmanager
+    def step(self, spark: SparkSession) -> Iterator[None]:
+        for path in self.left:
+            _remove(spark, path)
+        self.left = []
+        _open.append(self.left)
+        try:
+            yield
+        finally:
+            _open.remove(self.left)
