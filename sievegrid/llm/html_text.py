@@ -1,21 +1,28 @@
 """Main text of web pages by consensus paths of their hosts.
 
 First pass: every page scores its containers (text outside boilerplate and links) and votes
-for the generalised tag-class path of the best; votes are summed by (host, path), partly in
-each task, so a host with a third of all pages is no burden.  Second pass: each page is read
-again and its text taken from the host's winning path, or from its own best container where
-that path holds less than half of what the page has.
+for the generalised tag-class path of the best; it also names the parts of that container
+whose class only resembles boilerplate ("related-work").  Votes are summed by (host, path),
+partly in each task, so a host with a third of all pages is no burden.  Second pass: each
+page is read again and its text taken from the host's winning path, or from its own best
+container where that path holds less than half of what the page has or leaves article blocks
+out.  Inside the container go: elements that are never text of an article (menus, forms,
+asides, scripts), those whose class or id consists of boilerplate words only
+("comment-list"), and those parts that a consensus of the host's pages (half of them, three
+at least) have in the same place.  Everything else stays, MathML, fallbacks of objects and
+noscript included.
 
 Null and empty html give an empty text, as do pages of boilerplate only; a null url counts
 as a host of its own; equal votes are settled by text length, then by path; repeated rows
 are extracted each; an empty table gives an empty result; texts are never cut; other columns
-are never read.
+are never read.  Work grows with the length of a page, however deep it nests.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,209 +34,253 @@ from . import store
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math object".split())
+_RAW = frozenset("script style template textarea title xmp iframe noembed noframes svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_DROP = frozenset("nav footer aside form button select fieldset dialog menu head".split())
+_BLOCK = frozenset(
+    "address article aside base blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "legend li link main menu meta nav noscript object ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
+_DROP = frozenset("nav footer aside form button select fieldset dialog menu head datalist".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSERS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _CLOSERS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSERS.items()}
+_P = frozenset(("p",)), frozenset(("td", "th", "li", "div", "article", "section", "body"))
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-_HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|promoted|sidebar\w*|side-?bar|nav|navbar|navigation|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|"
-    r"comments?|commentlist|disqus\w*|respond|replies|reply|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommend\w*|teasers?|widget\w*|pagination|pager|search|skip-?link|toolbar|disclaimer|copyright|paywall)(?:$|[\s_-])"
+_HINTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsors sponsored promo promos promoted promotion sidebar sidebars nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs footer foot header masthead topbar comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices notification notifications alert alerts "
+    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendation recommendations teaser teasers widget widgets pagination pager search skip skiplink "
+    "toolbar disclaimer copyright paywall".split()
 )
+# words that with a hint still name the hint's own kind of box
+_SHAPES = frozenset("# area bar block blocks body bottom box button buttons card cards column container content count feed form frame group icon icons inner item items left link links list main outer page panel post posts article articles rail reader region right row section sections side site slot slots stories thread top title unit user wrap wrapper".split())
+_SMALL = frozenset("p pre h1 h2 h3 h4 h5 h6 li td th dd dt blockquote".split())
 _DIGITS = re.compile(r"\d+")
+_PARTS = re.compile(r"[a-z]+|#")
 ARTICLE_BLOCK = 80  # characters from which a block outside a container is text of the article
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "out", "good")
-
-    def __init__(self, tag: str, path: str, parent: _Node | None, out: bool):
-        self.tag, self.path, self.parent, self.out, self.good = tag, path, parent, out, 0
-
-
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
-
-
-def _opened(tag: str, attrs: str, parent: _Node) -> _Node:
-    name, out = tag, parent.out or tag in _DROP
-    if attrs.strip():
-        a = _attributes(attrs)
-        classes = _DIGITS.sub("#", a.get("class", "").lower()).split()
-        if classes:
-            name += "." + ".".join(sorted(classes))
-        if not out and tag not in ("html", "body", "article", "main"):
-            hints = f"{a.get('class', '')} {a.get('id', '')}".lower()
-            out = bool(_HINTS.search(hints)) or a.get("role", "").lower() in _ROLES
-        out = out or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    if tag == "header" and not out:  # a page's header; an article may have its own
-        out = "article" not in parent.path and "main" not in parent.path
-    return _Node(tag, f"{parent.path}>{name}" if parent.path else name, parent, out)
-
-
-def blocks(page: str) -> list[tuple[_Node, str]]:
-    """The page's text blocks in order, each with the element that holds it, boilerplate left out."""
-    root = _Node("", "", None, False)
-    stack, out, parts = [root], [], []
-    linked = inside_link = 0
-    at, n = 0, len(page)
-
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text:
-            holder = stack[-1]
-            while holder.tag in _INLINE:
-                holder = holder.parent
-            if not holder.out and not stack[-1].out:
-                out.append((holder, text))
-                good = len(text) - 2 * linked
-                node = holder
-                while node is not None and good > 0:
-                    node.good += good
-                    node = node.parent
-        linked = 0
-
-    while at < n:
-        to = page.find("<", at)
-        if to < 0:
-            to = n
-        if to > at:
-            run = html.unescape(page[at:to]) if "&" in page[at:to] else page[at:to]
-            parts.append(run)
-            if inside_link:
-                linked += len(run.strip())
-        if to == n:
-            break
-        at = to
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            at = n if end < 0 else end + 3
-            continue
-        if page.startswith(("<!", "<?"), at):
-            end = page.find(">", at)
-            at = n if end < 0 else end + 1
-            continue
-        m = _TAG.match(page, at) or _LOOSE_TAG.match(page, at)
-        if not m:
-            parts.append("<")
-            at += 1
-            continue
-        at, closing, tag = m.end(), m[1], m[2].lower()
-        if tag == "br":
-            parts.append(" ")
-            continue
-        inline = tag in _INLINE
-        if closing:
-            if not inline:
-                flush()
-            k = len(stack) - 1
-            while k > 0 and stack[k].tag != tag and (not inline or stack[k].tag in _INLINE):
-                k -= 1
-            if k > 0 and stack[k].tag == tag:  # an inline end tag never ends a block
-                del stack[k:]
-            if tag == "a":
-                inside_link = max(0, inside_link - 1)
-            continue
-        if tag in _RAW:
-            if not inline:
-                flush()
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            close = page.find(">", end.end()) if end else -1
-            at = n if close < 0 else close + 1
-            continue
-        if not inline:
-            flush()
-            if tag in _CLOSES_P:
-                _close(stack, frozenset(("p",)), frozenset(("td", "th", "li", "div", "article", "section", "body")))
-            elif tag in _CLOSERS:
-                _close(stack, *_CLOSERS[tag])
-            if not any(x.tag == "a" for x in stack):
-                inside_link = 0
-        if tag in _VOID or m[3].endswith("/") and tag in _VOID:
-            continue
-        stack.append(_opened(tag, m[3], stack[-1]))
-        inside_link += tag == "a"
-    flush()
-    return out
-
-
-def _close(stack: list[_Node], tags: frozenset[str], within: frozenset[str]) -> None:
-    """End the innermost open element of ``tags``, unless one of ``within`` stands in between."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
+    __slots__ = ("tag", "path", "parent", "out", "maybe", "block", "depth", "at", "last", "good", "article")
+
+
+class Page:
+    """The elements of a page and its text blocks in order."""
+
+    def __init__(self, page: str):
+        self.names: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.nodes: list[_Node] = []
+        self.blocks: list[tuple[_Node, _Node | None, str]] = []
+        self._open("", "", None)
+        self._read(page)
+        total = len(self.nodes) - 1
+        for node in self.nodes:
+            node.last = max(node.last, node.at)
+        for node in reversed(self.nodes[1:]):
+            node.parent.good += node.good
+            node.parent.last = max(node.parent.last, node.last)
+        assert self.nodes[0].last == total
+
+    def _open(self, tag: str, attrs: str, parent: _Node | None) -> _Node:
+        node, name = _Node(), tag
+        node.tag, node.parent, node.at, node.last, node.good = tag, parent, len(self.nodes), 0, 0
+        self.nodes.append(node)
+        if parent is None:
+            node.path, node.out, node.maybe, node.depth, node.block, node.article = 0, False, None, 0, node, False
+            return node
+        node.depth, node.maybe, node.article = parent.depth + 1, parent.maybe, parent.article or tag in ("article", "main")
+        out, maybe = parent.out or tag in _DROP, False
+        if attrs.strip():
+            a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attrs)}
+            classes = _DIGITS.sub("#", a.get("class", "").lower()).split()
+            if classes:
+                name += "." + ".".join(sorted(classes)).replace(">", "&gt;")
+            if not out and tag not in ("html", "body", "article", "main"):
+                tokens = [t for t in (_PARTS.findall(x) for x in [*classes, *_DIGITS.sub("#", a.get("id", "").lower()).split()]) if not _HINTS.isdisjoint(t)]
+                out = any(all(w in _HINTS or w in _SHAPES for w in t) for t in tokens) or a.get("role", "").lower() in _ROLES
+                maybe = bool(tokens) and not out
+            out = out or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        if tag == "header" and not parent.article:  # a page's header; an article may have its own
+            out = True
+        node.out = out
+        node.path = self.names.setdefault((parent.path, name), len(self.steps))
+        if node.path == len(self.steps):
+            self.steps.append((parent.path, name))
+        if maybe and node.maybe is None:
+            node.maybe = node
+        node.block = node if tag in _BLOCK else parent.block
+        return node
+
+    def _read(self, page: str) -> None:
+        stack, parts, opened = [self.nodes[0]], [], Counter()
+        linked, at, n = 0, 0, len(page)
+
+        def cut(k: int) -> None:
+            for x in stack[k:]:
+                opened[x.tag] -= 1
             del stack[k:]
-            return
-        if stack[k].tag in within:
-            return
-
-
-def best_container(found: list[tuple[_Node, str]]) -> _Node | None:
-    """The article or main element with most text, else the deepest element with most of the page's."""
-    nodes: dict[int, _Node] = {}
-    for node, _ in found:
-        while node is not None and id(node) not in nodes:
-            nodes[id(node)] = node
-            node = node.parent
-    for tag in ("article", "main"):
-        named = [x for x in nodes.values() if x.tag == tag and x.good > 0]
-        if named:
-            return max(named, key=lambda x: x.good)
-    total = max((x.good for x in nodes.values()), default=0)
-    if not total:
-        return None
-    held = [x for x in nodes.values() if x.good >= 0.7 * total and x.tag not in ("p", "pre", "h1", "h2", "h3", "li", "td", "blockquote")]
-    return max(held, key=lambda x: x.path.count(">"), default=None)
-
-
-def vote(page: str) -> tuple[str, int] | None:
-    """The path of the page's best container and its amount of text."""
-    node = best_container(blocks(page))
-    return (node.path, node.good) if node else None
-
-
-def _within(node: _Node, path: str) -> bool:
-    while node is not None:
-        if node.path == path:
-            return True
-        if len(node.path) < len(path):
-            return False
-        node = node.parent
-    return False
 
+        def close(tags: frozenset[str], within: frozenset[str]) -> None:
+            """End the innermost open element of ``tags``, unless one of ``within`` stands in between."""
+            if not any(opened[t] for t in tags):
+                return
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in tags:
+                    cut(k)
+                    return
+                if stack[k].tag in within:
+                    return
+
+        def flush() -> None:
+            nonlocal linked
+            text = " ".join("".join(parts).split())
+            parts.clear()
+            if text:
+                holder = stack[-1].block
+                self.blocks.append((holder, stack[-1].maybe, text))
+                holder.good += max(0, len(text) - 2 * linked)
+            linked = 0
+
+        while at < n:
+            to = page.find("<", at)
+            if to < 0:
+                to = n
+            if to > at and not stack[-1].out:
+                run = html.unescape(page[at:to]) if "&" in page[at:to] else page[at:to]
+                parts.append(run)
+                if opened["a"]:
+                    linked += len(run.strip())
+            if to == n:
+                break
+            at = to
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                at = n if end < 0 else end + 1
+                continue
+            m = _TAG.match(page, at) or _LOOSE_TAG.match(page, at)
+            if not m:
+                if not stack[-1].out:
+                    parts.append("<")
+                at += 1
+                continue
+            at, closing, tag = m.end(), m[1], m[2].lower()
+            if tag == "br":
+                parts.append(" ")
+                continue
+            block = tag in _BLOCK
+            if closing:
+                if block:
+                    flush()
+                if opened[tag]:
+                    k = len(stack) - 1
+                    while k > 0 and stack[k].tag != tag and (block or stack[k].tag not in _BLOCK):
+                        k -= 1
+                    if k > 0 and stack[k].tag == tag:  # an inline end tag never ends a block
+                        cut(k)
+                continue
+            if tag in _RAW:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                shut = page.find(">", end.end()) if end else -1
+                at = n if shut < 0 else shut + 1
+                continue
+            if block:
+                flush()
+                if tag in _CLOSES_P:
+                    close(*_P)
+                elif tag in _CLOSERS:
+                    close(*_CLOSERS[tag])
+            if tag in _VOID:
+                continue
+            stack.append(self._open(tag, m[3], stack[-1]))
+            opened[tag] += 1
+        flush()
+
+    def path(self, number: int) -> str:
+        names = []
+        while number > 0:
+            number, name = self.steps[number]
+            names.append(name)
+        return ">".join(reversed(names))
+
+    def number(self, path: str | None) -> int:
+        """The number of a path, -1 where the page lacks it."""
+        if path is None:
+            return -1
+        at = 0
+        for name in path.split(">") if path else []:
+            at = self.names.get((at, name), -1)
+            if at < 0:
+                return -1
+        return at
+
+    def best(self) -> _Node | None:
+        """The article or main element with most text, else the deepest element with most of the page's."""
+        for tag in ("article", "main"):
+            named = [x for x in self.nodes if x.tag == tag and x.good > 0]
+            if named:
+                return max(named, key=lambda x: x.good)
+        total = self.nodes[0].good
+        if not total:
+            return None
+        return max((x for x in self.nodes if x.good >= 0.7 * total and x.tag not in _SMALL and x.block is x), key=lambda x: x.depth)
+
+    def under(self, path: int) -> list[bool]:
+        """For every element, whether it or one around it has this path."""
+        inside = [False] * len(self.nodes)
+        for node in self.nodes:
+            inside[node.at] = node.path == path or node.parent is not None and inside[node.parent.at]
+        return inside
+
+    def whole(self, node: _Node) -> _Node:
+        """The least element around ``node`` that holds all article blocks; an article or main element is whole."""
+        if node.tag not in ("article", "main"):
+            for holder, _, text in self.blocks:
+                while len(text) >= ARTICLE_BLOCK and holder.good > 0 and not node.at <= holder.at <= node.last:
+                    node = node.parent
+        return node
 
-def _articles(found: list[tuple[_Node, str]], path: str) -> int:
-    """How many article blocks lie under ``path``."""
-    return sum(len(x) >= ARTICLE_BLOCK and node.good > 0 and _within(node, path) for node, x in found)
 
+def vote(page: str) -> tuple[str, int, list[str]] | None:
+    """The path of the page's best container, its amount of text, and its doubtful parts' paths."""
+    read = Page(page)
+    node = read.best()
+    if node is None:
+        return None
+    inside = read.under(node.path)
+    parts = {maybe.path for holder, maybe, _ in read.blocks if maybe is not None and inside[maybe.at]}
+    return read.path(node.path), node.good, sorted(read.path(x) for x in parts)
 
-def _whole(found: list[tuple[_Node, str]], node: _Node) -> _Node:
-    """The least element around ``node`` that holds all article blocks; an article or main element is whole."""
-    if node.tag not in ("article", "main"):
-        for holder, text in found:
-            while len(text) >= ARTICLE_BLOCK and holder.good > 0 and not _within(holder, node.path):
-                node = node.parent
-    return node
 
+def main_text(page: str, path: str | None, furniture: list[str] | None = None) -> str:
+    """The text under ``path``, or under the page's own container where ``path`` has too little or is a part of it.
 
-def main_text(page: str, path: str | None) -> str:
-    """The text under ``path``, or under the page's own container where ``path`` has too little or is a part of it."""
-    found = blocks(page)
-    own = best_container(found)
+    ``furniture``: paths of doubtful parts that the host's pages agree to be no article text.
+    """
+    read = Page(page)
+    gone = {read.number(x) for x in furniture or []}
+    found = [(holder, text) for holder, maybe, text in read.blocks if maybe is None or maybe.path not in gone]
+    own = read.best()
     if own is None:
         return "\n\n".join(x for _, x in found)
-    own = _whole(found, own)
-    if path != own.path:
-        held = sum(len(x) for node, x in found if path and _within(node, path))
-        part = path and (not own.path or path.startswith(own.path + ">")) and _articles(found, path) < _articles(found, own.path)
-        if not path or part or 2 * held < own.good:
-            path = own.path
-    return "\n\n".join(x for node, x in found if _within(node, path))
+    own = read.whole(own)
+    mine, at = read.under(own.path), read.number(path)
+    inside = mine
+    if at >= 0 and at != own.path:
+        theirs = read.under(at)
+        held = sum(len(x) for node, x in found if theirs[node.at])
+        articles = lambda flags: sum(len(x) >= ARTICLE_BLOCK and node.good > 0 and flags[node.at] for node, x in found)
+        around = at  # is the host's path a part of the page's own container?
+        while around > 0 and around != own.path:
+            around = read.steps[around][0]
+        part = around == own.path and articles(theirs) < articles(mine)
+        if not part and 2 * held >= own.good:
+            inside = theirs
+    return "\n\n".join(x for node, x in found if inside[node.at])
 
 
 def _host(url: str) -> F.Column:
@@ -237,27 +288,35 @@ def _host(url: str) -> F.Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, votes): each host's winning path."""
+    """(host, path, votes, furniture): each host's winning path, and the parts that its pages agree to be none of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [vote(x) if x else None for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v and v[0] for v in votes], pa.string()), pa.array([v and v[1] for v in votes], pa.int64())], names=["host", "path", "good"])
-
-    votes = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path string, good long").where("path is not null")
-    sums = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("good").alias("good"))
-    return sums.groupBy("host").agg(F.max(F.struct("votes", "good", "path")).alias("w")).select("host", "w.path", "w.votes")
+            rows: list[tuple] = []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = vote(page.as_py()) if page.is_valid and len(page.as_buffer()) else None
+                if found:
+                    rows += [(host, found[0], found[1], False), *((host, x, 0, True) for x in found[2])]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["host", "path", "good", "doubt"])
+
+    votes = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path string, good long, doubt boolean")
+    sums = votes.groupBy("host", "path", "doubt").agg(F.count("*").alias("votes"), F.sum("good").alias("good"))
+    best = F.max(F.when(~F.col("doubt"), F.struct("votes", "good", "path"))).alias("w")
+    sums = sums.groupBy("host").agg(best, F.sum(F.when(~F.col("doubt"), F.col("votes"))).alias("pages"), F.array_sort(F.collect_list(F.when(F.col("doubt") & (F.col("votes") >= 3), F.struct("path", "votes")))).alias("parts"))
+    agreed = F.transform(F.filter("parts", lambda x: 2 * x["votes"] >= F.col("pages")), lambda x: x["path"])
+    return sums.select("host", "w.path", "w.votes", agreed.alias("furniture"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): the main text of every page."""
     # kept as a table, so that its size decides between a broadcast and a shuffle
-    paths = store.keep(host_paths(pages, url_col, html_col).select("host", "path"), "host-paths")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), _host(url_col).alias("host")).join(paths, "host", "left").select("page_id", "url", "html", "path")
+    paths = store.keep(host_paths(pages, url_col, html_col).select("host", "path", "furniture"), "host-paths")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), _host(url_col).alias("host")).join(paths, "host", "left").select("page_id", "url", "html", "path", "furniture")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, p) if x else "" for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(x, p, f) if x else "" for x, p, f in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")
