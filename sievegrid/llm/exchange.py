@@ -2,8 +2,8 @@
 
 Entries travel as binary arrays, one row for each task, batch and bucket of keys, which costs
 a fraction of a row for each entry.  A bucket's entries are together in one task at the
-receiving end, one bucket at a time; ``BUCKETS_A_PARTITION`` keeps a bucket a small part of
-what a task reads.
+receiving end, one bucket at a time, so a shuffle partition's share has to fit a worker; the
+rows grow with tasks times buckets, which is why a partition has only one.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import kernel as K
+from . import store
 
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION = 1
 ENTRY, FOUND = 0, 1
 
 
@@ -100,3 +102,70 @@ def passing(rows: DataFrame, kinds: list[str], width: int, settle: Callable[[lis
         yield from passed
 
     return received(rows).mapInArrow(run, schema(width))
+
+
+def groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by ``columns`` (the first decides first), and which entries differ from the one before in all but the last."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns[:-1]])
+    return order, new
+
+
+HOT_KEY = 2
+
+
+def shared_keys(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], hot: int, name: str) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, keys binary): of every document the keys that others hold too; and the hot keys.
+
+    ``keys_of`` gives the keys of a batch and the ids that hold them.  A batch sends a key with
+    two of its documents at most, and finds for itself that these and all others share it; so a
+    key that a third of all documents hold is no burden to the task where it meets.  Hot are
+    keys with more than ``hot`` entries after that, at most one in ``hot`` entries.
+    """
+    n_buckets = buckets(rows.sparkSession)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, owners = keys_of(batch)
+            order, new = groups(keys, owners)
+            keys, owners = keys[order], owners[order]
+            once = new.copy()
+            once[1:] |= owners[1:] != owners[:-1]
+            keys, owners, new = keys[once], owners[once], new[once]
+            if not len(keys):
+                continue
+            second = np.append(False, new[:-1]) & ~new
+            sent = new | second
+            yield pack(keys[sent], [keys[sent], narrow(owners[sent])], n_buckets)
+            found = ~new | np.append(~new[1:], False)
+            if found.any():
+                yield pack(owners[found].view(K.U64), [keys[found], narrow(owners[found])], n_buckets, FOUND)
+
+    def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order, new = groups(*columns)
+        keys, owners = (c[order] for c in columns)
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(keys)))
+        found = np.repeat(np.maximum.reduceat(owners, starts) != owners[starts], size)
+        if found.any():
+            yield pack(owners[found].view(K.U64), [keys[found], narrow(owners[found])], n_buckets, FOUND)
+        big = keys[starts][size > hot]
+        if len(big):
+            yield pack(big, [big, np.zeros(len(big), "<i8")], n_buckets, HOT_KEY)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, owners in by_bucket(batches, ["<u8", "id"]):
+            order, new = groups(owners, keys)
+            keys, owners = keys[order], owners[order]
+            once = new.copy()
+            once[1:] |= keys[1:] != keys[:-1]
+            keys, owners = keys[once], owners[once]
+            starts = np.flatnonzero(new[once])
+            yield pa.RecordBatch.from_arrays([pa.array(owners[starts]), K.split_binary(keys, np.append(starts, len(keys)))], names=["doc_id", "keys"])
+
+    found = store.keep(passing(rows.mapInArrow(send, schema(2)), ["<u8", "id"], 2, settle), name, "none")
+    # a number of keys that the driver and the workers hold easily
+    keys = [np.frombuffer(r["c0"], np.uint64) for r in found.where(F.col("kind") == HOT_KEY).select("c0").collect()]
+    return received(found.where(F.col("kind") == FOUND)).mapInArrow(gather, "doc_id long, keys binary"), np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]))

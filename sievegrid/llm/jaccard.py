@@ -4,10 +4,13 @@ Distance is d = 1 - J; documents link where d <= r (r = 0.2).  d is a metric.
 
 Pivots.  Unrelated texts lie at distance 1 from each other, so pivots drawn at random would
 leave every document in everybody's window.  Instead documents choose pivots among those they
-can be near to: of all documents that hold a shingle among their first n - ceil(0.8 n) + 1 in
-the order "rarest first", the most central one (with the fewest shingles of its own) is the
-pivot that the others have in common.  Two linked sets share such a shingle, so they have a
-pivot in common, and a document's pivots are few: its region and those it borders on.
+can be near to.  Each brings its shingles of least hash, 20 + ``EXTRA`` percent of them, to an
+exchange that tells it which of them others bring too.  As two linked sets differ in at most
+20 percent of either, they share at least ``EXTRA`` percent of the smaller one there: documents
+with fewer shared ones have no links and go no further, so passages and lines that stand in
+otherwise different texts don't bring these together.  Of the documents that hold a shingle
+then, the most central one (with the largest part of its shingles shared) is the pivot that
+they have in common.  A document's pivots are few: its region and those it borders on.
 
 Regions.  Every pivot is a Voronoi region with the documents that chose it.  Inside, members'
 exact distances to pivots decide: those within r of a pivot are in its component at once;
@@ -19,10 +22,7 @@ Large regions.  A region of more than ``CHUNK`` sets is dealt out in chunks that
 pivot.  Each chunk is resolved by itself; documents still apart from the pivot are then a
 query set that meets the other chunks in blocks.
 
-Equal sets are one set for the join, found by digest.  "Rarest first" uses counts of all
-documents' shingles in a table of 2**24 slots, a fixed size at any input; each task sends an
-unbiased sample of its counts (a slot counted c times goes with probability c / 8, as 8, or
-as c from 8 on).  The order decides the work only; any order gives the same links.
+Equal sets are one set for the join, found by digest.
 
 Null and empty texts have no shingles and are linked with nothing; fewer than n words make
 one shingle of all.  Rows with a null id keep a null component and link with nothing; rows
@@ -46,12 +46,10 @@ from .regions import Region
 
 WORDS = 5
 PERCENT = 80
-SLOT_BITS = 24
+EXTRA = 10
 CHUNK = 2048
 CHUNK_BYTES = 1 << 24
-BROADCAST_IDS = 1 << 20
-_SLICES = 64
-_SAMPLE = 8
+BROADCAST_ROWS = 1 << 20  # of four numbers each: 32 MB
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -88,125 +86,53 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield low, high, *shingle_sets(data[off[0] : off[-1]], off - off[0])
 
 
-def _sampled(counts: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and counts to send: small counts as ``_SAMPLE`` with a probability that keeps the mean."""
-    slots = np.flatnonzero(counts)
-    c = counts[slots]
-    draw = K.mix(slots.astype(np.uint64) + (K.U64(part + 1) << K.U64(32))) % K.U64(_SAMPLE)
-    sent = (c >= _SAMPLE) | (draw < c)
-    return slots[sent].astype("<u4"), np.clip(c[sent], _SAMPLE, 65535).astype("<u2")
-
-
 def _survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest) for each row; and each task's sampled shingle counts in slices."""
-    names = ["doc_id", "n", "digest", "slice", "slots", "counts"]
-    shift = SLOT_BITS - (_SLICES - 1).bit_length()
+    """(doc_id, n, digest) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        seen = np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches:
             for low, high, keys, bounds in _blocks(batch):
-                np.add.at(seen, (keys >> K.U64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
-                m = high - low
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, m), pa.array(np.diff(bounds)), pa.array(_digests(keys, bounds), pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
-        slots, counts = _sampled(seen, TaskContext.get().partitionId())
-        if len(slots):
-            bounds = np.searchsorted(slots, np.arange(_SLICES + 1, dtype=np.int64) << shift)
-            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.array(np.arange(_SLICES, dtype=np.int32)), K.split_binary(slots, bounds), K.split_binary(counts, bounds)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(bounds)), pa.array(_digests(keys, bounds), pa.binary())], names=["doc_id", "n", "digest"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, slice int, slots binary, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary")
 
 
-def _levels(survey: DataFrame) -> np.ndarray:
-    """How frequent the shingles of each slot are, in eighths of a doubling."""
-    width = (1 << SLOT_BITS) // _SLICES
+def candidates(docs: DataFrame, percent: int = PERCENT, extra: int = EXTRA) -> DataFrame:
+    """(doc_id, keys binary): the shingles of least hash that each document shares with others."""
+    share = 100 - percent + extra
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, slots, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if i not in total:
-                    total[i] = np.zeros(width, np.int64)
-                total[i][np.frombuffer(slots.as_buffer(), "<u4").astype(np.int64) - i * width] += np.frombuffer(counts.as_buffer(), "<u2")
-        for i, x in total.items():
-            level = np.floor(8 * np.log2(x + 1.0)).clip(0, 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
-
-    rows = survey.where("slice is not null").select("slice", "slots", "counts").repartition(exchange.partitions(survey.sparkSession), "slice").mapInArrow(add, "slice int, levels binary")
-    out = np.zeros(_SLICES * width, np.uint8)
-    for r in rows.collect():  # 16 MB, whatever the input
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
-    return out
-
-
-def _overlap(n: np.ndarray, percent: int) -> np.ndarray:
-    """The least intersection that a set of n needs for a link."""
-    return (percent * n + 99) // 100
-
-
-def chosen_pivots(docs: DataFrame, levels: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, pivot): each document with the pivots it shares a rare shingle with."""
-    n_buckets = exchange.buckets(docs.sparkSession)
-    table = docs.sparkSession.sparkContext.broadcast(levels)  # 16 MB at any input
-
-    def rarest(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The places of each row's first shingles in the order "rarest first", their number, and the share of frequent ones."""
-        level = table.value[(keys >> K.U64(64 - SLOT_BITS)).astype(np.int64)]
-        size = np.diff(bounds)
-        take = np.where(size > 0, size - _overlap(size, percent) + 1, 0)
-        # keys ascend within a row, so a stable sort by level settles all ties by key
-        places = [a + np.argsort(level[a : a + n], kind="stable")[:p] for a, n, p in zip(bounds[:-1].tolist(), size.tolist(), take.tolist(), strict=True) if n]
-        own = np.bincount(np.repeat(np.arange(len(size)), size), level == 0, len(size))
-        return np.concatenate([*places, np.zeros(0, np.int64)]), take, (65535 * own / np.maximum(size, 1)).astype("<u2")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found, met, names = batch.column(0).to_numpy(), [], {}, []
-            for low, high, keys, bounds in _blocks(batch):
-                # equal sets within the batch: the least id stands for all
-                digests = _digests(keys, bounds)
-                names += digests
-                for i, digest in zip(ids[low:high].tolist(), digests, strict=True):
-                    met[digest] = min(met.get(digest, i), i)
-                places, take, own = rarest(keys, bounds)
-                found.append((keys[places], np.repeat(np.arange(low, high), take), np.repeat(own, take)))
-            stands = np.zeros(len(ids), bool)
-            for r, (i, digest) in enumerate(zip(ids.tolist(), names, strict=True)):
-                if met[digest] == i:
-                    stands[r], met[digest] = True, None
-            keys, row, own = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u2"))
-            keep = stands[row]
-            if keep.any():
-                yield exchange.pack(keys[keep], [keys[keep], exchange.narrow(ids[row[keep]]), own[keep]], n_buckets)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, docs, own in exchange.by_bucket(batches, ["<u8", "id", "<u2"]):
-            order = np.lexsort((docs, K.mix(docs.astype(np.uint64)), own, keys))
-            keys, docs = keys[order], docs[order]
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            pivot = np.repeat(docs[starts], np.diff(np.append(starts, len(keys))))
-            pairs = np.stack([docs, pivot], 1)[docs != pivot]
-            if len(pairs):
-                pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_id", "pivot"])
-
-    sent = docs.where("doc_id is not null").mapInArrow(send, exchange.schema(3))
-    return exchange.received(sent).mapInArrow(meet, "doc_id long, pivot long").distinct()
-
-
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, s): the shingle sets of the documents that ``ids`` names."""
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids, found, owners = batch.column(0).to_numpy(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for low, high, keys, bounds in _blocks(batch):
+            # keys ascend within a row
+            size = np.diff(bounds)
+            take = np.minimum(size, -(-share * size // 100) + 1)
+            row = np.repeat(np.arange(len(size)), take)
+            found.append(keys[bounds[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)])
+            owners.append(ids[low:high][row])
+        return np.concatenate(found), np.concatenate(owners)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return exchange.shared_keys(docs.where("doc_id is not null"), keys_of, 1 << 62, "shingles")[0]
+
+
+def chosen_pivots(found: DataFrame, sizes: DataFrame, percent: int = PERCENT, extra: int = EXTRA) -> DataFrame:
+    """(doc_id, pivot): each document that may have links with the pivots it shares a shingle with.
+
+    ``sizes`` has (doc_id, n): the documents to regard and their least set size.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, keys, bounds in _blocks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), K.split_binary(keys, bounds)], names=["doc_id", "s"])
+            keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            size = np.array([len(k) for k in keys], np.int64)
+            apart = 1 - size / np.maximum(batch.column(2).to_numpy(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(apart, size))], names=["doc_id", "key", "apart"])
 
-    few = ids.count() <= BROADCAST_IDS  # eight bytes each: a bound of 8 MB; beyond it both sides shuffle
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary").where(F.octet_length("s") > 0)
+    enough = F.octet_length("keys") / 8 > F.floor(F.lit(extra * percent) * F.col("n") / 10000)
+    entries = store.keep(found.join(sizes, "doc_id").where(enough).select("doc_id", "keys", "n").mapInArrow(spread, "doc_id long, key long, apart double"), "entries")
+    # the least is found before it shuffles, and the join's skewed side can be split
+    least = entries.groupBy("key").agg(F.min(F.struct("apart", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    return entries.join(least.select("key", F.col("p.doc_id").alias("pivot")), "key").where("doc_id != pivot").select("doc_id", "pivot").distinct()
 
 
 def _joined(units: DataFrame, percent: int) -> DataFrame:
@@ -249,12 +175,24 @@ def _joined(units: DataFrame, percent: int) -> DataFrame:
     return units.select("region", "unit", "doc_id", "role", "s").repartition(parts, "region", "unit").sortWithinPartitions("region", "unit", "role", "doc_id").mapInArrow(run, schema)
 
 
-def _links(docs: DataFrame, pivots: DataFrame, facts: DataFrame, percent: int, chunk: int, chunk_bytes: int) -> DataFrame:
+def _with_sets(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """(region, unit, doc_id, role, s): every row of ``units`` with the shingle sets of its document."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, keys, bounds in _blocks(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), K.split_binary(keys, bounds), batch.column(2).slice(low, high - low)], names=["doc_id", "s", "us"])
+
+    units = store.keep(units.groupBy("doc_id").agg(F.collect_list(F.struct("region", "unit", "role")).alias("us")), "units")
+    few = units.select(F.coalesce(F.sum(F.size("us")), F.lit(0))).first()[0] <= BROADCAST_ROWS  # beyond it both sides shuffle
+    kind = units.schema["us"].dataType.simpleString()
+    made = docs.join(F.broadcast(units) if few else units, "doc_id").select("doc_id", "text", "us").mapInArrow(sets, f"doc_id long, s binary, us {kind}")
+    return made.where(F.octet_length("s") > 0).select("doc_id", "s", F.inline("us"))
+
+
+def _links(docs: DataFrame, pivots: DataFrame, sizes: DataFrame, percent: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """(a, b) links that make up the components of all documents with pivots."""
     members = store.keep(pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot").distinct()), "members")
-    ids = members.select("doc_id").distinct()
-    sets = _sets_of(docs, ids)
-    sizes = facts.groupBy("doc_id").agg(F.max("n").alias("n"))
     totals = members.join(sizes, "doc_id").groupBy("pivot").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("m") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
     large = store.keep(totals.select("pivot", chunks.alias("k")).where("k > 1"), "large-regions")
@@ -262,7 +200,7 @@ def _links(docs: DataFrame, pivots: DataFrame, facts: DataFrame, percent: int, c
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     # the pivot goes to every chunk of its region
     units = dealt.select(F.col("pivot").alias("region"), "doc_id", (F.col("doc_id") != F.col("pivot")).cast("int").alias("role"), F.explode(F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(own)).alias("unit"))
-    first = store.keep(_joined(units.join(sets, "doc_id"), percent), "links")
+    first = store.keep(_joined(_with_sets(docs, units), percent), "links")
     found = first.where("b is not null").select("a", "b")
     if large.isEmpty():
         return found
@@ -273,31 +211,25 @@ def _links(docs: DataFrame, pivots: DataFrame, facts: DataFrame, percent: int, c
     asked = apart.join(blocks, ["region", "k"]).select("region", "doc_id", F.lit(2).alias("role"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda c: c != F.pmod(F.xxhash64("doc_id"), F.col("k"))), lambda c: unit(c, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("q"))))).alias("unit"))
     there = members.select(F.col("pivot").alias("region"), "doc_id").where("doc_id != region").join(blocks, "region")
     there = there.select("region", "doc_id", F.lit(1).alias("role"), F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda q: unit(F.pmod(F.xxhash64("doc_id"), F.col("k")), q))).alias("unit"))
-    second = _joined(asked.unionByName(there).join(sets, "doc_id"), percent)
+    second = _joined(_with_sets(docs, asked.unionByName(there)), percent)
     return found.unionByName(second.where("b is not null").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for every row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = store.keep(_survey(rows), "survey")
-    facts = survey.where("slice is null").select("doc_id", "n", "digest")
+    facts = store.keep(_survey(rows), "survey")
     known = facts.where("n > 0 and doc_id is not null")
     # of equal sets the one with the least id stands for all
     least = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    named = known.join(least, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    # a row a document: its representative, and the further ones of an id with several texts
-    reps = store.keep(named.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.array_sort(F.collect_set("rep")).alias("all")).where("rep != doc_id or size(all) > 1"), "representatives")
-    chosen = chosen_pivots(rows, _levels(survey), percent)
-    stands = lambda c: reps.select(F.col("doc_id").alias(c), F.col("all").alias(f"{c}_all"))
-    moved = chosen.join(stands("doc_id"), "doc_id", "left").join(stands("pivot"), "pivot", "left")
-    moved = moved.select(F.explode(F.coalesce("doc_id_all", F.array("doc_id"))).alias("doc_id"), F.coalesce("pivot_all", F.array("pivot")).alias("p")).select("doc_id", F.explode("p").alias("pivot"))
-    pivots = store.keep(moved.where("doc_id != pivot").distinct(), "pivots")
-    links = _links(rows, pivots, known, percent, chunk, chunk_bytes)
+    named = known.join(least, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n")
+    # a row a document: the representatives of its texts (several if rows share an id)
+    reps = store.keep(named.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.array_sort(F.collect_set("rep")).alias("all"), F.min("n").alias("n"), F.max("n").alias("most")), "representatives")
+    stands = reps.where(F.array_contains("all", F.col("doc_id")))
+    pivots = store.keep(chosen_pivots(candidates(rows, percent), stands.select("doc_id", "n"), percent), "pivots")
+    links = _links(rows, pivots, stands.select("doc_id", F.col("most").alias("n")), percent, chunk, chunk_bytes)
     same = reps.where("size(all) > 1").select(F.explode("all").alias("a"), F.col("rep").alias("b")).where("a != b")
     labels = store.keep(components.components(links.unionByName(same)), "labels")
     # copies hang on their representative, that on its component
-    copies = reps.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    copied = reps.select(F.col("doc_id").alias("node"))
-    named = labels.join(copied, "node", "left_anti").select(F.col("node").alias("doc_id"), "component").unionByName(copies)
+    named = reps.select("doc_id", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     return facts.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -7,6 +7,9 @@ d(x, p) <= d(x, home) + 2 r whose ring |d(x, p) - d(y, p)| <= r holds a member a
 Two sets within r of each other meet in the home region of either, so the recursion loses no
 link.  Members that are linked already, through any chain, need no comparison.
 
+A set of which the others hold less than the similarity's share has no link in the region and
+takes no part; what it alone held is then no longer shared, and so on.
+
 Common shingles of many pairs come from products of 0/1 matrices over the shingles that
 members share, exact in single precision, a block of rows and of columns at a time.
 """
@@ -57,13 +60,21 @@ class Region:
     def __init__(self, keys: np.ndarray, bounds: np.ndarray, ids: np.ndarray, percent: int):
         self.percent, self.size, self.links = percent, np.diff(bounds), Links(ids)
         self.apart = 1 - percent / 100 + 1e-9
-        _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
-        shared = count > 1  # a shingle of one set adds to no intersection
-        number = np.cumsum(shared) - 1
-        row, keep = np.repeat(np.arange(len(self.size)), self.size), shared[column]
-        self.columns, row = number[column[keep]], row[keep]
+        column, row = np.unique(keys, return_inverse=True)[1], np.repeat(np.arange(len(self.size)), self.size)
+        self.active = np.ones(len(self.size), bool)
+        while True:
+            count = np.bincount(column)
+            shared = count[column] > 1  # a shingle of one set adds to no intersection
+            held = np.bincount(row[shared], minlength=len(self.size))
+            still = self.active & (100 * held >= percent * self.size)
+            keep = still[row] & shared
+            if still.sum() == self.active.sum():
+                break
+            self.active, column, row = still, column[keep], row[keep]
+        column, row = column[keep], row[keep]
+        number = np.unique(column, return_inverse=True)
+        self.columns, self.width = number[1], len(number[0])
         self.rows = np.searchsorted(row, np.arange(len(self.size) + 1))
-        self.width = int(shared.sum())
 
     def _block(self, rows: np.ndarray, low: int, high: int) -> np.ndarray:
         out = np.zeros((len(rows), high - low), np.float32)
@@ -93,6 +104,7 @@ class Region:
 
     def against(self, queries: np.ndarray, members: np.ndarray) -> None:
         """Compare each query with the members that aren't in its component."""
+        queries, members = queries[self.active[queries]], members[self.active[members]]
         for k in range(0, len(queries), LEAF):
             block = queries[k : k + LEAF]
             if len(np.unique(self.links.roots(np.concatenate([block, members])))) > 1:
@@ -106,7 +118,10 @@ class Region:
 
     def resolve(self, rows: np.ndarray, first: int | None = None) -> None:
         """Find all links among ``rows``; ``first`` is the region's pivot."""
-        if first is not None:
+        rows = rows[self.active[rows]]
+        if len(rows) < 2:
+            return
+        if first is not None and self.active[first]:
             self.distances(np.array([first]), rows)
         outside = self._outside(rows)
         if not len(outside):
@@ -133,4 +148,4 @@ class Region:
                 most = some[np.argmax(count)]
                 mine = np.isin(inner, rows[own])
                 self.against(inner[mine & (roots != most)], inner)
-                self.against(inner[~mine & (roots != most)], inner[mine])
+                self.against(inner[mine & (roots == most)], inner[~mine & (roots != most)])

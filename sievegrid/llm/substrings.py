@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange, store
+from . import exchange
 from . import kernel as K
+from .exchange import groups
 
 LENGTH = 13
 ANCHOR = 5
 HOT = 1 << 20
-HOT_KEY = 2
 _WIDTH = 5
 _ENTRY, _SPAN = ["<u8", "id", "<u4", "<u2", "<u8"], ["id", "<u4", "<u4", "<u4"]
 SEEDED, WINDOW = 0, 2  # kinds of entries: an anchor with its surroundings, a whole window
@@ -81,15 +81,6 @@ def _row_of(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(rows, at, "right") - 1
 
 
-def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by ``columns`` (the first decides first), and which entries differ from the one before in all but the last."""
-    order = np.lexsort(columns[::-1])
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns[:-1]])
-    return order, new
-
-
 def _first_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Every entry's group's first value."""
     return values[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
@@ -97,55 +88,17 @@ def _first_of(new: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def shared_anchors(docs: DataFrame, length: int, anchor: int, hot: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, keys binary): anchors of each document that others hold too; and the hot ones."""
-    n_buckets = exchange.buckets(docs.sparkSession)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            keys, owners = [np.zeros(0, K.U64)], [np.zeros(0, np.int64)]
-            for low, high, data, off in _blocks(batch):
-                _, rows, place, key, _, _ = anchors(data, off, length, anchor)
-                keys.append(key)
-                owners.append(ids[low:high][_row_of(rows, place)])
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
-            order, new = _groups(keys, owners)
-            keys, owners = keys[order], owners[order]
-            once = np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])) if len(keys) else new
-            keys, owners, new = keys[once], owners[once], new[once]
-            if not len(keys):
-                continue
-            second = np.append(False, new[:-1]) & ~new
-            several = np.append(new[1:], True) < new  # a first one that isn't alone
-            yield exchange.pack(keys[new | second], [keys[new | second], exchange.narrow(owners[new | second])], n_buckets)
-            found = ~new | several
-            if found.any():
-                yield exchange.pack(owners[found].view(K.U64), [keys[found], exchange.narrow(owners[found])], n_buckets, exchange.FOUND)
-
-    def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        order, new = _groups(*columns)
-        keys, owners = (c[order] for c in columns)
-        size = np.diff(np.append(np.flatnonzero(new), len(keys)))
-        first = owners[new]
-        differs = np.maximum.reduceat(owners, np.flatnonzero(new)) != first
-        found = np.repeat(differs, size)
-        if found.any():
-            yield exchange.pack(owners[found].view(K.U64), [keys[found], exchange.narrow(owners[found])], n_buckets, exchange.FOUND)
-        big = keys[new][size > hot]
-        if len(big):
-            yield exchange.pack(big, [big, np.zeros(len(big), "<i8")], n_buckets, HOT_KEY)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, owners in exchange.by_bucket(batches, ["<u8", "id"]):
-            order, new = _groups(owners, keys)
-            keys, owners = keys[order], owners[order]
-            starts = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(owners[starts]), K.split_binary(keys, np.append(starts, len(keys)))], names=["doc_id", "keys"])
+    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        ids = batch.column(0).to_numpy()
+        keys, owners = [np.zeros(0, K.U64)], [np.zeros(0, np.int64)]
+        for low, high, data, off in _blocks(batch):
+            _, rows, place, key, _, _ = anchors(data, off, length, anchor)
+            keys.append(key)
+            owners.append(ids[low:high][_row_of(rows, place)])
+        return np.concatenate(keys), np.concatenate(owners)
 
-    sent = docs.where("doc_id is not null").mapInArrow(send, exchange.schema(2))
-    found = store.keep(exchange.passing(sent, ["<u8", "id"], 2, settle), "anchors", "none")
-    # at most one in ``hot`` entries: a number of keys that the driver and the workers hold easily
-    keys = [np.frombuffer(r["c0"], np.uint64) for r in found.where(F.col("kind") == HOT_KEY).select("c0").collect()]
-    return exchange.received(found.where(F.col("kind") == exchange.FOUND)).mapInArrow(gather, "doc_id long, keys binary"), np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]))
+    return exchange.shared_keys(docs.where("doc_id is not null"), keys_of, hot, "anchors")
 
 
 def repeated_windows(seeded: DataFrame, hot_keys: np.ndarray, length: int, anchor: int) -> DataFrame:
@@ -186,7 +139,7 @@ def repeated_windows(seeded: DataFrame, hot_keys: np.ndarray, length: int, ancho
                 words = np.where(need, h[np.clip(place[:, None] + around[None, :], 0, len(h) - 1)], K.U64(0))
                 reaches = (far | close << 8).astype("<u2")
                 a, b = digest(key, words, reaches)
-                order, new = _groups(a, b, owner)
+                order, new = groups(a, b, owner)
                 same = owner[order] == _first_of(new, owner[order])
                 later, sent = order[~same], order[same]
                 if len(later):
@@ -211,7 +164,7 @@ def repeated_windows(seeded: DataFrame, hot_keys: np.ndarray, length: int, ancho
         j = far[of] - (np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size))
         begin = place[of] - j
         a, b = K.grams(h, length)[begin], K.grams(h, length, 1)[begin]
-        order, new = _groups(a, b, owner[of])
+        order, new = groups(a, b, owner[of])
         same = owner[of][order] == _first_of(new, owner[of][order])
         later, sent = order[~same], order[same]
         if len(later):
@@ -240,7 +193,7 @@ def repeated_windows(seeded: DataFrame, hot_keys: np.ndarray, length: int, ancho
         where = where.reshape(-1, 2)
         mask = np.zeros(len(key), np.uint32)
         if kind == WINDOW:
-            order, new = _groups(key, words, owner)
+            order, new = groups(key, words, owner)
             later = order[owner[order] > _first_of(new, owner[order])]
             mask[later] = 1 << reaches[later].astype(np.uint32)
         else:
@@ -258,7 +211,7 @@ def repeated_windows(seeded: DataFrame, hot_keys: np.ndarray, length: int, ancho
                 if len(some) < 2:
                     continue
                 a, b = (K.mix(x[j][some] ^ (y[reach - j][some] << K.U64(1))) for x, y in sides)
-                order, new = _groups(a, b, owner[some])
+                order, new = groups(a, b, owner[some])
                 order = some[order]
                 later = order[owner[order] > _first_of(new, owner[order])]
                 mask[later] |= np.uint32(1 << j)
@@ -268,7 +221,7 @@ def repeated_windows(seeded: DataFrame, hot_keys: np.ndarray, length: int, ancho
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, tag, place, mask in exchange.by_bucket(batches, _SPAN):
-            order, new = _groups(owner, place)
+            order, new = groups(owner, place)
             owner, tag, place, mask = (x[order] for x in (owner, tag, place, mask))
             starts = np.flatnonzero(new)
             bounds = np.append(starts, len(owner))
