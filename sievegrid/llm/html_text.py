@@ -20,6 +20,7 @@ are never read.  Work grows with the length of a page, however deep it nests.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -60,6 +61,23 @@ _PARTS = re.compile(r"[a-z]+|#")
 ARTICLE_BLOCK = 80  # characters from which a block outside a container is text of the article
 
 
+@functools.lru_cache(maxsize=4096)
+def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """The element's name in a path, whether it is no article text, and whether that is doubtful."""
+    name, out, maybe = tag, tag in _DROP, False
+    if attrs.strip():
+        a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attrs)}
+        classes = _DIGITS.sub("#", a.get("class", "").lower()).split()
+        if classes:
+            name += "." + ".".join(sorted(classes)).replace(">", "&gt;")
+        if not out and tag not in ("html", "body", "article", "main"):
+            tokens = [t for t in (_PARTS.findall(x) for x in [*classes, *_DIGITS.sub("#", a.get("id", "").lower()).split()]) if not _HINTS.isdisjoint(t)]
+            out = any(all(w in _HINTS or w in _SHAPES for w in t) for t in tokens) or a.get("role", "").lower() in _ROLES
+            maybe = bool(tokens) and not out
+        out = out or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+    return name, out, maybe
+
+
 class _Node:
     __slots__ = ("tag", "path", "parent", "out", "maybe", "block", "depth", "at", "last", "good", "article")
 
@@ -74,33 +92,20 @@ class Page:
         self.blocks: list[tuple[_Node, _Node | None, str]] = []
         self._open("", "", None)
         self._read(page)
-        total = len(self.nodes) - 1
-        for node in self.nodes:
-            node.last = max(node.last, node.at)
         for node in reversed(self.nodes[1:]):
             node.parent.good += node.good
             node.parent.last = max(node.parent.last, node.last)
-        assert self.nodes[0].last == total
 
     def _open(self, tag: str, attrs: str, parent: _Node | None) -> _Node:
-        node, name = _Node(), tag
-        node.tag, node.parent, node.at, node.last, node.good = tag, parent, len(self.nodes), 0, 0
+        node = _Node()
+        node.tag, node.parent, node.at, node.last, node.good = tag, parent, len(self.nodes), len(self.nodes), 0
         self.nodes.append(node)
         if parent is None:
             node.path, node.out, node.maybe, node.depth, node.block, node.article = 0, False, None, 0, node, False
             return node
         node.depth, node.maybe, node.article = parent.depth + 1, parent.maybe, parent.article or tag in ("article", "main")
-        out, maybe = parent.out or tag in _DROP, False
-        if attrs.strip():
-            a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attrs)}
-            classes = _DIGITS.sub("#", a.get("class", "").lower()).split()
-            if classes:
-                name += "." + ".".join(sorted(classes)).replace(">", "&gt;")
-            if not out and tag not in ("html", "body", "article", "main"):
-                tokens = [t for t in (_PARTS.findall(x) for x in [*classes, *_DIGITS.sub("#", a.get("id", "").lower()).split()]) if not _HINTS.isdisjoint(t)]
-                out = any(all(w in _HINTS or w in _SHAPES for w in t) for t in tokens) or a.get("role", "").lower() in _ROLES
-                maybe = bool(tokens) and not out
-            out = out or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        name, out, maybe = _described(tag, attrs)
+        out = out or parent.out
         if tag == "header" and not parent.article:  # a page's header; an article may have its own
             out = True
         node.out = out

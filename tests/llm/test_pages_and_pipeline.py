@@ -1,7 +1,10 @@
 """Web pages, archives, and the pipeline against a composition of brute-force stages."""
 
 import hashlib
+import random
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +40,113 @@ def test_main_text(html, text):
     assert html_text.main_text(html or "", None) == text
 
 
+def test_doubtful_parts_and_fallbacks():
+    article = '<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><noscript>plain</noscript><object>other</object><p class="notice-of-award">Award</p><div class="related-work">Work</div>{}</article>'
+    boxes = '<div class="ad-slot">Buy</div><ul class="comment-list"><li>Me too</li></ul><p>on <span class="ad">Buy</span> and off</p>'
+    want = "Let x=1 be\n\nplain\n\nother\n\nAward\n\nWork"
+    assert html_text.main_text(article.format(""), None) == want
+    assert html_text.main_text(article.format(boxes), None) == want + "\n\non and off"
+    # the host's pages have the box in the same place: no text of the article
+    assert html_text.main_text(article.format(""), "article", ["article>div.related-work"]) == want.replace("\n\nWork", "")
+
+
+def test_furniture_by_consensus(spark):
+    body = lambda i, box: f'<body><article><p>{"words of the page. " * 9}{i}</p><div class="{box}">Box {i}</div></article></body>'
+    rows = [(i, f"http://a.example/{i}", body(i, "related-stuff")) for i in range(4)] + [(10 + i, "http://b.example/x", body(i, "related-stuff" if i < 2 else "own")) for i in range(5)]
+    got = {r["page_id"]: "Box" in r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: False for i in range(4)} | {10 + i: True for i in range(5)}
+
+
+def test_deep_and_long_pages():
+    deep = '<div class="c">' * 40_000 + "<p>" + "hello there " * 20 + "</p>" + "</div>" * 40_000
+    started = time.perf_counter()
+    path, good, parts = html_text.vote(deep)
+    assert time.perf_counter() - started < 5  # a second or so; with the square of the depth it took minutes
+    assert path.count(">") == 39_999 and html_text.main_text(deep, path) == ("hello there " * 20).strip()
+    long = "<article>" + "<p>some words here</p>" * 30_000 + "</b>" * 30_000 + "</article>"
+    assert html_text.main_text(long, None).count("\n\n") == 29_999
+
+
+def test_tied_votes(spark):
+    box = lambda name: f"<body><div class='{name}'><p>{'same words here. ' * 12}</p></div></body>"
+    rows = [(i, "http://t.example/", box("ab"[i % 2])) for i in range(6)]
+    got = html_text.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [(r["path"], r["votes"]) for r in got] == [("body>div.b", 3)]
+
+
+class Plain(HTMLParser):
+    """A brute-force extractor for well-formed pages: a tree, then a walk."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = self.at = ["", {}, [], None]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs), [], self.at]
+        self.at[2].append(node)
+        self.at = node if tag not in ("br", "hr", "img", "input") else self.at
+
+    def handle_endtag(self, tag):
+        self.at = self.at[3] if self.at[0] == tag else self.at
+
+    def handle_data(self, data):
+        self.at[2].append(data)
+
+    def text(self, wanted="article"):
+        out, run = [], []
+
+        def flush():
+            if x := " ".join("".join(run).split()):
+                out.append(x)
+            run.clear()
+
+        def walk(node, inside):
+            if isinstance(node, str):
+                run.append(node if inside else "")
+                return
+            tag, attrs, children, _ = node
+            if tag in ("script", "style", "nav", "aside", "form", "footer", "header") or attrs.get("class") in ("ad", "comments", "cookie-notice", "share"):
+                flush()
+                return
+            block = tag not in ("b", "i", "a", "span", "br")
+            flush() if block else None
+            run.append(" " if tag == "br" else "")
+            for child in children:
+                walk(child, inside or tag == wanted)
+            flush() if block else None
+
+        walk(self.root, False)
+        return "\n\n".join(out)
+
+
+def test_against_a_plain_walk():
+    r = random.Random(11)
+    word = lambda: r.choice(["alpha", "beta &amp; gamma", "d&eacute;lta", "&lt;tag&gt;", "x  y", "zeta\n"])
+    words = lambda n: " ".join(word() for _ in range(n))
+
+    def block(depth=0):
+        kind = r.randrange(9)
+        if kind < 3 or depth > 3:
+            return f"<p>{words(4)} <b>{words(2)}</b><br>{words(3)} <a href='#'>{word()}</a> {words(6)}</p>"
+        if kind == 3:
+            return "<ul>" + "".join(f"<li>{words(3)}</li>" for _ in range(r.randrange(1, 4))) + "</ul>"
+        if kind == 4:
+            return f"<table><tr><td>{words(2)}</td><th>{word()}</th></tr></table>"
+        if kind == 5:
+            return f'<div class="{r.choice(["ad", "comments", "share"])}"><p>{words(5)}</p></div>'
+        if kind == 6:
+            return f"<script>var a='<p>{word()}</p>';</script><style>p{{}}</style><!-- <p>no</p> -->"
+        return f'<div class="{r.choice(["part", "section-2", "x"])}">' + "".join(block(depth + 1) for _ in range(r.randrange(1, 4))) + "</div>"
+
+    for _ in range(150):
+        article = "<article><h1>" + words(3) + "</h1>" + "".join(block() for _ in range(r.randrange(1, 8))) + f"<p>{words(30)}</p></article>"
+        html = f"<html><head><title>t</title></head><body><header>{words(3)}</header><nav><ul><li>{word()}</li></ul></nav><div class='cookie-notice'>{words(4)}</div><div>{article}</div><aside><p>{words(40)}</p></aside><form>{words(2)}</form><footer>{words(3)}</footer></body></html>"
+        path = html_text.vote(html)[0]
+        assert html_text.main_text(html, path) == html_text.main_text(html, None) == Plain(html).text()
+
+
 def test_article_beside_the_hosts_path():
     half = lambda name: f"<p>{name} {'has words of the article in it. ' * 8}</p>"
     split = f"<body><div class='wrap'><div class='post'>{half('First')}</div><div class='more'>{half('Second')}</div></div><div class='box'><p>tail</p></div></body>"
