@@ -7,14 +7,16 @@ bit-parallel distance, from the inside out: of k + 1 pieces with at most k error
 of ever larger runs of pieces has fewer errors than pieces at every step, so a chance hit
 ends after a few characters and no passage is lost.
 
-Texts and items are compared in lower case with white space folded to one blank.  Items with
-a budget of zero must stand between non-word characters.  Null and empty items match
+Texts and items are compared in lower case with white space folded to one blank, by one rule
+at every length: an item shorter than a budget of one needs is found wherever it stands.
+``whole_words`` (off by default) keeps passages that stand between non-word characters only.
+Myers' distance run backwards from a passage's end gives its start.  Null and empty items match
 nothing; null and empty texts hold nothing; repeated items are matched each under its own
 id; a null document id is carried through; texts are searched whole; empty tables give empty
 results; other columns are never read.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` characters, a bound that is
-checked; a larger one makes more passes over the documents.
+The benchmark is broadcast in blocks, filled item by item up to ``BLOCK_CHARS`` characters (an
+item above that is a block of its own); a larger one makes more passes over the documents.
 """
 
 from __future__ import annotations
@@ -41,10 +43,11 @@ def masks(pattern: str) -> dict[str, int]:
     return out
 
 
-def myers(peq: dict[str, int], m: int, text: str, budget: int) -> tuple[int, int]:
+def myers(peq: dict[str, int], m: int, text: str, budget: int, anchored: bool = False) -> tuple[int, int]:
     """Least edits between the pattern and any part of ``text``, and where that part ends.
 
-    Above the budget the distance given is budget + 1.
+    Above the budget the distance given is budget + 1.  ``anchored``: parts from the text's
+    start only.
     """
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, end = full, 0, m, budget + 1, -1
@@ -58,7 +61,7 @@ def myers(peq: dict[str, int], m: int, text: str, budget: int) -> tuple[int, int
             score += 1
         elif mh & top:
             score -= 1
-        ph <<= 1
+        ph = ph << 1 | anchored
         pv = (mh << 1 | ~(xv | ph)) & full
         mv = ph & xv & full
         if score < best:
@@ -69,12 +72,12 @@ def myers(peq: dict[str, int], m: int, text: str, budget: int) -> tuple[int, int
 class Item:
     """A test item, its pieces, and the runs of pieces above each."""
 
-    def __init__(self, item_id: int, text: str, percent: int = PERCENT):
-        self.id, self.text = item_id, fold(text)
+    def __init__(self, item_id: int, text: str, percent: int = PERCENT, whole_words: bool = False):
+        self.id, self.text, self.whole_words = item_id, fold(text), whole_words
         self.budget = min(len(self.text) * percent // 100, max(0, len(self.text) - 1))
         n = self.budget + 1
         self.cuts = [len(self.text) * i // n for i in range(n + 1)]
-        self._masks: dict[tuple[int, int], dict[str, int]] = {}
+        self._masks: dict[tuple[int, int, int], dict[str, int]] = {}
 
     def runs(self, piece: int) -> list[tuple[int, int]]:
         """Ever larger runs of pieces that hold this one, up to the whole item."""
@@ -87,32 +90,39 @@ class Item:
 
     def verify(self, doc: str, piece: int, start: int) -> tuple[int, int, int] | None:
         """(distance, start, end) of a passage around an exact hit of a piece at ``start``."""
-        if not self.budget:
-            end = start + len(self.text)
-            alone = (start == 0 or not doc[start - 1].isalnum()) and (end == len(doc) or not doc[end].isalnum())
-            return (0, start, end) if alone else None
-        found = None
+        found = (0, start, start + len(self.text)) if not self.budget else None
         for low, high in self.runs(piece):
             budget = high - low - 1
             a, b = self.cuts[low], self.cuts[high]
             begin = max(0, start - (self.cuts[piece] - a) - budget)
             window = doc[begin : start + (b - self.cuts[piece]) + budget]
-            key = (low, high)
-            if key not in self._masks:
-                self._masks[key] = masks(self.text[a:b])
-            distance, end = myers(self._masks[key], b - a, window, budget)
+            distance, end = myers(self._of(a, b, 1), b - a, window, budget)
             if distance > budget:
                 return None
             found = distance, begin, begin + end
+        distance, _, end = found
+        if distance:  # backwards from the end, to where the passage starts
+            m = len(self.text)
+            _, size = myers(self._of(0, m, -1), m, doc[max(0, end - m - distance) : end][::-1], distance, anchored=True)
+            found = distance, end - size, end
+        else:
+            found = 0, end - len(self.text), end
+        if self.whole_words and (found[1] and doc[found[1] - 1].isalnum() or end < len(doc) and doc[end].isalnum()):
+            return None
         return found
 
+    def _of(self, a: int, b: int, step: int) -> dict[str, int]:
+        if (a, b, step) not in self._masks:
+            self._masks[a, b, step] = masks(self.text[a:b][::step])
+        return self._masks[a, b, step]
 
-def matcher(items: list[tuple[int, str]], percent: int = PERCENT):
+
+def matcher(items: list[tuple[int, str]], percent: int = PERCENT, whole_words: bool = False):
     """The automaton over all pieces; each has the (item, piece) it stands for."""
     import ahocorasick
 
     machine, own = ahocorasick.Automaton(), {}
-    made = [x for x in (Item(i, t, percent) for i, t in items) if x.text]
+    made = [x for x in (Item(i, t, percent, whole_words) for i, t in items) if x.text]
     for item in made:
         for p in range(item.budget + 1):
             own.setdefault(item.text[item.cuts[p] : item.cuts[p + 1]], []).append((item, p))
@@ -143,29 +153,33 @@ def search(machine, text: str) -> dict[int, tuple[int, int, int]]:
 
 
 @functools.lru_cache(maxsize=2)
-def _machine(items: tuple[tuple[int, str], ...], percent: int):
-    return matcher(list(items), percent)
+def _machine(items: tuple[tuple[int, str], ...], percent: int, whole_words: bool):
+    return matcher(list(items), percent, whole_words)
 
 
 def _tables(benchmark: DataFrame, block_chars: int, item_col: str, item_text_col: str) -> Iterator:
     """Broadcasts of the items, each of at most a block."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.char_length("text") + 16)).first()[0] or 0
-    blocks = 1 if size <= block_chars else -(-2 * size // block_chars)
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield spark.sparkContext.broadcast(tuple(sorted((r[0], r[1]) for r in part.collect())))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    block, size, made = [], 0, 0
+    for r in items.orderBy("item_id", "text").toLocalIterator():
+        if block and size + len(r["text"]) > block_chars:
+            yield spark.sparkContext.broadcast(tuple(block))
+            block, size, made = [], 0, made + 1
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+    if block or not made:
+        yield spark.sparkContext.broadcast(tuple(block))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, whole_words: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): each item's best passage in each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for table in _tables(benchmark, block_chars, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            machine = _machine(table.value, percent)
+            machine = _machine(table.value, percent, whole_words)
             for batch in batches:
                 found = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -179,13 +193,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_chars: int = BLOCK_CHARS, whole_words: bool = False, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark; no shuffle."""
     at = docs.columns.index(text_col)
     for table in _tables(benchmark, block_chars, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            machine = _machine(table.value, percent)
+            machine = _machine(table.value, percent, whole_words)
             for batch in batches:
                 yield batch.filter(pa.array([not (x.is_valid and search(machine, x.as_py())) for x in batch.column(at)], pa.bool_()))
 
