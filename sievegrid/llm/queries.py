@@ -59,8 +59,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive, freq = rans.write_archive(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
-    return rans.read_archive(archive, freq, keep_ids=False)
+    path = rans.write_archive(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return rans.read_archive(spark, path, keep_ids=False)
 
 
 __all__ = ["ORACLES", "QUERIES"]

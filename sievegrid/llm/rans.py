@@ -6,9 +6,13 @@ take turns, so all lanes step together in vector operations.  Checkpoints (state
 position) let a decoder start inside a block, and checksums cover the header, the stream and
 the ids.
 
-File format of a block, little-endian:
-  magic "SGR1", u32 documents, u64 ids, u32 lanes, u32 precision bits, u32 stream words,
-  u32 checkpoints, i64 document ids, u8 null flags, u64 ids of each document,
+An archive is a folder that needs nothing else: ``table`` with the frequency table, ``blocks``
+with the blocks in files that ascend with the document ids.  Both are little-endian.
+
+File format of the table: magic "SGT1", u32 precision bits, u32 symbols, u32 frequency of each
+symbol, u32 crc32 of everything before.  That of a block:
+  magic "SGR2", u32 documents, u64 ids, u32 lanes, u32 precision bits, u32 stream words,
+  u32 checkpoints, u32 crc32 of the table, i64 document ids, u8 null flags, u64 ids of each document,
   checkpoints of (u32 step, u32 word position, u64 states), u64 first states,
   u32 stream, u32 crc32 of the ids (as u32), u32 crc32 of everything before.
 
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
@@ -33,8 +37,9 @@ from .tokens import token_rows
 
 LANES, BITS, BLOCK_IDS, CHECK_STEPS = 512, 20, 1 << 17, 128
 LOW = 1 << 31
+BLOCKS = "part int, seq long, first_start long, n_tokens long, block binary"
 _HEAD = struct.Struct("<4sIQIIIII")
-MAGIC = b"SGR1"
+MAGIC, TABLE = b"SGR2", b"SGT1"
 
 
 def frequencies(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -56,9 +61,24 @@ def frequencies(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
     return freq
 
 
+def table_bytes(freq: np.ndarray, bits: int = BITS) -> bytes:
+    body = struct.pack("<4sII", TABLE, bits, len(freq)) + freq.astype("<u4").tobytes()
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def table_of(raw: bytes) -> tuple[np.ndarray, int]:
+    """The frequencies and precision bits of a table; its checksum is verified."""
+    if zlib.crc32(memoryview(raw)[:-4]) != struct.unpack("<I", raw[-4:])[0]:
+        raise ValueError("table checksum differs")
+    magic, bits, n = struct.unpack_from("<4sII", raw)
+    if magic != TABLE:
+        raise ValueError("not a table of this format")
+    return np.frombuffer(raw, "<u4", n, 12).astype(np.int64), bits
+
+
 class Coder:
     def __init__(self, freq: np.ndarray, bits: int = BITS):
-        self.bits = bits
+        self.bits, self.check = bits, zlib.crc32(table_bytes(freq, bits)[:-4])
         self.freq = freq.astype(np.uint64)
         self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
         self.limit = self.freq << np.uint64(31 - bits + 32)
@@ -107,7 +127,7 @@ class Coder:
 
 def write_block(coder: Coder, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     states, stream, marks = coder.encode(ids)
-    parts = [_HEAD.pack(MAGIC, len(doc_ids), len(ids), LANES, coder.bits, len(stream), len(marks), 0)]
+    parts = [_HEAD.pack(MAGIC, len(doc_ids), len(ids), LANES, coder.bits, len(stream), len(marks), coder.check)]
     parts += [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), lengths.astype("<u8").tobytes()]
     for t, at, x in marks:
         parts += [struct.pack("<II", t, at), x.astype("<u8").tobytes()]
@@ -120,9 +140,11 @@ def read_block(coder: Coder, block: bytes, from_mark: int = -1) -> tuple[list[in
     """Document ids, their numbers of ids, and the ids (from a checkpoint on, if one is named)."""
     if zlib.crc32(memoryview(block)[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("block checksum differs")
-    magic, docs, n, lanes, bits, words, marks, _ = _HEAD.unpack_from(block)
-    if magic != MAGIC or bits != coder.bits:
+    magic, docs, n, lanes, bits, words, marks, check = _HEAD.unpack_from(block)
+    if magic != MAGIC:
         raise ValueError("not a block of this format")
+    if bits != coder.bits or check != coder.check:
+        raise ValueError("the block was written with another table")
     at = _HEAD.size
     doc_ids = np.frombuffer(block, "<i8", docs, at)
     null = np.frombuffer(block, "u1", docs, at + 8 * docs)
@@ -157,15 +179,17 @@ def count_symbols(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def write_archive(docs: DataFrame, tokenizer: str, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """Encode all documents; returns the blocks as read back from the files, and the table.
+def write_archive(docs: DataFrame, tokenizer: str, parts: int | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Encode all documents into an archive at ``path`` (a new one in the shared folder by default); returns the path.
 
     Blocks: (part, seq, first_start, n_tokens, block); parts ascend with the document ids.
     """
     spark = docs.sparkSession
+    path = path or store.new_path(spark, "rans-archive")
     rows = store.keep(token_rows(docs, tokenizer, histogram=True, id_col=id_col, text_col=text_col), "rans-tokens")
     freq = frequencies(count_symbols(rows))
     table = spark.sparkContext.broadcast(freq)  # one number a symbol of the vocabulary
+    spark.createDataFrame([(bytearray(table_bytes(freq)),)], "frequencies binary").coalesce(1).write.parquet(f"{path}/table")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.where("counts is null").select("doc_id", "n_tokens", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
 
@@ -203,21 +227,59 @@ def write_archive(docs: DataFrame, tokenizer: str, parts: int | None = None, id_
         if held:
             yield flush()
 
-    archive = store.keep(ordered.mapInArrow(encode, "part int, seq long, first_start long, n_tokens long, block binary"), "rans-archive", "none")
-    return archive, freq
+    blocks = ordered.mapInArrow(encode, BLOCKS)
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    store.drop(rows)
+    return path
+
+
+def opened(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray, int]:
+    """An archive's blocks, and its table's frequencies and precision bits."""
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), *table_of(bytes(spark.read.parquet(f"{path}/table").first()["frequencies"]))
 
 
-def read_archive(archive: DataFrame, freq: np.ndarray, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]): every document from the blocks."""
+def _bases(blocks: DataFrame) -> dict[int, int]:
+    """Ids before each file's first."""
     base, done = {}, 0
-    for r in sorted(archive.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # one number a file
+    for r in sorted(blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # one number a file
         base[r["part"]] = done
         done += r["n"]
+    return base
+
+
+def read_range(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """(start, ids binary): the ids from ``low`` up to ``high`` of the whole run, in pieces.
+
+    Only blocks that hold some are read, each from the last checkpoint before them on.
+    """
+    blocks, freq, bits = opened(spark, path)
+    base, table = _bases(blocks), spark.sparkContext.broadcast(freq)
+    bases = spark.createDataFrame([(k, v) for k, v in base.items()], "part int, base long")  # one row a file
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(table.value, bits)
+        for batch in batches:
+            for first, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a = max(0, low - first)
+                mark = a // (LANES * CHECK_STEPS) - 1
+                raw = block.as_buffer().to_pybytes()
+                done = 0 if mark < 0 else (mark + 1) * LANES * CHECK_STEPS
+                ids = read_block(coder, raw, mark)[2][a - done : high - first - done].astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([first + a]), pa.array([ids.tobytes()], pa.binary())], names=["start", "ids"])
+
+    chosen = blocks.join(F.broadcast(bases), "part").select((F.col("base") + F.col("first_start")).alias("begin"), "n_tokens", "block").where((F.col("begin") < high) & (F.col("begin") + F.col("n_tokens") > low))
+    return chosen.select("begin", "block").mapInArrow(decode, "start long, ids binary")
+
+
+def read_archive(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]): every document of an archive."""
+    archive, freq, bits = opened(spark, path)
+    base = _bases(archive)
     table = archive.sparkSession.sparkContext.broadcast(freq)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(table.value)
+        coder = Coder(table.value, bits)
         for batch in batches:
             for part, first, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
                 doc_ids, lengths, ids = read_block(coder, block.as_buffer().to_pybytes())

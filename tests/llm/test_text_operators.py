@@ -295,11 +295,13 @@ def test_decontamination(spark, docs):
     planted = [(1, f"before {item} after"), (2, f"x {edited.replace(' ', chr(10), 3)} y"), (3, broken), (4, "azqb"), (5, "a zq b"), (None, item), (6, None), (7, "")]
     rows = frame(spark, planted + [d for d in docs if d[0]])
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(rows, bench).collect()}
-    assert got == {(1, 1): 0, (2, 1): 2, (5, 4): 0, (None, 1): 0}
+    assert got == {(1, 1): 0, (2, 1): 2, (4, 4): 0, (5, 4): 0, (None, 1): 0}
+    whole = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(rows, bench, whole_words=True).collect()}
+    assert whole == got.keys() - {(4, 4)}
     blocks = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(rows, bench, block_chars=50).collect()}
     assert blocks == got
     kept = decontaminate.clean(rows, bench)
-    assert kept.columns == rows.columns and kept.count() == rows.count() - 4
+    assert kept.columns == rows.columns and kept.count() == rows.count() - 5
     assert decontaminate.matches(empty(spark), bench).count() == 0
     assert decontaminate.matches(rows, bench.where("false")).count() == 0
 
@@ -328,8 +330,30 @@ def test_pigeonhole_loses_nothing():
         if not item:
             continue
         budget = decontaminate.Item(1, item, 15).budget
-        if budget:
-            assert (1 in decontaminate.search(decontaminate.matcher([(1, item)], 15), text)) == (edits(item, text) <= budget)
+        found = decontaminate.search(decontaminate.matcher([(1, item)], 15), text)
+        assert (1 in found) == (edits(item, text) <= budget)
+        if found:  # the passage given is at the distance given
+            distance, start, end = found[1]
+            assert distance <= budget and levenshtein(item, text[start:end]) == distance
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, e in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+        row = new
+    return row[-1]
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    """A passage at the very end of a long text, and an item longer than a block of the benchmark."""
+    item = " ".join(f"word{i * 7919 % 1000}" for i in range(400))
+    rows = frame(spark, [(1, "x " * 300_000 + item.replace("word5 ", "ward5 ")), (2, "x " * 300_000)])
+    bench = spark.createDataFrame([(1, item), (2, "x y z")], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["end"]) for r in decontaminate.matches(rows, bench, block_chars=100).collect()]
+    assert got == [(1, 1, 600_000 + len(item))]
 
 
 def library_ids(path, docs):
@@ -404,15 +428,37 @@ def test_rans_coder():
 
 
 def test_rans_archive(spark, docs, df):
-    archive, freq = rans.write_archive(df, BYTES, parts=3)
-    got = sorted(rans.read_archive(archive, freq).collect(), key=lambda r: r["start"])
+    path = rans.write_archive(df, BYTES, parts=3)
+    got = sorted(rans.read_archive(spark, path).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in docs), key=lambda i: (i is not None, i))
     at = 0
     for r in got:
         assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
         at += r["n_tokens"]
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == Counter((i, x.tobytes()) for (i, _), x in zip(docs, library_ids(BYTES, docs)))
-    assert rans.read_archive(*rans.write_archive(empty(spark), BYTES)).collect() == []
+    assert rans.read_archive(spark, rans.write_archive(empty(spark), BYTES)).collect() == []
+
+
+def test_archive_needs_its_path_only(spark, docs, df):
+    """A fresh session reads it, whole and from every checkpoint; a table that isn't its own is refused."""
+    long = frame(spark, [d for d in docs if d[0] is not None] + [(9000 + i, " ".join(f"t{i}x{k}" for k in range(60_000))) for i in range(2)])
+    path = rans.write_archive(long, BYTES, parts=1)
+    fresh = spark.newSession()
+    whole = b"".join(bytes(r["ids"]) for r in sorted(rans.read_archive(fresh, path).collect(), key=lambda r: r["start"]))
+    step, total = rans.LANES * rans.CHECK_STEPS, len(whole) // 4
+    assert total > 4 * step
+    for low in [0, 5, *range(step, total, step), total - 1]:
+        pieces = sorted(rans.read_range(fresh, path, low, min(total, low + step + 3)).collect())
+        assert pieces[0]["start"] == low and b"".join(bytes(r["ids"]) for r in pieces) == whole[4 * low : 4 * (low + step + 3)]
+    blocks, freq, bits = rans.opened(fresh, path)
+    other = freq.copy()
+    other[np.argmax(freq)] -= 1
+    other[np.argmin(freq)] += 1
+    with pytest.raises(ValueError, match="another table"):
+        rans.read_block(rans.Coder(other, bits), bytes(blocks.first()["block"]))
+    raw = rans.table_bytes(freq)
+    with pytest.raises(ValueError, match="table checksum"):
+        rans.table_of(raw[:50] + bytes([raw[50] ^ 1]) + raw[51:])
 
 
 def brute_repeats(w, least):
