@@ -10,8 +10,8 @@ with their similarities.
 
 Learning uses only rows with labels that ``labels`` gives; ids, language, source and labels
 are never inputs of a score.  Null labels and labels whose document is absent are left out.
-Null and empty texts have a zero vector and get the prior of an even vote, 0 (they hold
-nothing worth keeping); repeated ids are scored each; with fewer labels than neighbours all
+Null and empty texts have a zero vector, to which nothing is similar: no neighbour votes, and
+their score is 0; repeated ids are scored each; with fewer labels than neighbours all
 labelled rows vote; with no labels every score is the neutral 0.5; ties among neighbours are
 settled by their fixed order; empty tables give empty results; other columns are never read.
 """
@@ -82,10 +82,13 @@ class Voter:
         df = (rows > 0).sum(0)
         self.idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
         x = _unit(rows * self.idf)
-        # right singular vectors by the eigenvectors of the small side, a quarter of the memory
-        power, left = np.linalg.eigh((x @ x.T).astype(np.float64))
-        left, size = left[:, ::-1][:, :latent], np.sqrt(np.maximum(power[::-1][:latent], 1e-9))
-        self.axes = (x.T @ left.astype(np.float32)) / size.astype(np.float32)
+        # leading right singular vectors by subspace iteration: a few thin matrices beside the sample
+        thin = np.random.default_rng(1).standard_normal((x.shape[1], min(latent + 16, len(x)))).astype(np.float32)
+        for _ in range(12):
+            thin = x.T @ np.linalg.qr(x @ np.linalg.qr(thin)[0])[0]
+        base = np.linalg.qr(thin)[0]
+        turn = np.linalg.svd(x @ base, full_matrices=False)[2]
+        self.axes = base @ turn[:latent].T
         self.vectors = _unit(x @ self.axes)
         # each class has the same say: votes are weighted by one over its size
         size = np.array([max(1.0, (labels == c).sum()) for c in (0, 1)], np.float32)
