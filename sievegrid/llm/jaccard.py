@@ -10,7 +10,10 @@ exchange that tells it which of them others bring too.  As two linked sets diffe
 with fewer shared ones have no links and go no further, so passages and lines that stand in
 otherwise different texts don't bring these together.  Of the documents that hold a shingle
 then, the most central one (with the largest part of its shingles shared) is the pivot that
-they have in common.  A document's pivots are few: its region and those it borders on.
+they have in common.  A document's pivots are few, its region and those it borders on: it
+leaves out those that stand for less than half of what it must share with a linked one, as two
+documents still have a pivot in common then.  In every region those without a partner, judged
+by the shingles that were brought, leave before whole sets travel.
 
 Regions.  Every pivot is a Voronoi region with the documents that chose it.  Inside, members'
 exact distances to pivots decide: those within r of a pivot are in its component at once;
@@ -37,12 +40,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import components, exchange, store
 from . import kernel as K
-from .regions import Region
+from .regions import Region, drawn, least_shared, with_partners
 
 WORDS = 5
 PERCENT = 80
@@ -106,7 +109,7 @@ def candidates(docs: DataFrame, percent: int = PERCENT, extra: int = EXTRA) -> D
         for low, high, keys, bounds in _blocks(batch):
             # keys ascend within a row
             size = np.diff(bounds)
-            take = np.minimum(size, -(-share * size // 100) + 1)
+            take = drawn(size, share)
             row = np.repeat(np.arange(len(size)), take)
             found.append(keys[bounds[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)])
             owners.append(ids[low:high][row])
@@ -115,24 +118,55 @@ def candidates(docs: DataFrame, percent: int = PERCENT, extra: int = EXTRA) -> D
     return exchange.shared_keys(docs.where("doc_id is not null"), keys_of, 1 << 62, "shingles")[0]
 
 
-def chosen_pivots(found: DataFrame, sizes: DataFrame, percent: int = PERCENT, extra: int = EXTRA) -> DataFrame:
-    """(doc_id, pivot): each document that may have links with the pivots it shares a shingle with.
+def chosen_pivots(found: DataFrame, sizes: DataFrame, percent: int = PERCENT, extra: int = EXTRA, chunk: int = 2 * CHUNK) -> DataFrame:
+    """(doc_id, pivot): the documents that may have links, with the pivots in whose regions they may.
 
-    ``sizes`` has (doc_id, n): the documents to regard and their least set size.
+    ``sizes`` has (doc_id, n): the documents to regard and their set size, 0 for an id with several
+    texts, which is spared all tests by size.  Regions of more than ``chunk`` documents are not
+    looked into.
     """
+    share = 100 - percent + extra
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            size = np.array([len(k) for k in keys], np.int64)
-            apart = 1 - size / np.maximum(batch.column(2).to_numpy(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(apart, size))], names=["doc_id", "key", "apart"])
+            size, n = np.array([len(k) for k in keys], np.int64), batch.column(2).to_numpy()
+            spare = (least_shared(n, percent, share) - 1) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(1 - size / np.maximum(n, 1), size)), pa.array(np.repeat(spare, size))], names=["doc_id", "key", "apart", "spare"])
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def one() -> pa.RecordBatch:
+            ids, n = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+            keys = [h[2] for h in held]
+            # rows of one id are told apart by nothing here, and none has its partner in another
+            some = with_partners(np.concatenate(keys), np.append(0, np.cumsum([len(k) for k in keys])), n, ids, percent, share)
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(np.full(int(some.sum()), at))], names=["doc_id", "pivot"])
+
+        for batch in batches:
+            for pivot, doc, n, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if pivot != at and held:
+                    yield one()
+                    held = []
+                at = pivot
+                held.append((doc, n, np.frombuffer(keys.as_buffer(), np.uint64).copy()))
+        if held:
+            yield one()
 
-    enough = F.octet_length("keys") / 8 > F.floor(F.lit(extra * percent) * F.col("n") / 10000)
-    entries = store.keep(found.join(sizes, "doc_id").where(enough).select("doc_id", "keys", "n").mapInArrow(spread, "doc_id long, key long, apart double"), "entries")
+    enough = F.octet_length("keys") / 8 >= F.floor(F.lit(extra * percent) * F.col("n") / 10000) + 1
+    kept = store.keep(found.join(sizes, "doc_id").where(enough).select("doc_id", "keys", "n"), "candidates", "none")
+    entries = kept.mapInArrow(spread, "doc_id long, key long, apart double, spare long")
     # the least is found before it shuffles, and the join's skewed side can be split
     least = entries.groupBy("key").agg(F.min(F.struct("apart", F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    return entries.join(least.select("key", F.col("p.doc_id").alias("pivot")), "key").where("doc_id != pivot").select("doc_id", "pivot").distinct()
+    shared = entries.join(least.select("key", F.col("p.doc_id").alias("pivot")), "key").groupBy("doc_id", "pivot").agg(F.count("*").alias("m"), F.first("spare").alias("spare"))
+    rising = Window.partitionBy("doc_id").orderBy("m", "pivot").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = store.keep(shared.withColumn("sum", F.sum("m").over(rising)).where("sum > spare or doc_id = pivot").select("doc_id", "pivot"), "chosen")
+    counts = chosen.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1")
+    large = chosen.join(counts.where(F.col("m") > chunk).select("pivot"), "pivot", "left_semi")
+    small = chosen.join(counts.where(F.col("m") <= chunk).select("pivot"), "pivot", "left_semi").join(kept, "doc_id").select("pivot", "doc_id", "n", "keys")
+    sifted = small.repartition(exchange.partitions(kept.sparkSession), "pivot").sortWithinPartitions("pivot").mapInArrow(sift, "doc_id long, pivot long")
+    return sifted.unionByName(large.select("doc_id", "pivot"))
 
 
 def _joined(units: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +226,8 @@ def _with_sets(docs: DataFrame, units: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, pivots: DataFrame, sizes: DataFrame, percent: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """(a, b) links that make up the components of all documents with pivots."""
-    members = store.keep(pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot").distinct()), "members")
+    # a pivot that has no partner itself still tells its region's distances apart
+    members = store.keep(pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot")).distinct(), "members")
     totals = members.join(sizes, "doc_id").groupBy("pivot").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("m") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
     large = store.keep(totals.select("pivot", chunks.alias("k")).where("k > 1"), "large-regions")
@@ -226,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     # a row a document: the representatives of its texts (several if rows share an id)
     reps = store.keep(named.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.array_sort(F.collect_set("rep")).alias("all"), F.min("n").alias("n"), F.max("n").alias("most")), "representatives")
     stands = reps.where(F.array_contains("all", F.col("doc_id")))
-    pivots = store.keep(chosen_pivots(candidates(rows, percent), stands.select("doc_id", "n"), percent), "pivots")
+    pivots = store.keep(chosen_pivots(candidates(rows, percent), stands.select("doc_id", F.when(F.size("all") == 1, F.col("n")).otherwise(0).alias("n")), percent), "pivots")
     links = _links(rows, pivots, stands.select("doc_id", F.col("most").alias("n")), percent, chunk, chunk_bytes)
     same = reps.where("size(all) > 1").select(F.explode("all").alias("a"), F.col("rep").alias("b")).where("a != b")
     labels = store.keep(components.components(links.unionByName(same)), "labels")

@@ -54,33 +54,37 @@ class Links:
                 self.found.append((x, y))
 
 
-class Region:
-    """Sets as flat keys with bounds; ``percent`` is the similarity from which two link."""
+class Shared:
+    """Rows of keys as a 0/1 matrix over the keys that rows share.
 
-    def __init__(self, keys: np.ndarray, bounds: np.ndarray, ids: np.ndarray, percent: int):
-        self.percent, self.size, self.links = percent, np.diff(bounds), Links(ids)
-        self.apart = 1 - percent / 100 + 1e-9
-        column, row = np.unique(keys, return_inverse=True)[1], np.repeat(np.arange(len(self.size)), self.size)
-        self.active = np.ones(len(self.size), bool)
+    ``least``: how many of its keys each row must share with others to take part at all.
+    """
+
+    def __init__(self, keys: np.ndarray, bounds: np.ndarray, least: np.ndarray):
+        n = len(bounds) - 1
+        column, row = np.unique(keys, return_inverse=True)[1], np.repeat(np.arange(n), np.diff(bounds))
+        self.active = np.ones(n, bool)
         while True:
             count = np.bincount(column)
-            shared = count[column] > 1  # a shingle of one set adds to no intersection
-            held = np.bincount(row[shared], minlength=len(self.size))
-            still = self.active & (100 * held >= percent * self.size)
+            shared = count[column] > 1  # a key of one row adds to no intersection
+            still = self.active & (np.bincount(row[shared], minlength=n) >= least)
             keep = still[row] & shared
-            if still.sum() == self.active.sum():
+            column, row = column[keep], row[keep]
+            done = still.sum() == self.active.sum()
+            self.active = still
+            if done:
                 break
-            self.active, column, row = still, column[keep], row[keep]
-        column, row = column[keep], row[keep]
         number = np.unique(column, return_inverse=True)
         self.columns, self.width = number[1], len(number[0])
-        self.rows = np.searchsorted(row, np.arange(len(self.size) + 1))
+        self.rows = np.searchsorted(row, np.arange(n + 1))
 
     def _block(self, rows: np.ndarray, low: int, high: int) -> np.ndarray:
         out = np.zeros((len(rows), high - low), np.float32)
         for i, r in enumerate(rows.tolist()):
             c = self.columns[self.rows[r] : self.rows[r + 1]]
-            out[i, c[np.searchsorted(c, low) : np.searchsorted(c, high)] - low] = 1
+            if high - low < self.width:
+                c = c[np.searchsorted(c, low) : np.searchsorted(c, high)] - low
+            out[i, c] = 1
         return out
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,6 +96,42 @@ class Region:
                 out[:, k : k + _ROWS] += x @ self._block(b[k : k + _ROWS], low, high).T
         return out
 
+
+def drawn(n: np.ndarray, share: int) -> np.ndarray:
+    """How many shingles a set of n brings."""
+    return np.minimum(n, -(-share * n // 100) + 1)
+
+
+def least_shared(n: np.ndarray, percent: int, share: int) -> np.ndarray:
+    """How many of the shingles that it brings a set of n shares with any one that it links with."""
+    return (share - (100 - percent)) * percent * n // 10000 + 1
+
+
+def with_partners(keys: np.ndarray, bounds: np.ndarray, n: np.ndarray, ids: np.ndarray, percent: int, share: int) -> np.ndarray:
+    """Which rows may link with another of these, judged by the shingles of least hash.
+
+    A linked pair has at least percent / (100 + percent) of both sizes in common; of the
+    shingles that x brings the other lacks no more than it lacks of x altogether.
+    """
+    work, brought = Shared(keys, bounds, least_shared(n, percent, share)), drawn(n, share)
+    rows, found = np.flatnonzero(work.active), np.zeros(len(n), bool)
+    for k in range(0, len(rows), LEAF):
+        a = rows[k : k + LEAF]
+        both = -(-percent * (n[a][:, None] + n[rows][None, :]) // (100 + percent))
+        need = np.minimum((brought[a] - n[a])[:, None] + both, (brought[rows] - n[rows])[None, :] + both)
+        near = (work.common(a, rows) >= np.maximum(need, 1)) & (ids[a][:, None] != ids[rows][None, :])
+        found[a] |= near.any(1)
+    return found
+
+
+class Region(Shared):
+    """Sets as flat keys with bounds; ``percent`` is the similarity from which two link."""
+
+    def __init__(self, keys: np.ndarray, bounds: np.ndarray, ids: np.ndarray, percent: int):
+        self.percent, self.size, self.links = percent, np.diff(bounds), Links(ids)
+        self.apart = 1 - percent / 100 + 1e-9
+        super().__init__(keys, bounds, -(-percent * self.size // 100))
+
     def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """d of every row of ``a`` to every row of ``b``; rows that link are joined."""
         common = self.common(a, b).astype(np.int64)
