@@ -52,21 +52,49 @@ def average_hash(values: Column, channels: int = 1, guard_flat: bool = False) ->
 
 
 def gray(values: Column) -> Column:
-    """Luminance of interleaved red, green and blue."""
+    """Luminance of interleaved red, green and blue; values that make no whole pixel are left out."""
     v = doubles(values)
-    pixels = F.sequence(F.lit(0), (F.size(v) / 3).cast("int") - 1)
+    n = F.floor(F.size(v) / 3).cast("int")
+    pixels = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(pixels, lambda i: F.get(v, i * 3) * LUMA[0] + F.get(v, i * 3 + 1) * LUMA[1] + F.get(v, i * 3 + 2) * LUMA[2])
 
 
 def gray_hash(values: Column) -> Column:
-    """Bits above the mean, the first the least significant, as hex; for multiples of four values."""
+    """Bits above the mean, the first the least significant, as hex; the last digit is filled with zeros.
+
+    256 grey values give 64 digits; no values give an empty hash.
+    """
     v = doubles(values)
     m = mean(v)
-    bit = lambda i: (F.get(v, i) > m).cast("int")
-    nibbles = F.transform(F.sequence((F.size(v) / 4).cast("int") - 1, F.lit(0), F.lit(-1)), lambda j: F.lower(F.hex((bit(j * 4) + bit(j * 4 + 1) * 2 + bit(j * 4 + 2) * 4 + bit(j * 4 + 3) * 8).cast("long"))))
+    n = F.ceil(F.size(v) / 4).cast("int")
+    bit = lambda i: F.coalesce((F.get(v, i) > m).cast("int"), F.lit(0))
+    digits = F.when(n > 0, F.sequence(n - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    nibbles = F.transform(digits, lambda j: F.lower(F.hex((bit(j * 4) + bit(j * 4 + 1) * 2 + bit(j * 4 + 2) * 4 + bit(j * 4 + 3) * 8).cast("long"))))
     return F.array_join(nibbles, "")
 
 
+def resample(values: Column, height: int, width: int, channels: int, to_height: int = 16, to_width: int = 16) -> Column:
+    """A row-major image of interleaved channels at another size, each place from the nearest pixel."""
+    v = doubles(values)
+    cells = F.sequence(F.lit(0), F.lit(to_height * to_width * channels - 1))
+
+    def source(i: Column) -> Column:
+        y, x = F.floor(i / (to_width * channels)), F.floor(i / channels) % to_width
+        return ((F.floor(y * height / to_height) * width + F.floor(x * width / to_width)) * channels + i % channels).cast("int")
+
+    return F.transform(cells, lambda i: F.get(v, source(i)))
+
+
+def frame_hash(values: Column, height: int, width: int, guard_flat: bool = False) -> Column:
+    """The average hash of a frame: 16 x 16 pixels of three channels, 1536 hex digits."""
+    return average_hash(resample(values, height, width, 3), 3, guard_flat)
+
+
+def frame_gray_hash(values: Column, height: int, width: int) -> Column:
+    """The grey hash of a frame: 16 x 16 grey values, 256 bits, 64 hex digits."""
+    return gray_hash(gray(resample(values, height, width, 3)))
+
+
 def contrast(values: Column, factor: float) -> Column:
     v, m = doubles(values), mean(values)
     return F.transform(v, lambda x: clamp((x - m) * factor + m))
@@ -82,21 +110,64 @@ def sharpen(values: Column, width: int, strength: float, normalised: bool = Fals
     """3 x 3 kernel on a row-major image, zeros outside.
 
     As specified the kernel sums to 9, so flat areas grow nine times before the clamp; the
-    normalised kernel sums to 1.
+    normalised kernel sums to 1.  Sums over whole shifted arrays: rows of three first, then
+    three of those, so no place is looked up by its number.
+    """
+    v = doubles(values)
+    centre = (1.0 if normalised else 9.0) + 9.0 * strength
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
+    zeros = F.array(*[F.lit(0.0)] * width)
+    # neighbours in the row: what would come from the row before or after is zero
+    left = F.transform(F.concat(F.array(F.lit(0.0)), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0)))), lambda x, i: F.when(i % width == 0, 0.0).otherwise(x))
+    right = F.transform(F.concat(F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), F.array(F.lit(0.0))), lambda x, i: F.when(i % width == width - 1, 0.0).otherwise(x))
+    rows = add(add(left, right), v)
+    above, below = F.slice(F.concat(zeros, rows), 1, F.size(v)), F.slice(F.concat(rows, zeros), width + 1, F.greatest(F.size(v), F.lit(1)))
+    block = add(add(above, below), rows)
+    return F.zip_with(v, block, lambda c, a: clamp(c * centre - a * strength))
+
+
+def dither(values: Column, noise: Column) -> Column:
+    """Bytes by triangular noise and truncation; ``noise`` has a number in [0, 2) for each value, the sum of two even ones."""
+    return F.zip_with(doubles(values), noise, lambda x, r: F.floor(clamp(scrub(x) * 255 + (r - 1), 0.0, 255.0)).cast("int"))
+
+
+def triangular_noise(n: Column, seed: int = 0) -> Column:
+    """Repeatable triangular noise: sums of two even numbers from hashes of the place."""
+    even = lambda i, k: F.pmod(F.xxhash64(i, F.lit(seed * 2 + k)), F.lit(1 << 30)) / float(1 << 30)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: even(i, 0) + even(i, 1))
+
+
+def post_process(values: Column, width: int, sharpness: float = 0.0, contrast_factor: float = 1.0, colour: float = 1.0) -> Column:
+    """Sharpness, then contrast, then saturation; each is left out at its neutral value.
+
+    Sharpness and contrast take the values as one channel, saturation as interleaved colours.
     """
+    out = doubles(values)
+    if sharpness:
+        out = sharpen(out, width, sharpness, normalised=True)
+    if contrast_factor != 1.0:
+        out = contrast(out, contrast_factor)
+    if colour != 1.0:
+        out = saturation(out, colour)
+    return out
+
+
+def split_alpha(values: Column) -> tuple[Column, Column]:
+    """Interleaved red, green, blue and alpha as colours and alpha."""
     v = doubles(values)
-    height = (F.size(v) / width).cast("int")
-    centre = (1.0 if normalised else 9.0) + 8.0 * strength
+    return F.filter(v, lambda _, i: i % 4 < 3), F.filter(v, lambda _, i: i % 4 == 3)
+
 
-    def at(i: Column, dy: int, dx: int) -> Column:
-        y, x = (i / width).cast("int") + dy, i % width + dx
-        return F.when((y >= 0) & (y < height) & (x >= 0) & (x < width), F.get(v, y * width + x)).otherwise(F.lit(0.0))
+def join_alpha(colours: Column, alpha: Column) -> Column:
+    """The alpha of each pixel behind its three colours."""
+    c = doubles(colours)
+    return F.flatten(F.transform(doubles(alpha), lambda a, i: F.array(F.get(c, i * 3), F.get(c, i * 3 + 1), F.get(c, i * 3 + 2), a)))
 
-    def one(c: Column, i: Column) -> Column:
-        around = sum((at(i, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx), F.lit(0.0))
-        return clamp(c * centre - around * strength)
 
-    return F.transform(v, one)
+def with_resized_alpha(values: Column, colours: Column, height: int, width: int, scale: int) -> Column:
+    """The alpha of ``values``, resized, behind colours that were resized already."""
+    alpha = resample(split_alpha(values)[1], height, width, 1, height * scale, width * scale)
+    return join_alpha(colours, alpha)
 
 
 def flatten_alpha(value: Column, alpha: Column) -> Column:

@@ -107,6 +107,7 @@ def pre_downscale_width(width: Column, height: Column, limit: Column) -> Column:
     return F.when((limit > 0) & (height > limit), F.floor(width * (limit.cast("double") / height))).otherwise(width).cast("int")
 
 
+# The tile sizes by scale, the slots by memory and the heights of labels below.
 def auto_tile(model_scale: Column, base: int = 512) -> Column:
     """Tile size by the model's own scale."""
     return F.when(model_scale >= 16, max(128, base // 4)).when(model_scale >= 8, max(192, base // 2)).otherwise(base).cast("int")
@@ -159,3 +160,23 @@ def output_name(mode: Column, name: Column, suffix: Column, own: Column, shared:
 def output_folder(n_images: Column, n_videos: Column, kind: Column, session: Column, many: int = 1) -> Column:
     """A folder of its own kind for a session with several files, the kind's shared folder otherwise."""
     return F.when(n_images + n_videos > many, F.concat(session, F.lit("/"), kind, F.lit("s"))).otherwise(F.concat(kind, F.lit("s")))
+
+
+def with_suffix(name: Column, suffix: str) -> Column:
+    """The name with its last suffix replaced: ``a.b`` becomes ``a.png``, a name without one gets it."""
+    return F.concat(F.regexp_replace(name, r"(?<=[^./])\.[^./]*$", ""), F.lit(suffix))
+
+
+def session_folder(at: Column) -> Column:
+    """A folder name by time."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def speed_up(total: Column, unique: Column, workers: Column) -> Column:
+    """The speed-up that dedupe and parallel work promise, null without unique items."""
+    return F.try_divide(total.cast("double"), unique) * workers
+
+
+def streams_frames(enabled: Column, frames: Column, parallel: Column, has_slots: Column, least: int = 20) -> Column:
+    """Whether a video takes the streaming mode: it is on, worth it, parallel and has slots."""
+    return F.coalesce(enabled & (frames >= least) & parallel & has_slots, F.lit(False))

@@ -7,6 +7,7 @@ Models would be plugged in here; none is installed, so the built-in kernels are
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,15 +16,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 Kernel = Callable[[np.ndarray], np.ndarray]
-_kernels: dict[str, Kernel] = {}
+# architectures that half precision breaks, by a part of the kernel's name
+SINGLE_ONLY = ("dat",)
 
 
-def register(name: str, kernel: Kernel) -> None:
-    _kernels[name] = kernel
+@dataclasses.dataclass(frozen=True)
+class Model:
+    """A kernel with the scale it declares; ``load`` makes it, once for each worker and precision."""
+
+    name: str
+    load: Callable[[str], Kernel]
+    scale: float = 1.0
+
+
+_models: dict[str, Model] = {}
+_loaded: dict[tuple[str, str], Kernel] = {}
+
+
+def register(name: str, kernel: Kernel, scale: float = 1.0) -> None:
+    """A kernel that is the same at any precision."""
+    register_model(Model(name, lambda precision: kernel, scale))
+
+
+def register_model(model: Model) -> None:
+    _models[model.name] = model
 
 
 def names() -> list[str]:
-    return sorted(_kernels)
+    return sorted(_models)
+
+
+def scale_of(name: str) -> float:
+    return _models[name].scale
+
+
+def precision_of(name: str, half: bool | None, has_half: bool = True) -> str:
+    """fp16 or fp32: as asked for, by what there is if nothing is, and never half where that breaks."""
+    if any(x in name.lower() for x in SINGLE_ONLY) or not has_half:
+        return "fp32"
+    return "fp32" if half is False else "fp16"
+
+
+def loaded(model: Model, precision: str) -> Kernel:
+    """The kernel, from this worker's cache if it was loaded before."""
+    key = model.name, precision
+    if key not in _loaded:
+        _loaded[key] = model.load(precision)
+    return _loaded[key]
+
+
+def unload() -> None:
+    """Empty this process's cache."""
+    _loaded.clear()
 
 
 def box_down(x: np.ndarray, factor: int = 4) -> np.ndarray:
@@ -36,19 +80,19 @@ def nearest_up(x: np.ndarray, factor: int = 2) -> np.ndarray:
     return np.repeat(x, factor, 1)
 
 
-register("box_down", box_down)
-register("nearest_up", nearest_up)
+register("box_down", box_down, 0.25)
+register("nearest_up", nearest_up, 2.0)
 
 
-def apply(rows: DataFrame, kernel: str, id_col: str, value_col: str, out: str = "result") -> DataFrame:
+def apply(rows: DataFrame, kernel: str, id_col: str, value_col: str, out: str = "result", precision: str = "fp32") -> DataFrame:
     """(id, result, error): a failing row reports its error and the others go on."""
-    run_kernel = _kernels[kernel]
+    model = _models[kernel]
     field = rows.schema[id_col]
     schema = T.StructType([field, T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
     def one_size(x: list) -> tuple[list | None, str | None]:
         try:
-            return run_kernel(np.asarray(x, float))[:, :].tolist(), None
+            return loaded(model, precision)(np.asarray(x, float))[:, :].tolist(), None
         except Exception as e:  # a kernel's own failure is data
             return None, f"{type(e).__name__}: {e}"
 

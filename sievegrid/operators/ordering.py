@@ -1,7 +1,9 @@
 """Positions over a whole ordered table without one task for all rows.
 
-Rows are counted in blocks of the (integer) order column; a window over the few block totals
-gives each block's start, and a window inside each block the rest.
+Quantiles of the order column cut the table into blocks of about equal numbers of rows,
+however sparse or skewed the values are; a window over the block totals (``BLOCKS`` rows at
+most) gives each block's start, and a window inside each block the rest.  The same blocks cut
+one key's rows, so a key that holds a third of the table is many tasks' work.
 """
 
 from __future__ import annotations
@@ -9,22 +11,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1_000_000
-
-
-def row_numbers(rows: DataFrame, order_col: str, out: str = "rn", block: int = BLOCK) -> DataFrame:
-    """``rows`` with their 1-based position by a distinct integer column."""
-    blocked = rows.withColumn("sg_block", F.floor(F.col(order_col) / block))
+BLOCKS = 1024
+_STEP = 32
+
+
+def _blocked(rows: DataFrame, order_col: str, blocks: int) -> DataFrame:
+    """``rows`` with their block (``sg_block``), -1 for a null order value."""
+    points = [i / blocks for i in range(1, blocks)]
+    # a sketch of bounded size; its errors make blocks uneven, not wrong
+    bounds = rows.agg(F.percentile_approx(order_col, points, 50 * blocks).alias("b")).first()["b"] if points else None
+    bounds = sorted(set(bounds or []))
+    block = F.lit(0)
+    if bounds:
+        # two short searches: among every 32nd bound, then among the 32 that follow
+        coarse, fine = F.array(*map(F.lit, bounds[::_STEP])), F.array(*map(F.lit, bounds))
+        passed = lambda found: F.size(F.filter(found, lambda b: b <= F.col(order_col)))
+        first = (F.greatest(passed(coarse), F.lit(1)) - 1) * _STEP
+        block = F.when(F.col(order_col) < bounds[0], 0).otherwise(first + passed(F.slice(fine, first + 1, _STEP)))
+    return rows.withColumn("sg_block", F.when(F.col(order_col).isNull(), -1).otherwise(block))
+
+
+def row_numbers(rows: DataFrame, order_col: str, out: str = "rn", blocks: int = BLOCKS) -> DataFrame:
+    """``rows`` with their 1-based position by a distinct numeric column; a null order value has no position."""
+    # null order values need no order, so they stay where they are
+    blocked = _blocked(rows, order_col, blocks).withColumn("sg_salt", F.when(F.col("sg_block") < 0, F.spark_partition_id()).otherwise(0))
     before = Window.orderBy("sg_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocked.groupBy("sg_block").agg(F.count("*").alias("sg_n")).select("sg_block", F.coalesce(F.sum("sg_n").over(before), F.lit(0)).alias("sg_start"))
-    inside = Window.partitionBy("sg_block").orderBy(order_col)
-    # a window over one row a block: a millionth of the table
-    return blocked.join(starts, "sg_block").withColumn(out, F.col("sg_start") + F.row_number().over(inside)).drop("sg_block", "sg_start")
+    # a window over one row a block
+    totals = blocked.where("sg_block >= 0").groupBy("sg_block").agg(F.count("*").alias("sg_n"))
+    starts = totals.select("sg_block", F.coalesce(F.sum("sg_n").over(before), F.lit(0)).alias("sg_start"))
+    inside = Window.partitionBy("sg_block", "sg_salt").orderBy(order_col)
+    return blocked.join(F.broadcast(starts), "sg_block", "left").withColumn(out, F.col("sg_start") + F.row_number().over(inside)).drop("sg_block", "sg_salt", "sg_start")
 
 
-def micro_batches(rows: DataFrame, order_col: str, size: int, block: int = BLOCK) -> DataFrame:
+def micro_batches(rows: DataFrame, order_col: str, size: int, blocks: int = BLOCKS) -> DataFrame:
     """``rows`` with the number of their batch of ``size`` rows in order."""
-    return row_numbers(rows, order_col, "sg_rn", block).withColumn("batch_id", F.floor((F.col("sg_rn") - 1) / size)).drop("sg_rn")
+    return row_numbers(rows, order_col, "sg_rn", blocks).withColumn("batch_id", F.floor((F.col("sg_rn") - 1) / size)).drop("sg_rn")
 
 
 def every(position: Column, k: int) -> Column:
@@ -32,19 +53,34 @@ def every(position: Column, k: int) -> Column:
     return position % k == 0
 
 
-def progress(rows: DataFrame, order_col: str, block: int = BLOCK) -> DataFrame:
+def progress(rows: DataFrame, order_col: str, blocks: int = BLOCKS) -> DataFrame:
     """``rows`` with the completed fraction up to and with each."""
     total = rows.agg(F.count("*").alias("sg_total"))
-    return row_numbers(rows, order_col, "sg_rn", block).crossJoin(F.broadcast(total)).withColumn("progress", F.col("sg_rn") / F.col("sg_total")).drop("sg_rn", "sg_total")
-
-
-def look_ahead(rows: DataFrame, by: str, order_col: str, value: str, out: str = "next") -> DataFrame:
-    return rows.withColumn(out, F.lead(value).over(Window.partitionBy(by).orderBy(order_col)))
-
-
-def sliding_buffer(rows: DataFrame, by: str, order_col: str, value: str, k: int, out: str = "buffer") -> DataFrame:
-    """The row's value and the next k - 1: a bounded frame."""
-    return rows.withColumn(out, F.collect_list(value).over(Window.partitionBy(by).orderBy(order_col).rowsBetween(0, k - 1)))
+    return row_numbers(rows, order_col, "sg_rn", blocks).crossJoin(F.broadcast(total)).withColumn("progress", F.col("sg_rn") / F.col("sg_total")).drop("sg_rn", "sg_total")
+
+
+def sliding_buffer(rows: DataFrame, by: str, order_col: str, value: str, k: int, out: str = "buffer", blocks: int = BLOCKS) -> DataFrame:
+    """The row's value and the next k - 1 of its key, nulls included; rows without an order value come first.
+
+    Within a block a bounded frame; over its end the first values of the key's next blocks,
+    k - 1 of each at most.
+    """
+    blocked = _blocked(rows, order_col, blocks).withColumn("sg_v", F.struct(F.col(value).alias("v")))
+    inside = Window.partitionBy(by, "sg_block").orderBy(order_col)
+    heads = blocked.select(by, "sg_block", "sg_v", F.row_number().over(inside).alias("sg_rn")).where(F.col("sg_rn") < k)
+    heads = heads.groupBy(by, "sg_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("sg_rn", "sg_v"))), lambda x: x["sg_v"]).alias("sg_head"))
+    # a row a block and key
+    later = Window.partitionBy(by).orderBy("sg_block").rowsBetween(1, max(1, k - 1))
+    after = heads.select(F.col(by).alias("sg_by"), F.col("sg_block").alias("sg_at"), F.slice(F.flatten(F.collect_list("sg_head").over(later)), 1, max(1, k - 1)).alias("sg_after"))
+    here = blocked.withColumn("sg_here", F.collect_list("sg_v").over(inside.rowsBetween(0, k - 1)))
+    joined = here.join(after, F.col(by).eqNullSafe(F.col("sg_by")) & (F.col("sg_block") == F.col("sg_at")), "left")
+    buffer = F.slice(F.when(F.col("sg_after").isNull(), F.col("sg_here")).otherwise(F.concat("sg_here", "sg_after")), 1, k)
+    return joined.select(*rows.columns, F.transform(buffer, lambda x: x["v"]).alias(out))
+
+
+def look_ahead(rows: DataFrame, by: str, order_col: str, value: str, out: str = "next", blocks: int = BLOCKS) -> DataFrame:
+    """The value of the key's next row, null after the last."""
+    return sliding_buffer(rows, by, order_col, value, 2, "sg_pair", blocks).withColumn(out, F.get("sg_pair", F.lit(1))).drop("sg_pair")
 
 
 def scale_progress(fraction: Column, start: float, span: float) -> Column:

@@ -23,7 +23,12 @@ def fan_out(mapped: DataFrame, results: DataFrame, result_cols: list[str], key:
     return out
 
 
-def compute_once(mapped: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str, result_cols: list[str]) -> DataFrame:
-    """Apply ``compute`` to representatives only and join the results to all items."""
-    results = compute(dedupe.work_list(mapped)).withColumnRenamed(id_col, "unique_id")
-    return fan_out(mapped, results, result_cols)
+def compute_once(mapped: DataFrame, compute: Callable[[DataFrame], DataFrame], id_col: str, result_cols: list[str], items: DataFrame | None = None) -> DataFrame:
+    """Apply ``compute`` to representatives only and join the results to all items.
+
+    With ``items``, ``mapped`` may be narrow: what the work needs is read from there.
+    """
+    work = dedupe.work_list(mapped)
+    if items is not None:
+        work = items.join(work.select(id_col), id_col, "left_semi")
+    return fan_out(mapped, compute(work).withColumnRenamed(id_col, "unique_id"), result_cols)

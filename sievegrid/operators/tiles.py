@@ -1,4 +1,7 @@
-"""Overlapping tiles: grid, blending weights, weighted recombination."""
+"""Overlapping tiles: grid, blending weights, weighted recombination.
+
+Fixed values, which results depend on: the ramps of ``weight_1d`` and the floor of 1e-8 in ``blend``.
+"""
 
 from __future__ import annotations
 
@@ -41,6 +44,13 @@ def weight_2d(y: Column, x: Column, height: Column, width: Column, overlap: Colu
     return F.when(fits, weight_1d(x, width, overlap, edge_safe) * weight_1d(y, height, overlap, edge_safe, True)).otherwise(F.lit(1.0))
 
 
+def weight_table(sizes: DataFrame, height: str, width: str, overlap: str, edge_safe: bool = False) -> DataFrame:
+    """(height, width, overlap, weights): each distinct tile size's map, made once and joined to tiles."""
+    h, w, o = F.col(height), F.col(width), F.col(overlap)
+    cells = F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: weight_2d(F.floor(i / w), i % w, h, w, o, edge_safe))
+    return sizes.select(height, width, overlap).distinct().withColumn("weights", cells)
+
+
 def blend(values: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Weighted mean of all tiles' values at a place, combined partly in each task."""
     sums = values.groupBy(*keys).agg(F.sum(F.col(value) * F.col(weight)).alias("sg_v"), F.sum(weight).alias("sg_w"))

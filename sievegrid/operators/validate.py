@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import BLOCK, row_numbers
+from .ordering import BLOCKS, row_numbers
 
 
 def missing(actual: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -18,6 +18,26 @@ def extra(actual: DataFrame, id_col: str, expected: DataFrame) -> DataFrame:
     return actual.select(id_col).distinct().join(expected.select(id_col), id_col, "left_anti")
 
 
+def differs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: the counts of both tables and whether they agree, an invariant between two steps."""
+    n, m = left.agg(F.count("*").alias("n_left")), right.agg(F.count("*").alias("n_right"))
+    return n.crossJoin(m).withColumn("agrees", F.col("n_left") == F.col("n_right"))  # one row each
+
+
+def total(**parts: DataFrame) -> DataFrame:
+    """(part, n): the rows of each part and of all ("total")."""
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out.unionByName(out.agg(F.sum("n").alias("n")).select(F.lit("total").alias("part"), "n"))
+
+
+def absent(rows: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys ``held`` lacks: what a buffer still has to take in."""
+    return rows.join(held.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def report(offenders: DataFrame, id_col: str, first: int = 10) -> DataFrame:
     """One row: how many, the first few in order, and how many more."""
     count = offenders.agg(F.count("*").alias("n"))
@@ -25,29 +45,28 @@ def report(offenders: DataFrame, id_col: str, first: int = 10) -> DataFrame:
     return count.crossJoin(head).select(F.col("n").alias("n_offenders"), "first_ids", F.greatest(F.col("n") - first, F.lit(0)).alias("n_more"))
 
 
-def islands(actual: DataFrame, id_col: str, block: int = BLOCK) -> DataFrame:
+def islands(actual: DataFrame, id_col: str, blocks: int = BLOCKS) -> DataFrame:
     """(first_id, last_id, n) of each run of consecutive ids."""
-    numbered = row_numbers(actual.select(id_col).distinct(), id_col, "sg_rn", block)
+    numbered = row_numbers(actual.select(id_col).where(F.col(id_col).isNotNull()).distinct(), id_col, "sg_rn", blocks)
     runs = numbered.groupBy((F.col(id_col) - F.col("sg_rn")).alias("sg_run"))
     return runs.agg(F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"), F.count("*").alias("n")).drop("sg_run")
 
 
-def contiguous_prefix(actual: DataFrame, id_col: str, block: int = BLOCK) -> DataFrame:
+def contiguous_prefix(actual: DataFrame, id_col: str, blocks: int = BLOCKS) -> DataFrame:
     """One row: how many ids from 0 on are there without a gap."""
-    found = islands(actual, id_col, block).where("first_id = 0")
+    found = islands(actual, id_col, blocks).where("first_id = 0")
     return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("prefix_length"))
 
 
 def sequence_check(rows: DataFrame, by: str, position: str) -> DataFrame:
-    """For each key: rows, missing and repeated positions, and whether 0 to the last are complete."""
-    sums = rows.groupBy(by).agg(F.count(position).alias("n"), F.countDistinct(position).alias("d"), F.min(position).alias("low"), F.max(position).alias("high"))
-    return sums.select(
-        by,
-        "n",
-        (F.col("high") + 1 - F.col("d")).alias("n_missing"),
-        (F.col("n") - F.col("d")).alias("n_repeated"),
-        ((F.col("low") == 0) & (F.col("high") + 1 == F.col("d")) & (F.col("n") == F.col("d"))).alias("is_complete"),
-    )
+    """For each key: rows, missing and repeated positions, and whether 0 to the last are complete.
+
+    Missing are positions of 0 to the last; positions below 0 are rows, but fill none of them.
+    """
+    at = F.col(position)
+    sums = rows.groupBy(by).agg(F.count(at).alias("n"), F.countDistinct(at).alias("d"), F.countDistinct(F.when(at >= 0, at)).alias("f"), F.min(at).alias("low"), F.max(at).alias("high"))
+    missing_ones = F.greatest(F.col("high") + 1, F.lit(0)) - F.col("f")
+    return sums.select(by, "n", missing_ones.alias("n_missing"), (F.col("n") - F.col("d")).alias("n_repeated"), ((F.col("low") == 0) & (missing_ones == 0) & (F.col("n") == F.col("d"))).alias("is_complete"))
 
 
 def message_lists(rows: DataFrame, by: str, order_col: str, message: str, first: int = 10) -> DataFrame:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import media as M
-from ..operators import dedupe, kernels, ordering, reassemble, tiles, validate
-from ..session import table
+from ..operators import dedupe, fold, kernels, ordering, reassemble, tiles, transform, validate
+from ..session import new_path, table
 from ..sources import catalog
 from ..sources import media as media_source
+from ..sources import pixels
 from ..streaming import first_seen as streams
+from ..streaming import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,9 +90,16 @@ def _word_count(work: DataFrame) -> DataFrame:
     return work.select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n_words"))
 
 
+def _narrow(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The mapping from a narrow table of hashes: texts are read once for it."""
+    prints = dedupe.fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", *cols)
+    return dedupe.mapping(prints, "doc_id", F.col("sg_print"))
+
+
 @query(f"SELECT d.doc_id, d.unique_id, len(string_split(r.text, ' '))::BIGINT AS n_words FROM ({_MAPPED}) d JOIN documents r ON r.doc_id = d.unique_id")
 def q07_compute_once_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reassemble.compute_once(_mapped(spark, sf_dir), _word_count, "doc_id", ["n_words"]).select("doc_id", "unique_id", "n_words")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return reassemble.compute_once(_narrow(spark, sf_dir), _word_count, "doc_id", ["n_words"], docs).select("doc_id", "unique_id", "n_words")
 
 
 @query(f"""
@@ -98,13 +107,15 @@ SELECT d.doc_id, CASE WHEN d.unique_id % 3 = 0 THEN d.n_chars ELSE len(string_sp
 FROM ({_MAPPED}) d JOIN documents r ON r.doc_id = d.unique_id""")
 def q08_fanout_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results missing for some representatives: the item's own value stands in."""
-    mapped = _mapped(spark, sf_dir, "n_chars")
-    results = _word_count(dedupe.work_list(mapped)).where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "unique_id")
+    mapped = _narrow(spark, sf_dir, "n_chars")
+    work = table(spark, sf_dir, "documents").select("doc_id", "text").join(dedupe.work_list(mapped).select("doc_id"), "doc_id", "left_semi")
+    results = _word_count(work).where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "unique_id")
     return reassemble.fan_out(mapped, results, ["n_words"], fallback={"n_words": F.col("n_chars")}).select("doc_id", "n_words", "is_missing")
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> int:
-    return (table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or -1) + 1
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    return 0 if last is None else last + 1
 
 
 _MISSING = "SELECT i AS doc_id FROM (SELECT unnest(range((SELECT max(doc_id) + 1 FROM documents))) AS i) WHERE i NOT IN (SELECT doc_id FROM labels)"
@@ -141,7 +152,7 @@ def q11b_contiguous_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, count(turn) AS n, max(turn) + 1 - count(DISTINCT turn) AS n_missing, count(turn) - count(DISTINCT turn) AS n_repeated,
+SELECT conv_id, count(turn) AS n, greatest(max(turn) + 1, 0) - count(DISTINCT turn) FILTER (WHERE turn >= 0) AS n_missing, count(turn) - count(DISTINCT turn) AS n_repeated,
   min(turn) = 0 AND max(turn) + 1 = count(DISTINCT turn) AND count(turn) = count(DISTINCT turn) AS is_complete FROM conversations GROUP BY conv_id""")
 def q12_sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.sequence_check(table(spark, sf_dir, "conversations"), "conv_id", "turn")
@@ -157,21 +168,24 @@ def q13_avg_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", A.average_hash(F.col("embedding")).alias("frame_hash"))
 
 
+_GREY = "list_transform(range(len({0}) // 3), lambda i: {0}[i * 3 + 1] * 0.299::DOUBLE + {0}[i * 3 + 2] * 0.587::DOUBLE + {0}[i * 3 + 3] * 0.114::DOUBLE)"
+_BITS = "list_transform(range((len(g) + 3) // 4 - 1, -1, -1), lambda j: lower(printf('%x', (coalesce(g[j * 4 + 1] > m, false)::INT + 2 * coalesce(g[j * 4 + 2] > m, false)::INT + 4 * coalesce(g[j * 4 + 3] > m, false)::INT + 8 * coalesce(g[j * 4 + 4] > m, false)::INT)::INT)))"
+
+
 @query(f"""
-WITH v AS ({_VECTORS}), g AS (SELECT vec_id, list_transform(range(len(v) // 3), lambda i: v[i * 3 + 1] * 0.299::DOUBLE + v[i * 3 + 2] * 0.587::DOUBLE + v[i * 3 + 3] * 0.114::DOUBLE)[1:20] AS g FROM v),
-m AS (SELECT vec_id, g, {_SUM.format('g')} / len(g) AS m FROM g)
-SELECT vec_id, array_to_string(list_transform(range(len(g) // 4 - 1, -1, -1), lambda j: lower(printf('%x', ((g[j * 4 + 1] > m)::INT + 2 * (g[j * 4 + 2] > m)::INT + 4 * (g[j * 4 + 3] > m)::INT + 8 * (g[j * 4 + 4] > m)::INT)::INT))), '') AS gray_hash FROM m""")
+WITH v AS ({_VECTORS}), g AS (SELECT vec_id, {_GREY.format('v')} AS g FROM v), m AS (SELECT vec_id, g, {_SUM.format('g')} / len(g) AS m FROM g)
+SELECT vec_id, array_to_string({_BITS}, '') AS gray_hash FROM m""")
 def q14_gray_hash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(A.gray(F.col("embedding")), 1, 20).alias("g"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", A.gray(F.col("embedding")).alias("g"))
     return vectors.select("vec_id", A.gray_hash(F.col("g")).alias("gray_hash"))
 
 
 @query(f"""
-WITH h AS (SELECT vec_id, {_HASH.format('v')} AS h FROM (SELECT vec_id, v, {_SUM.format('v')} / len(v) AS m FROM (SELECT vec_id, v[1:8] AS v FROM ({_VECTORS}))))
+WITH h AS (SELECT vec_id, {_HASH.format('v')} AS h FROM (SELECT vec_id, v, {_SUM.format('v')} / len(v) AS m FROM ({_VECTORS})))
 SELECT vec_id, min(vec_id) OVER (PARTITION BY h) AS unique_id, vec_id <> min(vec_id) OVER (PARTITION BY h) AS is_duplicate FROM h""")
 def q15_hash_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
-    return dedupe.mapping(vectors, "vec_id", A.average_hash(F.col("v"))).select("vec_id", "unique_id", "is_duplicate")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return dedupe.mapping(vectors, "vec_id", A.average_hash(F.col("embedding"))).select("vec_id", "unique_id", "is_duplicate")
 
 
 _DIMS = "SELECT p_partkey, (256 + p_size * 40)::INT AS h, (320 + (p_partkey % 97) * 16)::INT AS w, p_size FROM part"
@@ -455,14 +469,7 @@ def _collected(spark: SparkSession, stream: DataFrame, name: str, *order: str) -
 
     With ``order`` each micro-batch is handed to an ordered sink.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="sievegrid-stream-")
-    import uuid
-
-    base = f"{root}/{name}-{uuid.uuid4().hex}"
+    base = new_path(spark, name)
     if order:
         # a batch that is run again replaces its own folder
         sink = streams.ordered_sink(lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch-{i}"), *order)
@@ -482,11 +489,11 @@ def q41_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _collected(spark, streams.first_seen(keyed, "key", "event_id"), "first-seen")
 
 
-@query("SELECT event_id, event_type, printf('frame_%05d.png', event_id) AS output_name FROM events WHERE event_id % 5 = 0")
+@query("SELECT event_id, event_type, printf('frame_%05d.png', event_id) AS output_name FROM events")
 def q42_stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events through the ordered sink, named for it; the SQL asks for the periodic ones of its table."""
+    """All events through the ordered sink."""
     named = _stream(spark, sf_dir).select("event_id", "event_type", M.frame_name(F.col("event_id")).alias("output_name"))
-    return _collected(spark, named, "ordered", "event_id").where(ordering.every(F.col("event_id"), 5))
+    return _collected(spark, named, "ordered", "event_id")
 
 
 @query("""
@@ -549,3 +556,134 @@ def q48_frame_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q07_compute_once_fanout(spark, sf_dir)
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS l FROM ({_MAPPED}) WHERE doc_id = unique_id), m AS (SELECT count(DISTINCT unique_id) AS r FROM ({_MAPPED}))
+SELECT l AS n_left, r AS n_right, l = r AS agrees FROM n, m""")
+def q49_work_list_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work list has as many items as there are representatives."""
+    mapped = _mapped(spark, sf_dir)
+    return validate.differs(dedupe.work_list(mapped), mapped.select("unique_id").distinct())
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn // 4 AS segment, turn, role || ': ' || coalesce(text, '') AS line FROM conversations)
+SELECT conv_id, segment::BIGINT AS segment, min(turn)::BIGINT AS first, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY turn, line)) AS digest FROM t GROUP BY conv_id, segment""")
+def q50_ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation in order, N to 1 by segments of four."""
+    turns = table(spark, sf_dir, "conversations")
+    line = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
+    folded = fold.segments(turns, "conv_id", "turn", line, 4)
+    return folded.select("conv_id", "segment", F.col("first").cast("long").alias("first"), "n", F.sha2(F.array_join("values", "\n"), 256).alias("digest"))
+
+
+# tiles of 5 x 5 pixels with 2 in common over 8 x 8 images: starts 0, 3 and 6 on either axis
+_RAMP = "(CASE WHEN {n} < 2 THEN 1 WHEN {p} >= {n} - 2 THEN ({n} - {p}) / 3.0::DOUBLE WHEN {p} < 2 THEN ({p} + 1) / 3.0::DOUBLE ELSE 1 END)"
+_RAMP_Y = "(CASE WHEN {p} < 2 THEN ({p} + 1) / 3.0::DOUBLE ELSE 1 END) * (CASE WHEN {p} >= {n} - 2 THEN ({n} - {p}) / 3.0::DOUBLE ELSE 1 END)"
+_TILES = f"""
+WITH t AS (SELECT vec_id, v, y, x, least(y + 5, 8) - y AS h, least(x + 5, 8) - x AS w FROM ({_VECTORS}), (SELECT unnest([0, 3, 6]) AS y), (SELECT unnest([0, 3, 6]) AS x)),
+c AS (SELECT *, i // w AS dy, i % w AS dx FROM (SELECT *, unnest(range(h * w)) AS i FROM t)),
+p AS (SELECT vec_id, y + dy AS y, x + dx AS x, v[(y + dy) * 8 + x + dx + 1] * (1 + (y + x) / 100.0::DOUBLE) AS value,
+  CASE WHEN least(h, w) < 2 THEN 1.0::DOUBLE ELSE {_RAMP.format(n='w', p='dx')} * {_RAMP_Y.format(n='h', p='dy')} END AS weight FROM c),
+b AS (SELECT vec_id, y, x, sum(value * weight) / greatest(sum(weight), 1e-8) AS value FROM p GROUP BY vec_id, y, x)"""
+
+
+@query(f"{_TILES} SELECT vec_id, y::INT AS y, x::INT AS x, round(value, 6) AS value FROM b")
+def q51_tile_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over (y, x): tiles, a kernel that knows its tile, weighted recombination."""
+    images = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(8).alias("h"), F.lit(8).alias("w"))
+    return transform.single_pass(images, "vec_id", "embedding", "h", "w", _by_tile, 5, 2).withColumn("value", F.round("value", 6))
+
+
+def _by_tile(value: Column, y: Column, x: Column) -> Column:
+    return value * (1 + (y + x) / 100.0)
+
+
+@query(f"""{_TILES},
+g AS (SELECT vec_id, list(value ORDER BY y, x) AS v FROM b GROUP BY vec_id),
+r AS (SELECT vec_id, list_transform(range(256), lambda i: v[(i // 16) // 2 * 8 + (i % 16) // 2 + 1]) AS v FROM g)
+SELECT vec_id, array_to_string(list_transform(v, lambda q: round_even({_CLAMP.format('(q - m) * 1.5::DOUBLE + m')} * 10000, 0)::BIGINT::VARCHAR), ',') AS pixels FROM (SELECT vec_id, v, {_SUM.format('v')} / len(v) AS m FROM r)""")
+def q52_composed_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles, kernel, blend, resize and post-processing as one job."""
+    done = transform.upscale(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (8, 8), _by_tile, 2, 5, 2, contrast=1.5)
+    shown = F.transform("values", lambda q: F.bround(q * 10000).cast("long").cast("string"))
+    return done.select("vec_id", F.array_join(shown, ",").alias("pixels"))
+
+
+# 8 x 8 frames of three channels from all 64 values
+_FRAME = "flatten(list_transform(v, lambda x: [x, 1 - x, x * x]))"
+_SAMPLED = f"list_transform(range(768), lambda i: f[((i // 48) // 2 * 8 + ((i // 3) % 16) // 2) * 3 + i % 3 + 1])"
+_CHANNEL = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(256), lambda i: s[i * 3 + {0}])), lambda a, x: a + x) / 256"
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = A.doubles(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.transform(v, lambda x: F.array(x, 1 - x, x * x))).alias("frame"))
+
+
+@query(f"""
+WITH f AS (SELECT vec_id, {_FRAME} AS f FROM ({_VECTORS})), s AS (SELECT vec_id, {_SAMPLED} AS s FROM f),
+m AS (SELECT vec_id, s, [{', '.join(_CHANNEL.format(k) for k in (1, 2, 3))}] AS ms, {_GREY.format('s')} AS g FROM s), h AS (SELECT *, {_SUM.format('g')} / 256 AS m FROM m)
+SELECT vec_id, array_to_string(list_transform(range(768), lambda i: CASE WHEN s[i + 1] > ms[i % 3 + 1] THEN '01' ELSE '00' END), '') AS frame_hash, array_to_string({_BITS}, '') AS gray_hash FROM h""")
+def q53_frame_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both frame hashes at their full length: 1536 and 64 hex digits."""
+    frame = F.col("frame")
+    return _frames(spark, sf_dir).select("vec_id", A.frame_hash(frame, 8, 8).alias("frame_hash"), A.frame_gray_hash(frame, 8, 8).alias("gray_hash"))
+
+
+@query(f"""
+WITH f AS (SELECT vec_id, {_FRAME} AS f FROM ({_VECTORS}))
+SELECT vec_id, 8 AS height, 8 AS width, list_sum(list_transform(f, lambda x: round_even({_CLAMP.format('x')} * 255, 0)::BIGINT))::BIGINT AS level, NULL::VARCHAR AS error FROM f""")
+def q54_image_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames encoded as images and decoded again."""
+    files = _frames(spark, sf_dir).select("vec_id", pixels.encode(F.col("frame"), 8, 8).alias("content"))
+    level = F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + F.bround(x * 255).cast("long"))
+    return pixels.decode(files, "vec_id").select("vec_id", "height", "width", level.alias("level"), "error")
+
+
+@query(f"""
+WITH a AS (SELECT vec_id, list_transform(range(16), lambda i: v[i * 4 + 4]) AS a, v FROM ({_VECTORS}))
+SELECT vec_id, {_SHOWN.format("flatten(list_transform(range(16), lambda i: [v[i * 4 + 1] / 2, v[i * 4 + 2] / 2, v[i * 4 + 3] / 2, a[i + 1]]))")} AS pixels FROM a""")
+def q55_alpha_split_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alpha taken off, colours changed, alpha put back."""
+    colours, alpha = A.split_alpha(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", _shown(A.join_alpha(F.transform(colours, lambda x: x / 2), alpha)).alias("pixels"))
+
+
+@query("SELECT 'documents' AS part, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'total', (SELECT count(*) FROM documents) + (SELECT count(*) FROM pages)")
+def q56_union_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.total(documents=table(spark, sf_dir, "documents"), pages=table(spark, sf_dir, "pages"))
+
+
+@query("SELECT conv_id::VARCHAR AS conv_id, turn::BIGINT AS turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS released FROM conversations")
+def q57_stream_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns released in order, by state that holds what is ahead of its turn."""
+    turns = table(spark, sf_dir, "conversations")
+    stream = spark.readStream.schema(turns.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/conversations.parquet*")
+    return _collected(spark, stages.in_order(stream, "conv_id", "turn", "role"), "in-order")
+
+
+@query("""
+WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS at FROM pages), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS at FROM benchmark)
+SELECT page_id, at, item_id FROM p LEFT JOIN b USING (at)""")
+def q58_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-th page with the n-th item; pages beyond the items have none."""
+    pages = ordering.row_numbers(table(spark, sf_dir, "pages").select("page_id"), "page_id", "at")
+    items = ordering.row_numbers(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "at")
+    return pages.join(items, "at", "left").select("page_id", "at", "item_id")
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q59_still_to_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the labelled ones, taken as a buffer, don't hold yet."""
+    return validate.absent(table(spark, sf_dir, "documents").select("doc_id").distinct(), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size >= 20 AND p_partkey % 2 = 0 THEN 'stream' ELSE 'batch' END AS mode, CASE WHEN p_size = 0 THEN NULL ELSE p_partkey::DOUBLE / p_size * 3 END AS speed_up,
+  regexp_replace(p_name, '([^./])\\.[^./]*$', '\\1') || '.png' AS output_name FROM part""".replace("\\\\", "\\"))
+def q60_mode_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mode by size, promised speed-up and output name of every part."""
+    mode = M.streams_frames(F.lit(True), F.col("p_size"), F.col("p_partkey") % 2 == 0, F.lit(True))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(mode, "stream").otherwise("batch").alias("mode"), M.speed_up(F.col("p_partkey"), F.col("p_size"), F.lit(3)).alias("speed_up"), M.with_suffix(F.col("p_name"), ".png").alias("output_name"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import media as M
+from ..operators import ordering
 
 
 def files(spark: SparkSession, path: str, suffix: str | None = None, recursive: bool = True) -> DataFrame:
@@ -22,10 +25,59 @@ def stream_files(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).load(path)
 
 
-def split_by_kind(paths: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
-    """(images, videos) in one classification; other kinds are in neither."""
+def split_by_kind(paths: DataFrame, path_col: str = "path", order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, videos) in one classification; other kinds are in neither.
+
+    With ``order_col`` each side has its place among its kind (``at``, from 1) in that order.
+    """
     kinds = paths.withColumn("kind", M.classify(F.col(path_col)))
-    return kinds.where("kind = 'image'"), kinds.where("kind = 'video'")
+    sides = [kinds.where(F.col("kind") == k) for k in ("image", "video")]
+    if order_col:
+        sides = [ordering.row_numbers(x, order_col, "at") for x in sides]
+    return sides[0], sides[1]
+
+
+def first_frames(frames: DataFrame, order_col: str = "frame_num") -> DataFrame:
+    """The first frame of every video only; the filter reaches the scan."""
+    return frames.where(F.col(order_col) == 0)
+
+
+def wait_until_stable(spark: SparkSession, path: str, timeout_s: float = 1.0, poll_s: float = 0.02) -> bool:
+    """Whether a file's size is the same, and not 0, at two looks in a row before the timeout."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store, until, size = target.getFileSystem(spark._jsc.hadoopConfiguration()), time.monotonic() + timeout_s, -1
+    while time.monotonic() < until:
+        now = store.getFileStatus(target).getLen() if store.exists(target) else -1
+        if now > 0 and now == size:
+            return True
+        size = now
+        time.sleep(poll_s)
+    return False
+
+
+def clean_up(spark: SparkSession, *paths: str, sweep: str | None = None) -> int:
+    """Delete files and folders, then the empty folders under ``sweep``; returns how many went."""
+    conf, make, gone = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path, 0
+    for path in paths:
+        target = make(path)
+        gone += bool(target.getFileSystem(conf).delete(target, True))
+    if sweep:
+        root = make(sweep)
+        store = root.getFileSystem(conf)
+
+        def empty(folder) -> bool:
+            nonlocal gone
+            left = 0
+            for status in store.listStatus(folder):
+                if status.isDirectory() and empty(status.getPath()):
+                    gone += bool(store.delete(status.getPath(), False))
+                else:
+                    left += 1
+            return not left
+
+        if store.exists(root):
+            empty(root)
+    return gone
 
 
 def frame_count(packets: Column, duration: Column, fps: Column) -> Column:

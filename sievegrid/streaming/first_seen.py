@@ -16,7 +16,7 @@ def first_seen(stream: DataFrame, key_col: str, id_col: str, ttl_ms: int | None
     """(key, id, unique_id, is_duplicate) for every row of the stream.
 
     The first id of a key, the least within its micro-batch, represents the key from then
-    on.  State holds one id a key; with ``ttl_ms`` a key idle for that long is forgotten and
+    on.  A null id represents nothing: it is a duplicate once its key has an id.  State holds one id a key; with ``ttl_ms`` a key idle for that long is forgotten and
     its next row is first again, without it state grows with the distinct keys.
     """
 
@@ -26,14 +26,17 @@ def first_seen(stream: DataFrame, key_col: str, id_col: str, ttl_ms: int | None
             return
         first = state.get[0] if state.exists else None
         # a hot key's batches are not concatenated: its least id is found first, from ids alone
-        held = [b[id_col].to_numpy() for b in batches]
-        if first is None:
-            first = int(min(x.min() for x in held))
-        state.update((first,))
-        if ttl_ms:
+        held = [b[id_col] for b in batches]
+        known = [x.min() for x in held if x.notna().any()]
+        if first is None and known:
+            first = int(min(known))
+        if first is not None:
+            state.update((first,))
+        if ttl_ms and state.exists:
             state.setTimeoutDuration(ttl_ms)
         for ids in held:
-            yield pd.DataFrame({key_col: key[0], id_col: ids, "unique_id": first, "is_duplicate": ids != first})
+            n = len(ids)
+            yield pd.DataFrame({key_col: [key[0]] * n, id_col: ids.astype("Int64"), "unique_id": pd.array([first] * n, "Int64"), "is_duplicate": [first is not None and x != first for x in ids.tolist()]})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
     return stream.select(key_col, id_col).groupBy(key_col).applyInPandasWithState(step, f"{key_col} string, {id_col} long, unique_id long, is_duplicate boolean", "first long", "append", timeout)
