@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CONF = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
+from ..session import new_path, shared_dir
+
+__all__ = ["Scratch", "drop", "keep", "new_path", "shared_dir"]
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _open: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only in local mode, where all is one machine."""
-    root = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError(f"set {_CONF} to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="sievegrid-")
-            atexit.register(shutil.rmtree, _own[app].removeprefix("file://"), True)
-        root = _own[app]
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back.
 
@@ -71,6 +50,10 @@ class Scratch:
     def __init__(self) -> None:
         self.left: list[str] = []
 
+    def forget(self) -> None:
+        """Begin another job; what the one before left stays where it is."""
+        self.left = []
+
     @contextlib.contextmanager
     def step(self, spark: SparkSession) -> Iterator[None]:
         for path in self.left:
