@@ -28,6 +28,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Ties among neighbours are settled by their order; without labels all score 0.5 and stay.
     """
+    _scratch.forget()  # an earlier run's last tables may still be read
     with _scratch.step(spark):
         labels = table(spark, sf_dir, "labels")
         voter = quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id"))))
