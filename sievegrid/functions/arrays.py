@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def doubles(values: Column) -> Column:
     return values.cast("array<double>")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, not wherever ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def mean(values: Column) -> Column:
     """Null for an empty array."""
     return F.try_divide(F.aggregate(doubles(values), F.lit(0.0), lambda a, x: a + x), F.size(values))
@@ -37,26 +44,26 @@ def average_hash(values: Column, channels: int = 1, guard_flat: bool = False) ->
 
     Flat inputs of any value hash alike; ``guard_flat`` puts their mean in front.
     """
-    v = doubles(values)
+    def hashed(v: Column) -> Column:
+        channel = lambda k: F.filter(v, lambda _, i: i % channels == k)
+        means = F.array(*(mean(channel(k)) for k in range(channels)))
+        out = let(means, lambda ms: F.array_join(F.transform(v, lambda x, i: F.when(x > F.get(ms, i % channels), "01").otherwise("00")), ""))
+        if guard_flat:
+            flat = F.array_min(v) == F.array_max(v)
+            out = F.when(flat, F.concat(F.format_string("flat:%.6f:", F.get(v, F.lit(0))), out)).otherwise(out)
+        return out
 
-    def channel(k: int) -> Column:
-        return F.filter(v, lambda _, i: i % channels == k)
-
-    means = F.array(*(mean(channel(k)) for k in range(channels)))
-    bits = F.transform(v, lambda x, i: F.when(x > F.get(means, i % channels), "01").otherwise("00"))
-    out = F.array_join(bits, "")
-    if guard_flat:
-        flat = F.array_min(v) == F.array_max(v)
-        out = F.when(flat, F.concat(F.format_string("flat:%.6f:", F.get(v, F.lit(0))), out)).otherwise(out)
-    return out
+    return let(doubles(values), hashed)
 
 
 def gray(values: Column) -> Column:
     """Luminance of interleaved red, green and blue; values that make no whole pixel are left out."""
-    v = doubles(values)
-    n = F.floor(F.size(v) / 3).cast("int")
-    pixels = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(pixels, lambda i: F.get(v, i * 3) * LUMA[0] + F.get(v, i * 3 + 1) * LUMA[1] + F.get(v, i * 3 + 2) * LUMA[2])
+    def pixels(v: Column) -> Column:
+        n = F.floor(F.size(v) / 3).cast("int")
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.get(v, i * 3) * LUMA[0] + F.get(v, i * 3 + 1) * LUMA[1] + F.get(v, i * 3 + 2) * LUMA[2])
+
+    return let(doubles(values), pixels)
 
 
 def gray_hash(values: Column) -> Column:
@@ -64,25 +71,24 @@ def gray_hash(values: Column) -> Column:
 
     256 grey values give 64 digits; no values give an empty hash.
     """
-    v = doubles(values)
-    m = mean(v)
-    n = F.ceil(F.size(v) / 4).cast("int")
-    bit = lambda i: F.coalesce((F.get(v, i) > m).cast("int"), F.lit(0))
-    digits = F.when(n > 0, F.sequence(n - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    nibbles = F.transform(digits, lambda j: F.lower(F.hex((bit(j * 4) + bit(j * 4 + 1) * 2 + bit(j * 4 + 2) * 4 + bit(j * 4 + 3) * 8).cast("long"))))
-    return F.array_join(nibbles, "")
+    def digits(bits: Column) -> Column:
+        n = F.ceil(F.size(bits) / 4).cast("int")
+        bit = lambda i: F.coalesce(F.get(bits, i), F.lit(0))
+        at = F.when(n > 0, F.sequence(n - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(at, lambda j: F.lower(F.hex((bit(j * 4) + bit(j * 4 + 1) * 2 + bit(j * 4 + 2) * 4 + bit(j * 4 + 3) * 8).cast("long")))), "")
+
+    return let(doubles(values), lambda v: let(mean(v), lambda m: let(F.transform(v, lambda x: (x > m).cast("int")), digits)))
 
 
 def resample(values: Column, height: int, width: int, channels: int, to_height: int = 16, to_width: int = 16) -> Column:
     """A row-major image of interleaved channels at another size, each place from the nearest pixel."""
-    v = doubles(values)
     cells = F.sequence(F.lit(0), F.lit(to_height * to_width * channels - 1))
 
     def source(i: Column) -> Column:
         y, x = F.floor(i / (to_width * channels)), F.floor(i / channels) % to_width
         return ((F.floor(y * height / to_height) * width + F.floor(x * width / to_width)) * channels + i % channels).cast("int")
 
-    return F.transform(cells, lambda i: F.get(v, source(i)))
+    return let(doubles(values), lambda v: F.transform(cells, lambda i: F.get(v, source(i))))
 
 
 def frame_hash(values: Column, height: int, width: int, guard_flat: bool = False) -> Column:
@@ -96,14 +102,13 @@ def frame_gray_hash(values: Column, height: int, width: int) -> Column:
 
 
 def contrast(values: Column, factor: float) -> Column:
-    v, m = doubles(values), mean(values)
-    return F.transform(v, lambda x: clamp((x - m) * factor + m))
+    return let(doubles(values), lambda v: let(mean(v), lambda m: F.transform(v, lambda x: clamp((x - m) * factor + m))))
 
 
 def saturation(values: Column, factor: float) -> Column:
     """Each channel moved from (or to) its pixel's luminance."""
-    v, g = doubles(values), gray(values)
-    return F.transform(F.slice(v, 1, F.size(g) * 3), lambda x, i: clamp(F.get(g, (i / 3).cast("int")) * (1 - factor) + x * factor))
+    change = lambda v, g: F.transform(F.slice(v, 1, F.size(g) * 3), lambda x, i: clamp(F.get(g, (i / 3).cast("int")) * (1 - factor) + x * factor))
+    return let(doubles(values), lambda v: let(gray(v), lambda g: change(v, g)))
 
 
 def sharpen(values: Column, width: int, strength: float, normalised: bool = False) -> Column:
@@ -113,17 +118,21 @@ def sharpen(values: Column, width: int, strength: float, normalised: bool = Fals
     normalised kernel sums to 1.  Sums over whole shifted arrays: rows of three first, then
     three of those, so no place is looked up by its number.
     """
-    v = doubles(values)
     centre = (1.0 if normalised else 9.0) + 9.0 * strength
     add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
     zeros = F.array(*[F.lit(0.0)] * width)
-    # neighbours in the row: what would come from the row before or after is zero
-    left = F.transform(F.concat(F.array(F.lit(0.0)), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0)))), lambda x, i: F.when(i % width == 0, 0.0).otherwise(x))
-    right = F.transform(F.concat(F.slice(v, 2, F.greatest(F.size(v), F.lit(1))), F.array(F.lit(0.0))), lambda x, i: F.when(i % width == width - 1, 0.0).otherwise(x))
-    rows = add(add(left, right), v)
-    above, below = F.slice(F.concat(zeros, rows), 1, F.size(v)), F.slice(F.concat(rows, zeros), width + 1, F.greatest(F.size(v), F.lit(1)))
-    block = add(add(above, below), rows)
-    return F.zip_with(v, block, lambda c, a: clamp(c * centre - a * strength))
+    rest = lambda v: F.greatest(F.size(v), F.lit(1))
+
+    def in_rows(v: Column) -> Column:
+        # what would come from the row before or after is zero
+        left = F.transform(F.concat(F.array(F.lit(0.0)), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0)))), lambda x, i: F.when(i % width == 0, 0.0).otherwise(x))
+        right = F.transform(F.concat(F.slice(v, 2, rest(v)), F.array(F.lit(0.0))), lambda x, i: F.when(i % width == width - 1, 0.0).otherwise(x))
+        return add(add(left, right), v)
+
+    def blocks(rows: Column) -> Column:
+        return add(add(F.slice(F.concat(zeros, rows), 1, F.size(rows)), F.slice(F.concat(rows, zeros), width + 1, rest(rows))), rows)
+
+    return let(doubles(values), lambda v: F.zip_with(v, let(in_rows(v), blocks), lambda c, a: clamp(c * centre - a * strength)))
 
 
 def dither(values: Column, noise: Column) -> Column:
@@ -160,8 +169,7 @@ def split_alpha(values: Column) -> tuple[Column, Column]:
 
 def join_alpha(colours: Column, alpha: Column) -> Column:
     """The alpha of each pixel behind its three colours."""
-    c = doubles(colours)
-    return F.flatten(F.transform(doubles(alpha), lambda a, i: F.array(F.get(c, i * 3), F.get(c, i * 3 + 1), F.get(c, i * 3 + 2), a)))
+    return let(doubles(colours), lambda c: F.flatten(F.transform(doubles(alpha), lambda a, i: F.array(F.get(c, i * 3), F.get(c, i * 3 + 1), F.get(c, i * 3 + 2), a))))
 
 
 def with_resized_alpha(values: Column, colours: Column, height: int, width: int, scale: int) -> Column:
