@@ -665,13 +665,13 @@ def q57_stream_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS at FROM pages), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS at FROM benchmark)
-SELECT page_id, at, item_id FROM p LEFT JOIN b USING (at)""")
+WITH p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS place FROM pages), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS place FROM benchmark)
+SELECT page_id, place, item_id FROM p LEFT JOIN b USING (place)""")
 def q58_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-th page with the n-th item; pages beyond the items have none."""
-    pages = ordering.row_numbers(table(spark, sf_dir, "pages").select("page_id"), "page_id", "at")
-    items = ordering.row_numbers(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "at")
-    return pages.join(items, "at", "left").select("page_id", "at", "item_id")
+    pages = ordering.row_numbers(table(spark, sf_dir, "pages").select("page_id"), "page_id", "place")
+    items = ordering.row_numbers(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "place")
+    return pages.join(items, "place", "left").select("page_id", "place", "item_id")
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -680,9 +680,9 @@ def q59_still_to_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.absent(table(spark, sf_dir, "documents").select("doc_id").distinct(), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""
+@query(r"""
 SELECT p_partkey, CASE WHEN p_size >= 20 AND p_partkey % 2 = 0 THEN 'stream' ELSE 'batch' END AS mode, CASE WHEN p_size = 0 THEN NULL ELSE p_partkey::DOUBLE / p_size * 3 END AS speed_up,
-  regexp_replace(p_name, '([^./])\\.[^./]*$', '\\1') || '.png' AS output_name FROM part""".replace("\\\\", "\\"))
+  regexp_replace(p_name, '([^./])\.[^./]*$', '\1') || '.png' AS output_name FROM part""")
 def q60_mode_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode by size, promised speed-up and output name of every part."""
     mode = M.streams_frames(F.lit(True), F.col("p_size"), F.col("p_partkey") % 2 == 0, F.lit(True))

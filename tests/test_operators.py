@@ -1,15 +1,18 @@
 """Worked examples and edge cases of the engine's own operators."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sievegrid.functions import arrays as A
 from sievegrid.functions import media as M
-from sievegrid.operators import dedupe, kernels, ordering, reassemble, tiles, validate
+from sievegrid.operators import dedupe, fold, kernels, ordering, reassemble, tiles, transform, validate
 from sievegrid.sources import catalog
 from sievegrid.sources import media as media_source
-from sievegrid.streaming import first_seen
+from sievegrid.sources import pixels
+from sievegrid.streaming import first_seen, stages
 
 
 def one(spark, column):
@@ -59,12 +62,12 @@ def test_fallback(spark):
 def test_gaps(spark, ids, n, gone, prefix):
     rows = spark.createDataFrame([(i,) for i in ids], "n long")
     assert sorted(r["n"] for r in validate.missing(rows, "n", n).collect()) == gone
-    assert validate.contiguous_prefix(rows, "n", block=2).first()["prefix_length"] == prefix
+    assert validate.contiguous_prefix(rows, "n", blocks=2).first()["prefix_length"] == prefix
 
 
 def test_numeric_order(spark):
     rows = spark.createDataFrame([(100001,), (99998,), (100000,), (99999,)], "n long")
-    got = {r["n"]: r["rn"] for r in ordering.row_numbers(rows, "n", block=3).collect()}
+    got = {r["n"]: r["rn"] for r in ordering.row_numbers(rows, "n", blocks=3).collect()}
     assert got == {99998: 1, 99999: 2, 100000: 3, 100001: 4}
 
 
@@ -154,3 +157,190 @@ def test_naming(spark):
     assert name("suffix", "v", "_up", None, None) == "v_up"
     assert one(spark, M.unwrap(F.lit('{"value": "x"}'), "d")) == "x"
     assert one(spark, M.unwrap(F.lit(None).cast("string"), "d")) == "d"
+
+
+def test_positions_of_sparse_and_null_ids(spark):
+    """Sparse, negative and null order values; no block of one row each, no window over the whole table."""
+    ids = [i * i * 1_000_003 - 500 for i in range(300)]
+    rows = spark.createDataFrame([(i, "x") for i in ids] + [(None, "y"), (None, "z")], "n long, v string")
+    for blocks in (1, 7, 1024):
+        got = ordering.row_numbers(rows, "n", blocks=blocks).collect()
+        assert sorted((r["n"], r["rn"]) for r in got if r["n"] is not None) == [(i, k + 1) for k, i in enumerate(sorted(ids))]
+        assert [r["rn"] for r in got if r["n"] is None] == [None, None]
+    assert ordering.row_numbers(rows.where("false"), "n").collect() == []
+    plan = ordering.row_numbers(rows, "n", blocks=16)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" in plan and "sg_n" in plan  # only the block totals meet in one task
+
+
+def test_neighbours_across_blocks(spark):
+    """A hot key's rows lie in many blocks; the buffer goes on over their ends, nulls included."""
+    rows = [("hot", i * 3, None if i % 5 == 0 else str(i)) for i in range(40)] + [("b", 7, "x"), (None, 1, "p"), (None, 9, "q")]
+    df = spark.createDataFrame(rows, "k string, n long, v string")
+    for blocks in (1, 6, 64):
+        got = {(r["k"], r["n"]): (list(r["buffer"]), r["next"]) for r in ordering.look_ahead(ordering.sliding_buffer(df, "k", "n", "v", 4, blocks=blocks), "k", "n", "v", blocks=blocks).collect()}
+        for k in ("hot", "b", None):
+            own = sorted((n, v) for kk, n, v in rows if kk == k)
+            for i, (n, _) in enumerate(own):
+                assert got[(k, n)] == ([v for _, v in own[i : i + 4]], own[i + 1][1] if i + 1 < len(own) else None)
+
+
+def test_sequences_below_zero_and_null_ids(spark):
+    rows = spark.createDataFrame([("a", -3), ("a", 0), ("b", 0), ("b", 2), ("c", -1), ("d", None)], "k string, n long")
+    got = {r["k"]: (r["n_missing"], r["is_complete"]) for r in validate.sequence_check(rows, "k", "n").collect()}
+    assert got["a"] == (0, False) and got["b"] == (1, False) and got["c"] == (0, False) and got["d"][0] is not True
+    mapped = dedupe.mapping(spark.createDataFrame([(None, "A"), (3, "A"), (None, "B")], "n long, k string"), "n", F.col("k"))
+    assert sorted(((r["n"] or 0), r["k"], r["is_duplicate"]) for r in mapped.collect()) == [(0, "A", True), (0, "B", False), (3, "A", False)]
+    assert dedupe.work_list(mapped).count() == 2
+    assert validate.differs(rows, rows.limit(2)).first()["agrees"] is False
+    assert {r["part"]: r["n"] for r in validate.total(x=rows, y=rows.limit(1)).collect()} == {"x": 6, "y": 1, "total": 7}
+
+
+def test_short_arrays(spark):
+    short = spark.createDataFrame([([],), ([0.5],), ([0.5, 0.1],), ([0.1, 0.2, 0.9, 0.4, 0.8],)], "v array<double>")
+    assert [len(r[0]) for r in short.select(A.gray(F.col("v"))).collect()] == [0, 0, 0, 1]
+    assert [r[0] for r in short.select(A.gray_hash(F.col("v"))).collect()] == ["", "0", "1", "14"]
+    wide = spark.createDataFrame([([float(i % 7) for i in range(192)],)], "v array<double>")
+    assert [len(r) for r in wide.select(A.frame_hash(F.col("v"), 8, 8), A.frame_gray_hash(F.col("v"), 8, 8)).first()] == [1536, 64]
+
+
+@pytest.mark.parametrize("height,width", [(8, 8), (3, 5), (1, 4), (4, 1)])
+@pytest.mark.parametrize("normalised", [False, True])
+def test_sharpen_equals_a_plain_stencil(spark, height, width, normalised):
+    image = np.random.default_rng(3).random((height, width)) / 9
+    padded = np.pad(image, 1)
+    around = sum(padded[1 + dy : 1 + dy + height, 1 + dx : 1 + dx + width] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
+    want = np.clip(image * ((1 if normalised else 9) + 8 * 0.5) - around * 0.5, 0, 1)
+    got = spark.createDataFrame([(image.ravel().tolist(),)], "v array<double>").select(A.sharpen(F.col("v"), width, 0.5, normalised)).first()[0]
+    assert np.allclose(np.array(got).reshape(height, width), want)
+
+
+def test_dithering_and_post_processing(spark):
+    rows = spark.createDataFrame([([0.1, 0.5, 0.9, 0.3],)], "v array<double>")
+    noise = A.triangular_noise(F.size("v"), 4)
+    got = rows.select(noise.alias("r"), A.dither(F.col("v"), noise).alias("b")).first()
+    assert got["b"] == [int(min(max(v * 255 + r - 1, 0), 255)) for v, r in zip([0.1, 0.5, 0.9, 0.3], got["r"])] and all(0 <= r < 2 for r in got["r"])
+    assert rows.select(A.post_process(F.col("v"), 2)).first()[0] == [0.1, 0.5, 0.9, 0.3]
+    chained = rows.select(A.post_process(F.col("v"), 2, 0.5, 1.2).alias("a"), A.contrast(A.sharpen(F.col("v"), 2, 0.5, True), 1.2).alias("b")).first()
+    assert chained["a"] == chained["b"]
+    rgba = spark.createDataFrame([([0.1, 0.2, 0.3, 1.0, 0.4, 0.5, 0.6, 0.5],)], "v array<double>")
+    colours, alpha = A.split_alpha(F.col("v"))
+    assert rgba.select(A.join_alpha(colours, alpha)).first()[0] == [0.1, 0.2, 0.3, 1.0, 0.4, 0.5, 0.6, 0.5]
+    doubled = rgba.select(A.with_resized_alpha(F.col("v"), A.resample(colours, 1, 2, 3, 2, 4), 1, 2, 2)).first()[0]
+    assert doubled[3::4] == [1.0, 1.0, 0.5, 0.5] * 2
+
+
+def test_composed_transform_keeps_an_identity(spark):
+    """Without a kernel, tiles that overlap blend back to the image; small images are one tile."""
+    image = np.random.default_rng(1).random(48)
+    df = spark.createDataFrame([(1, image.tolist())], "n int, v array<double>")
+    for tile, overlap in ((4, 1), (5, 2), (64, 8)):
+        got = transform.upscale(df, "n", "v", (6, 8), lambda v, y, x: v, 1, tile, overlap).first()["values"]
+        assert np.allclose(got, image)
+    assert len(transform.upscale(df, "n", "v", (6, 8), lambda v, y, x: v, 3, 4, 1).first()["values"]) == 9 * 48
+    maps = tiles.weight_table(spark.createDataFrame([(4, 5, 2), (4, 5, 2)], "h int, w int, o int"), "h", "w", "o", True).collect()
+    assert len(maps) == 1 and len(maps[0]["weights"]) == 20
+
+
+def test_ordered_fold(spark):
+    rows = [("a", i, f"f{i}") for i in reversed(range(10))] + [("b", 0, "x"), ("b", 9, "y")]
+    folded = fold.segments(spark.createDataFrame(rows, "k string, n long, v string"), "k", "n", F.col("v"), 4)
+    got = {(r["k"], r["segment"]): (r["first"], list(r["values"])) for r in folded.collect()}
+    assert got == {("a", 0): (0, ["f0", "f1", "f2", "f3"]), ("a", 1): (4, ["f4", "f5", "f6", "f7"]), ("a", 2): (8, ["f8", "f9"]), ("b", 0): (0, ["x"]), ("b", 2): (9, ["y"])}
+    assert {r["k"]: r["n_missing"] for r in fold.gaps(folded, "k", 4).collect()} == {"a": 0, "b": 8}
+
+
+def test_raw_images(spark, tmp_path):
+    values = spark.createDataFrame([(1, [0.0, 0.5, 1.0, 0.2, 0.4, 0.6])], "n int, v array<double>")
+    made = values.select("n", pixels.encode(F.col("v"), 1, 2).alias("content"), F.lit("one.ppm").alias("name"))
+    pixels.save(made, f"file://{tmp_path}/out", "name")
+    pixels.save(made, f"file://{tmp_path}/out", "name")  # a second attempt replaces the first
+    (tmp_path / "out" / "two.ppm").write_bytes(b"P6\n2 1\n255\nxx")
+    (tmp_path / "out" / "three.ppm").write_bytes(b"no image")
+    files = media_source.files(spark, f"file://{tmp_path}/out", ".ppm").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    got = {r["name"]: r for r in pixels.decode(files, "name").collect()}
+    assert (got["one.ppm"]["height"], got["one.ppm"]["width"], got["one.ppm"]["error"]) == (1, 2, None)
+    assert [round(x * 255) for x in got["one.ppm"]["pixels"]] == [0, 128, 255, 51, 102, 153]
+    assert "2 bytes" in got["two.ppm"]["error"] and got["three.ppm"]["error"] == "not a PPM image"
+    probed = {r["name"]: (r["height"], r["width"], r["error"]) for r in pixels.probe(files, "name").collect()}
+    assert probed == {"one.ppm": (1, 2, None), "two.ppm": (1, 2, None), "three.ppm": (None, None, "not a PPM image")}
+
+
+def test_split_keeps_the_order_and_files_are_tidied(spark, tmp_path):
+    paths = spark.createDataFrame([(k, p) for k, p in enumerate(["b.png", "a.mp4", "a.png", "x.txt", "c.gif"])], "i long, path string")
+    images, videos = media_source.split_by_kind(paths, order_col="i")
+    assert [(r["path"], r["at"]) for r in images.orderBy("at").collect()] == [("b.png", 1), ("a.png", 2), ("c.gif", 3)]
+    assert [r["path"] for r in videos.collect()] == ["a.mp4"]
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "keep").mkdir()
+    (tmp_path / "keep" / "f").write_bytes(b"x")
+    (tmp_path / "gone").write_bytes(b"x")
+    assert media_source.wait_until_stable(spark, f"file://{tmp_path}/gone") and not media_source.wait_until_stable(spark, f"file://{tmp_path}/none", 0.1)
+    assert media_source.clean_up(spark, f"file://{tmp_path}/gone", sweep=f"file://{tmp_path}") == 3
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["keep"]
+    frames = spark.createDataFrame([(0, "a"), (1, "a"), (0, "b")], "frame_num int, v string")
+    assert media_source.first_frames(frames).count() == 2
+
+
+def test_models(spark):
+    made = []
+    kernels.register_model(kernels.Model("own_DAT", lambda precision: made.append(precision) or (lambda x: x * 2), 4.0))
+    assert kernels.scale_of("own_DAT") == 4.0 and kernels.scale_of("nearest_up") == 2.0
+    assert [kernels.precision_of("own_DAT", True), kernels.precision_of("x", None), kernels.precision_of("x", False), kernels.precision_of("x", True, has_half=False)] == ["fp32", "fp16", "fp32", "fp32"]
+    first = kernels.loaded(kernels._models["own_DAT"], "fp32")
+    assert kernels.loaded(kernels._models["own_DAT"], "fp32") is first and made == ["fp32"]
+    kernels.unload()
+    assert kernels.loaded(kernels._models["own_DAT"], "fp32") is not first
+    assert one(spark, M.with_suffix(F.lit("a.b"), ".png")) == "a.png" and one(spark, M.with_suffix(F.lit("plain"), ".png")) == "plain.png"
+    assert one(spark, M.session_folder(F.timestamp_seconds(F.lit(0)))) == "19700101_000000"
+
+
+def _stream_of(spark, path, schema, batches):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/in/{k}")
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def test_stream_releases_in_order(spark, tmp_path):
+    """Indices out of order over batches wait for those before them; repeats after release are dropped."""
+    batches = [[("a", 2, "a2"), ("a", 0, "a0"), ("b", 1, "b1")], [("a", 1, "a1"), ("a", 0, "again"), ("b", 3, "b3")], [("b", 0, "b0"), ("a", 4, "a4"), ("b", None, "n")]]
+    stream, seen = _stream_of(spark, tmp_path, "k string, n long, v string", batches), []
+    q = stages.in_order(stream, "k", "n", "v").writeStream.foreachBatch(lambda df, i: seen.extend(tuple(r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert first_seen.run(q, 120)[0]
+    for key, want in (("a", ["a0", "a1", "a2"]), ("b", ["b0", "b1"])):
+        assert [(n, v, r) for k, n, v, r in seen if k == key] == [(i, v, i) for i, v in enumerate(want)]
+
+
+def test_stream_stages(spark, tmp_path):
+    stream = stages.with_fingerprint(_stream_of(spark, tmp_path, "n long, v string", [[(i, "x" if i < 3 else str(i)) for i in range(5)]]), "v")
+    batched = []
+    q = stream.writeStream.foreachBatch(stages.in_batches(lambda df, i: batched.extend((r["n"], r["batch_id"]) for r in df.collect()), "n", 2)).option("checkpointLocation", f"{tmp_path}/s1").trigger(availableNow=True).start()
+    assert first_seen.run(q, 120)[0] and sorted(batched) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)]
+    written, rejected = [], []
+    results = spark.createDataFrame([(0, "r0"), (3, "r3")], "n long, r string")
+    sink = stages.two_pass_sink("n", results, lambda df, what, i: written.extend((what, r["n"], r["r"]) for r in df.collect()), lambda df, i: rejected.extend(r["n"] for r in df.collect()))
+    sink(spark.createDataFrame([(0, 0, False), (1, 0, True), (3, 3, False), (4, 4, False)], "n long, unique_id long, is_duplicate boolean"), 0)
+    assert written == [("originals", 0, "r0"), ("originals", 3, "r3"), ("copies", 1, "r0")] and rejected == [4]
+
+
+def test_stream_control(spark, tmp_path):
+    """Stop, pause and resumption, progress, and a stream that fails."""
+    rate = lambda name: lambda: spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/{name}").start()
+    control, reports = stages.Control(), []
+
+    def seen(report):
+        reports.append(report["batchId"])
+        if len(reports) == 1:
+            control.pause.set()
+            threading.Timer(1, control.pause.clear).start()
+        if len(reports) >= 3:
+            control.stop.set()
+
+    assert stages.supervise(rate("a"), control, seen, 60) == (False, "stopped") and len(reports) >= 3
+    assert stages.supervise(rate("b"), stages.Control(), timeout_s=1)[1].startswith("stopped after")
+
+    def broken(df, i):
+        raise RuntimeError("a broken batch")
+
+    failing = lambda: spark.readStream.format("rate").load().writeStream.foreachBatch(broken).option("checkpointLocation", f"{tmp_path}/c").start()
+    ok, message = stages.supervise(failing, stages.Control(), timeout_s=60)
+    assert not ok and "broken batch" in message
