@@ -228,3 +228,50 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces} == rows[4].keys() and all(r["n"] == r["t"] for r in pieces)
     whole = corpus_pipeline.run(spark, SF)
     assert whole.count() == kept[-1].count()
+
+
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component long, keys string, th string, region long"
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, an id with two texts."""
+    plain = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(None, plain[0]), (None, None), (100, None), (101, ""), (102, " \n\n "), (1, plain[1]), (1, plain[1]), (2, plain[3]), (103, " ".join(plain) * 40), (104, "x" * 300_000)]
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 else "s", None, None, None, "h", 1) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(rows, ODD_SCHEMA), rows
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    docs, rows = odd_documents(spark)
+    docs = store.keep(docs, "odd")
+    got = stage(spark, docs, SF)
+    if name == "packing":
+        sizes = {}
+        for r in got.collect():
+            sizes.setdefault(r["doc_id"], []).append(r["length"])
+        assert set(sizes) == {r[0] for r in rows} and min(map(min, sizes.values())) == 1
+    else:
+        assert got.columns == docs.columns
+        kept = Counter((r["doc_id"], r["lang"], r["source"], r["th"]) for r in got.collect())
+        given = Counter((r[0], r[2], r[3], r[7]) for r in rows)
+        assert not kept - given
+        if name == "line dedup":
+            assert kept == given
+            texts = {r["doc_id"]: r["text"] for r in got.collect()}
+            assert texts[100] is None and texts[101] == "" and texts[102] == " \n\n "
+        if name == "n-gram Jaccard join":
+            ids = [r["doc_id"] for r in got.collect()]
+            assert ids.count(None) == 2 and {100, 101, 102} <= set(ids) and ids.count(1) == 3
+        if name == "benchmark decontamination":
+            assert {100, 101, 102} <= {r["doc_id"] for r in got.collect()}
+        if name == "quality classifier":
+            assert not {100, 101} & {r["doc_id"] for r in got.collect()}
+    assert stage(spark, store.keep(docs.where("false"), "odd"), SF).collect() == []
+
+
+def test_very_long_payloads(spark):
+    long = "<p>" + "long page " * 200_000 + "</p>"
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, None, None)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.fields(warc.read(*warc.write(pages))).collect()}
+    assert got == {1: (len(long), "revisit", 2), 2: (len(long), "response", None), 3: (0, "response", None)}

@@ -541,6 +541,15 @@ def test_voting_is_exact():
         assert s == pytest.approx((weight * labels[near]).sum() / weight.sum(), abs=1e-4)
 
 
+def test_tied_neighbours_and_few_labels():
+    """Equal labelled vectors: the fixed order settles which of them vote, so scores repeat."""
+    rows = np.tile(np.array([[1.0, 2.0, 0.0, 3.0]], np.float32), (6, 1))
+    voter = quality.Voter(rows, np.array([0, 1, 0, 1, 0, 1]), latent=2, k=3)
+    once = voter.score(rows[:2])
+    assert (once == voter.score(rows[:2])).all() and once[0] == once[1] and 0 <= once[0] <= 1
+    assert len(quality.Voter(rows[:2], np.array([0, 1]), latent=2, k=9).score(rows)) == 6
+
+
 def test_sha_of_kept_text(spark, df):
     row = substrings.remove_repeats(df.where("doc_id = 3005")).select(F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("s")).first()
     assert row["s"] == hashlib.sha256(b"a b c d").hexdigest()
