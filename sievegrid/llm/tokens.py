@@ -26,7 +26,8 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _APOSTROPHE = 39
-_SLOTS = 1 << 22
+_SLOT_BITS = 21
+_SLOTS = 1 << _SLOT_BITS
 _LONG_BYTES = 1 << 24
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
@@ -84,7 +85,7 @@ class Encoder:
 
     def _find(self, h: np.ndarray, pieces: tuple[np.ndarray, ...]) -> np.ndarray:
         """The entry of each piece, -1 if there is none; ``h`` says where to look, the bytes decide."""
-        slot = (h >> K.U64(42)).astype(np.int64)
+        slot = (h >> K.U64(64 - _SLOT_BITS)).astype(np.int64)
         same = self._same(slot, pieces)
         out = np.where(same, self.entry[slot], -1)
         left = np.flatnonzero(~same & (self.size[slot] != 0))
@@ -109,7 +110,7 @@ class Encoder:
 
     def _enter(self, h: np.ndarray, pieces: tuple[np.ndarray, ...], entries: np.ndarray) -> None:
         """Distinct new short pieces go to the table."""
-        slot, left = (h >> K.U64(42)).astype(np.int64), np.arange(len(h))
+        slot, left = (h >> K.U64(64 - _SLOT_BITS)).astype(np.int64), np.arange(len(h))
         while len(left):
             take = left[self.size[slot[left]] == 0]
             _, first = np.unique(slot[take], return_index=True)
