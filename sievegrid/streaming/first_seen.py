@@ -16,8 +16,9 @@ def first_seen(stream: DataFrame, key_col: str, id_col: str, ttl_ms: int | None
     """(key, id, unique_id, is_duplicate) for every row of the stream.
 
     The first id of a key, the least within its micro-batch, represents the key from then
-    on.  A null id represents nothing: it is a duplicate once its key has an id.  State holds one id a key; with ``ttl_ms`` a key idle for that long is forgotten and
-    its next row is first again, without it state grows with the distinct keys.
+    on.  A null id represents nothing: it is a duplicate once its key has an id.  State holds
+    one id a key; with ``ttl_ms`` a key idle for that long is forgotten and its next row is first
+    again, without it state grows with the distinct keys.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
