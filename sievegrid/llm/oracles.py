@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_templates, repetition
+from . import line_templates, phrases, repetition, secret_scan
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -65,4 +65,34 @@ b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > {repetition.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * covered <= {repetition.MAX_COVERED_PERCENT} * n_words AND NOT too_long AS kept FROM v"""
 
-ORACLES = {"op1_ngram_jaccard": OP1, "op4_line_dedup": OP4, "op6_substring_dedup": OP6, "op8_warc": OP8, "op9_quality_rules": OP9}
+
+def _spans(rule: secret_scan.Rule, rank: int) -> tuple[str, str]:
+    """A rule's matches in text t, by running sums over gaps and matches; and which of them don't count."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    m, gaps = f"regexp_extract_all(t, {pattern}, 0)", f"string_split_regex(t, {pattern})"
+    size = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)::BIGINT"
+    one = f"{{'s': {size.format('gaps[1:i]')} + {size.format('m[1:i - 1]')}, 'k': {rank}, 'kind': '{rule.name}', 'e': {size.format('gaps[1:i]')} + {size.format('m[1:i]')}, 'n': length(v[i])}}"
+    return f"SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {one})) AS x FROM (SELECT doc_id, {m} AS m, {gaps} AS gaps, regexp_extract_all(t, {pattern}, {rule.group}) AS v FROM d)", f"x.k = {rank} AND x.n < {rule.least}"
+
+
+_FOUND = [_spans(rule, i) for i, rule in enumerate(secret_scan.RULES, 1)]
+_LISTED = "string_agg(x.kind || ':' || x.s || ':' || x.e, ',' ORDER BY x.s, x.k)"
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT * FROM ({" UNION ALL ".join(x for x, _ in _FOUND)}) WHERE NOT ({" OR ".join(x for _, x in _FOUND)})),
+g AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE x.k = {i}) AS n{i}" for i in (1, 2, 3))}, {_LISTED} AS spans, {_LISTED} FILTER (WHERE x.k <= 3) AS base FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coalesce(n3, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+OP13 = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+f AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(flatten(list_transform(range(1, {phrases.MAX_WORDS} + 1), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])))) AS p FROM w) GROUP BY ALL),
+c AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= {phrases.LEAST}),
+s AS (SELECT c.*, k, l.f AS l, r.f AS r, ({phrases.SCALE}::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1:]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS o FROM s),
+i AS (SELECT lang, p[i:i + m - 1] AS p, max(a) AS longer FROM (SELECT lang, p, a, m, unnest(range(1, len(p) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(p))) AS m FROM c)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang),
+t AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN i USING (lang, p) WHERE o = 1 AND (longer IS NULL OR 100 * longer < {phrases.CONTAINED_PERCENT} * a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) QUALIFY rank <= {phrases.LIMIT}"""
+
+ORACLES = {"op1_ngram_jaccard": OP1, "op4_line_dedup": OP4, "op6_substring_dedup": OP6, "op8_warc": OP8, "op9_quality_rules": OP9, "op12_secret_scan": OP12, "op13_phrase_mining": OP13}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table as _table
-from . import decontaminate, html_text, jaccard, line_templates, packing, quality, rans, repetition, substrings, warc
+from . import decontaminate, html_text, jaccard, line_templates, packing, phrases, quality, rans, repetition, runs, secret_scan, substrings, warc
 from .oracles import ORACLES
 
 
@@ -63,6 +63,27 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_archive(spark, path, keep_ids=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse(runs.with_periodic_tail(_table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", runs.highest(F.col("runs")))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), digest(listed).alias("runs_sha256"), digest(F.col("kept_text")).alias("collapsed_sha256"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.Ledger(spark))
+    names = [r.name for r in secret_scan.BASE]
+    of = lambda *kinds: F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in names]
+    return found.select("doc_id", *counts, F.sha2(F.encode(secret_scan.written(of(*names)), "UTF-8"), 256).alias("base_sha256"), secret_scan.written(F.col("secrets")).alias("spans"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -75,4 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_binary": op10_token_binary,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_phrase_mining": op13_phrase_mining,
 }
