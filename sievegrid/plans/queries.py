@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import media as M
 from ..operators import dedupe, fold, kernels, ordering, reassemble, tiles, transform, validate
-from ..session import new_path, table
+from ..session import keep, new_path, table
 from ..sources import catalog
 from ..sources import media as media_source
-from ..sources import pixels
+from ..sources import pixels, sink, video
 from ..streaming import first_seen as streams
 from ..streaming import stages
 
@@ -617,9 +617,9 @@ _SAMPLED = f"list_transform(range(768), lambda i: f[((i // 48) // 2 * 8 + ((i //
 _CHANNEL = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(256), lambda i: s[i * 3 + {0}])), lambda a, x: a + x) / 256"
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _frames(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     v = A.doubles(F.col("embedding"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.transform(v, lambda x: F.array(x, 1 - x, x * x))).alias("frame"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *cols, F.flatten(F.transform(v, lambda x: F.array(x, 1 - x, x * x))).alias("frame"))
 
 
 @query(f"""
@@ -687,3 +687,65 @@ def q60_mode_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode by size, promised speed-up and output name of every part."""
     mode = M.streams_frames(F.lit(True), F.col("p_size"), F.col("p_partkey") % 2 == 0, F.lit(True))
     return table(spark, sf_dir, "part").select("p_partkey", F.when(mode, "stream").otherwise("batch").alias("mode"), M.speed_up(F.col("p_partkey"), F.col("p_size"), F.lit(3)).alias("speed_up"), M.with_suffix(F.col("p_name"), ".png").alias("output_name"))
+
+
+def _videos(spark: SparkSession, sf_dir: str, size: int, lost: Column, declared: Column) -> str:
+    """A table of raw videos of ``size`` frames each, made from all vectors; ``lost`` frames are left out."""
+    folder = new_path(spark, "videos")
+    frames = _frames(spark, sf_dir, "label").withColumns({"video": F.expr(f"vec_id div {size}"), "frame_num": F.col("vec_id") % size})
+    frames = frames.join(frames.groupBy("video").agg(F.sum(declared.cast("long")).alias("n")), "video")
+    video.write_videos(frames, folder, F.col("video"), F.col("frame_num"), F.lit(8), F.lit(8), F.when(~lost, F.col("frame")), F.col("n"))
+    return folder
+
+
+def _level(scale: int = 255) -> Column:
+    return F.aggregate("pixels", F.lit(0).cast("long"), lambda a, x: a + F.bround(x * scale).cast("long"))
+
+
+_LEVEL = f"list_sum(list_transform({{0}}, lambda x: round_even({_CLAMP.format('x')} * {{1}}, 0)::BIGINT))::BIGINT"
+
+
+@query(f"""
+WITH f AS (SELECT vec_id, {_FRAME} AS f FROM ({_VECTORS}))
+SELECT (vec_id // 16)::VARCHAR AS video, vec_id % 16 AS frame_num, 8 AS height, 8 AS width, {_LEVEL.format('f', 255)} AS level, NULL::VARCHAR AS error FROM f""")
+def q61_video_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N frames to a file and 1 file to N frames: every frame of every video that was written."""
+    folder = _videos(spark, sf_dir, 16, F.lit(False), F.lit(True))
+    return video.frames(spark, folder).select("video", "frame_num", "height", "width", _level().alias("level"), "error")
+
+
+@query("""
+WITH c AS (SELECT (vec_id // 4)::VARCHAR AS video, count(*) FILTER (WHERE label <> 0) AS expected, count(*) FILTER (WHERE label < 5) AS extracted FROM embeddings GROUP BY vec_id // 4)
+SELECT video, expected, extracted, CASE WHEN extracted = 0 THEN 'none' WHEN expected = extracted THEN 'ok' WHEN extracted < expected THEN 'fewer' ELSE 'more' END AS status FROM c""")
+def q62_extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each file declares against the frames that are in it."""
+    folder = _videos(spark, sf_dir, 4, F.col("label") >= 5, F.col("label") != 0)
+    return media_source.extraction_report(video.headers(spark, folder), video.frames(spark, folder))
+
+
+@query(f"""
+WITH f AS (SELECT vec_id, {_FRAME} AS f FROM ({_VECTORS}) WHERE vec_id % 16 = 0)
+SELECT (vec_id // 16)::VARCHAR AS video, {_LEVEL.format('f', 255)} AS level FROM f""")
+def q63_video_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first frame of each video; the reader gets the filter."""
+    folder = _videos(spark, sf_dir, 16, F.lit(False), F.lit(True))
+    return video.first_frames(spark, folder).select("video", _level().alias("level"))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, label, {_FRAME} AS f, {_FORMATS}[label % 6 + 1] AS name FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)),
+t AS (SELECT * FROM (VALUES {_sql_rows(catalog.FRAME_FORMATS)}) t(name, format, compress_level, bits, quality)),
+c AS (SELECT vec_id, f, format, bits FROM p JOIN t ON t.name = CASE WHEN p.name = 'other' THEN 'PNG - Normal (8-bit)' ELSE p.name END)
+SELECT vec_id::VARCHAR AS name, bits::INT AS bits, {_LEVEL.format('f', "(CASE WHEN bits = 16 THEN 65535 ELSE 255 END)")} AS level, NULL::VARCHAR AS error FROM c WHERE format = 'PNG'
+UNION ALL SELECT vec_id::VARCHAR, NULL, NULL, 'no encoder for JPEG' FROM c WHERE format <> 'PNG'""")
+def q64_image_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames in the catalog's formats, saved as files, read again and decoded."""
+    labels = F.element_at(F.array(*map(F.lit, [x[0] for x in catalog.FRAME_FORMATS] + ["other"])), F.col("label") % 6 + 1)
+    frames = catalog.with_frame_format(_frames(spark, sf_dir, "label").withColumn("format_label", labels), "format_label")
+    folder = new_path(spark, "images")
+    images = keep(pixels.encode_as(frames, F.col("vec_id"), F.lit(8), F.lit(8), F.col("frame"), F.col("format"), F.col("compress_level"), F.col("bits")), "encoded")
+    sink.write_files(images, folder)
+    back = pixels.decode(sink.read_files(spark, folder), "path")
+    deep = frames.select(F.col("vec_id").cast("string").alias("name"), "bits")
+    decoded = back.select(M.stem(F.col("path")).alias("name"), "pixels", "error").join(deep, "name").select("name", "bits", F.when(F.col("bits") == 16, _level(65535)).otherwise(_level()).alias("level"), "error")
+    return decoded.unionByName(images.where("error is not null").select("name", F.lit(None).cast("int").alias("bits"), F.lit(None).cast("long").alias("level"), "error"))

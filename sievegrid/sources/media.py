@@ -93,3 +93,10 @@ def extraction_status(expected: Column, extracted: Column) -> Column:
         .when(extracted < expected, "fewer")
         .otherwise("more")
     )
+
+
+def extraction_report(headers: DataFrame, frames: DataFrame) -> DataFrame:
+    """(video, expected, extracted, status) of every file, from what it declares and the whole frames in it."""
+    found = frames.where(F.col("error").isNull()).groupBy("video").agg(F.count("*").alias("extracted"))
+    counts = headers.select("video", F.col("n_frames").alias("expected")).join(found, "video", "left")
+    return counts.select("video", "expected", F.coalesce("extracted", F.lit(0)).alias("extracted"), extraction_status(F.col("expected"), F.col("extracted")).alias("status"))
