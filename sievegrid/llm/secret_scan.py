@@ -148,7 +148,8 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, t
     rank = lambda s: F.array_position(ranks, s["rule"]).cast("int")
     # a blob that two scans met at once has its findings twice
     spans = F.array_distinct(F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), F.get(names, rank(s) - 1).alias("kind"), s["end"].alias("end")))))
-    held = held.select(F.col("blob").alias("sg_blob"), spans.alias("secrets"))
+    # a table, so that both sides of the join shuffle as they are and a blob of many paths can be split
+    held = store.keep(held.select(F.col("blob").alias("sg_blob"), spans.alias("secrets")), "secrets")
     # extra columns may be called blob or secrets
     own = [c for c in versions.columns if c not in (text_col, "blob", "secrets")]
     paths = versions.select(*own, blob)
