@@ -272,7 +272,7 @@ def _first(rows: DataFrame, limit: int) -> DataFrame:
     First among parts of a language, then among parts of parts: no task sorts a whole language.
     """
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    for parts in (4096, 64):
+    for parts in (4096, 128, 4):
         group = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))).orderBy(*order)
         rows = rows.withColumn("rank", F.row_number().over(group)).where(F.col("rank") <= limit)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= limit)
