@@ -13,8 +13,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import arrays as A
+from ..functions import lists
+
 Kernel = Callable[[np.ndarray], np.ndarray]
 # architectures that half precision breaks, by a part of the kernel's name
 SINGLE_ONLY = ("dat",)
@@ -90,32 +94,28 @@ def apply(rows: DataFrame, kernel: str, id_col: str, value_col: str, out: str =
     field = rows.schema[id_col]
     schema = T.StructType([field, T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
-    def one_size(x: list) -> tuple[list | None, str | None]:
+    def one_size(x: np.ndarray) -> tuple[np.ndarray | None, str | None]:
         try:
-            return loaded(model, precision)(np.asarray(x, float))[:, :].tolist(), None
+            return np.asarray(loaded(model, precision)(x), float)[:, :], None
         except Exception as e:  # a kernel's own failure is data
             return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(1).to_pylist()
-            results: list = [None] * len(values)
-            errors: list = [None] * len(values)
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(values):
-                if v is None or None in v:
-                    errors[i] = "null input"
-                else:
-                    by_size.setdefault(len(v), []).append(i)
-            for at in by_size.values():
-                got, error = one_size([values[i] for i in at])
-                if error is None:
-                    for i, r in zip(at, got, strict=True):
+            flat, offsets, whole = lists.flat(batch.column(1))
+            length = np.diff(offsets)
+            results: list[np.ndarray | None] = [None] * batch.num_rows
+            errors: list[str | None] = [None if ok else "null input" for ok in whole.tolist()]
+            for n in np.unique(length[whole]).tolist():
+                at = np.flatnonzero(whole & (length == n))
+                got, error = one_size(lists.rows_of(flat, offsets, at, n))
+                if got is not None and len(got) == len(at):
+                    for i, r in zip(at.tolist(), got, strict=True):
                         results[i] = r
                     continue
-                for i in at:  # find the rows that fail
-                    got, errors[i] = one_size([values[i]])
-                    results[i] = got[0] if got else None
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(results, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=[id_col, out, "error"])
+                for i in at.tolist():  # find the rows that fail
+                    got, errors[i] = one_size(lists.rows_of(flat, offsets, np.array([i]), n))
+                    results[i] = got[0] if got is not None else None
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.column(results), pa.array(errors, pa.string())], names=[id_col, out, "error"])
 
-    return rows.select(id_col, value_col).mapInArrow(run, schema)
+    return rows.select(id_col, A.doubles(F.col(value_col)).alias(value_col)).mapInArrow(run, schema)

@@ -1,43 +1,219 @@
-"""The composed transform: tiles, kernel, weighted recombination, resize, post-processing."""
+"""The composed transform: tiles, kernel, weighted recombination, resize, post-processing.
+
+A tile is one row with an array of its pixels, and so is a band of finished pixels; no pixel is a row.  Tiles go
+through the kernel wherever they are, are weighted there, and are cut where the bands meet; a band of one image
+is summed up in one place, which holds the pixels of that band alone.  So work grows with the pixels, and one large
+image is many tasks' work.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from . import tiles
+from ..functions import lists
+from . import resample
+
+Kernel = Callable[[np.ndarray, int, int], np.ndarray]
+FLOOR = 1e-8  # fixed value: the least sum of weights
+_PIECE = "y int, x int, high int, wide int, values array<double>, error string"
+BANDS = "band int, y int, high int, width int, values array<double>, error string"
+
+
+def starts(size: int, tile: int, overlap: int) -> range:
+    return range(0, size, tile - overlap)
+
 
+@lru_cache(64)
+def weights(height: int, width: int, overlap: int, edge_safe: bool) -> np.ndarray:
+    """The weight of each pixel of a tile: linear ramps at its sides, all ones where the overlap doesn't fit.
 
-def single_pass(images: DataFrame, id_col: str, value_col: str, height: str, width: str, kernel: Callable[[Column, Column, Column], Column], tile: int, overlap: int, edge_safe: bool = True) -> DataFrame:
-    """(id, y, x, value): every tile through the kernel, blended where tiles overlap.
+    As specified the ramp is 0 at the border; ``edge_safe`` keeps it above 0.  Where both ramps of an axis meet, the
+    far one rules across and both multiply down.
+    """
+    if not 0 < overlap <= min(height, width):
+        return np.ones((height, width))
+    near = (np.arange(overlap) + 1) / (overlap + 1) if edge_safe else np.linspace(0, 1, overlap) if overlap > 1 else np.zeros(1)
+    across, down = np.ones(width), np.ones(height)
+    across[:overlap] = near
+    across[-overlap:] = near[::-1]
+    down[:overlap] = near
+    down[-overlap:] *= near[::-1]
+    return down[:, None] * across[None, :]
+
+
+def cut(images: DataFrame, id_col: str, value_col: str, height: str, width: str, tile: int = 512, overlap: int = 32) -> DataFrame:
+    """(id, height, width, y, x, high, wide, values, error): a row a tile; a small image is one tile.
 
-    ``kernel`` gets a pixel's value and its tile's y and x.  Tiles are rows, so one large image
-    is many tasks' work; the blend combines partly in each task.
+    An image that is null or doesn't fit its size is one row with an error.
     """
-    placed = tiles.grid(images.select(id_col, value_col, height, width), height, width, tile, overlap)
-    ys = placed.withColumn("sg_y", F.explode(F.sequence(F.col("y"), F.col("y_end") - 1)))
-    cells = ys.withColumn("sg_x", F.explode(F.sequence(F.col("x"), F.col("x_end") - 1)))
-    value = F.get(A.doubles(F.col(value_col)), (F.col("sg_y") * F.col(width) + F.col("sg_x")).cast("int"))
-    whole = (F.col("y_end") - F.col("y") == F.col(height)) & (F.col("x_end") - F.col("x") == F.col(width))
-    weight = tiles.weight_2d(F.col("sg_y") - F.col("y"), F.col("sg_x") - F.col("x"), F.col("y_end") - F.col("y"), F.col("x_end") - F.col("x"), F.lit(overlap), edge_safe)
-    done = cells.select(id_col, F.col("sg_y").alias("y"), F.col("sg_x").alias("x"), kernel(value, F.col("y"), F.col("x")).alias("value"), F.when(whole, 1.0).otherwise(weight).alias("sg_weight"))
-    return tiles.blend(done, [id_col, "y", "x"], "value", "sg_weight")
-
-
-def assembled(pixels: DataFrame, id_col: str, out: str = "values") -> DataFrame:
-    """(id, values): the pixels of each image in row-major order."""
-    rows = pixels.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("y", "x", "value"))).alias("sg"))
-    return rows.select(id_col, F.transform("sg", lambda p: p["value"]).alias(out))
-
-
-def upscale(images: DataFrame, id_col: str, value_col: str, size: tuple[int, int], kernel: Callable[[Column, Column, Column], Column], scale: int, tile: int = 512, overlap: int = 32, sharpness: float = 0.0, contrast: float = 1.0) -> DataFrame:
-    """(id, values): tiles, kernel, blend, resize and post-processing of images of one size and channel."""
-    height, width = size
-    sized = images.select(id_col, value_col).withColumns({"sg_h": F.lit(height), "sg_w": F.lit(width)})
-    blended = assembled(single_pass(sized, id_col, value_col, "sg_h", "sg_w", kernel, tile, overlap), id_col, "sg_values")
-    larger = A.resample(F.col("sg_values"), height, width, 1, height * scale, width * scale)
-    staged = blended.select(id_col, larger.alias("sg_values"))
-    return staged.select(id_col, A.post_process(F.col("sg_values"), width * scale, sharpness, contrast).alias("values"))
+    if overlap >= tile:
+        raise ValueError("the overlap must be smaller than the tile")
+
+    def tiles_of(values: np.ndarray, h: int, w: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        image = values.reshape(h, w, -1)
+        if h * w <= tile * tile:
+            yield 0, 0, image
+            return
+        for y in starts(h, tile, overlap):
+            for x in starts(w, tile, overlap):
+                yield y, x, image[y : y + tile, x : x + tile]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets, whole = lists.flat(batch.column(1))
+            for i, (h, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                n = int(offsets[i + 1] - offsets[i])
+                good = bool(whole[i]) and bool(h) and bool(w) and n > 0 and n % (h * w) == 0
+                found = list(tiles_of(flat[offsets[i] : offsets[i + 1]], h, w)) if good else [(0, 0, None)]
+                sizes = [(0, 0) if v is None else v.shape[:2] for *_, v in found]
+                error = None if good else f"{n if whole[i] else 'no'} values in {h} x {w} pixels"
+                numbers = [[h or 0] * len(found), [w or 0] * len(found), [y for y, *_ in found], [x for _, x, _ in found], [a for a, _ in sizes], [b for _, b in sizes]]
+                ids = pa.array([batch.column(0)[i].as_py()] * len(found), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in numbers), lists.column([v for *_, v in found]), pa.array([error] * len(found), pa.string())], names=[id_col, "height", "width", "y", "x", "high", "wide", "values", "error"])
+
+    kind = images.schema[id_col].dataType.simpleString()
+    rows = images.select(id_col, A.doubles(F.col(value_col)).alias("v"), F.col(height).cast("int").alias("h"), F.col(width).cast("int").alias("w"))
+    return rows.mapInArrow(run, f"{id_col} {kind}, height int, width int, {_PIECE}")
+
+
+def blended(tiles: DataFrame, id_col: str, kernel: Kernel, scale: int = 1, tile: int = 512, overlap: int = 32, edge_safe: bool = True, clip: bool = False) -> DataFrame:
+    """(id, band, y, high, width, values, error): tiles through the kernel, summed where they overlap.
+
+    ``kernel`` gets a tile (height, width, channels) and its place and returns one ``scale`` times as large.  With
+    ``clip`` its NaN and infinities become 0 and 1, and values stay in 0 to 1.  A kernel that fails on a tile fails
+    the image, with its error in the band of that tile; other images go on.
+    """
+    step = (tile - overlap) * scale
+
+    def tidy(x: np.ndarray) -> np.ndarray:
+        return np.clip(np.nan_to_num(x, nan=0.0, posinf=1.0, neginf=0.0), 0, 1) if clip else x
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets, _ = lists.flat(batch.column(7))
+            numbers = [batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5, 6, 8)]
+            for i, (h, w, y, x, high, wide, error) in enumerate(zip(*numbers, strict=True)):
+                pieces: list[tuple] = []
+                if error is None:
+                    try:
+                        done = tidy(np.asarray(kernel(flat[offsets[i] : offsets[i + 1]].reshape(high, wide, -1), y, x), float))
+                        if done.shape[:2] != (high * scale, wide * scale):
+                            raise ValueError(f"the kernel gave {done.shape} for {high} x {wide} at scale {scale}")
+                        single = (high, wide) == (h, w)
+                        weight = np.ones(done.shape[:2]) if single else weights(*done.shape[:2], overlap * scale, edge_safe)
+                        part, top = done * weight[:, :, None], y * scale
+                        # an image of one tile is one band
+                        for band in [0] if single else range(top // step, (top + len(done) - 1) // step + 1):
+                            low, end = (0, len(done)) if single else (max(top, band * step), min(top + len(done), (band + 1) * step))
+                            rows = slice(low - (0 if single else top), end - (0 if single else top))
+                            pieces.append((band, low, x * scale, end - low, done.shape[1], w * scale, part[rows], weight[rows], None))
+                    except Exception as e:  # a kernel's own failure is data
+                        error = f"{type(e).__name__}: {e}"
+                if error is not None:
+                    pieces = [(y * scale // step, 0, 0, 0, 0, w * scale, None, None, error)]
+                columns = list(zip(*pieces, strict=True))
+                ids = pa.array([batch.column(0)[i].as_py()] * len(pieces), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in columns[:6]), lists.column(list(columns[6])), lists.column(list(columns[7])), pa.array(columns[8], pa.string())], names=[id_col, *"band y x high wide width values weights error".split()])
+
+    def add(table: pa.Table) -> pa.Table:
+        band, width = table.column("band")[0].as_py(), table.column("width")[0].as_py()
+        errors = sorted({e for e in table.column("error").to_pylist() if e is not None})
+        ys, highs = table.column("y").to_pylist(), table.column("high").to_pylist()
+        y, high, out = min(ys), 0, None
+        if not errors:
+            high = max(a + b for a, b in zip(ys, highs, strict=True)) - y
+            values, weight = (lists.flat(table.column(c).combine_chunks()) for c in ("values", "weights"))
+            channels = int(values[1][1] - values[1][0]) // (highs[0] * table.column("wide")[0].as_py())
+            total, sums = np.zeros((high, width, channels)), np.zeros((high, width, 1))
+            # in the order of their places, so that sums don't depend on arrival
+            xs, wides = table.column("x").to_pylist(), table.column("wide").to_pylist()
+            for i in sorted(range(table.num_rows), key=lambda k: (ys[k], xs[k])):
+                spot = slice(ys[i] - y, ys[i] - y + highs[i]), slice(xs[i], xs[i] + wides[i])
+                total[spot] += values[0][values[1][i] : values[1][i + 1]].reshape(highs[i], wides[i], channels)
+                sums[spot] += weight[0][weight[1][i] : weight[1][i + 1]].reshape(highs[i], wides[i], 1)
+            out = tidy(total / np.maximum(sums, FLOOR))
+        numbers = [pa.array([v], pa.int32()) for v in (band, y, high, width)]
+        return pa.Table.from_arrays([table.column(id_col)[:1], *numbers, lists.column([out]), pa.array(["; ".join(errors) or None], pa.string())], names=[id_col, *"band y high width values error".split()])
+
+    kind = tiles.schema[id_col].dataType.simpleString()
+    pieces = tiles.mapInArrow(weigh, f"{id_col} {kind}, band int, y int, x int, high int, wide int, width int, values array<double>, weights array<double>, error string")
+    return pieces.groupBy(id_col, "band").applyInArrow(add, f"{id_col} {kind}, {BANDS}")
+
+
+def single_pass(images: DataFrame, id_col: str, value_col: str, height: str, width: str, kernel: Kernel, tile: int, overlap: int, edge_safe: bool = True, scale: int = 1, clip: bool = False) -> DataFrame:
+    """(id, band, y, high, width, values, error): every tile through the kernel, blended where tiles overlap."""
+    return blended(cut(images, id_col, value_col, height, width, tile, overlap), id_col, kernel, scale, tile, overlap, edge_safe, clip)
+
+
+def assembled(bands: DataFrame, id_col: str, out: str = "values") -> DataFrame:
+    """(id, height, width, values, error): the bands of each image, which is a row again."""
+    whole = bands.groupBy(id_col).agg(F.sum("high").cast("int").alias("height"), F.max("width").alias("width"), F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("sg_e"), F.array_sort(F.collect_list(F.struct("band", "values"))).alias("sg"))
+    error = F.nullif("sg_e", F.lit(""))
+    return whole.select(id_col, "height", "width", F.when(error.isNull(), F.flatten(F.transform("sg", lambda b: b["values"]))).alias(out), error.alias("error"))
+
+
+def upscale(images: DataFrame, id_col: str, value_col: str, height: str, width: str, kernel: Kernel, scale: int, tile: int = 512, overlap: int = 32, passes: int = 1, target: Column | None = None, sharpness: float = 0.0, contrast: float = 1.0, colour: float = 1.0, clip: bool = False, kind: str = "lanczos") -> DataFrame:
+    """(id, height, width, values, error): all passes, post-processing, then the size that ``target`` asks for.
+
+    ``target`` is the multiple of the original size; the default is what the passes give.
+    """
+    now, v, h, w = images.select(id_col, value_col, height, width), value_col, height, width
+    for _ in range(passes):
+        now = assembled(single_pass(now, id_col, v, h, w, kernel, tile, overlap, scale=scale, clip=clip), id_col)
+        v, h, w = "values", "height", "width"
+    done = post_process(now, id_col, sharpness, contrast, colour)
+    if target is None:
+        return done
+    sizes = images.select(F.col(id_col).alias("sg_id"), F.floor(F.col(height) * target).alias("sg_h"), F.floor(F.col(width) * target).alias("sg_w"))
+    placed = done.where("error is null").join(sizes, F.col(id_col) == F.col("sg_id"))
+    larger = resample.resize(placed, id_col, F.col("values"), F.col("height"), F.col("width"), F.col("sg_h"), F.col("sg_w"), kind)
+    return larger.unionByName(done.where("error is not null"))
+
+
+def enhanced(image: np.ndarray, sharpness: float = 0.0, contrast: float = 1.0, colour: float = 1.0) -> np.ndarray:
+    """An image of 0 to 1 moved away from its smoothed, its mean grey and its grey version, in this order.
+
+    Each step is left out at its neutral value.  Fixed values: the smoothing kernel has 5 in the middle of eight
+    ones, and leaves the border as it is; grey has the weights of luminance.
+    """
+    if sharpness and min(image.shape[:2]) > 2:
+        soft = image.copy()
+        around = sum(image[1 + dy : image.shape[0] - 1 + dy, 1 + dx : image.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+        soft[1:-1, 1:-1] = (around + 4 * image[1:-1, 1:-1]) / 13
+        image = np.clip(soft + (image - soft) * (1 + sharpness), 0, 1)
+    grey = lambda x: x @ np.array(A.LUMA) if x.shape[2] == 3 else x.mean(2)
+    if contrast != 1.0:
+        middle = grey(image).mean()
+        image = np.clip(middle + (image - middle) * contrast, 0, 1)
+    if colour != 1.0 and image.shape[2] == 3:
+        plain = grey(image)[:, :, None]
+        image = np.clip(plain + (image - plain) * colour, 0, 1)
+    return image
+
+
+def post_process(images: DataFrame, id_col: str, sharpness: float = 0.0, contrast: float = 1.0, colour: float = 1.0) -> DataFrame:
+    """(id, height, width, values, error) with every image enhanced; neutral values leave all as it is."""
+    if not sharpness and contrast == 1.0 and colour == 1.0:
+        return images
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets, whole = lists.flat(batch.column(3))
+            h, w = (batch.column(k).to_pylist() for k in (1, 2))
+            out = [enhanced(flat[offsets[i] : offsets[i + 1]].reshape(h[i], w[i], -1), sharpness, contrast, colour) if ok else None for i, ok in enumerate(whole.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists.column(out), batch.column(4)], names=batch.schema.names)
+
+    return images.select(id_col, "height", "width", "values", "error").mapInArrow(run, images.select(id_col, "height", "width", "values", "error").schema)
+
+
+def pixels(bands: DataFrame, id_col: str) -> DataFrame:
+    """(id, y, x, value) of images of one channel, for reports of single pixels."""
+    cells = bands.select(id_col, "y", "width", F.posexplode("values").alias("i", "value"))
+    return cells.select(id_col, (F.col("y") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), "value")

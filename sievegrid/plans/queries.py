@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import media as M
-from ..operators import dedupe, fold, kernels, ordering, reassemble, tiles, transform, validate
+from ..operators import dedupe, fold, kernels, ordering, reassemble, resample, tiles, transform, validate
 from ..session import keep, new_path, table
 from ..sources import catalog
 from ..sources import media as media_source
@@ -592,12 +593,16 @@ b AS (SELECT vec_id, y, x, sum(value * weight) / greatest(sum(weight), 1e-8) AS
 @query(f"{_TILES} SELECT vec_id, y::INT AS y, x::INT AS x, round(value, 6) AS value FROM b")
 def q51_tile_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over (y, x): tiles, a kernel that knows its tile, weighted recombination."""
-    images = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(8).alias("h"), F.lit(8).alias("w"))
-    return transform.single_pass(images, "vec_id", "embedding", "h", "w", _by_tile, 5, 2).withColumn("value", F.round("value", 6))
+    done = transform.single_pass(_squares(spark, sf_dir), "vec_id", "embedding", "h", "w", _by_tile, 5, 2)
+    return transform.pixels(done, "vec_id").withColumn("value", F.round("value", 6))
 
 
-def _by_tile(value: Column, y: Column, x: Column) -> Column:
-    return value * (1 + (y + x) / 100.0)
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(8).alias("h"), F.lit(8).alias("w"))
+
+
+def _by_tile(tile: np.ndarray, y: int, x: int) -> np.ndarray:
+    return tile * (1 + (y + x) / 100.0)
 
 
 @query(f"""{_TILES},
@@ -606,7 +611,7 @@ r AS (SELECT vec_id, list_transform(range(256), lambda i: v[(i // 16) // 2 * 8 +
 SELECT vec_id, array_to_string(list_transform(v, lambda q: round_even({_CLAMP.format('(q - m) * 1.5::DOUBLE + m')} * 10000, 0)::BIGINT::VARCHAR), ',') AS pixels FROM (SELECT vec_id, v, {_SUM.format('v')} / len(v) AS m FROM r)""")
 def q52_composed_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles, kernel, blend, resize and post-processing as one job."""
-    done = transform.upscale(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", (8, 8), _by_tile, 2, 5, 2, contrast=1.5)
+    done = transform.upscale(_squares(spark, sf_dir), "vec_id", "embedding", "h", "w", _by_tile, 1, 5, 2, target=F.lit(2), contrast=1.5, kind="nearest")
     shown = F.transform("values", lambda q: F.bround(q * 10000).cast("long").cast("string"))
     return done.select("vec_id", F.array_join(shown, ",").alias("pixels"))
 
@@ -749,3 +754,67 @@ def q64_image_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = frames.select(F.col("vec_id").cast("string").alias("name"), "bits")
     decoded = back.select(M.stem(F.col("path")).alias("name"), "pixels", "error").join(deep, "name").select("name", "bits", F.when(F.col("bits") == 16, _level(65535)).otherwise(_level()).alias("level"), "error")
     return decoded.unionByName(images.where("error is not null").select("name", F.lit(None).cast("int").alias("bits"), F.lit(None).cast("long").alias("level"), "error"))
+
+
+def _filter_sql(size: int, to: int, kind: str = "lanczos") -> str:
+    """(o, i, w): the weight of place i for place o, as the filter is defined."""
+    if kind == "bilinear":
+        at = f"greatest((o + 0.5::DOUBLE) * {size / to!r} - 0.5, 0)"
+        return f"SELECT o, least(i, {size - 1}) AS i, sum(w) AS w FROM (SELECT o, floor(a) AS i, 1 - (a - floor(a)) AS w FROM (SELECT o, {at} AS a FROM range({to}) r(o)) UNION ALL SELECT o, floor(a) + 1, a - floor(a) FROM (SELECT o, {at} AS a FROM range({to}) r(o))) GROUP BY o, least(i, {size - 1})"
+    wide = max(size / to, 1.0)
+    places = f"SELECT o, i, (i - c + 0.5) / {wide!r} AS d FROM (SELECT o, i, (o + 0.5::DOUBLE) * {size / to!r} AS c FROM range({to}) r(o), range({size}) s(i)) WHERE i >= floor(c - {3 * wide!r} + 0.5) AND i < floor(c + {3 * wide!r} + 0.5)"
+    value = "CASE WHEN d = 0 THEN 1.0::DOUBLE WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0 END"
+    return f"SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, {value} AS w FROM ({places}))"
+
+
+def _resized_sql(rows: str, weights: str, settle: str = "{0}") -> str:
+    """``rows`` (vec_id, y, x, k, v) at another size: across, then down."""
+    return f"SELECT vec_id, o AS y, x, k, {settle.format('sum(v * w)')} AS v FROM (SELECT vec_id, y, o AS x, k, {settle.format('sum(v * w)')} AS v FROM {rows} JOIN {weights} ON i = x GROUP BY ALL) JOIN {weights} ON i = y GROUP BY ALL"
+
+
+_BYTE = "least(greatest(floor({0} + 0.5), 0), 255)"
+
+
+@query(f"""
+WITH wl AS ({_filter_sql(8, 16)}), wb AS ({_filter_sql(8, 16, 'bilinear')}),
+p AS (SELECT vec_id, j // 24 AS y, (j // 3) % 8 AS x, j % 3 AS k, f[j + 1] AS v FROM (SELECT vec_id, f, unnest(range(192)) AS j FROM (SELECT vec_id, {_FRAME} AS f FROM ({_VECTORS})))),
+b AS (SELECT vec_id, y, x, k, round_even({_CLAMP.format('v')} * 255, 0) AS v FROM p),
+l AS ({_resized_sql('b', 'wl', _BYTE)}), h AS (SELECT vec_id, string_agg(CASE WHEN v > m THEN '01' ELSE '00' END, '' ORDER BY y, x, k) AS frame_hash FROM (SELECT *, avg(v) OVER (PARTITION BY vec_id, k) AS m FROM l) GROUP BY vec_id),
+r AS ({_resized_sql('p', 'wb')}), q AS (SELECT vec_id, y, x, sum(v * [0.299::DOUBLE, 0.587, 0.114][k + 1]) AS g FROM r GROUP BY vec_id, y, x),
+g AS (SELECT vec_id, list(g ORDER BY y, x) AS g, avg(g) AS m FROM q GROUP BY vec_id)
+SELECT vec_id, frame_hash, array_to_string({_BITS}, '') AS gray_hash FROM h JOIN g USING (vec_id)""")
+def q65_resized_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both frame hashes from frames that were resized by their filters."""
+    return resample.frame_hashes(_frames(spark, sf_dir), "vec_id", F.col("frame"), F.lit(8), F.lit(8))
+
+
+def _doubled(tile: np.ndarray, y: int, x: int) -> np.ndarray:
+    return tile.repeat(2, 0).repeat(2, 1) * (1 + (y + x) / 100.0)
+
+
+_RAMP_2 = "(CASE WHEN {n} < 4 THEN 1 WHEN {p} >= {n} - 4 THEN ({n} - {p}) / 5.0::DOUBLE WHEN {p} < 4 THEN ({p} + 1) / 5.0::DOUBLE ELSE 1 END)"
+_RAMP_Y2 = "(CASE WHEN {p} < 4 THEN ({p} + 1) / 5.0::DOUBLE ELSE 1 END) * (CASE WHEN {p} >= {n} - 4 THEN ({n} - {p}) / 5.0::DOUBLE ELSE 1 END)"
+_GREY_OF = "sum(v * [0.299::DOUBLE, 0.587, 0.114][k + 1]) OVER (PARTITION BY vec_id, y, x)"
+
+
+@query(f"""
+WITH wl AS ({_filter_sql(16, 24)}),
+t AS (SELECT vec_id, f, y, x, least(y + 5, 8) - y AS h, least(x + 5, 8) - x AS w FROM (SELECT vec_id, {_FRAME} AS f FROM ({_VECTORS})), (SELECT unnest([0, 3, 6]) AS y), (SELECT unnest([0, 3, 6]) AS x)),
+c AS (SELECT *, i // (2 * w) AS dy, i % (2 * w) AS dx FROM (SELECT *, unnest(range(4 * h * w)) AS i FROM t)),
+p AS (SELECT vec_id, 2 * y + dy AS y, 2 * x + dx AS x, k, {_CLAMP.format('f[((y + dy // 2) * 8 + x + dx // 2) * 3 + k + 1] * (1 + (y + x) / 100.0::DOUBLE)')} AS v,
+  {_RAMP_2.format(n='2 * w', p='dx')} * {_RAMP_Y2.format(n='2 * h', p='dy')} AS weight FROM c, (SELECT unnest([0, 1, 2]) AS k)),
+b AS (SELECT vec_id, y, x, k, {_CLAMP.format('sum(v * weight) / greatest(sum(weight), 1e-8)')} AS v FROM p GROUP BY vec_id, y, x, k),
+s AS (SELECT b.vec_id, b.y, b.x, b.k, b.v, CASE WHEN b.y BETWEEN 1 AND 14 AND b.x BETWEEN 1 AND 14 THEN (sum(n.v) + 4 * b.v) / 13 ELSE b.v END AS soft
+  FROM b JOIN b n ON n.vec_id = b.vec_id AND n.k = b.k AND n.y BETWEEN b.y - 1 AND b.y + 1 AND n.x BETWEEN b.x - 1 AND b.x + 1 GROUP BY b.vec_id, b.y, b.x, b.k, b.v),
+e AS (SELECT vec_id, y, x, k, {_CLAMP.format('soft + (v - soft) * 1.5::DOUBLE')} AS v FROM s),
+m AS (SELECT *, avg(g) OVER (PARTITION BY vec_id) AS m FROM (SELECT *, {_GREY_OF} AS g FROM e)),
+o AS (SELECT vec_id, y, x, k, {_CLAMP.format('m + (v - m) * 1.2::DOUBLE')} AS v FROM m),
+z AS (SELECT vec_id, y, x, k, {_CLAMP.format('g + (v - g) * 1.1::DOUBLE')} AS v FROM (SELECT *, {_GREY_OF} AS g FROM o)),
+r AS ({_resized_sql('z', 'wl')})
+SELECT vec_id, 24 AS height, 24 AS width, string_agg(round_even(v * 10000, 0)::BIGINT::VARCHAR, ',' ORDER BY y, x, k) AS pixels, NULL::VARCHAR AS error FROM r GROUP BY vec_id""")
+def q66_full_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour frames through tiles, a doubling kernel, blending, sharpness, contrast, colour, and a resize to three times."""
+    frames = _frames(spark, sf_dir).withColumns({"h": F.lit(8), "w": F.lit(8)})
+    done = transform.upscale(frames, "vec_id", "frame", "h", "w", _doubled, 2, 5, 2, target=F.lit(3), sharpness=0.5, contrast=1.2, colour=1.1, clip=True)
+    shown = F.transform("values", lambda q: F.bround(q * 10000).cast("long").cast("string"))
+    return done.select("vec_id", "height", "width", F.array_join(shown, ",").alias("pixels"), "error")

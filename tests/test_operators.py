@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import arrays as A
 from sievegrid.functions import media as M
-from sievegrid.operators import dedupe, fold, kernels, ordering, reassemble, tiles, transform, validate
+from sievegrid.operators import dedupe, fold, kernels, ordering, reassemble, resample, tiles, transform, validate
 from sievegrid.sources import catalog
 from sievegrid.sources import media as media_source
 from sievegrid.sources import pixels
@@ -232,11 +232,11 @@ def test_dithering_and_post_processing(spark):
 def test_composed_transform_keeps_an_identity(spark):
     """Without a kernel, tiles that overlap blend back to the image; small images are one tile."""
     image = np.random.default_rng(1).random(48)
-    df = spark.createDataFrame([(1, image.tolist())], "n int, v array<double>")
+    df = spark.createDataFrame([(1, image.tolist(), 6, 8)], "n int, v array<double>, h int, w int")
     for tile, overlap in ((4, 1), (5, 2), (64, 8)):
-        got = transform.upscale(df, "n", "v", (6, 8), lambda v, y, x: v, 1, tile, overlap).first()["values"]
+        got = transform.upscale(df, "n", "v", "h", "w", lambda v, y, x: v, 1, tile, overlap).first()["values"]
         assert np.allclose(got, image)
-    assert len(transform.upscale(df, "n", "v", (6, 8), lambda v, y, x: v, 3, 4, 1).first()["values"]) == 9 * 48
+    assert len(transform.upscale(df, "n", "v", "h", "w", lambda v, y, x: v, 1, 4, 1, target=F.lit(3)).first()["values"]) == 9 * 48
     maps = tiles.weight_table(spark.createDataFrame([(4, 5, 2), (4, 5, 2)], "h int, w int, o int"), "h", "w", "o", True).collect()
     assert len(maps) == 1 and len(maps[0]["weights"]) == 20
 
@@ -344,3 +344,108 @@ def test_stream_control(spark, tmp_path):
     failing = lambda: spark.readStream.format("rate").load().writeStream.foreachBatch(broken).option("checkpointLocation", f"{tmp_path}/c").start()
     ok, message = stages.supervise(failing, stages.Control(), timeout_s=60)
     assert not ok and "broken batch" in message
+
+
+@pytest.mark.parametrize(("size", "to"), [(8, 16), (16, 8), (5, 5), (7, 3), (1, 4), (100, 9)])
+@pytest.mark.parametrize("kind", ["lanczos", "bilinear", "nearest"])
+def test_weights_of_filters(kind, size, to):
+    w = resample.FILTERS[kind](size, to)
+    assert w.shape == (to, size) and np.allclose(w.sum(1), 1)
+    for o in range(to):
+        scale = size / to
+        if kind == "bilinear":
+            at = max((o + 0.5) * scale - 0.5, 0)
+            want = np.zeros(size)
+            want[min(int(at), size - 1)] += 1 - (at - int(at))
+            want[min(int(at) + 1, size - 1)] += at - int(at)
+        elif kind == "lanczos":
+            f = max(scale, 1)
+            x = (np.arange(size) - (o + 0.5) * scale + 0.5) / f
+            low, high = max(0, int(np.floor((o + 0.5) * scale - 3 * f + 0.5))), min(size, int(np.floor((o + 0.5) * scale + 3 * f + 0.5)))
+            want = np.array([np.sinc(d) * np.sinc(d / 3) if low <= i < high and abs(d) < 3 else 0 for i, d in enumerate(x)])
+            want = want / want.sum()
+        else:
+            want = np.eye(size)[o * size // to]
+        assert np.allclose(w[o], want)
+
+
+def test_resize_of_odd_rows(spark):
+    flat = [0.5] * 12
+    rows = spark.createDataFrame([(1, flat, 2, 2, 4, 4), (2, flat, 2, 2, 2, 2), (3, None, 2, 2, 4, 4), (4, [0.5] * 5, 2, 2, 4, 4), (5, flat, 2, 6, 1, 3), (6, [0.5, None], 1, 2, 2, 4), (7, flat, None, 2, 4, 4), (8, [], 2, 2, 4, 4)], "id int, v array<float>, h int, w int, th int, tw int")
+    got = {r["id"]: r for r in resample.resize(rows, "id", *(F.col(c) for c in ("v", "h", "w", "th", "tw"))).collect()}
+    assert np.allclose(got[1]["values"], [0.5] * 48) and got[2]["values"] == flat and np.allclose(got[5]["values"], [0.5] * 3)
+    assert all(got[i]["values"] is None and got[i]["error"] for i in (3, 4, 6, 7, 8))
+    fitted = resample.to_height(rows.where("id = 1"), "id", F.col("v"), F.col("h"), F.col("w"), F.lit(3)).first()
+    assert (fitted["height"], fitted["width"], len(fitted["values"])) == (3, 3, 27)
+    assert resample.to_height(rows.where("id = 1"), "id", F.col("v"), F.col("h"), F.col("w"), F.lit(0)).first()["values"] == flat
+    scaled = resample.to_scale(rows.where("id = 5"), "id", F.col("v"), F.col("h"), F.col("w"), (F.lit(1), F.lit(3)), F.lit(1.5)).first()
+    assert (scaled["height"], scaled["width"]) == (1, 4)
+
+
+def naive_blend(image, kernel, tile, overlap, scale, edge_safe):
+    h, w, c = image.shape
+    if h * w <= tile * tile:
+        return kernel(image, 0, 0)
+    total, weight = np.zeros((h * scale, w * scale, c)), np.zeros((h * scale, w * scale, 1))
+    for y in range(0, h, tile - overlap):
+        for x in range(0, w, tile - overlap):
+            part = kernel(image[y : y + tile, x : x + tile], y, x)
+            m = transform.weights(*part.shape[:2], overlap * scale, edge_safe)[:, :, None]
+            total[y * scale : y * scale + len(part), x * scale : x * scale + part.shape[1]] += part * m
+            weight[y * scale : y * scale + len(part), x * scale : x * scale + part.shape[1]] += m
+    return total / np.maximum(weight, 1e-8)
+
+
+@pytest.mark.parametrize(("h", "w", "c", "tile", "overlap", "scale", "edge_safe"), [(9, 7, 1, 4, 1, 1, True), (20, 13, 3, 6, 2, 2, True), (13, 20, 4, 7, 4, 1, False), (5, 5, 3, 8, 2, 3, True), (31, 3, 1, 5, 0, 2, True)])
+def test_bands_equal_a_whole_image(spark, h, w, c, tile, overlap, scale, edge_safe):
+    def kernel(x, top, left):
+        return x.repeat(scale, 0).repeat(scale, 1) * (1 + top / 10 + left / 7)
+
+    r = np.random.default_rng(h)
+    images = [r.random((h, w, c)) for _ in range(3)]
+    rows = spark.createDataFrame([(i, x.reshape(-1).tolist(), h, w) for i, x in enumerate(images)], "id long, v array<double>, h int, w int")
+    bands = transform.single_pass(rows, "id", "v", "h", "w", kernel, tile, overlap, edge_safe, scale)
+    got = {r["id"]: r for r in transform.assembled(bands, "id").collect()}
+    for i, x in enumerate(images):
+        assert (got[i]["height"], got[i]["width"], got[i]["error"]) == (h * scale, w * scale, None)
+        assert np.allclose(np.array(got[i]["values"]).reshape(h * scale, w * scale, c), naive_blend(x, kernel, tile, overlap, scale, edge_safe))
+
+
+def test_tile_weights_equal_the_columns(spark):
+    for h, w, o in [(6, 8, 2), (5, 5, 3), (4, 4, 0), (3, 9, 4), (4, 6, 1), (7, 4, 4)]:
+        cells = spark.range(h * w).select(F.floor(F.col("id") / w).cast("int").alias("y"), (F.col("id") % w).cast("int").alias("x"))
+        for safe in (False, True):
+            got = cells.select("y", "x", tiles.weight_2d(F.col("y"), F.col("x"), F.lit(h), F.lit(w), F.lit(o), safe).alias("v")).orderBy("y", "x").collect()
+            assert np.allclose([r["v"] for r in got], transform.weights(h, w, o, safe).reshape(-1))
+
+
+def test_failing_tiles_fail_their_image_only(spark):
+    def kernel(x, top, left):
+        if x.max() > 1 and top:
+            raise ValueError("too bright")
+        return x
+
+    rows = spark.createDataFrame([(1, [0.5] * 64, 8, 8), (2, [2.0] * 64, 8, 8), (3, [0.5] * 63, 8, 8), (4, None, 8, 8)], "id long, v array<double>, h int, w int")
+    got = {r["id"]: r for r in transform.upscale(rows, "id", "v", "h", "w", kernel, 1, 5, 2, passes=2, target=F.lit(2), contrast=1.1).collect()}
+    assert got[1]["error"] is None and len(got[1]["values"]) == 256
+    assert got[2]["error"] and got[3]["error"] and got[4]["error"] and not any(got[i]["values"] for i in (2, 3, 4))
+
+
+def test_enhancement():
+    r = np.random.default_rng(1)
+    x = r.random((6, 5, 3))
+    assert np.array_equal(transform.enhanced(x), x)
+    soft = x.copy()
+    for y in range(1, 5):
+        for z in range(1, 4):
+            soft[y, z] = (x[y - 1 : y + 2, z - 1 : z + 2].sum((0, 1)) + 4 * x[y, z]) / 13
+    assert np.allclose(transform.enhanced(x, sharpness=0.5), np.clip(soft + (x - soft) * 1.5, 0, 1))
+    grey = x @ np.array([0.299, 0.587, 0.114])
+    assert np.allclose(transform.enhanced(x, contrast=0.7), grey.mean() + (x - grey.mean()) * 0.7)
+    assert np.allclose(transform.enhanced(x, colour=0.0), np.repeat(grey[:, :, None], 3, 2))
+
+
+def test_passes_add_up(spark):
+    rows = spark.createDataFrame([(1, [0.25, 0.75], 1, 2)], "id long, v array<double>, h int, w int")
+    done = transform.upscale(rows, "id", "v", "h", "w", lambda x, y, z: x.repeat(2, 0).repeat(2, 1), 2, passes=3).first()
+    assert (done["height"], done["width"]) == (8, 16) and done["values"][:16] == [0.25] * 8 + [0.75] * 8
