@@ -178,9 +178,9 @@ def with_resized_alpha(values: Column, colours: Column, height: int, width: int,
     return join_alpha(colours, alpha)
 
 
-def flatten_alpha(value: Column, alpha: Column) -> Column:
-    """A byte over white."""
-    return F.bround(alpha / 255.0 * value + (1 - alpha / 255.0) * 255.0).cast("int")
+def flatten_alpha(value: Column, alpha: Column, ground: Column | float = 255.0) -> Column:
+    """A byte over white, or over another ground."""
+    return F.bround(alpha / 255.0 * value + (1 - alpha / 255.0) * ground).cast("int")
 
 
 def checkerboard(y: Column, x: Column, square: int = 16, light: int = 200, dark: int = 170) -> Column:

@@ -205,22 +205,19 @@ def q16_tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.grid(_dims(spark, sf_dir), "h", "w").select("p_partkey", "y", "x", "y_end", "x_end")
 
 
-SIZES = [(1, 6, 8, 2), (2, 5, 5, 3), (3, 4, 4, 0), (4, 3, 9, 4), (5, 4, 6, 1)]
-_SIZES = ", ".join(map(str, SIZES))
-
-
-@query(f"""
-WITH s AS (SELECT * FROM (VALUES {_SIZES}) t(size_id, h, w, o)), y AS (SELECT *, unnest(range(h)) AS y FROM s), g AS (SELECT *, unnest(range(w)) AS x FROM y),
+@query("""
+WITH s AS (SELECT DISTINCT p_size AS h, length(p_name)::INT AS w, length(p_type)::INT - 5 AS o FROM part), y AS (SELECT *, unnest(range(h)) AS y FROM s), g AS (SELECT *, unnest(range(w)) AS x FROM y),
 r AS (SELECT *, o > 0 AND o <= least(h, w) AS fits,
   CASE WHEN x >= w - o THEN (CASE WHEN o > 1 THEN (w - 1 - x) / nullif(o - 1, 0)::DOUBLE ELSE 0 END) WHEN x < o THEN (CASE WHEN o > 1 THEN x / nullif(o - 1, 0)::DOUBLE ELSE 0 END) ELSE 1 END AS wx,
   (CASE WHEN y < o THEN (CASE WHEN o > 1 THEN y / nullif(o - 1, 0)::DOUBLE ELSE 0 END) ELSE 1 END) * (CASE WHEN y >= h - o THEN (CASE WHEN o > 1 THEN (h - 1 - y) / nullif(o - 1, 0)::DOUBLE ELSE 0 END) ELSE 1 END) AS wy,
   (CASE WHEN x >= w - o THEN (w - x) / (o + 1)::DOUBLE WHEN x < o THEN (x + 1) / (o + 1)::DOUBLE ELSE 1 END) * (CASE WHEN y < o THEN (y + 1) / (o + 1)::DOUBLE ELSE 1 END) * (CASE WHEN y >= h - o THEN (h - y) / (o + 1)::DOUBLE ELSE 1 END) AS safe FROM g)
-SELECT size_id::INT AS size_id, y::INT AS y, x::INT AS x, round(CASE WHEN fits THEN wx * wy ELSE 1 END, 9) AS weight, round(CASE WHEN fits THEN safe ELSE 1 END, 9) AS edge_safe FROM r""")
+SELECT h, w, o, y::INT AS y, x::INT AS x, round(CASE WHEN fits THEN wx * wy ELSE 1 END, 9) AS weight, round(CASE WHEN fits THEN safe ELSE 1 END, 9) AS edge_safe FROM r""")
 def q17_weight_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _literals(spark, SIZES, "size_id int, h int, w int, o int")
+    """The weights of tiles as high as each part's size, as wide as its name and with an overlap by its type."""
+    sizes = table(spark, sf_dir, "part").select(F.col("p_size").alias("h"), F.length("p_name").alias("w"), (F.length("p_type") - 5).alias("o")).distinct()
     cells = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
     args = [F.col(c) for c in ("y", "x", "h", "w", "o")]
-    return cells.select("size_id", "y", "x", F.round(tiles.weight_2d(*args), 9).alias("weight"), F.round(tiles.weight_2d(*args, edge_safe=True), 9).alias("edge_safe"))
+    return cells.select("h", "w", "o", "y", "x", F.round(tiles.weight_2d(*args), 9).alias("weight"), F.round(tiles.weight_2d(*args, edge_safe=True), 9).alias("edge_safe"))
 
 
 @query(f"""
@@ -299,37 +296,43 @@ def q24_sharpen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", _shown(A.sharpen(v, 8, 0.5)).alias("pixels"), _shown(A.sharpen(v, 8, 0.5, normalised=True)).alias("normalised"))
 
 
-ODD = [("nan", float("nan")), ("inf", float("inf")), ("-inf", float("-inf")), ("low", -0.1), ("high", 1.1), ("half", 0.5), ("h1", 0.5 / 255), ("h2", 1.5 / 255), ("h3", 2.5 / 255)]
-
-
 @query(f"SELECT vec_id, array_to_string(list_transform(v, lambda x: round_even({_CLAMP.format('x')} * 255, 0)::INT::VARCHAR), ',') AS bytes FROM ({_VECTORS})")
 def q25_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(A.quantise(F.col("embedding")).cast("array<string>"), ",").alias("bytes"))
 
 
-@query("""
-WITH o AS (SELECT * FROM (VALUES ('nan', 'nan'::DOUBLE), ('inf', 'inf'::DOUBLE), ('-inf', '-inf'::DOUBLE), ('low', -0.1), ('high', 1.1), ('half', 0.5), ('h1', 0.5::DOUBLE / 255), ('h2', 1.5::DOUBLE / 255), ('h3', 2.5::DOUBLE / 255)) t(name, x)),
-s AS (SELECT name, CASE WHEN isnan(x) THEN 0.0 WHEN x = 'inf' THEN 1.0 WHEN x = '-inf' THEN 0.0 ELSE x END AS a, CASE WHEN isnan(x) THEN 0.5 WHEN x = 'inf' THEN 1.0 WHEN x = '-inf' THEN 0.0 ELSE x END AS b FROM o)
-SELECT name, round_even(greatest(least(a, 1.0), 0.0) * 255, 0)::INT AS tiled, round_even(greatest(least(b, 1.0), 0.0) * 255, 0)::INT AS batch FROM s""")
+@query(f"""
+WITH o AS (SELECT vec_id, list_transform(v, lambda x, i: CASE WHEN (i - 1) % 10 <> label THEN x * 1.5::DOUBLE WHEN i % 3 = 0 THEN 'nan'::DOUBLE WHEN i % 3 = 1 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END) AS v FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)),
+s AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN isnan(x) THEN 0.0::DOUBLE WHEN x = 'inf' THEN 1.0 WHEN x = '-inf' THEN 0.0 ELSE x END) AS a, list_transform(v, lambda x: CASE WHEN isnan(x) THEN 0.5::DOUBLE WHEN x = 'inf' THEN 1.0 WHEN x = '-inf' THEN 0.0 ELSE x END) AS b FROM o)
+SELECT vec_id, {', '.join(f"array_to_string(list_transform({c}, lambda x: round_even({_CLAMP.format('x')} * 255, 0)::INT::VARCHAR), ',') AS {name}" for c, name in (('a', 'tiled'), ('b', 'batch')))} FROM s""")
 def q25b_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, ODD, "name string, x double")
-    return rows.select("name", F.get(A.quantise(F.array("x")), 0).alias("tiled"), F.get(A.quantise(F.array("x"), 0.5), 0).alias("batch"))
+    """NaN and infinities at places that each vector's label names, replaced by both rules."""
+    odd = lambda i: F.when(i % 3 == 2, float("nan")).when(i % 3 == 0, float("inf")).otherwise(float("-inf"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(A.doubles(F.col("embedding")), lambda x, i: F.when(i % 10 != F.col("label"), x * 1.5).otherwise(odd(i))).alias("v"))
+    shown = lambda nan: F.array_join(A.quantise(F.col("v"), nan).cast("array<string>"), ",")
+    return rows.select("vec_id", shown(0.0).alias("tiled"), shown(0.5).alias("batch"))
 
 
-@query("""
-WITH g AS (SELECT unnest(range(0, 256, 15)) AS v), a AS (SELECT v, unnest(range(0, 256, 17)) AS alpha FROM g)
-SELECT v::INT AS v, alpha::INT AS alpha, round_even(alpha / 255.0::DOUBLE * v + (1 - alpha / 255.0::DOUBLE) * 255.0, 0)::INT AS flat FROM a""")
+@query(f"""
+WITH q AS (SELECT vec_id, list_transform(v, lambda x: round_even({_CLAMP.format('x')} * 255, 0)) AS q FROM ({_VECTORS}))
+SELECT vec_id, array_to_string(list_transform(range(48), lambda k: round_even(q[k // 3 * 4 + 4] / 255.0::DOUBLE * q[k // 3 * 4 + k % 3 + 1] + (1 - q[k // 3 * 4 + 4] / 255.0::DOUBLE) * 255.0, 0)::INT::VARCHAR), ',') AS flat FROM q""")
 def q26_alpha_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.range(0, 256, 15).select(F.col("id").cast("int").alias("v")).withColumn("alpha", F.explode(F.sequence(F.lit(0), F.lit(255), F.lit(17))))
-    return g.select("v", "alpha", A.flatten_alpha(F.col("v"), F.col("alpha")).alias("flat"))
+    """Every vector as 16 pixels of colour and alpha, over white."""
+    bytes_of = table(spark, sf_dir, "embeddings").select("vec_id", A.quantise(F.col("embedding")).alias("q"))
+    flat = A.let(F.col("q"), lambda q: F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: A.flatten_alpha(F.get(q, F.floor(k / 3).cast("int") * 4 + k % 3), F.get(q, F.floor(k / 3).cast("int") * 4 + 3))))
+    return bytes_of.select("vec_id", F.array_join(flat.cast("array<string>"), ",").alias("flat"))
 
 
-@query("""
-WITH y AS (SELECT unnest(range(0, 64, 3)) AS y), g AS (SELECT y, unnest(range(0, 96, 5)) AS x FROM y)
-SELECT y::INT AS y, x::INT AS x, (CASE WHEN (x // 16 + y // 16) % 2 = 0 THEN 200 ELSE 170 END)::INT AS grey FROM g""")
+@query(f"""
+WITH q AS (SELECT vec_id, list_transform(v, lambda x: round_even({_CLAMP.format('x')} * 255, 0)) AS q FROM ({_VECTORS})),
+g AS (SELECT vec_id, q, (vec_id // 32 % 64 * 4)::INT AS top, (vec_id % 32 * 4)::INT AS side FROM q)
+SELECT vec_id, array_to_string(list_transform(range(16), lambda k: round_even(q[k * 4 + 4] / 255.0::DOUBLE * q[k * 4 + 1] + (1 - q[k * 4 + 4] / 255.0::DOUBLE) * (CASE WHEN ((side + k % 4) // 16 + (top + k // 4) // 16) % 2 = 0 THEN 200 ELSE 170 END), 0)::INT::VARCHAR), ',') AS shown FROM g""")
 def q27_checkerboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.range(0, 64, 3).select(F.col("id").cast("int").alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(95), F.lit(5))))
-    return g.select("y", "x", A.checkerboard(F.col("y"), F.col("x")).alias("grey"))
+    """Vectors as pieces of a wall, 4 x 4 pixels each, their first colour over the squares behind them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", A.quantise(F.col("embedding")).alias("q"), F.expr("cast(vec_id div 32 % 64 * 4 AS int)").alias("top"), F.expr("cast(vec_id % 32 * 4 AS int)").alias("side"))
+    behind = lambda k: A.checkerboard(F.col("top") + F.floor(k / 4), F.col("side") + k % 4)
+    shown = A.let(F.col("q"), lambda q: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: A.flatten_alpha(F.get(q, k * 4), F.get(q, k * 4 + 3), behind(k))))
+    return rows.select("vec_id", F.array_join(shown.cast("array<string>"), ",").alias("shown"))
 
 
 @query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 50 AS batch_id, ((row_number() OVER (ORDER BY event_id) - 1) // 50) % 3 = 0 AS is_checkpoint FROM events")
@@ -361,16 +364,17 @@ def q32_preview_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.first_rows(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", 100)
 
 
-LOCAL = [("a2x.pth",), ("own.safetensors",), ("c4x.pth",)]
-DEFAULTS = [("a2x.pth", "Alpha", "fast"), ("b2x.pth", "Beta", "balanced"), ("c4x.pth", "Gamma", "best"), ("d2x.pth", "own", "shadowed by a local name")]
-
-
-@query(f"""
-WITH l AS (SELECT * FROM (VALUES ('a2x.pth'), ('own.safetensors'), ('c4x.pth')) t(file)), d AS (SELECT * FROM (VALUES {", ".join(map(str, DEFAULTS))}) t(file, display_name, description)),
-p AS (SELECT l.file, coalesce(d.display_name, regexp_replace(l.file, '\\.[^.]*$', '')) AS display_name, d.description, true AS is_local FROM l LEFT JOIN d USING (file))
+@query(r"""
+WITH l AS (SELECT DISTINCT p_brand || '.pth' AS file FROM part WHERE p_size > 48 UNION SELECT DISTINCT p_name || '.safetensors' FROM part WHERE p_size = 1),
+d AS (SELECT p_brand || '.pth' AS file, min(p_name) AS display_name, max(p_type) AS description FROM part GROUP BY p_brand),
+p AS (SELECT l.file, coalesce(d.display_name, regexp_replace(l.file, '\.[^.]*$', '')) AS display_name, d.description, true AS is_local FROM l LEFT JOIN d USING (file))
 SELECT * FROM p UNION ALL SELECT file, display_name, description, false FROM d WHERE file NOT IN (SELECT file FROM l) AND display_name NOT IN (SELECT display_name FROM p)""")
 def q33_catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.available(_literals(spark, LOCAL, "file string"), _literals(spark, DEFAULTS, "file string, display_name string, description string"))
+    """A catalog with an entry a brand against the files that there are: of large parts' brands, and of the smallest parts' names."""
+    part = table(spark, sf_dir, "part")
+    local = part.where("p_size > 48").select(F.concat("p_brand", F.lit(".pth")).alias("file")).union(part.where("p_size = 1").select(F.concat("p_name", F.lit(".safetensors")))).distinct()
+    defaults = part.groupBy(F.concat("p_brand", F.lit(".pth")).alias("file")).agg(F.min("p_name").alias("display_name"), F.max("p_type").alias("description"))
+    return catalog.available(local, defaults)
 
 
 def _sql_value(x: object) -> str:
@@ -420,12 +424,16 @@ def q35_positional_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATES = ["30000/1001", "25/1", "24", "bad", "1/0", "", "60/1/2", "12.5"]
 
 
-@query("""
-WITH r AS (SELECT * FROM (VALUES ('30000/1001', 29.97), ('25/1', 25.0), ('24', 24.0), ('bad', 24.0), ('1/0', 24.0), ('', 24.0), ('60/1/2', 24.0), ('12.5', 12.5)) t(rate, x)),
+@query(f"""
+WITH r AS (SELECT unnest(RATES) AS rate UNION ALL SELECT unnest([p_size || '/' || (p_partkey % 7), p_size::VARCHAR, p_name, p_size || '/' || p_partkey || '/1', p_partkey || '/1001', p_size || '.5']) FROM part),
 p AS (SELECT rate, string_split(rate, '/') AS s FROM r)
-SELECT rate, round(coalesce(CASE WHEN len(s) = 1 THEN try_cast(s[1] AS DOUBLE) WHEN len(s) = 2 THEN try_cast(s[1] AS DOUBLE) / nullif(try_cast(s[2] AS DOUBLE), 0) END, 24.0), 6) AS fps FROM p""")
+SELECT rate, round(coalesce(CASE WHEN len(s) = 1 THEN try_cast(s[1] AS DOUBLE) WHEN len(s) = 2 THEN try_cast(s[1] AS DOUBLE) / nullif(try_cast(s[2] AS DOUBLE), 0) END, 24.0), 6) AS fps FROM p""".replace("RATES", str(RATES)))
 def q36_fps_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, [(r,) for r in RATES], "rate string").select("rate", F.round(M.fps(F.col("rate")), 6).alias("fps"))
+    """Rates spelt from the columns of every part: fractions, numbers, words, and what isn't any of them."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    spelt = [F.concat(size, F.lit("/"), (F.col("p_partkey") % 7).cast("string")), size, F.col("p_name"), F.concat(size, F.lit("/"), key, F.lit("/1")), F.concat(key, F.lit("/1001")), F.concat(size, F.lit(".5"))]
+    rates = table(spark, sf_dir, "part").select(F.explode(F.array(*spelt)).alias("rate")).unionByName(_literals(spark, [(r,) for r in RATES], "rate string"))
+    return rates.select("rate", F.round(M.fps(F.col("rate")), 6).alias("fps"))
 
 
 @query("""
@@ -511,12 +519,14 @@ LABELS = ["×1", "×2", "×16", "other", "FP16 (fast)", "fp32", "AUTO", "480p",
 
 
 @query("""
-WITH l AS (SELECT unnest(['×1', '×2', '×16', 'other', 'FP16 (fast)', 'fp32', 'AUTO', '480p', '720p', '1080p', 'Original']) AS label)
-SELECT label, CASE label WHEN '×1' THEN 1.0 WHEN '×16' THEN 16.0 ELSE 2.0 END::DOUBLE AS factor, CASE WHEN label LIKE 'FP16%' THEN true WHEN label = 'fp32' THEN false END AS half,
-  (CASE label WHEN '480p' THEN 480 WHEN '720p' THEN 720 WHEN '1080p' THEN 1080 ELSE 0 END)::INT AS height FROM l""")
+WITH l AS (SELECT unnest(LABELS) AS label UNION ALL SELECT unnest(['×' || p_size, 'FP' || p_size || ' (fast)', 'fp' || p_size, p_size * 24 || 'p', p_type]) FROM part)
+SELECT label, CASE WHEN label IN ('×1', '×2', '×3', '×4', '×8', '×16') THEN try_cast(replace(label, '×', '') AS DOUBLE) ELSE 2.0 END::DOUBLE AS factor, CASE WHEN lower(label) LIKE '%fp16%' THEN true WHEN lower(label) LIKE '%fp32%' THEN false END AS half,
+  (CASE WHEN label LIKE '%480%' THEN 480 WHEN label LIKE '%720%' THEN 720 WHEN label LIKE '%1080%' THEN 1080 ELSE 0 END)::INT AS height FROM l""".replace("LABELS", str(LABELS)))
 def q44_label_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _literals(spark, [(x,) for x in LABELS], "label string")
-    label = F.col("label")
+    """Labels spelt from every part's size and type."""
+    size, label = F.col("p_size").cast("string"), F.col("label")
+    spelt = [F.concat(F.lit("×"), size), F.concat(F.lit("FP"), size, F.lit(" (fast)")), F.concat(F.lit("fp"), size), F.concat((F.col("p_size") * 24).cast("string"), F.lit("p")), F.col("p_type")]
+    rows = table(spark, sf_dir, "part").select(F.explode(F.array(*spelt)).alias("label")).unionByName(_literals(spark, [(x,) for x in LABELS], "label string"))
     return rows.select("label", M.scale_factor(label).alias("factor"), M.half_precision(label).alias("half"), M.downscale_limit(label).alias("height"))
 
 
@@ -550,9 +560,17 @@ def q47_counts_and_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAMES = ["frame_00012.png", "frame_7_x.png", "shot9.png", "a_b_33.png", "none.png", "clip12_x9.png", "frame_100001.png"]
 
 
-@query("SELECT * FROM (VALUES ('frame_00012.png', 12::BIGINT), ('frame_7_x.png', 7), ('shot9.png', 9), ('a_b_33.png', 33), ('none.png', NULL), ('clip12_x9.png', 12), ('frame_100001.png', 100001)) t(name, frame_num)")
+@query(r"""
+WITH n AS (SELECT unnest(FRAMES) AS name UNION ALL SELECT unnest([printf('frame_%05d.png', vec_id), 'shot' || vec_id || '.png', 'a_b_' || vec_id || '.png', 'clip' || label || '_x' || vec_id || '.png', 'frame_' || vec_id || '_' || label || '.png']) FROM embeddings UNION ALL SELECT p_name || '.png' FROM part),
+s AS (SELECT name, regexp_replace(name, '\.[^.]*$', '') AS stem FROM n)
+SELECT name, coalesce(try_cast(nullif(regexp_extract(stem, '^[^_]*_(\d+)(?:_|$)', 1), '') AS BIGINT), try_cast(nullif(regexp_extract(stem, '(\d+)', 1), '') AS BIGINT)) AS frame_num FROM s""".replace("FRAMES", str(FRAMES)))
 def q48_frame_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _literals(spark, [(x,) for x in FRAMES], "name string").select("name", M.frame_number(F.col("name")).alias("frame_num"))
+    """Numbers out of names that every vector's id and label, and every part's name, are written into."""
+    key, label = F.col("vec_id").cast("string"), F.col("label").cast("string")
+    png = F.lit(".png")
+    spelt = [M.frame_name(F.col("vec_id")), F.concat(F.lit("shot"), key, png), F.concat(F.lit("a_b_"), key, png), F.concat(F.lit("clip"), label, F.lit("_x"), key, png), F.concat(F.lit("frame_"), key, F.lit("_"), label, png)]
+    names = table(spark, sf_dir, "embeddings").select(F.explode(F.array(*spelt)).alias("name")).unionByName(table(spark, sf_dir, "part").select(F.concat("p_name", png).alias("name"))).unionByName(_literals(spark, [(x,) for x in FRAMES], "name string"))
+    return names.select("name", M.frame_number(F.col("name")).alias("frame_num"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
