@@ -1,37 +1,54 @@
 """Positions over a whole ordered table without one task for all rows.
 
-Quantiles of the order column cut the table into blocks of about equal numbers of rows,
-however sparse or skewed the values are; a window over the block totals (``BLOCKS`` rows at
-most) gives each block's start, and a window inside each block the rest.  The same blocks cut
-one key's rows, so a key that holds a third of the table is many tasks' work.
+Quantiles of the order column cut the table into blocks of some ``BLOCK_ROWS`` rows, however sparse or
+skewed the values are; a window over the block totals (``BLOCKS`` rows at most) gives each block's start, and a
+window inside each block the rest.  A table of one block needs no quantiles.  The same blocks cut one key's rows, so
+a key that holds a third of the table is many tasks' work.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 1024
-_STEP = 32
+BLOCKS = 1 << 13
+BLOCK_ROWS = 100_000
+
 
+def _count(rows: DataFrame, order_col: str) -> int:
+    return rows.agg(F.count(order_col).alias("n")).first()["n"]
 
-def _blocked(rows: DataFrame, order_col: str, blocks: int) -> DataFrame:
-    """``rows`` with their block (``sg_block``), -1 for a null order value."""
-    points = [i / blocks for i in range(1, blocks)]
-    # a sketch of bounded size; its errors make blocks uneven, not wrong
-    bounds = rows.agg(F.percentile_approx(order_col, points, 50 * blocks).alias("b")).first()["b"] if points else None
-    bounds = sorted(set(bounds or []))
-    block = F.lit(0)
-    if bounds:
-        # two short searches: among every 32nd bound, then among the 32 that follow
-        coarse, fine = F.array(*map(F.lit, bounds[::_STEP])), F.array(*map(F.lit, bounds))
-        passed = lambda found: F.size(F.filter(found, lambda b: b <= F.col(order_col)))
-        first = (F.greatest(passed(coarse), F.lit(1)) - 1) * _STEP
-        block = F.when(F.col(order_col) < bounds[0], 0).otherwise(first + passed(F.slice(fine, first + 1, _STEP)))
-    return rows.withColumn("sg_block", F.when(F.col(order_col).isNull(), -1).otherwise(block))
 
+def _blocked(rows: DataFrame, order_col: str, blocks: int | None = None) -> DataFrame:
+    """``rows`` with their block (``sg_block``), -1 for a null order value.
 
-def row_numbers(rows: DataFrame, order_col: str, out: str = "rn", blocks: int = BLOCKS) -> DataFrame:
+    Without ``blocks`` their number follows from that of the rows.
+    """
+    if blocks is None:
+        blocks = min(BLOCKS, math.ceil(_count(rows, order_col) / BLOCK_ROWS))
+    known = F.col(order_col).isNotNull()
+    bounds = None
+    if blocks > 1:
+        # a sketch of bounded size; its errors make blocks uneven, not wrong
+        points = [i / blocks for i in range(1, blocks)]
+        bounds = rows.agg(F.percentile_approx(order_col, points, 50 * blocks).alias("b")).first()["b"]
+    if not bounds:
+        return rows.withColumn("sg_block", F.when(known, 0).otherwise(-1))
+    # the bounds are a column of one row, not constants of the code
+    bounds = sorted(set(bounds))
+    step = math.isqrt(len(bounds)) + 1
+    one = rows.sparkSession.range(1).select(F.array(*map(F.lit, bounds)).alias("sg_fine"))
+    one = one.withColumn("sg_coarse", F.filter("sg_fine", lambda _, i: i % step == 0))
+    # two short searches: among every n-th bound, then among the n that follow
+    passed = lambda found: F.size(F.filter(found, lambda b: b <= F.col(order_col)))
+    first = (F.greatest(passed(F.col("sg_coarse")), F.lit(1)) - 1) * step
+    block = F.when(F.col(order_col) < F.get("sg_fine", F.lit(0)), 0).otherwise(first + passed(F.slice("sg_fine", first + 1, step)))
+    return rows.crossJoin(F.broadcast(one)).withColumn("sg_block", F.when(known, block).otherwise(-1)).drop("sg_fine", "sg_coarse")
+
+
+def row_numbers(rows: DataFrame, order_col: str, out: str = "rn", blocks: int | None = None) -> DataFrame:
     """``rows`` with their 1-based position by a distinct numeric column; a null order value has no position."""
     # null order values need no order, so they stay where they are
     blocked = _blocked(rows, order_col, blocks).withColumn("sg_salt", F.when(F.col("sg_block") < 0, F.spark_partition_id()).otherwise(0))
@@ -43,7 +60,7 @@ def row_numbers(rows: DataFrame, order_col: str, out: str = "rn", blocks: int =
     return blocked.join(F.broadcast(starts), "sg_block", "left").withColumn(out, F.col("sg_start") + F.row_number().over(inside)).drop("sg_block", "sg_salt", "sg_start")
 
 
-def micro_batches(rows: DataFrame, order_col: str, size: int, blocks: int = BLOCKS) -> DataFrame:
+def micro_batches(rows: DataFrame, order_col: str, size: int, blocks: int | None = None) -> DataFrame:
     """``rows`` with the number of their batch of ``size`` rows in order."""
     return row_numbers(rows, order_col, "sg_rn", blocks).withColumn("batch_id", F.floor((F.col("sg_rn") - 1) / size)).drop("sg_rn")
 
@@ -53,13 +70,13 @@ def every(position: Column, k: int) -> Column:
     return position % k == 0
 
 
-def progress(rows: DataFrame, order_col: str, blocks: int = BLOCKS) -> DataFrame:
+def progress(rows: DataFrame, order_col: str, blocks: int | None = None) -> DataFrame:
     """``rows`` with the completed fraction up to and with each."""
-    total = rows.agg(F.count("*").alias("sg_total"))
-    return row_numbers(rows, order_col, "sg_rn", blocks).crossJoin(F.broadcast(total)).withColumn("progress", F.col("sg_rn") / F.col("sg_total")).drop("sg_rn", "sg_total")
+    total = rows.count()
+    return row_numbers(rows, order_col, "sg_rn", blocks).withColumn("progress", F.col("sg_rn") / total).drop("sg_rn")
 
 
-def sliding_buffer(rows: DataFrame, by: str, order_col: str, value: str, k: int, out: str = "buffer", blocks: int = BLOCKS) -> DataFrame:
+def sliding_buffer(rows: DataFrame, by: str, order_col: str, value: str, k: int, out: str = "buffer", blocks: int | None = None) -> DataFrame:
     """The row's value and the next k - 1 of its key, nulls included; rows without an order value come first.
 
     Within a block a bounded frame; over its end the first values of the key's next blocks,
@@ -78,7 +95,7 @@ def sliding_buffer(rows: DataFrame, by: str, order_col: str, value: str, k: int,
     return joined.select(*rows.columns, F.transform(buffer, lambda x: x["v"]).alias(out))
 
 
-def look_ahead(rows: DataFrame, by: str, order_col: str, value: str, out: str = "next", blocks: int = BLOCKS) -> DataFrame:
+def look_ahead(rows: DataFrame, by: str, order_col: str, value: str, out: str = "next", blocks: int | None = None) -> DataFrame:
     """The value of the key's next row, null after the last."""
     return sliding_buffer(rows, by, order_col, value, 2, "sg_pair", blocks).withColumn(out, F.get("sg_pair", F.lit(1))).drop("sg_pair")
 

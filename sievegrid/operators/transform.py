@@ -22,10 +22,41 @@ from . import resample
 
 Kernel = Callable[[np.ndarray, int, int], np.ndarray]
 FLOOR = 1e-8  # fixed value: the least sum of weights
-_PIECE = "y int, x int, high int, wide int, values array<double>, error string"
+_TILE = "height int, width int, y int, x int, high int, wide int, values array<double>, error string"
+_PIECE = "band int, y int, x int, high int, wide int, width int, values array<double>, weights array<double>, error string"
 BANDS = "band int, y int, high int, width int, values array<double>, error string"
 
 
+_FLUSH_VALUES = 1 << 20
+
+
+class _Rows:
+    """Rows that wait to be a batch; columns of arrays become lists."""
+
+    def __init__(self, fields: dict[str, pa.DataType]) -> None:
+        self.fields, self.rows, self.values = fields, [], 0
+
+    def add(self, *row: object) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        self.values += sum(x.size for x in row if isinstance(x, np.ndarray))
+        if self.values >= _FLUSH_VALUES or len(self.rows) >= _FLUSH_VALUES >> 4:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            columns = zip(zip(*self.rows, strict=True), self.fields.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([lists.column(list(c)) if t == _LIST else pa.array(c, t) for c, t in columns], names=list(self.fields))
+        self.rows, self.values = [], 0
+
+
+_LIST = pa.list_(pa.float64())
+
+
+def _fields(id_col: str, kind: pa.DataType, ddl: str) -> dict[str, pa.DataType]:
+    kinds = {"int": pa.int32(), "array<double>": _LIST, "string": pa.string()}
+    return {id_col: kind} | {name: kinds[t] for name, t in (x.split(" ") for x in ddl.split(", "))}
+
+
 def starts(size: int, tile: int, overlap: int) -> range:
     return range(0, size, tile - overlap)
 
@@ -67,20 +98,20 @@ def cut(images: DataFrame, id_col: str, value_col: str, height: str, width: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = _Rows(_fields(id_col, batch.column(0).type, _TILE))
             flat, offsets, whole = lists.flat(batch.column(1))
-            for i, (h, w) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (key, h, w) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
                 n = int(offsets[i + 1] - offsets[i])
-                good = bool(whole[i]) and bool(h) and bool(w) and n > 0 and n % (h * w) == 0
-                found = list(tiles_of(flat[offsets[i] : offsets[i + 1]], h, w)) if good else [(0, 0, None)]
-                sizes = [(0, 0) if v is None else v.shape[:2] for *_, v in found]
-                error = None if good else f"{n if whole[i] else 'no'} values in {h} x {w} pixels"
-                numbers = [[h or 0] * len(found), [w or 0] * len(found), [y for y, *_ in found], [x for _, x, _ in found], [a for a, _ in sizes], [b for _, b in sizes]]
-                ids = pa.array([batch.column(0)[i].as_py()] * len(found), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in numbers), lists.column([v for *_, v in found]), pa.array([error] * len(found), pa.string())], names=[id_col, "height", "width", "y", "x", "high", "wide", "values", "error"])
+                if whole[i] and h and w and n and n % (h * w) == 0:
+                    for y, x, part in tiles_of(flat[offsets[i] : offsets[i + 1]], h, w):
+                        yield from out.add(key, h, w, y, x, *part.shape[:2], part, None)
+                else:
+                    yield from out.add(key, h or 0, w or 0, 0, 0, 0, 0, None, f"{n if whole[i] else 'no'} values in {h} x {w} pixels")
+            yield from out.flush()
 
     kind = images.schema[id_col].dataType.simpleString()
     rows = images.select(id_col, A.doubles(F.col(value_col)).alias("v"), F.col(height).cast("int").alias("h"), F.col(width).cast("int").alias("w"))
-    return rows.mapInArrow(run, f"{id_col} {kind}, height int, width int, {_PIECE}")
+    return rows.mapInArrow(run, f"{id_col} {kind}, {_TILE}")
 
 
 def blended(tiles: DataFrame, id_col: str, kernel: Kernel, scale: int = 1, tile: int = 512, overlap: int = 32, edge_safe: bool = True, clip: bool = False) -> DataFrame:
@@ -95,56 +126,71 @@ def blended(tiles: DataFrame, id_col: str, kernel: Kernel, scale: int = 1, tile:
     def tidy(x: np.ndarray) -> np.ndarray:
         return np.clip(np.nan_to_num(x, nan=0.0, posinf=1.0, neginf=0.0), 0, 1) if clip else x
 
+    def pieces_of(tile_of: np.ndarray, h: int, w: int, y: int, x: int, high: int, wide: int) -> Iterator[tuple]:
+        done = tidy(np.asarray(kernel(tile_of.reshape(high, wide, -1), y, x), float))
+        if done.shape[:2] != (high * scale, wide * scale):
+            raise ValueError(f"the kernel gave {done.shape} for {high} x {wide} at scale {scale}")
+        if (high, wide) == (h, w):  # an image of one tile is one band
+            yield 0, 0, 0, *done.shape[:2], w * scale, done, None, None
+            return
+        weight = weights(*done.shape[:2], overlap * scale, edge_safe)
+        part, top = done * weight[:, :, None], y * scale
+        for band in range(top // step, (top + len(done) - 1) // step + 1):
+            low, end = max(top, band * step), min(top + len(done), (band + 1) * step)
+            rows = slice(low - top, end - top)
+            yield band, low, x * scale, end - low, done.shape[1], w * scale, part[rows], weight[rows], None
+
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = _Rows(_fields(id_col, batch.column(0).type, _PIECE))
             flat, offsets, _ = lists.flat(batch.column(7))
-            numbers = [batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5, 6, 8)]
-            for i, (h, w, y, x, high, wide, error) in enumerate(zip(*numbers, strict=True)):
+            for i, (key, h, w, y, x, high, wide, error) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 6, 8)), strict=True)):
                 pieces: list[tuple] = []
                 if error is None:
                     try:
-                        done = tidy(np.asarray(kernel(flat[offsets[i] : offsets[i + 1]].reshape(high, wide, -1), y, x), float))
-                        if done.shape[:2] != (high * scale, wide * scale):
-                            raise ValueError(f"the kernel gave {done.shape} for {high} x {wide} at scale {scale}")
-                        single = (high, wide) == (h, w)
-                        weight = np.ones(done.shape[:2]) if single else weights(*done.shape[:2], overlap * scale, edge_safe)
-                        part, top = done * weight[:, :, None], y * scale
-                        # an image of one tile is one band
-                        for band in [0] if single else range(top // step, (top + len(done) - 1) // step + 1):
-                            low, end = (0, len(done)) if single else (max(top, band * step), min(top + len(done), (band + 1) * step))
-                            rows = slice(low - (0 if single else top), end - (0 if single else top))
-                            pieces.append((band, low, x * scale, end - low, done.shape[1], w * scale, part[rows], weight[rows], None))
+                        pieces = list(pieces_of(flat[offsets[i] : offsets[i + 1]], h, w, y, x, high, wide))
                     except Exception as e:  # a kernel's own failure is data
                         error = f"{type(e).__name__}: {e}"
-                if error is not None:
-                    pieces = [(y * scale // step, 0, 0, 0, 0, w * scale, None, None, error)]
-                columns = list(zip(*pieces, strict=True))
-                ids = pa.array([batch.column(0)[i].as_py()] * len(pieces), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in columns[:6]), lists.column(list(columns[6])), lists.column(list(columns[7])), pa.array(columns[8], pa.string())], names=[id_col, *"band y x high wide width values weights error".split()])
-
-    def add(table: pa.Table) -> pa.Table:
-        band, width = table.column("band")[0].as_py(), table.column("width")[0].as_py()
-        errors = sorted({e for e in table.column("error").to_pylist() if e is not None})
-        ys, highs = table.column("y").to_pylist(), table.column("high").to_pylist()
-        y, high, out = min(ys), 0, None
-        if not errors:
-            high = max(a + b for a, b in zip(ys, highs, strict=True)) - y
-            values, weight = (lists.flat(table.column(c).combine_chunks()) for c in ("values", "weights"))
-            channels = int(values[1][1] - values[1][0]) // (highs[0] * table.column("wide")[0].as_py())
-            total, sums = np.zeros((high, width, channels)), np.zeros((high, width, 1))
-            # in the order of their places, so that sums don't depend on arrival
-            xs, wides = table.column("x").to_pylist(), table.column("wide").to_pylist()
-            for i in sorted(range(table.num_rows), key=lambda k: (ys[k], xs[k])):
-                spot = slice(ys[i] - y, ys[i] - y + highs[i]), slice(xs[i], xs[i] + wides[i])
-                total[spot] += values[0][values[1][i] : values[1][i + 1]].reshape(highs[i], wides[i], channels)
-                sums[spot] += weight[0][weight[1][i] : weight[1][i + 1]].reshape(highs[i], wides[i], 1)
-            out = tidy(total / np.maximum(sums, FLOOR))
-        numbers = [pa.array([v], pa.int32()) for v in (band, y, high, width)]
-        return pa.Table.from_arrays([table.column(id_col)[:1], *numbers, lists.column([out]), pa.array(["; ".join(errors) or None], pa.string())], names=[id_col, *"band y high width values error".split()])
+                for piece in pieces if error is None else [(y * scale // step, 0, 0, 0, 0, w * scale, None, None, error)]:
+                    yield from out.add(key, *piece)
+            yield from out.flush()
+
+    def summed(band: int, pieces: list[tuple]) -> tuple:
+        """The pieces of one band, in the order of their places."""
+        errors = sorted({p[-1] for p in pieces if p[-1] is not None})
+        y, width = min(p[0] for p in pieces), pieces[0][4]
+        if errors:
+            return band, y, 0, width, None, "; ".join(errors)
+        high = max(p[0] + p[2] for p in pieces) - y
+        if pieces[0][6] is None:
+            return band, y, high, width, pieces[0][5], None
+        total, sums = np.zeros((high, width, pieces[0][5].size // (pieces[0][2] * pieces[0][3]))), np.zeros((high, width, 1))
+        for top, x, tall, wide, _, values, weight, _ in pieces:
+            spot = slice(top - y, top - y + tall), slice(x, x + wide)
+            total[spot] += values.reshape(tall, wide, -1)
+            sums[spot] += weight.reshape(tall, wide, 1)
+        return band, y, high, width, tidy(total / np.maximum(sums, FLOOR)), None
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], None
+        for batch in batches:
+            out = out or _Rows(_fields(id_col, batch.column(0).type, BANDS))
+            values, weight = lists.flat(batch.column(7)), lists.flat(batch.column(8))
+            for i, (key, band, y, x, high, wide, width, error) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5, 6, 9)), strict=True)):
+                if now != (key, band) and held:
+                    yield from out.add(now[0], *summed(now[1], held))
+                    held = []
+                now = key, band
+                # copies, so that a piece doesn't keep its whole batch
+                parts = [f[0][f[1][i] : f[1][i + 1]].copy() if f[2][i] else None for f in (values, weight)]
+                held.append((y, x, high, wide, width, *parts, error))
+        if held:
+            yield from out.add(now[0], *summed(now[1], held))
+            yield from out.flush()
 
     kind = tiles.schema[id_col].dataType.simpleString()
-    pieces = tiles.mapInArrow(weigh, f"{id_col} {kind}, band int, y int, x int, high int, wide int, width int, values array<double>, weights array<double>, error string")
-    return pieces.groupBy(id_col, "band").applyInArrow(add, f"{id_col} {kind}, {BANDS}")
+    pieces = tiles.mapInArrow(weigh, f"{id_col} {kind}, {_PIECE}")
+    return pieces.repartition(id_col, "band").sortWithinPartitions(id_col, "band", "y", "x").mapInArrow(add, f"{id_col} {kind}, {BANDS}")
 
 
 def single_pass(images: DataFrame, id_col: str, value_col: str, height: str, width: str, kernel: Kernel, tile: int, overlap: int, edge_safe: bool = True, scale: int = 1, clip: bool = False) -> DataFrame:

@@ -836,3 +836,14 @@ def q66_full_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = transform.upscale(frames, "vec_id", "frame", "h", "w", _doubled, 2, 5, 2, target=F.lit(3), sharpness=0.5, contrast=1.2, colour=1.1, clip=True)
     shown = F.transform("values", lambda q: F.bround(q * 10000).cast("long").cast("string"))
     return done.select("vec_id", "height", "width", F.array_join(shown, ",").alias("pixels"), "error")
+
+
+@query("""
+WITH e AS (SELECT conv_id, length(string_agg(role, '')) // 8 AS m FROM conversations GROUP BY conv_id), c AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 5 <> 3),
+g AS (SELECT conv_id, min(i) AS gap FROM (SELECT conv_id, unnest(range(m + 200)) AS i FROM e) a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.turn = a.i) GROUP BY conv_id)
+SELECT conv_id, m - count(turn) FILTER (WHERE turn < m) AS n_missing, count(turn) FILTER (WHERE turn >= m) AS n_extra, least(gap, m) AS prefix_length FROM e JOIN g USING (conv_id) LEFT JOIN c USING (conv_id) GROUP BY conv_id, m, gap""")
+def q67_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, some of them lost, against the number that the roles' letters promise: missing, extra, and complete so far."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    expected = turns.groupBy("conv_id").agg(F.floor(F.sum(F.length("role")) / 8).alias("m"))
+    return validate.completeness(turns.where("turn % 5 != 3"), expected, "conv_id", "turn", "m")

@@ -62,7 +62,7 @@ def test_fallback(spark):
 def test_gaps(spark, ids, n, gone, prefix):
     rows = spark.createDataFrame([(i,) for i in ids], "n long")
     assert sorted(r["n"] for r in validate.missing(rows, "n", n).collect()) == gone
-    assert validate.contiguous_prefix(rows, "n", blocks=2).first()["prefix_length"] == prefix
+    assert validate.contiguous_prefix(rows, "n").first()["prefix_length"] == prefix
 
 
 def test_numeric_order(spark):
@@ -449,3 +449,26 @@ def test_passes_add_up(spark):
     rows = spark.createDataFrame([(1, [0.25, 0.75], 1, 2)], "id long, v array<double>, h int, w int")
     done = transform.upscale(rows, "id", "v", "h", "w", lambda x, y, z: x.repeat(2, 0).repeat(2, 1), 2, passes=3).first()
     assert (done["height"], done["width"]) == (8, 16) and done["values"][:16] == [0.25] * 8 + [0.75] * 8
+
+
+def test_words_against_sets(spark):
+    r = np.random.default_rng(2)
+    for ids in ([], [0], [1], list(range(64)), list(range(63)), list(range(65)), list(range(4096)), list(range(4097)), [i for i in range(5000) if i != 4100], [i for i in range(300) if not 64 <= i < 128], [-1, -64, -65, 0, 1, 3], [1 << 40, 0], r.integers(-50, 400, 200).tolist()):
+        rows = spark.createDataFrame([(i,) for i in ids] + [(None,)], "n long")
+        known = set(ids)
+        first = next(i for i in range(10**6) if i not in known)
+        assert validate.contiguous_prefix(rows, "n").first()["prefix_length"] == first
+        assert sorted(x["n"] for x in validate.missing(rows, "n", 130).collect()) == [i for i in range(130) if i not in known]
+        other = spark.createDataFrame([(i,) for i in range(0, 200, 3)] + [(None,)], "n long")
+        assert sorted(x["n"] for x in validate.extra(rows, "n", other).collect()) == sorted(known - set(range(0, 200, 3)))
+
+
+def test_completeness_of_keys(spark):
+    rows = {"a": [0, 1, 2, 5, 5, 200], "b": list(range(130)), "c": [], "d": [-3, 0, 64, 63, 62], "e": list(range(64)), "f": [1 << 33]}
+    df = spark.createDataFrame([(k, i) for k, v in rows.items() for i in v] + [("c", None), (None, 3)], "k string, n long")
+    sizes = {"a": 6, "b": 128, "c": 2, "d": 63, "e": 64, "f": 0, "z": 5}
+    got = {x["k"]: tuple(x)[1:] for x in validate.completeness(df, spark.createDataFrame(list(sizes.items()), "k string, m int"), "k", "n", "m").collect()}
+    for k, m in sizes.items():
+        have = set(rows.get(k, []))
+        prefix = next(i for i in range(m + 1) if i not in have or i == m)
+        assert got[k] == (m - len(have & set(range(m))), len(have - set(range(m))), prefix), k
