@@ -16,7 +16,7 @@ from ..sources import catalog
 from ..sources import media as media_source
 from ..sources import pixels, sink, video
 from ..streaming import first_seen as streams
-from ..streaming import stages
+from ..streaming import landing, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -847,3 +847,67 @@ def q67_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     expected = turns.groupBy("conv_id").agg(F.floor(F.sum(F.length("role")) / 8).alias("m"))
     return validate.completeness(turns.where("turn % 5 != 3"), expected, "conv_id", "turn", "m")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn FROM conversations WHERE length(coalesce(text, '')) % 3 <> 0)
+SELECT conv_id, max(turn) + 1 - count(DISTINCT turn) AS n_missing FROM t GROUP BY conv_id""")
+def q68_fold_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes that the folded conversations have where turns were lost, here those with texts of certain lengths."""
+    turns = table(spark, sf_dir, "conversations").where(F.length(F.coalesce("text", F.lit(""))) % 3 != 0)
+    return fold.gaps(fold.segments(turns, "conv_id", "turn", F.col("role"), 4), "conv_id")
+
+
+_RESULTS = "SELECT event_id AS unique_id, ts, value FROM m WHERE event_id = unique_id AND value >= 5"
+
+
+@query(f"""
+WITH m AS (SELECT *, min(event_id) OVER (PARTITION BY user_id, event_type) AS unique_id FROM events), r AS ({_RESULTS})
+SELECT m.event_id, m.unique_id, CASE WHEN r.unique_id IS NULL THEN 'missing' WHEN m.event_id = m.unique_id THEN 'original' ELSE 'copy' END AS pass, r.value
+FROM m LEFT JOIN r ON r.unique_id = m.unique_id AND r.ts BETWEEN m.ts - INTERVAL 5 DAY AND m.ts + INTERVAL 5 DAY""")
+def q69_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plan and results as two streams whose rows come out of order, joined as they come; misses go to a folder of their own."""
+    base = new_path(spark, "sink-stage")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    mapped = dedupe.mapping(events, "event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    # files by hash, so each holds rows of all times; the last of either side only moves the time on
+    last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 400 DAY")).alias("ts"))
+    sides = {
+        "plan": (mapped.select("event_id", "unique_id", "ts"), last.select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("unique_id"), "ts")),
+        "results": (mapped.where("event_id = unique_id AND value >= 5").select("unique_id", "ts", "value"), last.select(F.lit(-2).cast("long").alias("unique_id"), "ts", F.lit(0.0).alias("value"))),
+    }
+    streams_of = {}
+    for name, (rows, end) in sides.items():
+        for part, piece in enumerate([rows.where("unique_id % 2 = 1"), rows.where("unique_id % 2 = 0"), end]):
+            piece.coalesce(2).write.parquet(f"{base}/{name}/{part}")
+        streams_of[name] = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 2).parquet(f"{base}/{name}")
+    found = stages.with_results(streams_of["plan"], streams_of["results"], "ts", "200 DAY", "5 DAY")
+    write = lambda rows, kind, i: rows.write.mode("overwrite").parquet(f"{base}/out/{kind}/batch-{i}")
+    sink_of = stages.split_sink(write, lambda rows, i: write(rows, "missing", i))
+    started = found.writeStream.foreachBatch(sink_of).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    ok, message = streams.run(started)
+    if not ok:
+        raise RuntimeError(message)
+    return spark.read.schema(found.schema).parquet(*(f"{base}/out/{kind}/batch-*" for kind in ("originals", "copies", "missing"))).where("event_id >= 0")
+
+
+@query(f"""
+WITH f AS (SELECT vec_id, {_FRAME} AS f FROM ({_VECTORS})), b AS (SELECT vec_id, (SELECT min(vec_id) FROM embeddings WHERE label = 9) AS hole FROM embeddings)
+SELECT vec_id AS index, CASE WHEN vec_id < hole THEN 'before the gap' ELSE 'after it' END AS part, {_LEVEL.format('f', 255)} AS level FROM f JOIN b USING (vec_id) ORDER BY vec_id""")
+def q70_stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files dropped into a folder in two goes: the stream stops at the first gap until that is filled."""
+    folder, base = new_path(spark, "landing"), new_path(spark, "landed")
+    frames = _frames(spark, sf_dir, "label").withColumn("name", F.format_string("frame_%09d", "vec_id"))
+    images = pixels.encode_as(frames, F.concat("name", F.when(F.col("label") == 9, "-late").otherwise("")), F.lit(8), F.lit(8), F.col("frame"), F.lit("PPM"), F.lit(None), F.lit(None))
+    images = keep(images, "frames")
+    parts = []
+    for part, rows in (("before the gap", images.where("name NOT LIKE '%-late%'")), ("after it", images.where("name LIKE '%-late%'"))):
+        sink.write_files(rows.select(F.regexp_replace("name", "-late", "").alias("name"), "content"), folder)
+        out = f"{base}/{len(parts)}"
+        spark.createDataFrame([], landing.SCHEMA).write.parquet(f"{out}/batch-none")  # a go without new files
+        sink_of = streams.ordered_sink(lambda batch, i, out=out: batch.write.mode("overwrite").parquet(f"{out}/batch-{i}"), "index")
+        ok, message = streams.run(landing.stream(spark, folder).writeStream.foreachBatch(sink_of).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+        if not ok:
+            raise RuntimeError(message)
+        parts.append(spark.read.schema(landing.SCHEMA).parquet(f"{out}/batch-*").withColumn("part", F.lit(part)))
+    return pixels.decode(parts[0].unionByName(parts[1]).select(F.struct("index", "part").alias("id"), "content"), "id").select("id.index", "id.part", _level().alias("level"))

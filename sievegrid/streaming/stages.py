@@ -93,6 +93,38 @@ def two_pass_sink(id_col: str, results: DataFrame, write: Callable[[DataFrame, s
     return each
 
 
+def with_results(plan: DataFrame, results: DataFrame, time_col: str, late: str, within: str) -> DataFrame:
+    """The sink stage of a stream: (id, unique_id, pass, the results' columns) for every row of the plan.
+
+    ``plan`` has (id, unique_id, time), ``results`` (unique_id, time, ...); both are streams and may come in any
+    order, up to ``late`` behind the latest.  A result belongs to a row if their times are no more than
+    ``within`` apart.  ``pass`` is original, copy, or missing once no result can come any more; state holds only what
+    is not older than that.
+    """
+    id_col = next(c for c in plan.columns if c not in ("unique_id", time_col))
+    left = plan.withWatermark(time_col, late).withColumnsRenamed({time_col: "sg_planned"})
+    right = results.withWatermark(time_col, late).withColumnsRenamed({time_col: "sg_done", "unique_id": "sg_result"})
+    near = F.expr(f"unique_id = sg_result AND sg_done >= sg_planned - INTERVAL {within} AND sg_done <= sg_planned + INTERVAL {within}")
+    joined = left.join(right, near, "left_outer")
+    kind = F.when(F.col("sg_result").isNull(), "missing").when(F.col(id_col) == F.col("unique_id"), "original").otherwise("copy")
+    return joined.select(id_col, "unique_id", kind.alias("pass"), *(c for c in results.columns if c not in ("unique_id", time_col)))
+
+
+def split_sink(write: Callable[[DataFrame, str, int], None], reject: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over rows with ``pass``: originals, then copies, then what is missing."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            write(batch.where("pass = 'original'"), "originals", batch_id)
+            write(batch.where("pass = 'copy'"), "copies", batch_id)
+            reject(batch.where("pass = 'missing'"), batch_id)
+        finally:
+            batch.unpersist()
+
+    return each
+
+
 class Control:
     """Stop and pause flags that another thread may set."""
 

@@ -246,7 +246,9 @@ def test_ordered_fold(spark):
     folded = fold.segments(spark.createDataFrame(rows, "k string, n long, v string"), "k", "n", F.col("v"), 4)
     got = {(r["k"], r["segment"]): (r["first"], list(r["values"])) for r in folded.collect()}
     assert got == {("a", 0): (0, ["f0", "f1", "f2", "f3"]), ("a", 1): (4, ["f4", "f5", "f6", "f7"]), ("a", 2): (8, ["f8", "f9"]), ("b", 0): (0, ["x"]), ("b", 2): (9, ["y"])}
-    assert {r["k"]: r["n_missing"] for r in fold.gaps(folded, "k", 4).collect()} == {"a": 0, "b": 8}
+    assert {r["k"]: r["n_missing"] for r in fold.gaps(folded, "k").collect()} == {"a": 0, "b": 8}
+    holes = spark.createDataFrame([("a", i, "x") for i in (0, 1, 3, 3)] + [("b", i, "x") for i in (-5, -1, 0)] + [("c", 6, "x")], "k string, n long, v string")
+    assert {r["k"]: r["n_missing"] for r in fold.gaps(fold.segments(holes, "k", "n", F.col("v"), 4), "k").collect()} == {"a": 1, "b": 0, "c": 6}
 
 
 def test_raw_images(spark, tmp_path):
