@@ -1,16 +1,22 @@
 """Main text of web pages by consensus paths of their hosts.
 
 First pass: every page scores its containers (text outside boilerplate and links) and votes
-for the generalised tag-class path of the best; it also names the parts of that container
-whose class only resembles boilerplate ("related-work").  Votes are summed by (host, path),
-partly in each task, so a host with a third of all pages is no burden.  Second pass: each
-page is read again and its text taken from the host's winning path, or from its own best
-container where that path holds less than half of what the page has or leaves article blocks
-out.  Inside the container go: elements that are never text of an article (menus, forms,
-asides, scripts), those whose class or id consists of boilerplate words only
-("comment-list"), and those parts that a consensus of the host's pages (half of them, three
-at least) have in the same place.  Everything else stays, MathML, fallbacks of objects and
-noscript included.
+for the generalised tag-class path of the best; it also names the doubtful parts of that container.
+Votes are summed by (host, path), partly in each task, so a host with a third of all pages is no
+burden.  Second pass: each page is read again and its text taken from the host's winning path, or from
+its own best container where that path holds less than half of what the page has or leaves article blocks
+out; a title before an article or main element belongs to it.
+
+Inside the container go: elements that are never text of an article (menus, forms, asides, scripts); adverts and
+reader comments by their class or id, and all that follows a heading that announces comments within its element;
+outside of article and main elements, boxes whose class or id consists of boilerplate words only.  Inside those
+elements such boxes are doubtful, as are boxes whose class merely resembles them ("related-work") anywhere.  A
+doubtful box goes where a consensus of the host's pages (half of them, three at least) has it in the same
+place, but for boxes that show themselves to be text; these go where the host's pages have the very same words in
+them.  A box of boilerplate words shows itself to be text by a main heading, by any heading if it is a header, or by a
+block of prose that is not mostly links; a page without a host that speaks for it keeps such boxes and drops the
+others.  Boxes that merely resemble boilerplate stay without votes.  Everything else stays, MathML, fallbacks of
+objects and noscript included.
 
 Null and empty html give an empty text, as do pages of boilerplate only; a null url counts
 as a host of its own; equal votes are settled by text length, then by path; repeated rows
@@ -21,6 +27,7 @@ are never read.  Work grows with the length of a page, however deep it nests.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import re
 from collections import Counter
@@ -55,6 +62,11 @@ _HINTS = frozenset(
 )
 # words that with a hint still name the hint's own kind of box
 _SHAPES = frozenset("# area bar block blocks body bottom box button buttons card cards column container content count feed form frame group icon icons inner item items left link links list main outer page panel post posts article articles rail reader region right row section sections side site slot slots stories thread top title unit user wrap wrapper".split())
+# hints that name what is excluded, wherever it stands
+_ALWAYS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored comment comments commentlist disqus respond reply replies".split())
+_TITLED = frozenset("header masthead banner banners".split())
+_COMMENTS = re.compile(r"\W*(?:\d+\W+)?(?:(?:reader|user) )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)(?:\W*\d+)?\W*", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SMALL = frozenset("p pre h1 h2 h3 h4 h5 h6 li td th dd dt blockquote".split())
 _DIGITS = re.compile(r"\d+")
 _PARTS = re.compile(r"[a-z]+|#")
@@ -62,9 +74,12 @@ ARTICLE_BLOCK = 80  # characters from which a block outside a container is text
 
 
 @functools.lru_cache(maxsize=4096)
-def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The element's name in a path, whether it is no article text, and whether that is doubtful."""
-    name, out, maybe = tag, tag in _DROP, False
+def _described(tag: str, attrs: str) -> tuple[str, bool, int]:
+    """The element's name in a path, whether it is no article text, and what its class and id say.
+
+    0: nothing, 1: they resemble boilerplate, 2: they consist of its words, 3: of those of a header.
+    """
+    name, out, doubt = tag, tag in _DROP, 0
     if attrs.strip():
         a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attrs)}
         classes = _DIGITS.sub("#", a.get("class", "").lower()).split()
@@ -72,14 +87,15 @@ def _described(tag: str, attrs: str) -> tuple[str, bool, bool]:
             name += "." + ".".join(sorted(classes)).replace(">", "&gt;")
         if not out and tag not in ("html", "body", "article", "main"):
             tokens = [t for t in (_PARTS.findall(x) for x in [*classes, *_DIGITS.sub("#", a.get("id", "").lower()).split()]) if not _HINTS.isdisjoint(t)]
-            out = any(all(w in _HINTS or w in _SHAPES for w in t) for t in tokens) or a.get("role", "").lower() in _ROLES
-            maybe = bool(tokens) and not out
+            named = [t for t in tokens if all(w in _HINTS or w in _SHAPES for w in t)]
+            doubt = (3 if any(not _TITLED.isdisjoint(t) for t in named) else 2) if named else 1 if tokens else 0
+            out = a.get("role", "").lower() in _ROLES or any(not _ALWAYS.isdisjoint(t) for t in named)
         out = out or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    return name, out, maybe
+    return name, out, doubt
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "out", "maybe", "block", "depth", "at", "last", "good", "article")
+    __slots__ = ("tag", "path", "parent", "out", "maybe", "doubt", "block", "depth", "at", "last", "good", "article", "title", "prose", "digest")
 
 
 class Page:
@@ -87,11 +103,20 @@ class Page:
 
     def __init__(self, page: str):
         self.names: dict[tuple[int, str], int] = {}
+        self.ends: list[int] = []
         self.steps: list[tuple[int, str]] = [(-1, "")]
         self.nodes: list[_Node] = []
-        self.blocks: list[tuple[_Node, _Node | None, str]] = []
+        self.blocks: list[tuple[_Node, _Node | None, str, int]] = []
         self._open("", "", None)
         self._read(page)
+        self._announced()
+        for holder, maybe, text, linked in self.blocks:
+            holder.good += max(0, len(text) - 2 * linked)
+            if maybe is not None:
+                own = 2 * linked < len(text)
+                maybe.title = maybe.title or own and (holder.tag == "h1" or maybe.doubt == 3 and holder.tag in _HEADINGS)
+                maybe.prose = maybe.prose or own and len(text) >= ARTICLE_BLOCK
+                maybe.digest = hashlib.md5(text.encode() + (maybe.digest or b"")).digest()
         for node in reversed(self.nodes[1:]):
             node.parent.good += node.good
             node.parent.last = max(node.parent.last, node.last)
@@ -99,20 +124,22 @@ class Page:
     def _open(self, tag: str, attrs: str, parent: _Node | None) -> _Node:
         node = _Node()
         node.tag, node.parent, node.at, node.last, node.good = tag, parent, len(self.nodes), len(self.nodes), 0
+        node.doubt, node.title, node.prose, node.digest = 0, False, False, None
         self.nodes.append(node)
         if parent is None:
             node.path, node.out, node.maybe, node.depth, node.block, node.article = 0, False, None, 0, node, False
             return node
         node.depth, node.maybe, node.article = parent.depth + 1, parent.maybe, parent.article or tag in ("article", "main")
-        name, out, maybe = _described(tag, attrs)
-        out = out or parent.out
+        name, out, node.doubt = _described(tag, attrs)
+        out = out or parent.out or node.doubt > 1 and not parent.article
         if tag == "header" and not parent.article:  # a page's header; an article may have its own
             out = True
         node.out = out
         node.path = self.names.setdefault((parent.path, name), len(self.steps))
         if node.path == len(self.steps):
             self.steps.append((parent.path, name))
-        if maybe and node.maybe is None:
+        # a box of boilerplate words is settled apart from what it stands in
+        if node.doubt and (node.maybe is None or node.doubt > 1 and node.maybe.doubt == 1):
             node.maybe = node
         node.block = node if tag in _BLOCK else parent.block
         return node
@@ -143,8 +170,7 @@ class Page:
             parts.clear()
             if text:
                 holder = stack[-1].block
-                self.blocks.append((holder, stack[-1].maybe, text))
-                holder.good += max(0, len(text) - 2 * linked)
+                self.blocks.append((holder, stack[-1].maybe, text, linked))
             linked = 0
 
         while at < n:
@@ -205,6 +231,31 @@ class Page:
             opened[tag] += 1
         flush()
 
+    def _announced(self) -> None:
+        """Without reader comments: a heading that announces them, and what follows in its element."""
+        kept, until = [], -1
+        for block in self.blocks:
+            holder, text = block[0], block[2]
+            if holder.at <= until:
+                continue
+            if holder.tag in _HEADINGS and len(text) < ARTICLE_BLOCK and _COMMENTS.fullmatch(text):
+                around = holder.parent
+                end = around
+                while end is not None and end.at + 1 == holder.at:  # a heading alone in its box speaks for what follows the box
+                    around = end = end.parent
+                until = self._ends(around) if around is not None else len(self.nodes)
+                continue
+            kept.append(block)
+        self.blocks = kept
+
+    def _ends(self, node: _Node) -> int:
+        """The last element inside ``node``; elements are numbered as they open."""
+        if not self.ends:
+            self.ends = list(range(len(self.nodes)))
+            for x in reversed(self.nodes[1:]):
+                self.ends[x.parent.at] = max(self.ends[x.parent.at], self.ends[x.at])
+        return self.ends[node.at]
+
     def path(self, number: int) -> str:
         names = []
         while number > 0:
@@ -244,48 +295,69 @@ class Page:
     def whole(self, node: _Node) -> _Node:
         """The least element around ``node`` that holds all article blocks; an article or main element is whole."""
         if node.tag not in ("article", "main"):
-            for holder, _, text in self.blocks:
+            for holder, _, text, _ in self.blocks:
                 while len(text) >= ARTICLE_BLOCK and holder.good > 0 and not node.at <= holder.at <= node.last:
                     node = node.parent
         return node
 
 
+def _shown(node: _Node) -> bool:
+    """Whether a doubtful box shows itself to be text of the article."""
+    return node.title or node.doubt > 1 and node.prose
+
+
 def vote(page: str) -> tuple[str, int, list[str]] | None:
-    """The path of the page's best container, its amount of text, and its doubtful parts' paths."""
+    """The path of the page's best container, its amount of text, and its doubtful parts' paths.
+
+    Parts that show themselves to be text have the digest of their words behind the path.
+    """
     read = Page(page)
     node = read.best()
     if node is None:
         return None
     inside = read.under(node.path)
-    parts = {maybe.path for holder, maybe, _ in read.blocks if maybe is not None and inside[maybe.at]}
-    return read.path(node.path), node.good, sorted(read.path(x) for x in parts)
+    parts = {(x.path, x.digest if _shown(x) else b"") for _, x, *_ in read.blocks if x is not None and inside[x.at]}
+    return read.path(node.path), node.good, sorted(read.path(x) + ("\n" + d.hex() if d else "") for x, d in parts)
 
 
 def main_text(page: str, path: str | None, furniture: list[str] | None = None) -> str:
     """The text under ``path``, or under the page's own container where ``path`` has too little or is a part of it.
 
-    ``furniture``: paths of doubtful parts that the host's pages agree to be no article text.
+    ``furniture``: paths of doubtful parts that the host's pages agree to be no article text, some with a digest.
     """
     read = Page(page)
-    gone = {read.number(x) for x in furniture or []}
-    found = [(holder, text) for holder, maybe, text in read.blocks if maybe is None or maybe.path not in gone]
+    gone = {(read.number(x), d) for x, _, d in (f.partition("\n") for f in furniture or [])}
+    lost = [False] * len(read.nodes)
+    for node in read.nodes[1:]:
+        lost[node.at] = lost[node.parent.at]
+        if node.maybe is node:
+            shown = _shown(node)
+            agreed = (node.path, node.digest.hex() if shown and node.digest else "") in gone
+            lost[node.at] = lost[node.at] or agreed or node.doubt > 1 and not shown
+    found = [(holder, text, linked) for holder, _, text, linked in read.blocks if not lost[holder.at]]
     own = read.best()
     if own is None:
-        return "\n\n".join(x for _, x in found)
+        return "\n\n".join(x for _, x, _ in found)
     own = read.whole(own)
     mine, at = read.under(own.path), read.number(path)
-    inside = mine
+    inside, holds = mine, own
     if at >= 0 and at != own.path:
         theirs = read.under(at)
-        held = sum(len(x) for node, x in found if theirs[node.at])
-        articles = lambda flags: sum(len(x) >= ARTICLE_BLOCK and node.good > 0 and flags[node.at] for node, x in found)
+        held = sum(len(x) for node, x, _ in found if theirs[node.at])
+        articles = lambda flags: sum(len(x) >= ARTICLE_BLOCK and node.good > 0 and flags[node.at] for node, x, _ in found)
         around = at  # is the host's path a part of the page's own container?
         while around > 0 and around != own.path:
             around = read.steps[around][0]
         part = around == own.path and articles(theirs) < articles(mine)
         if not part and 2 * held >= own.good:
-            inside = theirs
-    return "\n\n".join(x for node, x in found if inside[node.at])
+            inside, holds = theirs, None
+    kept = [i for i, (node, *_) in enumerate(found) if inside[node.at]]
+    named = holds is not None and holds.tag in ("article", "main")
+    if kept and named and not any(found[i][0].tag == "h1" for i in kept):
+        # a title before the article; one that is a link is the site's
+        titles = [i for i in range(kept[0]) if found[i][0].tag == "h1" and 2 * found[i][2] < len(found[i][1])]
+        kept = titles[-1:] + kept
+    return "\n\n".join(found[i][1] for i in kept)
 
 
 def _host(url: str) -> F.Column:
@@ -307,10 +379,11 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     votes = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path string, good long, doubt boolean")
     sums = votes.groupBy("host", "path", "doubt").agg(F.count("*").alias("votes"), F.sum("good").alias("good"))
-    best = F.max(F.when(~F.col("doubt"), F.struct("votes", "good", "path"))).alias("w")
-    sums = sums.groupBy("host").agg(best, F.sum(F.when(~F.col("doubt"), F.col("votes"))).alias("pages"), F.array_sort(F.collect_list(F.when(F.col("doubt") & (F.col("votes") >= 3), F.struct("path", "votes")))).alias("parts"))
-    agreed = F.transform(F.filter("parts", lambda x: 2 * x["votes"] >= F.col("pages")), lambda x: x["path"])
-    return sums.select("host", "w.path", "w.votes", agreed.alias("furniture"))
+    hosts = sums.where("NOT doubt").groupBy("host").agg(F.max(F.struct("votes", "good", "path")).alias("w"), F.sum("votes").alias("pages"))
+    # a part counts once a page, so twice a page's number of parts bounds what half of the pages agree on
+    parts = sums.where("doubt AND votes >= 3").select("host", F.col("path").alias("part"), F.col("votes").alias("n"))
+    agreed = parts.join(hosts.select("host", "pages"), "host").where("2 * n >= pages").groupBy("host").agg(F.array_sort(F.collect_list("part")).alias("furniture"))
+    return hosts.join(agreed, "host", "left").select("host", "w.path", "w.votes", F.coalesce("furniture", F.array().cast("array<string>")).alias("furniture"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -57,6 +57,49 @@ def test_furniture_by_consensus(spark):
     assert got == {i: False for i in range(4)} | {10 + i: True for i in range(5)}
 
 
+P = "The first sentence of it says something. A second one goes on with that. The third is longer than both of them. So ends the paragraph."
+TITLES = [
+    f'<article><div class="article-header"><h1>The Title</h1></div><p>{P}</p></article>',
+    f'<article><header class="post-header"><h1>The Title</h1></header><p>{P}</p></article>',
+    f'<main><div class="page-header"><h2>The Title</h2></div><p>{P}</p></main>',
+    f'<body><h1>The Title</h1><article><p>{P}</p></article></body>',
+    f'<body><h1><a href="/">Site</a></h1><div><h1>The Title</h1></div><main><p>{P}</p></main></body>',
+    f'<article><h1>The Title</h1><div class="social">{P}</div><div class="social">Tweet</div></article>',
+    f'<article><h1>The Title</h1><p>{P}</p><h3>3 Comments</h3><div class="c1"><p>{P}</p></div><div class="c1"><p>Me too, {P}</p></div></article>',
+    f'<article><h1>The Title</h1><p>{P}</p><div class="x"><h4>Kommentare (2)</h4></div><div class="c1"><p>{P}</p></div></article>',
+    f'<article><h1>The Title</h1><p>{P}</p><div class="newsletter"><h3>Subscribe</h3><p>Get it by mail.</p></div><div class="related"><h3>More</h3><ul><li><a href="/">{P}</a></li></ul></div></article>',
+    f'<article><h1>The Title</h1><p>{P}</p><div class="ad"><p>{P}</p></div><ol class="comment-list"><li>{P}</li></ol></article>',
+]
+
+
+@pytest.mark.parametrize("html", TITLES)
+def test_titles_and_boxes_of_an_article(html):
+    for path in (None, html_text.vote(html)[0]):
+        assert html_text.main_text(html, path) == f"The Title\n\n{P}"
+
+
+def test_sections_that_are_named_like_boilerplate():
+    html = f'<article><h1>T</h1><section id="copyright"><h2>On copyright</h2><p>{P}</p></section><section id="alerts"><p>{P}</p></section><section id="search"><h2>Search</h2><p>{P}</p></section></article>'
+    want = f"T\n\nOn copyright\n\n{P}\n\n{P}\n\nSearch\n\n{P}"
+    assert html_text.main_text(html, None) == html_text.main_text(html, "article") == want
+
+
+def test_hosts_settle_doubtful_boxes(spark):
+    """Titles stay although each page has their box; a notice goes where each page has its very words."""
+    def made(i, notice):
+        return f'<body><article><div class="entry-header"><h1>Title {i}</h1></div><p>{P} {i}</p><div class="notice"><p>{notice}</p></div><div class="promo"><p>Short {i}</p></div></article></body>'
+
+    same, own = "This is the notice of the site, which is as long as any paragraph, and always the same in its words.", "Number {} of a box with words of its own, long enough for a block of prose, and different on every page."
+    rows = [(i, f"http://a.example/{i}", made(i, same)) for i in range(4)] + [(10 + i, f"http://b.example/{i}", made(i, own.format(i))) for i in range(4)] + [(20, "http://c.example/", made(0, same))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == f"Title {i}\n\n{P} {i}"
+        assert got[10 + i] == f"Title {i}\n\n{P} {i}\n\n{own.format(i)}"
+    assert got[20] == f"Title 0\n\n{P} 0\n\n{same}"  # nobody else to ask
+    found = {r["host"]: list(r["furniture"]) for r in html_text.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(found["a.example"]) == 2 and len(found["b.example"]) == 1 and found["c.example"] == []
+
+
 def test_deep_and_long_pages():
     deep = '<div class="c">' * 40_000 + "<p>" + "hello there " * 20 + "</p>" + "</div>" * 40_000
     started = time.perf_counter()
