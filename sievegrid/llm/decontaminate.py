@@ -132,23 +132,29 @@ def matcher(items: list[tuple[int, str]], percent: int = PERCENT, whole_words: b
     return machine
 
 
-def search(machine, text: str) -> dict[int, tuple[int, int, int]]:
-    """The best passage for each item: distance, start and end in the folded text."""
-    doc, out, last = fold(text), {}, {}
+def search(machine, text: str, any_one: bool = False) -> dict[int, tuple[int, int, int]]:
+    """The best passage for each item: least distance, then first start, and its end, in the folded text.
+
+    With ``any_one`` the first passage found is enough.
+    """
+    doc, out, done = fold(text), {}, {}
     if not len(machine):
         return out
     for at, (size, users) in machine.iter(doc):
         start = at - size + 1
         for item, piece in users:
-            seen = last.get((item.id, item.text))
-            # pieces of one passage lie on one diagonal: a passage found covers the rest of it
-            if seen is not None and start < seen:
+            # pieces of one passage lie on one diagonal, which is verified until it gives a passage
+            diagonal = start - item.cuts[piece]
+            seen = done.setdefault((item.id, item.text), set())
+            if diagonal in seen or out.get(item.id, (1,))[0] == 0:
                 continue
             found = item.verify(doc, piece, start)
             if found:
-                last[(item.id, item.text)] = found[2]
+                seen.add(diagonal)
                 if item.id not in out or found < out[item.id]:
                     out[item.id] = found
+                if any_one:
+                    return out
     return out
 
 
@@ -201,7 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_c
         def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
             machine = _machine(table.value, percent, whole_words)
             for batch in batches:
-                yield batch.filter(pa.array([not (x.is_valid and search(machine, x.as_py())) for x in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not (x.is_valid and search(machine, x.as_py(), True)) for x in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -119,13 +119,17 @@ def _vectors(docs: DataFrame, dim: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound: int = MAX_LABELLED, dim: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> Voter:
-    """Learn from at most ``bound`` labelled rows, half of each class if there are as many."""
+    """Learn from at most ``bound`` labelled rows, half of each class if there are as many.
+
+    Of several texts with one id that with the least hash is learnt.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").distinct()
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("label") == c).orderBy(order, "doc_id").limit(bound // 2) for c in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "label", "text")  # at most ``bound`` ids
-    got = _vectors(sample, dim).dropDuplicates(["doc_id", "label"]).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])  # at most ``bound`` rows
+    sample = sample.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "label", "x.text")
+    got = _vectors(sample, dim).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])  # at most ``bound`` rows
     x = np.zeros((got.num_rows, dim), np.float32)
     for i, row in enumerate(got.column("x")):
         x[i] = np.frombuffer(row.as_buffer(), np.float32)

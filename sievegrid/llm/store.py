@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import weakref
 from collections.abc import Iterator
 
@@ -12,7 +13,16 @@ from ..session import new_path, shared_dir
 
 __all__ = ["Scratch", "drop", "keep", "new_path", "shared_dir"]
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_open: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """The steps that are under way in this thread; another thread's tables are none of theirs."""
+
+    def __init__(self) -> None:
+        self.steps: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -24,7 +34,7 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[out] = path
-    for made in _open:
+    for made in _open.steps:
         made.append(path)
     return out
 
@@ -59,8 +69,8 @@ class Scratch:
         for path in self.left:
             _remove(spark, path)
         self.left = []
-        _open.append(self.left)
+        _open.steps.append(self.left)
         try:
             yield
         finally:
-            _open.remove(self.left)
+            _open.steps.remove(self.left)

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import phrases, queries, runs, secret_scan
+from sievegrid.llm import decontaminate, phrases, quality, queries, runs, secret_scan, store
 
 from .fixtures import SCHEMA, corpus, empty, frame
 
@@ -225,3 +225,64 @@ def test_scores_beyond_64_bits(spark):
     rows = spark.createDataFrame([(1, "en", "a b", 3 * 10**12, [4 * 10**12], [5 * 10**12])], "id long, lang string, phrase string, f long, firsts array<bigint>, lasts array<bigint>")
     got = phrases._scored(rows, 2, 10**6).first()
     assert (got["score"], got["l"], got["r"]) == (10**6 * 9 // 20, 4 * 10**12, 5 * 10**12)
+
+
+def least_distance(item, doc):
+    """Of the item to any passage of the document, by the whole table."""
+    row = [0] * (len(doc) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(doc, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_passages_are_the_least_distant():
+    r = random.Random(17)
+    found = 0
+    for _ in range(700):
+        alphabet = "ab" if r.random() < 0.5 else "abcd"
+        item = "".join(r.choice(alphabet) for _ in range(r.randrange(10, 31)))
+        doc = "".join(r.choice(alphabet) for _ in range(r.randrange(0, 40)))
+        for _ in range(r.randrange(0, 3)):
+            near = list(item)
+            for _ in range(r.randrange(0, 4)):
+                k = r.randrange(len(near))
+                near[k : k + 1] = r.choice([[], ["x"], [near[k], "x"]])
+            at = r.randrange(len(doc) + 1)
+            doc = doc[:at] + "".join(near) + doc[at:]
+        budget = len(item) // 10
+        got = decontaminate.search(decontaminate.matcher([(1, item)]), doc)
+        least = least_distance(item, doc)
+        assert (1 in got) == (least <= budget)
+        if got:
+            distance, start, end = got[1]
+            assert distance == least == least_distance(item, doc[start:end]) and abs(end - start - len(item)) <= budget
+            found += 1
+        assert bool(decontaminate.search(decontaminate.matcher([(1, item)]), doc, True)) == bool(got)
+    assert found > 200
+
+
+def test_texts_of_one_labelled_id(spark):
+    """Whichever task comes first, the same text is learnt."""
+    docs = [(i, f"plain words of document number {i} go here") for i in range(40)] + [(3, "quite another text"), (3, "and a third one"), (5, None), (5, "five again")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    made = [quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels) for rows, n in ((docs, 1), (docs[::-1], 4))]
+    scored = [quality.score(spark.createDataFrame(docs, "doc_id long, text string"), v).orderBy("doc_id", "score").collect() for v in made]
+    assert scored[0] == scored[1]
+
+
+def test_scratch_of_two_runs(spark):
+    import threading
+
+    one, two = store.Scratch(), store.Scratch()
+    with one.step(spark):
+        store.keep(spark.range(3), "one")
+        other = threading.Thread(target=lambda: store.keep(spark.range(4), "two"))
+        other.start()
+        other.join()
+    assert len(one.left) == 1
+    with two.step(spark):
+        store.keep(spark.range(5), "three")
+    assert len(one.left) == 1 and len(two.left) == 1
