@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import media as M
-from ..operators import dedupe, fold, kernels, ordering, reassemble, resample, tiles, transform, validate
+from ..operators import dedupe, fold, kernels, ordering, reassemble, resample, table_functions, tiles, transform, validate
 from ..session import keep, new_path, table
 from ..sources import catalog
 from ..sources import media as media_source
 from ..sources import pixels, sink, video
 from ..streaming import first_seen as streams
-from ..streaming import landing, stages
+from ..streaming import counters, landing, stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -911,3 +911,52 @@ def q70_stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise RuntimeError(message)
         parts.append(spark.read.schema(landing.SCHEMA).parquet(f"{out}/batch-*").withColumn("part", F.lit(part)))
     return pixels.decode(parts[0].unionByName(parts[1]).select(F.struct("index", "part").alias("id"), "content"), "id").select("id.index", "id.part", _level().alias("level"))
+
+
+@query(ORACLES["q16_tile_grid"])
+def q71_tiles_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tile grid by a table function."""
+    dims = _dims(spark, sf_dir).select("p_partkey", "h", "w")
+    return table_functions.register(spark).sql("SELECT p_partkey, t.y, t.x, t.y_end, t.x_end FROM {dims}, LATERAL tiles(h, w, 512, 32) t", dims=dims)
+
+
+@query("""
+SELECT conv_id::VARCHAR AS key, turn // 4 AS segment, min(turn) AS first, max(turn) AS last, count(*) AS n, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS numbers
+FROM conversations GROUP BY conv_id, turn // 4""")
+def q72_segments_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns folded in order by a table function over a partitioned table."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    rows = table_functions.register(spark).sql("SELECT * FROM segments(TABLE(SELECT * FROM {turns}), 'conv_id', 'turn', 4)", turns=turns)
+    return rows.withColumn("numbers", F.array_join(F.col("numbers").cast("array<string>"), ","))
+
+
+@query("""
+SELECT count(*) AS read, count(*) FILTER (WHERE value < 1) AS rejected, count(*) FILTER (WHERE value >= 1) AS written, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events""")
+def q73_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's own counters: read and rejected by what it observes on the way, written by what its sink's job observes."""
+    listener = counters.Counters()
+    base = new_path(spark, "counted")
+    number = lambda c: F.sum(c.cast("long"))
+    seen = _stream(spark, sf_dir).observe("all", F.count("*").alias("read"), number(F.col("value") < 1).alias("rejected"), number(F.col("event_type") == "error").alias("errors"))
+    kept = seen.where("value >= 1").observe("kept", F.count("*").alias("written"))
+    spark.streams.addListener(listener)
+    try:
+        started = kept.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        ok, message = streams.run(started)
+        if not ok:
+            raise RuntimeError(message)
+        found = listener.of(str(started.runId))
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([tuple(found.get(k, 0) for k in ("read", "rejected", "written", "errors"))], "read long, rejected long, written long, errors long")
+
+
+@query("""
+WITH f AS (SELECT vec_id // 8 AS session, vec_id, 'clip.' || vec_id AS stem, CASE WHEN label < 1 THEN 'video' WHEN label < 7 THEN 'image' END AS kind FROM embeddings)
+SELECT session, coalesce(min_by(stem, vec_id) FILTER (WHERE kind = 'video'), min_by(stem, vec_id) FILTER (WHERE kind = 'image'), '') AS video_name,
+  string_agg(stem, chr(10) ORDER BY vec_id) AS rename_list FROM f GROUP BY session""")
+def q74_session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name for each session's video, and the list of its files to rename."""
+    suffix = F.when(F.col("label") < 1, ".MP4").when(F.col("label") < 7, ".png").otherwise(".txt")
+    files = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("session"), "vec_id", F.concat(F.lit("dir/clip."), F.col("vec_id").cast("string"), suffix).alias("path"))
+    return media_source.session_names(files, "session", "vec_id")

@@ -100,3 +100,16 @@ def extraction_report(headers: DataFrame, frames: DataFrame) -> DataFrame:
     found = frames.where(F.col("error").isNull()).groupBy("video").agg(F.count("*").alias("extracted"))
     counts = headers.select("video", F.col("n_frames").alias("expected")).join(found, "video", "left")
     return counts.select("video", "expected", F.coalesce("extracted", F.lit(0)).alias("extracted"), extraction_status(F.col("expected"), F.col("extracted")).alias("status"))
+
+
+def session_names(files: DataFrame, by: str, order_col: str, path_col: str = "path") -> DataFrame:
+    """(by, video_name, rename_list) of each session's files in order.
+
+    The name for a video is the stem of the first video, else of the first image, else empty; the list has the stems
+    of all files, a line each.  A session is what one user picked, so its files fit a row.
+    """
+    kinds = files.select(by, order_col, M.stem(F.col(path_col)).alias("stem"), M.classify(F.col(path_col)).alias("kind"))
+    first = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("stem")), F.when(F.col("kind") == kind, F.col(order_col)))
+    listed = F.array_sort(F.collect_list(F.struct(order_col, "stem")))
+    found = kinds.groupBy(by).agg(F.coalesce(first("video"), first("image"), F.lit("")).alias("video_name"), listed.alias("sg"))
+    return found.select(by, "video_name", F.array_join(F.transform("sg", lambda x: x["stem"]), "\n").alias("rename_list"))

@@ -474,3 +474,9 @@ def test_completeness_of_keys(spark):
         have = set(rows.get(k, []))
         prefix = next(i for i in range(m + 1) if i not in have or i == m)
         assert got[k] == (m - len(have & set(range(m))), len(have - set(range(m))), prefix), k
+
+
+def test_session_names(spark):
+    rows = [("a", 2, "x/two.mp4"), ("a", 1, "one.png"), ("a", 3, "three.MOV"), ("b", 1, "n.txt"), ("b", 2, "p.q.jpg"), ("c", 1, "only.txt"), (None, 1, "z.gif")]
+    got = {r["k"]: tuple(r)[1:] for r in media_source.session_names(spark.createDataFrame(rows, "k string, n int, path string"), "k", "n").collect()}
+    assert got == {"a": ("two", "one\ntwo\nthree"), "b": ("p.q", "n\np.q"), "c": ("", "only"), None: ("z", "z")}

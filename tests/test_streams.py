@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.streaming import first_seen, landing, stages
+from sievegrid.operators import table_functions
+from sievegrid.streaming import counters, first_seen, landing, stages
 
 
 def drop(folder, *numbers, text="x"):
@@ -81,3 +82,35 @@ def test_sink_stage_of_a_stream(spark, tmp_path):
     assert first_seen.run(query) == (True, "done")
     assert sorted(got["originals"]) == [(1, "a"), (5, "late")] and got["copies"] == [(2, "a")]
     assert sorted(got["missing"]) == [(3, None), (4, None), (6, None)]
+
+
+def test_counters_of_streams_and_jobs(spark, tmp_path):
+    seen = []
+    listener = counters.Counters(lambda run, rows, rate: seen.append(rows))
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").observe("a", F.count("*").alias("n"), F.sum(F.when(F.col("id") % 7 == 0, 1)).alias("odd"))
+    spark.streams.addListener(listener)
+    try:
+        query = stream.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+        assert first_seen.run(query) == (True, "done")
+        assert listener.of(str(query.runId)) == {"n": 30, "odd": 5} and listener.batches[str(query.runId)] > 1 and sum(seen) == 30
+    finally:
+        spark.streams.removeListener(listener)
+    rows, found = counters.counted(spark.range(10), n=F.count("*"), low=F.count_if(F.col("id") < 4))
+    rows.where("id > 5").write.format("noop").mode("overwrite").save()
+    assert found.get == {"n": 10, "low": 4}
+
+
+def test_table_functions(spark):
+    table_functions.register(spark)
+    got = spark.sql("SELECT i, t.* FROM VALUES (1, 5, 7), (2, 3, 3), (3, NULL, 3), (4, 0, 9) AS v(i, h, w), LATERAL tiles(h, w, 4, 1) t").collect()
+    assert {tuple(r) for r in got if r["i"] == 1} == {(1, y, x, min(y + 4, 5), min(x + 4, 7)) for y in (0, 3) for x in (0, 3, 6)}
+    assert [tuple(r) for r in got if r["i"] != 1] == [(2, 0, 0, 3, 3)]
+    with pytest.raises(Exception, match="smaller than the tile"):
+        spark.sql("SELECT * FROM tiles(5, 5, 4, 4)").collect()
+    rows = "VALUES ('a', 1L), ('a', 0L), ('a', 5L), ('b', 2L), ('b', NULL), ('a', 5L), (NULL, 3L) AS v(k, n)"
+    got = spark.sql(f"SELECT * FROM segments(TABLE(SELECT * FROM {rows}), 'k', 'n', 4)").collect()
+    assert sorted((r["key"] or "", r["segment"], r["first"], r["last"], r["n"], r["numbers"]) for r in got) == [("", 0, 3, 3, 1, [3]), ("a", 0, 0, 1, 2, [0, 1]), ("a", 1, 5, 5, 2, [5, 5]), ("b", 0, 2, 2, 1, [2])]
+    with pytest.raises(Exception, match="no columns"):
+        spark.sql(f"SELECT * FROM segments(TABLE(SELECT * FROM {rows}), 'k', 'm', 4)").collect()
