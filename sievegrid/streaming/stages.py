@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -26,37 +25,45 @@ def in_order(stream: DataFrame, by: str, index_col: str, payload: str, flush_ms:
     """(by, index, payload, released): rows of every key in the order of their indices, from 0 on.
 
     A row waits in the state until all before it have come, so state holds what is out of
-    order; ``released`` numbers a key's rows as they go.  An index that comes again after its
-    release is dropped.  With ``flush_ms`` a key idle for that long releases what it holds, gaps
+    order, as arrays of the payload's own type; ``released`` numbers a key's rows as they go.  A key without new
+    rows is not touched.  An index that comes again after its release is dropped.  With ``flush_ms`` a key idle for that long releases what it holds, gaps
     and all.  Rows with a null index are never released.
     """
+    kind = stream.schema[payload].dataType.simpleString()
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expected, done, waiting = (state.get[0], state.get[1], dict(json.loads(state.get[2]))) if state.exists else (0, 0, {})
-        waiting = {int(k): v for k, v in waiting.items()}
+        expected, done, waits, held = state.get if state.exists else (0, 0, [], [])
         if state.hasTimedOut:
-            ready = sorted(waiting)
+            out = sorted(zip(waits, held, strict=True), key=lambda x: x[0])
             state.remove()
         else:
+            new: dict[int, Any] = {}
             for b in batches:
-                known = b[b[index_col].notna()]
-                for i, v in zip(known[index_col].astype("int64").tolist(), known[payload].tolist(), strict=True):
-                    if i >= expected:
-                        waiting.setdefault(i, v)
-            ready = []
-            while expected in waiting and len(ready) < len(waiting):
-                ready.append(expected)
+                for i, v in zip(b[index_col].tolist(), b[payload].tolist(), strict=True):
+                    if i is not None and i == i and i >= expected:
+                        new.setdefault(int(i), v)
+            out, start = [], expected
+            waiting = None if not waits or min(waits) > expected + len(new) else dict(zip(waits, held, strict=True))
+            while expected in new or waiting and expected in waiting:
+                out.append((expected, waiting.pop(expected) if waiting and expected in waiting else new[expected]))
                 expected += 1
-            rest = {k: v for k, v in waiting.items() if k >= expected}
-            state.update((expected, done + len(ready), json.dumps(rest)))
+            early = {i: v for i, v in new.items() if i >= expected}
+            if waiting is not None:
+                early |= {i: v for i, v in waiting.items() if i >= expected}
+                waits, held = list(early), list(early.values())
+            elif early:
+                known = set(waits)
+                waits = [*waits, *(i for i in early if i not in known)]
+                held = [*held, *(v for i, v in early.items() if i not in known)]
+            state.update((expected, done + expected - start, waits, held))
             if flush_ms:
                 state.setTimeoutDuration(flush_ms)
-        if ready:
-            yield pd.DataFrame({by: key[0], index_col: ready, payload: [waiting[i] for i in ready], "released": range(done, done + len(ready))})
+        if out:
+            yield pd.DataFrame({by: key[0], index_col: [i for i, _ in out], payload: pd.Series([v for _, v in out], dtype=object), "released": range(done, done + len(out))})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if flush_ms else GroupStateTimeout.NoTimeout
-    rows = stream.select(F.col(by).cast("string").alias(by), F.col(index_col).cast("long").alias(index_col), F.col(payload).cast("string").alias(payload))
-    return rows.groupBy(by).applyInPandasWithState(step, f"{by} string, {index_col} long, {payload} string, released long", "expected long, done long, waiting string", "append", timeout)
+    rows = stream.select(F.col(by).cast("string").alias(by), F.col(index_col).cast("long").alias(index_col), payload)
+    return rows.groupBy(by).applyInPandasWithState(step, f"{by} string, {index_col} long, {payload} {kind}, released long", f"expected long, done long, waits array<long>, held array<{kind}>", "append", timeout)
 
 
 def in_batches(write: Callable[[DataFrame, int], None], order: str, size: int) -> Callable[[DataFrame, int], None]:

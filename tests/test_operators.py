@@ -312,6 +312,14 @@ def test_stream_releases_in_order(spark, tmp_path):
         assert [(n, v, r) for k, n, v, r in seen if k == key] == [(i, v, i) for i, v in enumerate(want)]
 
 
+def test_reorder_buffer_keeps_types_and_nulls(spark, tmp_path):
+    batches = [[("a", 3, 2.5), ("a", 1, None), ("a", 1, 9.0)], [("a", 5, 5.0), ("a", 3, 7.0)], [("a", 0, 0.5), ("a", 9, 1.0)], [("a", 2, None), ("b", 0, 4.0)]]
+    stream, seen = _stream_of(spark, tmp_path, "k string, n long, v double", batches), []
+    q = stages.in_order(stream, "k", "n", "v").writeStream.foreachBatch(lambda df, i: seen.extend(tuple(r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert first_seen.run(q, 120)[0]
+    assert sorted(seen) == [("a", 0, 0.5, 0), ("a", 1, None, 1), ("a", 2, None, 2), ("a", 3, 2.5, 3), ("b", 0, 4.0, 0)]
+
+
 def test_stream_stages(spark, tmp_path):
     stream = stages.with_fingerprint(_stream_of(spark, tmp_path, "n long, v string", [[(i, "x" if i < 3 else str(i)) for i in range(5)]]), "v")
     batched = []
