@@ -960,3 +960,119 @@ def q74_session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     suffix = F.when(F.col("label") < 1, ".MP4").when(F.col("label") < 7, ".png").otherwise(".txt")
     files = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("session"), "vec_id", F.concat(F.lit("dir/clip."), F.col("vec_id").cast("string"), suffix).alias("path"))
     return media_source.session_names(files, "session", "vec_id")
+
+
+_MEDIA = "SELECT vec_id, label, 'dir/clip.' || vec_id || CASE WHEN label < 1 THEN '.MP4' WHEN label < 7 THEN '.png' ELSE '.txt' END AS path, CASE WHEN label < 1 THEN 'video' WHEN label < 7 THEN 'image' END AS kind FROM embeddings"
+
+
+def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.when(F.col("label") < 1, ".MP4").when(F.col("label") < 7, ".png").otherwise(".txt")
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.concat(F.lit("dir/clip."), F.col("vec_id").cast("string"), suffix).alias("path"))
+
+
+@query(f"SELECT path, kind, row_number() OVER (PARTITION BY kind ORDER BY vec_id) AS at FROM ({_MEDIA}) WHERE kind IS NOT NULL")
+def q75_split_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and videos with their places among their kind; what is neither is in none."""
+    images, videos = media_source.split_by_kind(_media(spark, sf_dir), "path", "vec_id")
+    return images.unionByName(videos).select("path", "kind", "at")
+
+
+def _image_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files made of all vectors: PNG, PPM, and some that are no images."""
+    folder = new_path(spark, "image-files")
+    kind = F.when(F.col("label") % 2 == 0, "PNG").otherwise("PPM")
+    rows = _frames(spark, sf_dir, "label")
+    images = pixels.encode_as(rows.where("label < 8"), F.concat_ws("_", "label", "vec_id"), F.lit(8), F.lit(8), F.col("frame"), kind, F.lit(9), F.lit(8))
+    others = rows.where("label >= 8").select(F.concat_ws("_", F.lit("x"), "vec_id").alias("name"), F.encode(F.col("vec_id").cast("string"), "UTF-8").alias("content"))
+    sink.write_files(images.select("name", "content").unionByName(others), folder)
+    return folder
+
+
+@query("SELECT label || '_' || vec_id AS stem, 'image' AS kind FROM embeddings WHERE label < 8 AND label % 2 = 0")
+def q76_suffix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of one suffix; the pattern reaches the scan, and no content is read."""
+    found = media_source.files(spark, _image_files(spark, sf_dir), ".png")
+    return found.select(M.stem(F.col("path")).alias("stem"), "kind")
+
+
+@query("""
+SELECT CASE WHEN label < 8 THEN label || '_' || vec_id ELSE 'x_' || vec_id END AS stem, CASE WHEN label < 8 THEN 8 END AS height, CASE WHEN label < 8 THEN 8 END AS width,
+  CASE WHEN label >= 8 THEN 'not a PPM or PNG image' END AS error FROM embeddings""")
+def q77_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes from the first bytes of every file; what is no image has an error."""
+    found = pixels.probe(sink.read_files(spark, _image_files(spark, sf_dir)), "path")
+    return found.select(M.stem(F.col("path")).alias("stem"), "height", "width", "error")
+
+
+@query("""
+WITH v AS (SELECT event_id, unnest([props, event_type, '{"value": "' || user_id || '"}', CASE WHEN value > 10 THEN event_type END]) AS v, unnest([1, 2, 3, 4]) AS k FROM events)
+SELECT event_id, k, coalesce(CASE WHEN trim(v) LIKE '{%' THEN json_extract_string(v, '$.value') ELSE v END, 'none') AS unwrapped FROM v""")
+def q78_unwrapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as they come from a form: objects with a value, other objects, plain strings and nulls."""
+    spelt = F.array("props", "event_type", F.concat(F.lit('{"value": "'), F.col("user_id").cast("string"), F.lit('"}')), F.when(F.col("value") > 10, F.col("event_type")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(spelt).alias("k", "v"))
+    return rows.select("event_id", (F.col("k") + 1).alias("k"), M.unwrap(F.col("v"), "none").alias("unwrapped"))
+
+
+@query("SELECT strftime(ts, '%Y%m%d_%H%M%S') AS folder, count(*) AS n FROM events GROUP BY 1")
+def q79_session_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the folder that a session of their second would have."""
+    return table(spark, sf_dir, "events").groupBy(M.session_folder(F.col("ts")).alias("folder")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(text) AS fingerprint FROM documents")
+def q80_stream_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash stage of a stream over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet*")
+    return _collected(spark, stages.with_fingerprint(stream.select("doc_id", "text"), "text").select("doc_id", "fingerprint"), "hashed")
+
+
+@query("""
+WITH s AS (SELECT DISTINCT p_size AS h, length(p_name)::INT AS w, length(p_type)::INT - 5 AS o FROM part), y AS (SELECT *, unnest(range(h)) AS y FROM s), g AS (SELECT *, unnest(range(w)) AS x FROM y),
+r AS (SELECT *, CASE WHEN o > 0 AND o <= least(h, w) THEN (CASE WHEN x >= w - o THEN (w - x) / (o + 1)::DOUBLE WHEN x < o THEN (x + 1) / (o + 1)::DOUBLE ELSE 1 END) * (CASE WHEN y < o THEN (y + 1) / (o + 1)::DOUBLE ELSE 1 END) * (CASE WHEN y >= h - o THEN (h - y) / (o + 1)::DOUBLE ELSE 1 END) ELSE 1 END AS v FROM g),
+t AS (SELECT h, w, o, sum(v) AS v FROM r GROUP BY h, w, o)
+SELECT p_partkey, round(v, 6) AS total FROM part JOIN t ON h = p_size AND w = length(p_name) AND o = length(p_type) - 5""")
+def q81_shared_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's weights from a table that holds each distinct size once."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("h"), F.length("p_name").alias("w"), (F.length("p_type") - 5).alias("o"))
+    maps = tiles.weight_table(part, "h", "w", "o", edge_safe=True)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    return part.join(maps, ["h", "w", "o"]).select("p_partkey", F.round(total, 6).alias("total"))
+
+
+@query(f"SELECT doc_id, unique_id FROM ({_MAPPED}) WHERE doc_id <> unique_id")
+def q82_duplicates_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping of duplicates alone."""
+    return dedupe.duplicates_only(_mapped(spark, sf_dir), "doc_id")
+
+
+@query(f"""
+SELECT vec_id, array_to_string(list_transform(range(1, len(v) + 1), lambda i: floor(greatest(least(v[i] * 255 + (least(abs(v[len(v) + 1 - i]) * 2, 1.5::DOUBLE) - 1), 255.0::DOUBLE), 0.0::DOUBLE))::INT::VARCHAR), ',') AS bytes FROM ({_VECTORS})""")
+def q83_dithered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes with noise, here each vector's own values from its end on, so that the result is known."""
+    noise = F.transform(F.reverse(A.doubles(F.col("embedding"))), lambda x: F.least(F.abs(x) * 2, F.lit(1.5)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(A.dither(F.col("embedding"), noise).cast("array<string>"), ",").alias("bytes"))
+
+
+@query(f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, CASE WHEN label <> 9 THEN {_SHOWN.format('flatten(list_transform(CASE WHEN label = 8 THEN v[1:32] ELSE v END, lambda x: [x, x]))')} END AS pixels, CASE WHEN label = 9 THEN 'null input' END AS error FROM v""")
+def q84_kernel_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plugged-in kernel over rows of two lengths, some of them with nulls: those report it and the others go on."""
+    v = F.col("embedding")
+    odd = F.when(F.col("label") == 9, F.transform(v, lambda x, i: F.when(i != 5, x))).when(F.col("label") == 8, F.slice(v, 1, 32)).otherwise(v)
+    got = kernels.apply(table(spark, sf_dir, "embeddings").select("vec_id", odd.alias("v")), "nearest_up", "vec_id", "v")
+    return got.select("vec_id", F.when(F.col("result").isNotNull(), _shown(F.col("result"))).alias("pixels"), "error")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch_id FROM events WHERE event_id % 2 = 0")
+def q85_stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream handed over in numbered batches; the last, short one is flushed with its micro-batch."""
+    base = new_path(spark, "assembled")
+    sink_of = stages.in_batches(lambda rows, i: rows.write.mode("overwrite").parquet(f"{base}/out/batch-{i}"), "event_id", 64)
+    stream = _stream(spark, sf_dir).where("event_id % 2 = 0").select("event_id")
+    ok, message = streams.run(stream.writeStream.foreachBatch(sink_of).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    if not ok:
+        raise RuntimeError(message)
+    return spark.read.schema("event_id long, batch_id long").parquet(f"{base}/out/batch-*")

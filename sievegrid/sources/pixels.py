@@ -164,10 +164,14 @@ def decode(files: DataFrame, id_col: str, content_col: str = "content") -> DataF
 
 def probe(files: DataFrame, id_col: str, content_col: str = "content") -> DataFrame:
     """(id, height, width, error) from the header's bytes only, tolerant of what isn't an image."""
-    head = F.decode(F.substring(F.col(content_col), 1, 64), "ISO-8859-1")
+    raw = F.substring(F.col(content_col), 1, 64)
     part = lambda k: F.expr(f"try_cast(nullif(regexp_extract(sg_head, r'^P6\\s+(\\d+)\\s+(\\d+)\\s', {k}), '') as int)")
-    rows = files.select(id_col, head.alias("sg_head")).select(id_col, part(2).alias("height"), part(1).alias("width"))
-    return rows.withColumn("error", F.when(F.col("height").isNull() | F.col("width").isNull(), "not a PPM image"))
+    # in PNG the width and the height are big-endian numbers behind the signature and a chunk's head
+    number = lambda at: F.conv(F.substring("sg_hex", at, 8), 16, 10).cast("int")
+    rows = files.select(id_col, F.decode(raw, "ISO-8859-1").alias("sg_head"), F.hex(raw).alias("sg_hex"))
+    is_png = F.col("sg_hex").startswith(PNG_SIGNATURE.hex().upper()) & (F.length("sg_hex") >= 48)
+    rows = rows.select(id_col, F.when(is_png, number(41)).otherwise(part(2)).alias("height"), F.when(is_png, number(33)).otherwise(part(1)).alias("width"))
+    return rows.withColumn("error", F.when(F.col("height").isNull() | F.col("width").isNull(), "not a PPM or PNG image"))
 
 
 def save(images: DataFrame, folder: str, name_col: str, content_col: str = "content") -> None:

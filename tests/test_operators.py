@@ -264,7 +264,7 @@ def test_raw_images(spark, tmp_path):
     assert [round(x * 255) for x in got["one.ppm"]["pixels"]] == [0, 128, 255, 51, 102, 153]
     assert "2 bytes" in got["two.ppm"]["error"] and got["three.ppm"]["error"] == "not a PPM image"
     probed = {r["name"]: (r["height"], r["width"], r["error"]) for r in pixels.probe(files, "name").collect()}
-    assert probed == {"one.ppm": (1, 2, None), "two.ppm": (1, 2, None), "three.ppm": (None, None, "not a PPM image")}
+    assert probed == {"one.ppm": (1, 2, None), "two.ppm": (1, 2, None), "three.ppm": (None, None, "not a PPM or PNG image")}
 
 
 def test_split_keeps_the_order_and_files_are_tidied(spark, tmp_path):
