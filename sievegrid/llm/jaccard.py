@@ -22,8 +22,13 @@ that replicate boundary documents, and these regions join recursively (``regions
 within a component are never listed, and no cap is set.
 
 Large regions.  A region of more than ``CHUNK`` sets is dealt out in chunks that all know the
-pivot.  Each chunk is resolved by itself; documents still apart from the pivot are then a
-query set that meets the other chunks in blocks.
+pivot.  Each chunk is resolved by itself.  What is still apart from the pivot then may link with what lies in other
+chunks; all of these compare what they have beyond the pivot.  A set of n lacks at most a fifth of n in one that it
+links with, so if it has more than that beyond the pivot, one of any fifth and one of these is in the other.  Each
+brings its rarest ones, those that have a partner among them choose new pivots, and these regions are joined as before,
+level by level, until they are small.  So what a site's pages have in common divides them no more, and only what they
+have beyond it brings them together.  Sets with less than that beyond their pivot, which are nearly parts of it, are met
+in blocks.
 
 Equal sets are one set for the join, found by digest.
 
@@ -53,6 +58,8 @@ EXTRA = 10
 CHUNK = 2048
 CHUNK_BYTES = 1 << 24
 BROADCAST_ROWS = 1 << 20  # of four numbers each: 32 MB
+LEVELS = 8
+SIFT_BYTES = 1 << 26
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +129,8 @@ def chosen_pivots(found: DataFrame, sizes: DataFrame, percent: int = PERCENT, ex
     """(doc_id, pivot): the documents that may have links, with the pivots in whose regions they may.
 
     ``sizes`` has (doc_id, n): the documents to regard and their set size, 0 for an id with several
-    texts, which is spared all tests by size.  Regions of more than ``chunk`` documents are not
-    looked into.
+    texts, which is spared all tests by size.  Regions of more than ``chunk`` documents, or of more than
+    ``SIFT_BYTES`` of brought shingles, are not looked into.
     """
     share = 100 - percent + extra
 
@@ -162,92 +169,153 @@ def chosen_pivots(found: DataFrame, sizes: DataFrame, percent: int = PERCENT, ex
     shared = entries.join(least.select("key", F.col("p.doc_id").alias("pivot")), "key").groupBy("doc_id", "pivot").agg(F.count("*").alias("m"), F.first("spare").alias("spare"))
     rising = Window.partitionBy("doc_id").orderBy("m", "pivot").rowsBetween(Window.unboundedPreceding, 0)
     chosen = store.keep(shared.withColumn("sum", F.sum("m").over(rising)).where("sum > spare or doc_id = pivot").select("doc_id", "pivot"), "chosen")
-    counts = chosen.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1")
-    large = chosen.join(counts.where(F.col("m") > chunk).select("pivot"), "pivot", "left_semi")
-    small = chosen.join(counts.where(F.col("m") <= chunk).select("pivot"), "pivot", "left_semi").join(kept, "doc_id").select("pivot", "doc_id", "n", "keys")
+    weighed = chosen.join(kept.select("doc_id", F.octet_length("keys").alias("bytes")), "doc_id")
+    counts = weighed.groupBy("pivot").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes")).where("m > 1")
+    fits = (F.col("m") <= chunk) & (F.col("bytes") <= SIFT_BYTES)
+    large = chosen.join(counts.where(~fits).select("pivot"), "pivot", "left_semi")
+    small = chosen.join(counts.where(fits).select("pivot"), "pivot", "left_semi").join(kept, "doc_id").select("pivot", "doc_id", "n", "keys")
     sifted = small.repartition(exchange.partitions(kept.sparkSession), "pivot").sortWithinPartitions("pivot").mapInArrow(sift, "doc_id long, pivot long")
     return sifted.unionByName(large.select("doc_id", "pivot"))
 
 
 def _joined(units: DataFrame, percent: int) -> DataFrame:
-    """(a, b, region): links within each unit, and with a null ``b`` the documents apart from the pivot.
+    """Links (a, b) within each unit; of wide ones also their members (a) with what they have beyond the pivot.
 
-    ``units`` has (region, unit, doc_id, s, role): the pivot has role 0, members 1, and if there are
-    queries (2) only they are compared, with the members.
+    ``units`` has (region, unit, doc_id, s, role, wide): the pivot has role 0, members 1, and if there are
+    queries (2) only they are compared, with the members.  Members have a null ``b``, whether they are apart from
+    the pivot, ``rest`` (shingles beyond it) and ``lack`` (how many shingles a set that they link with may lack of theirs).
     """
-    schema, names = "a long, b long, region long", ["a", "b", "region"]
+    schema = "a long, b long, region long, apart boolean, rest binary, lack int"
+    names = ["a", "b", "region", "apart", "rest", "lack"]
 
-    def one(region: int, ids: np.ndarray, role: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def links(work: Region, ids: np.ndarray, region: int) -> pa.RecordBatch:
+        a, b = (pa.array([int(ids[r[k]]) for r in work.links.found], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([a, b, pa.array([region] * len(a), pa.int64()), pa.nulls(len(a), pa.bool_()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int32())], names=names)
+
+    def one(region: int, ids: np.ndarray, role: np.ndarray, sets: list[np.ndarray], wide: bool) -> Iterator[pa.RecordBatch]:
         # equal rows (a repeated document) are one
         work = Region(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), ids, percent)
         rows, queries = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
         if len(queries):
             work.against(queries, rows)
-            apart = []
-        else:
-            first = int(np.argmin(role))
-            work.resolve(rows, first)
-            root = work.links.roots(np.arange(len(ids)))
-            apart = np.unique(ids[root != root[first]]).tolist()
-        a, b = ([int(ids[r[k]]) for r in work.links.found] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a + apart, pa.int64()), pa.array(b + [None] * len(apart), pa.int64()), pa.array([region] * (len(a) + len(apart)), pa.int64())], names=names)
+            yield links(work, ids, region)
+            return
+        # of a pivot's several texts the same one in every unit
+        first = min(np.flatnonzero(role == role.min()).tolist(), key=lambda i: sets[i].tobytes())
+        work.resolve(rows, first)
+        yield links(work, ids, region)
+        if not wide:
+            return
+        root = work.links.roots(np.arange(len(ids)))
+        some = np.flatnonzero(role == 1)
+        rest = [np.setdiff1d(sets[i], sets[first], assume_unique=True) for i in some.tolist()]
+        size = work.size[some]
+        lack = size - -(-percent * size // 100)
+        packed = K.split_binary(np.concatenate([*rest, np.zeros(0, np.uint64)]), np.append(0, np.cumsum([len(x) for x in rest])))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), region)), pa.array(root[some] != root[first]), packed, pa.array(lack.astype(np.int32))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, wide = None, [], False
         for batch in batches:
-            for region, unit, doc, role, s in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+            for region, unit, doc, role, s, w in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), batch.column(5).to_pylist(), strict=True):
                 if (region, unit) != at and held:
-                    yield one(at[0], np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held])
+                    yield from one(at[0], np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], wide)
                     held = []
-                at = region, unit
+                at, wide = (region, unit), w
                 # a copy, so that a row doesn't keep its whole batch
                 held.append((doc, role, np.frombuffer(s.as_buffer(), np.uint64).copy()))
         if held:
-            yield one(at[0], np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held])
+            yield from one(at[0], np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], wide)
 
     parts = exchange.partitions(units.sparkSession)
-    return units.select("region", "unit", "doc_id", "role", "s").repartition(parts, "region", "unit").sortWithinPartitions("region", "unit", "role", "doc_id").mapInArrow(run, schema)
+    return units.select("region", "unit", "doc_id", "role", "s", "wide").repartition(parts, "region", "unit").sortWithinPartitions("region", "unit", "role", "doc_id").mapInArrow(run, schema)
 
 
 def _with_sets(docs: DataFrame, units: DataFrame) -> DataFrame:
-    """(region, unit, doc_id, role, s): every row of ``units`` with the shingle sets of its document."""
+    """(region, unit, doc_id, role, wide, s): every row of ``units`` with the shingle sets of its document."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, keys, bounds in _blocks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), K.split_binary(keys, bounds), batch.column(2).slice(low, high - low)], names=["doc_id", "s", "us"])
 
-    units = store.keep(units.groupBy("doc_id").agg(F.collect_list(F.struct("region", "unit", "role")).alias("us")), "units")
+    units = store.keep(units.groupBy("doc_id").agg(F.collect_list(F.struct("region", "unit", "role", "wide")).alias("us")), "units")
     few = units.select(F.coalesce(F.sum(F.size("us")), F.lit(0))).first()[0] <= BROADCAST_ROWS  # beyond it both sides shuffle
     kind = units.schema["us"].dataType.simpleString()
     made = docs.join(F.broadcast(units) if few else units, "doc_id").select("doc_id", "text", "us").mapInArrow(sets, f"doc_id long, s binary, us {kind}")
     return made.where(F.octet_length("s") > 0).select("doc_id", "s", F.inline("us"))
 
 
+def _below(rests: DataFrame) -> DataFrame:
+    """(region, doc_id, lead): new regions of members of wide ones that share something rare beyond their pivot.
+
+    Where two sets share more beyond it than either may do without, they share one of the rarest ``lack`` + 1 of
+    both, in one order for all of the region; those that no other has, or none that is apart, come first in it.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
+            size = np.array([len(k) for k in keys], np.int64)
+            repeated = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), size)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*repeated, pa.array(np.repeat(size, size)), pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.repeat(batch.column(5).to_numpy(), size))], names=["region", "doc_id", "apart", "lack", "n", "key", "text"])
+
+    rows = rests.select("region", F.col("a").alias("doc_id"), "apart", F.col("lack").cast("long"), "rest", F.xxhash64("rest").alias("text")).distinct()
+    keyed = rows.mapInArrow(spread, "region long, doc_id long, apart boolean, lack long, n long, key long, text long")
+    shared = keyed.groupBy("region", "key").agg(F.count("*").alias("m"), F.max("apart").alias("some")).where("m > 1 and some").select("region", "key", "m")
+    own = Window.partitionBy("region", "doc_id", "text", "lack")
+    ranked = keyed.join(shared, ["region", "key"]).withColumn("c", F.count("*").over(own)).withColumn("rn", F.row_number().over(own.orderBy("m", "key")))
+    brought = store.keep(ranked.where("rn <= least(n, lack + 1) - (n - c)").select("region", "key", "doc_id", "apart"), "beyond-pivots")
+    leads = brought.groupBy("region", "key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("p"), F.count("*").alias("m"), F.max("apart").alias("some")).where("m > 1 and some")
+    dealt = brought.join(leads.select("region", "key", F.col("p.doc_id").alias("lead")), ["region", "key"])
+    return dealt.select(F.xxhash64("region", "lead").alias("region"), "doc_id", (F.col("doc_id") == F.col("lead")).alias("lead")).distinct()
+
+
+def _met(docs: DataFrame, near: DataFrame, large: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(a, b): links of those apart among ``near`` (region, doc_id, apart) with the others, in blocks of other chunks."""
+    near = near.join(large, "region")
+    apart = near.where("apart")
+    blocks = store.keep(apart.groupBy("region", "k").agg(F.ceil(F.count("*") / chunk).cast("int").alias("q")), "blocks")
+    unit = lambda c, q: (c * F.col("q") + q).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("k"))
+    asked = apart.join(blocks, ["region", "k"]).select("region", "doc_id", F.lit(2).alias("role"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda c: c != own), lambda c: unit(c, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("q"))))).alias("unit"))
+    there = near.join(blocks, ["region", "k"]).select("region", "doc_id", F.lit(1).alias("role"), F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda q: unit(own, q))).alias("unit"))
+    found = _joined(_with_sets(docs, asked.unionByName(there).withColumn("wide", F.lit(False))), percent)
+    return found.where("b is not null").select("a", "b")
+
+
 def _links(docs: DataFrame, pivots: DataFrame, sizes: DataFrame, percent: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """(a, b) links that make up the components of all documents with pivots."""
     # a pivot that has no partner itself still tells its region's distances apart
-    members = store.keep(pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot")).distinct(), "members")
-    totals = members.join(sizes, "doc_id").groupBy("pivot").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
-    chunks = F.greatest(F.ceil(F.col("m") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
-    large = store.keep(totals.select("pivot", chunks.alias("k")).where("k > 1"), "large-regions")
-    dealt = members.join(large, "pivot", "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    # the pivot goes to every chunk of its region
-    units = dealt.select(F.col("pivot").alias("region"), "doc_id", (F.col("doc_id") != F.col("pivot")).cast("int").alias("role"), F.explode(F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(own)).alias("unit"))
-    first = store.keep(_joined(_with_sets(docs, units), percent), "links")
-    found = first.where("b is not null").select("a", "b")
-    if large.isEmpty():
-        return found
-    # documents apart from the pivot of a large region meet the region's other chunks, in blocks
-    apart = first.where("b is null").select("region", F.col("a").alias("doc_id")).distinct().join(large.withColumnRenamed("pivot", "region"), "region")
-    blocks = store.keep(apart.groupBy("region", "k").agg(F.ceil(F.count("*") / chunk).cast("int").alias("q")), "blocks")
-    unit = lambda c, q: (c * F.col("q") + q).cast("int")
-    asked = apart.join(blocks, ["region", "k"]).select("region", "doc_id", F.lit(2).alias("role"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda c: c != F.pmod(F.xxhash64("doc_id"), F.col("k"))), lambda c: unit(c, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("q"))))).alias("unit"))
-    there = members.select(F.col("pivot").alias("region"), "doc_id").where("doc_id != region").join(blocks, "region")
-    there = there.select("region", "doc_id", F.lit(1).alias("role"), F.explode(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda q: unit(F.pmod(F.xxhash64("doc_id"), F.col("k")), q))).alias("unit"))
-    second = _joined(_with_sets(docs, asked.unionByName(there)), percent)
-    return found.unionByName(second.where("b is not null").select("a", "b"))
+    members = store.keep(pivots.unionByName(pivots.select(F.col("pivot").alias("doc_id"), "pivot")).distinct().select(F.col("pivot").alias("region"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("lead")), "members")
+    out, before = None, 0
+    for level in range(LEVELS):
+        totals = members.join(sizes, "doc_id").groupBy("region").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"))
+        chunks = F.greatest(F.ceil(F.col("m") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
+        large = store.keep(totals.select("region", chunks.alias("k"), "m").where("k > 1"), "large-regions")
+        dealt = members.join(large.select("region", "k"), "region", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+        own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+        # the pivot goes to every chunk of its region
+        units = dealt.select("region", "doc_id", F.when(F.col("lead"), 0).otherwise(1).alias("role"), (F.col("k") > 1).alias("wide"), F.explode(F.when(F.col("lead"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(own)).alias("unit"))
+        first = store.keep(_joined(_with_sets(docs, units), percent), "links")
+        found = first.where("b is not null").select("a", "b")
+        out = found if out is None else out.unionByName(found)
+        size = large.agg(F.sum("m")).first()[0]
+        if not size:
+            return out
+        # new pivots that hardly divide what the last ones left are no help: then blocks
+        last, before = level == LEVELS - 1 or level > 0 and 4 * size > 3 * before, size
+        rests = first.where("b is null")
+        near = rests if last else rests.where(F.octet_length("rest") <= 8 * F.col("lack"))
+        near = store.keep(near.select("region", F.col("a").alias("doc_id"), "apart").distinct(), "near-pivots")
+        if not near.where("apart").isEmpty():
+            out = out.unionByName(_met(docs, near, large.select("region", "k"), percent, chunk))
+        if last:
+            return out
+        members = store.keep(_below(rests), "members")
+        if members.isEmpty():
+            return out
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

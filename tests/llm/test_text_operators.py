@@ -166,6 +166,43 @@ def test_large_regions_in_chunks(spark):
         assert got == want
 
 
+def test_a_templates_pages_are_divided_by_new_pivots(spark, monkeypatch):
+    """Pages that share a template but nothing else: work in proportion, and no link between them lost or made."""
+    made, real = [], jaccard._with_sets
+    monkeypatch.setattr(jaccard, "_with_sets", lambda docs, units: made.append(units.count()) or real(docs, units))
+    chosen = jaccard.chosen_pivots
+    monkeypatch.setattr(jaccard, "chosen_pivots", lambda found, sizes, percent: chosen(found, sizes, percent, chunk=64))
+    template, copies = " ".join(f"t{i}" for i in range(60)), {}
+    for n in (100, 400):
+        own = lambda k: " ".join(f"o{k - (k % 10 == 3)}x{i}" for i in range(35))  # noqa: E731  every tenth page has a twin
+        docs = [(k, f"{template} {own(k)}") for k in range(n)] + [(2000 + k, f"{template} {own(k)} edited{k}") for k in range(0, n, 25)]
+        made.clear()
+        got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(frame(spark, docs), chunk=32).collect()}
+        assert got == {k: k - (k % 10 == 3) for k in range(n)} | {2000 + k: k for k in range(0, n, 25)}
+        copies[n] = sum(made)
+    assert copies[400] < 4.6 * copies[100]
+
+
+def test_regions_below_regions(spark):
+    """Templates within templates, texts with one id, and near copies that only blocks can tell apart."""
+    import random
+
+    r = random.Random(21)
+    site, parts = [f"t{i}" for i in range(50)], [[f"s{p}w{i}" for i in range(20)] for p in range(3)]
+    docs = []
+    for k in range(110):
+        words = [*site, *parts[k % 3], *(f"o{k // 2}x{i}" for i in range(25))]
+        for _ in range(r.randrange(0, 14)):
+            words[r.randrange(len(words))] = f"e{r.randrange(500)}"
+        docs.append((k, " ".join(words)))
+    docs += [(k, t + " tail") for k, t in docs[:12]] + [(3, None), (400, docs[7][1])]
+    base = [f"w{i}" for i in range(70)]
+    docs += [(1000 + k, " ".join(random.Random(k // 2).sample(base, 66))) for k in range(40)]
+    want = brute_components(docs)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(frame(spark, docs), chunk=16).collect()}
+    assert got == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
