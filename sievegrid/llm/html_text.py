@@ -378,7 +378,8 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["host", "path", "good", "doubt"])
 
     votes = pages.select(_host(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "host string, path string, good long, doubt boolean")
-    sums = votes.groupBy("host", "path", "doubt").agg(F.count("*").alias("votes"), F.sum("good").alias("good"))
+    # a table, as three steps read it and each would read all pages again
+    sums = store.keep(votes.groupBy("host", "path", "doubt").agg(F.count("*").alias("votes"), F.sum("good").alias("good")), "votes")
     hosts = sums.where("NOT doubt").groupBy("host").agg(F.max(F.struct("votes", "good", "path")).alias("w"), F.sum("votes").alias("pages"))
     # a part counts once a page, so twice a page's number of parts bounds what half of the pages agree on
     parts = sums.where("doubt AND votes >= 3").select("host", F.col("path").alias("part"), F.col("votes").alias("n"))
