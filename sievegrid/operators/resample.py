@@ -1,8 +1,9 @@
-"""Resizing with separable filters, as products with weight matrices over batches of equal size.
+"""Resizing with separable filters, as sums of weighted pixels over batches of equal size.
 
 ``lanczos`` widens its support where an image shrinks, so that no pixel is skipped; ``bilinear`` takes the two
 nearest pixels whatever the scale.  Results that depend on fixed values: three lobes, pixel centres at halves,
-weights that sum to 1, and, for bytes, halves rounded up after each of the two passes.
+weights that sum to 1, and, for bytes, halves rounded up after each of the two passes.  Sums run from the first
+pixel to the last on any machine: where weights make exact halves, as at a border, the order of a sum decides.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ def lanczos(size: int, to: int) -> np.ndarray:
     place = np.arange(size)[None, :]
     inside = (place >= np.floor(centre - LOBES * stretch + 0.5)) & (place < np.floor(centre + LOBES * stretch + 0.5))
     d = (place - centre + 0.5) / stretch
-    weight = np.where(inside & (np.abs(d) < LOBES), np.sinc(d) * np.sinc(d / LOBES), 0.0)
-    return weight / weight.sum(1, keepdims=True)
+    turn = np.where(d == 0, 1.0, np.pi * d)  # at 0 the value is 1
+    value = np.where(d == 0, 1.0, np.sin(turn) / turn * np.sin(turn / LOBES) / (turn / LOBES))
+    weight = np.where(inside & (np.abs(d) < LOBES), value, 0.0)
+    return weight / np.cumsum(weight, 1)[:, -1:]
 
 
 @lru_cache(64)
@@ -56,13 +59,24 @@ def nearest(size: int, to: int) -> np.ndarray:
 FILTERS: dict[str, Callable[[int, int], np.ndarray]] = {"lanczos": lanczos, "bilinear": bilinear, "nearest": nearest}
 
 
+def weighed(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(n, to, m) sums of ``rows`` (n, size, m), each over the places that have a weight, in ascending order."""
+    used, to = weights != 0, np.arange(len(weights))
+    first, last = used.argmax(1), weights.shape[1] - 1 - used[:, ::-1].argmax(1)
+    out = np.zeros((len(rows), len(weights), rows.shape[2]))
+    for k in range(int((last - first).max()) + 1):
+        at = np.minimum(first + k, last)
+        out += np.where(first + k <= last, weights[to, at], 0.0)[:, None] * rows[:, at]
+    return out
+
+
 def resized(images: np.ndarray, to_height: int, to_width: int, kind: str = "lanczos", as_bytes: bool = False) -> np.ndarray:
     """Images (n, height, width, channels) at another size; ``as_bytes`` are whole numbers of 0 to 255."""
     n, height, width, channels = images.shape
     settle = (lambda x: np.clip(np.floor(x + 0.5), 0, 255)) if as_bytes else (lambda x: x)
     # rows first, then columns
-    wide = settle(FILTERS[kind](width, to_width) @ images.reshape(n * height, width, channels))
-    return settle(FILTERS[kind](height, to_height) @ wide.reshape(n, height, to_width * channels)).reshape(n, to_height, to_width, channels)
+    wide = settle(weighed(FILTERS[kind](width, to_width), images.reshape(n * height, width, channels)))
+    return settle(weighed(FILTERS[kind](height, to_height), wide.reshape(n, height, to_width * channels))).reshape(n, to_height, to_width, channels)
 
 
 def resize(images: DataFrame, id_col: str, values: Column, height: Column, width: Column, to_height: Column, to_width: Column, kind: str = "lanczos", as_bytes: bool = False) -> DataFrame:

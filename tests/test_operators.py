@@ -488,3 +488,26 @@ def test_session_names(spark):
     rows = [("a", 2, "x/two.mp4"), ("a", 1, "one.png"), ("a", 3, "three.MOV"), ("b", 1, "n.txt"), ("b", 2, "p.q.jpg"), ("c", 1, "only.txt"), (None, 1, "z.gif")]
     got = {r["k"]: tuple(r)[1:] for r in media_source.session_names(spark.createDataFrame(rows, "k string, n int, path string"), "k", "n").collect()}
     assert got == {"a": ("two", "one\ntwo\nthree"), "b": ("p.q", "n\np.q"), "c": ("", "only"), None: ("z", "z")}
+
+
+def test_resized_sums_run_in_ascending_order():
+    rng = np.random.default_rng(65)
+    for kind, size, to in (("lanczos", 8, 16), ("lanczos", 9, 4), ("bilinear", 8, 16)):
+        rows, weight = rng.integers(0, 256, (200, size, 3)).astype(float), resample.FILTERS[kind](size, to)
+        want = np.zeros((200, to, 3))
+        for i in range(size):
+            want += weight[:, i][:, None] * rows[:, i : i + 1]
+        assert (resample.weighed(weight, rows) == want).all()
+
+
+def test_exact_halves_at_a_border_follow_the_sum_in_order():
+    # these sums are exactly a half; in the order of the pixels the first two reach it, the others stay below
+    rows, ends, halves = [], [], []
+    weight = resample.lanczos(8, 16)
+    for row, o in (([0, 6, 0, 28, 2, 6, 34, 46], 15), ([222, 212, 254, 249, 250, 210, 238, 250], 15), ([1, 16, 14, 4, 6, 12, 40, 52], 15), ([40, 28, 0, 0, 0, 0, 0, 10], 0)):
+        total = 0.0
+        for w, v in zip(weight[o].tolist(), row, strict=True):
+            total += w * v
+        rows.append(row), ends.append(o), halves.append(total)
+    got = resample.resized(np.array(rows, float)[:, None, :, None], 1, 16, as_bytes=True)[:, 0, :, 0]
+    assert [got[i, o] for i, o in enumerate(ends)] == [float(int(x + 0.5)) for x in halves]
