@@ -29,6 +29,7 @@ _APOSTROPHE = 39
 _SLOT_BITS = 21
 _SLOTS = 1 << _SLOT_BITS
 _LONG_BYTES = 1 << 24
+_BLOCK_BYTES = 1 << 20  # arrays over the pieces of a block take some forty times its size
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
 
 
@@ -300,7 +301,7 @@ def token_rows(docs: DataFrame, tokenizer: str, histogram: bool = False, id_col:
         seen = np.zeros(enc.vocab + END_ID + 1, np.int64)
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
-            for low, high in K.doc_blocks(offsets):
+            for low, high in K.doc_blocks(offsets, _BLOCK_BYTES):
                 off = offsets[low : high + 1]
                 ids, bounds = with_end(*enc.encode(data[off[0] : off[-1]], off - off[0]))
                 if histogram:
