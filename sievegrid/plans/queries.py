@@ -915,9 +915,11 @@ def q70_stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["q16_tile_grid"])
 def q71_tiles_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tile grid by a table function."""
+    """The tile grid by a table function, called once for each size; sizes are joined to all that have them."""
     dims = _dims(spark, sf_dir).select("p_partkey", "h", "w")
-    return table_functions.register(spark).sql("SELECT p_partkey, t.y, t.x, t.y_end, t.x_end FROM {dims}, LATERAL tiles(h, w, 512, 32) t", dims=dims)
+    sizes = dims.select("h", "w").distinct()
+    grids = table_functions.register(spark).sql("SELECT h, w, t.y, t.x, t.y_end, t.x_end FROM {sizes}, LATERAL tiles(h, w, 512, 32) t", sizes=sizes)
+    return dims.join(grids, ["h", "w"]).select("p_partkey", "y", "x", "y_end", "x_end")
 
 
 @query("""

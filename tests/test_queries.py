@@ -54,3 +54,8 @@ def test_all_events_reach_the_ordered_sink(spark, monkeypatch):
     registry.queries()["q42_stream_ordered"](spark, SF).collect()
     events = [r["event_id"] for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
     assert all(ids == sorted(ids) for ids in seen) and sorted(x for ids in seen for x in ids) == sorted(events)
+
+
+def test_tiles_are_made_once_for_each_size(spark):
+    plan = registry.queries()["q71_tiles_in_sql"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("PythonUDTF") :]
