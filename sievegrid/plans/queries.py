@@ -869,7 +869,8 @@ def q69_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plan and results as two streams whose rows come out of order, joined as they come; misses go to a folder of their own."""
     base = new_path(spark, "sink-stage")
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
-    mapped = dedupe.mapping(events, "event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    mapped = keep(dedupe.mapping(events, "event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type")), "sink-plan")
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a share each, so no task grows with the table
     # files by hash, so each holds rows of all times; the last of either side only moves the time on
     last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 400 DAY")).alias("ts"))
     sides = {
@@ -878,9 +879,9 @@ def q69_stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     streams_of = {}
     for name, (rows, end) in sides.items():
-        for part, piece in enumerate([rows.where("unique_id % 2 = 1"), rows.where("unique_id % 2 = 0"), end]):
-            piece.coalesce(2).write.parquet(f"{base}/{name}/{part}")
-        streams_of[name] = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 2).parquet(f"{base}/{name}")
+        for part, piece in enumerate([rows.where("unique_id % 2 = 1").repartition(n_files), rows.where("unique_id % 2 = 0").repartition(n_files), end.coalesce(1)]):
+            piece.write.parquet(f"{base}/{name}/{part}")
+        streams_of[name] = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", n_files).parquet(f"{base}/{name}")
     found = stages.with_results(streams_of["plan"], streams_of["results"], "ts", "200 DAY", "5 DAY")
     write = lambda rows, kind, i: rows.write.mode("overwrite").parquet(f"{base}/out/{kind}/batch-{i}")
     sink_of = stages.split_sink(write, lambda rows, i: write(rows, "missing", i))
