@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +19,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), offsets, whole
 
 
+def blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose ``sizes`` add up to ``limit`` at most; a larger row stands alone."""
+    ends = np.cumsum(sizes, dtype=np.float64)
+    low = 0
+    while low < len(ends):
+        done = ends[low - 1] if low else 0.0
+        high = max(low + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield low, high
+        low = high
+
+
 def rows_of(values: np.ndarray, offsets: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """The rows ``at``, all of ``length`` values, as a matrix."""
     return values[offsets[at][:, None] + np.arange(length)]

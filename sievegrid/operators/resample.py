@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import lists
+from ..functions.memory import lean
 
 LOBES = 3
-BATCH_VALUES = 1 << 22
+BATCH_VALUES = 1 << 20  # of the images that are resized and sent on at a time
 RESIZED = "height int, width int, values array<double>, error string"
 
 
@@ -94,25 +95,25 @@ def resize(images: DataFrame, id_col: str, values: Column, height: Column, width
             length = np.diff(offsets)
             area = sizes[:, 0] * sizes[:, 1]
             good = whole & (sizes > 0).all(1) & (length > 0) & (length % np.maximum(area, 1) == 0)
-            out: list[np.ndarray | None] = [None] * batch.num_rows
             keys = np.concatenate([sizes, length[:, None]], 1)
-            for key in np.unique(keys[good], axis=0):
-                at = np.flatnonzero(good & (keys == key).all(1))
-                h, w, to_h, to_w, n = key.tolist()
-                step = max(1, BATCH_VALUES // max(n, to_h * to_w * (n // (h * w))))
-                for low in range(0, len(at), step):
-                    some = at[low : low + step]
-                    block = lists.rows_of(flat, offsets, some, n).reshape(len(some), h, w, -1)
+            made = np.where(good, length / np.maximum(area, 1) * sizes[:, 2] * sizes[:, 3], 0)
+            for low, high in lists.blocks(np.maximum(length, made), BATCH_VALUES):
+                rows, fit, of = batch.slice(low, high - low), good[low:high], keys[low:high]
+                out: list[np.ndarray | None] = [None] * len(of)
+                for key in np.unique(of[fit], axis=0):
+                    at = np.flatnonzero(fit & (of == key).all(1))
+                    h, w, to_h, to_w, n = key.tolist()
+                    block = lists.rows_of(flat, offsets, low + at, n).reshape(len(at), h, w, -1)
                     if (h, w) != (to_h, to_w):
                         block = resized(np.rint(np.clip(block, 0, 1) * 255), to_h, to_w, kind, True) / 255 if as_bytes else resized(block, to_h, to_w, kind)
-                    for i, x in zip(some.tolist(), block, strict=True):
+                    for i, x in zip(at.tolist(), block, strict=True):
                         out[i] = x
-            error = [None if ok else f"{n} values in {h} x {w} pixels" for ok, n, h, w in zip(good.tolist(), length.tolist(), sizes[:, 0].tolist(), sizes[:, 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), lists.column(out), pa.array(error, pa.string())], names=[id_col, "height", "width", "values", "error"])
+                error = [None if ok else f"{n} values in {h} x {w} pixels" for ok, (h, w, _, _, n) in zip(fit.tolist(), of.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(4), rows.column(5), lists.column(out), pa.array(error, pa.string())], names=[id_col, "height", "width", "values", "error"])
 
     kind_of = images.schema[id_col].dataType.simpleString()
     typed = [F.col(id_col), A.doubles(values).alias("sg_v"), *(c.cast("int").alias(f"sg_{i}") for i, c in enumerate((height, width, to_height, to_width)))]
-    return images.select(*typed).mapInArrow(run, f"{id_col} {kind_of}, {RESIZED}")
+    return images.select(*typed).mapInArrow(lean(run), f"{id_col} {kind_of}, {RESIZED}")
 
 
 def to_height(images: DataFrame, id_col: str, values: Column, height: Column, width: Column, target: Column, as_bytes: bool = False) -> DataFrame:

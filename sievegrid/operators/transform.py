@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import lists
+from ..functions.memory import lean
 from . import resample
 
 Kernel = Callable[[np.ndarray, int, int], np.ndarray]
@@ -111,7 +112,7 @@ def cut(images: DataFrame, id_col: str, value_col: str, height: str, width: str,
 
     kind = images.schema[id_col].dataType.simpleString()
     rows = images.select(id_col, A.doubles(F.col(value_col)).alias("v"), F.col(height).cast("int").alias("h"), F.col(width).cast("int").alias("w"))
-    return rows.mapInArrow(run, f"{id_col} {kind}, {_TILE}")
+    return rows.mapInArrow(lean(run), f"{id_col} {kind}, {_TILE}")
 
 
 def blended(tiles: DataFrame, id_col: str, kernel: Kernel, scale: int = 1, tile: int = 512, overlap: int = 32, edge_safe: bool = True, clip: bool = False) -> DataFrame:
@@ -189,8 +190,8 @@ def blended(tiles: DataFrame, id_col: str, kernel: Kernel, scale: int = 1, tile:
             yield from out.flush()
 
     kind = tiles.schema[id_col].dataType.simpleString()
-    pieces = tiles.mapInArrow(weigh, f"{id_col} {kind}, {_PIECE}")
-    return pieces.repartition(id_col, "band").sortWithinPartitions(id_col, "band", "y", "x").mapInArrow(add, f"{id_col} {kind}, {BANDS}")
+    pieces = tiles.mapInArrow(lean(weigh), f"{id_col} {kind}, {_PIECE}")
+    return pieces.repartition(id_col, "band").sortWithinPartitions(id_col, "band", "y", "x").mapInArrow(lean(add), f"{id_col} {kind}, {BANDS}")
 
 
 def single_pass(images: DataFrame, id_col: str, value_col: str, height: str, width: str, kernel: Kernel, tile: int, overlap: int, edge_safe: bool = True, scale: int = 1, clip: bool = False) -> DataFrame:
@@ -253,10 +254,12 @@ def post_process(images: DataFrame, id_col: str, sharpness: float = 0.0, contras
         for batch in batches:
             flat, offsets, whole = lists.flat(batch.column(3))
             h, w = (batch.column(k).to_pylist() for k in (1, 2))
-            out = [enhanced(flat[offsets[i] : offsets[i + 1]].reshape(h[i], w[i], -1), sharpness, contrast, colour) if ok else None for i, ok in enumerate(whole.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists.column(out), batch.column(4)], names=batch.schema.names)
+            for low, high in lists.blocks(np.diff(offsets), _FLUSH_VALUES):
+                out = [enhanced(flat[offsets[i] : offsets[i + 1]].reshape(h[i], w[i], -1), sharpness, contrast, colour) if whole[i] else None for i in range(low, high)]
+                rows = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], lists.column(out), rows.column(4)], names=batch.schema.names)
 
-    return images.select(id_col, "height", "width", "values", "error").mapInArrow(run, images.select(id_col, "height", "width", "values", "error").schema)
+    return images.select(id_col, "height", "width", "values", "error").mapInArrow(lean(run), images.select(id_col, "height", "width", "values", "error").schema)
 
 
 def pixels(bands: DataFrame, id_col: str) -> DataFrame:

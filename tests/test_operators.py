@@ -3,6 +3,7 @@
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -511,3 +512,41 @@ def test_exact_halves_at_a_border_follow_the_sum_in_order():
         rows.append(row), ends.append(o), halves.append(total)
     got = resample.resized(np.array(rows, float)[:, None, :, None], 1, 16, as_bytes=True)[:, 0, :, 0]
     assert [got[i, o] for i, o in enumerate(ends)] == [float(int(x + 0.5)) for x in halves]
+
+
+def arrow_run(monkeypatch, df, build):
+    """The function that ``build`` hands to ``mapInArrow``."""
+    runs = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema, *a: runs.append(run) or self)
+    build(df)
+    monkeypatch.undo()
+    return runs[-1]
+
+
+def test_images_leave_in_bounded_batches(spark, monkeypatch):
+    df = spark.createDataFrame([], "id long, height int, width int, values array<double>, error string, th int, tw int")
+    small = [np.random.default_rng(i).random(8 * 8 * 3) if i % 7 else None for i in range(60)]
+    sides = [700 if i == 30 else 150 for i in range(60)]  # one is larger than a batch may be
+    ints = lambda x: pa.array(x, pa.int32())
+    rows = [pa.array(range(60), pa.int64()), pa.array([None if x is None else x.tolist() for x in small], pa.list_(pa.float64())), ints([8] * 60), ints([8] * 60), ints(sides), ints(sides)]
+    resize = arrow_run(monkeypatch, df, lambda d: resample.resize(d, "id", *(F.col(c) for c in ("values", "height", "width", "th", "tw"))))
+    got = list(resize(iter([pa.RecordBatch.from_arrays(rows, names=["id", "v", "a", "b", "c", "d"])])))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(60))
+    assert len(got) > 4 and all(b.num_rows == 1 or len(b.column(3).flatten()) <= 1 << 20 for b in got)
+    for b in got:
+        for i, x, e in zip(b.column(0).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True):
+            if small[i] is None:
+                assert not x.is_valid and e == "0 values in 8 x 8 pixels"
+            else:
+                want = resample.resized(small[i].reshape(1, 8, 8, 3), sides[i], sides[i])
+                assert e is None and np.array_equal(x.values.to_numpy(), want.reshape(-1))
+
+    large = [np.full(400 * 300 * 3, i / 9) if i % 4 else None for i in range(9)]
+    rows = [pa.array(range(9), pa.int64()), ints([400] * 9), ints([300] * 9), pa.array([None if x is None else x.tolist() for x in large], pa.list_(pa.float64())), pa.array([None if i % 4 else "e" for i in range(9)])]
+    enhance = arrow_run(monkeypatch, df, lambda d: transform.post_process(d, "id", contrast=1.5))
+    got = list(enhance(iter([pa.RecordBatch.from_arrays(rows, names=["id", "height", "width", "values", "error"])])))
+    assert len(got) > 2 and all(b.num_rows == 1 or len(b.column(3).flatten()) <= 1 << 20 for b in got)
+    shown = [(i, None if not x.is_valid else x.values.to_numpy(), e) for b in got for i, x, e in zip(b.column(0).to_pylist(), b.column(3), b.column(4).to_pylist(), strict=True)]
+    for i, x, e in shown:
+        assert (x is None and e == "e") if large[i] is None else np.array_equal(x, transform.enhanced(large[i].reshape(400, 300, 3), contrast=1.5).reshape(-1))
+    assert [s[0] for s in shown] == list(range(9))
