@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import lean
+
 PERCENT = 10
 BLOCK_CHARS = 4_000_000
 
@@ -209,5 +211,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_c
             for batch in batches:
                 yield batch.filter(pa.array([not (x.is_valid and search(machine, x.as_py(), True)) for x in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

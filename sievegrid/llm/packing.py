@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import lean
 from . import store
 from .tokens import token_rows
 
@@ -72,7 +73,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool =
             columns = [batch.column(0).take(pa.array(doc)), pa.array(a), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(sequence), pa.array(begin - sequence * window)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep_ids, names=names)
 
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(lean(cut), schema)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import lean
 from . import kernel as K
 
 DIMENSIONS = 4096
@@ -167,7 +168,7 @@ def keep_good(docs: DataFrame, voter: Voter, dim: int = DIMENSIONS, text_col: st
         for batch in batches:
             yield batch.filter(pa.array(_scores(model.value, batch.column(at), dim) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(doc_id: F.Column, third: int = 1) -> F.Column:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.memory import lean
 from . import kernel as K
 
 END_ID = 2
@@ -315,4 +316,4 @@ def token_rows(docs: DataFrame, tokenizer: str, histogram: bool = False, id_col:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.array([done]), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([pairs.tobytes()], pa.binary())], names=names)
 
     names = ["doc_id", "part", "start", "n_tokens", "ids", "counts"]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)

@@ -424,6 +424,26 @@ def test_added_tokens_equal_a_plain_call(spark, path):
     assert {r["doc_id"]: np.frombuffer(r["ids"], f"<u{size}").tolist() for r in rows} == want
 
 
+def test_token_workers_give_memory_back(df, monkeypatch):
+    """After each batch and at the end, as a worker that waits keeps what it holds beside those at work."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from sievegrid.functions import memory
+
+    runs, calls = [], []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema, *a: runs.append(run) or self)
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    tokens.token_rows(df, WORDS)
+    give = memory.give_back
+    monkeypatch.setattr(memory, "give_back", lambda: calls.append(give()))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([t])], names=["doc_id", "text"]) for i, t in enumerate(["one two", "", "three"])]
+    got = list(runs[0](iter(batches)))
+    assert [x for b in got for x in b.column(0).to_pylist()] == [0, 1, 2] and len(calls) == 4
+
+
 def test_packing(spark, docs, df):
     pieces = packing.pack(df, WORDS, window=256)
     got = sorted(pieces.collect(), key=lambda r: (r["sequence_id"], r["offset"]))
